@@ -117,19 +117,25 @@ def last_seen(
     *,
     inclusive: bool = True,
     tie: Sequence[str] = (),
+    group_totals: Mapping[str, Column] | None = None,
     span: int = DEFAULT_SPAN,
 ) -> DataFrame:
     """Add the latest non-null ``value`` at or before (or strictly before) each row."""
+    group_totals = dict(group_totals or {})
     staged = df.withColumn(CHUNK, _chunk_number(order, span)).withColumn("_value", value)
     rank = F.struct(order, *tie)
     per_chunk = staged.groupBy(*keys, CHUNK).agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), rank)).alias("_chunk_last")
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), rank)).alias("_chunk_last"),
+        *[F.sum(total).alias(f"_sum_{n}") for n, total in group_totals.items()],
     )
+    series = Window.partitionBy(*keys).orderBy(CHUNK)
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = per_chunk.select(
-        *keys, CHUNK, F.last("_chunk_last", ignorenulls=True).over(before).alias("_carried")
+        *keys,
+        CHUNK,
+        F.last("_chunk_last", ignorenulls=True).over(before).alias("_carried"),
+        *[F.coalesce(F.sum(f"_sum_{n}").over(whole), F.lit(0)).alias(n) for n in group_totals],
     )
     local = (
         Window.partitionBy(*keys, CHUNK)
@@ -139,6 +145,7 @@ def last_seen(
     return staged.join(carried, [*keys, CHUNK]).select(
         *[F.col(c) for c in df.columns],
         F.coalesce(F.last("_value", ignorenulls=True).over(local), F.col("_carried")).alias(name),
+        *group_totals,
     )
 
 

@@ -41,6 +41,12 @@ select concat('m', cast(f % 4 as {str})) as match_id,
        value as speed_kmh, k / 10.0 - 5.0 as acceleration_ms2,
        k / 100.0 as distance_m, event_id
 from stream_v
+""",
+    "harm_v": """
+select match_id, source, period, frame_id_source as frame_id, fi, t_ms, player_id, team_id, is_home,
+       position_label, x, y, ball_x, ball_y, ball_z, is_visible, ball_status, ball_poss_team_id,
+       speed_kmh as speed_kmh_filtered, acceleration_ms2 as acceleration_ms2_filtered, distance_m, event_id
+from tracking_v
 """,
     "actions_v": """
 select concat('m', cast(f % 4 as {str})) as match_id, event_id, event_id as seq,
@@ -99,6 +105,7 @@ group by 1, 2, 3
 _NEEDS = {
     "tracking_v": ("stream_v",),
     "actions_v": ("stream_v",),
+    "harm_v": ("tracking_v",),
     "frames_v": ("tracking_v",),
     "phases_v": ("tracking_v",),
     "rosters_v": ("tracking_v",),
