@@ -13,6 +13,7 @@ from touchline.operators import joins as J
 from touchline.operators.quantiles import aggregate_with_quantiles, exact_quantiles
 from touchline.operators.sampling import sample_frames, sample_per_group
 from touchline.operators.trajectory import onsets, visible_segments
+from touchline.session import materialise
 
 SPEED, ACCEL, DIST = "speed_kmh_filtered", "acceleration_ms2_filtered", "distance_m"
 PROFILE_KEYS = ["source", "match_id", "player_id", "position_group"]
@@ -95,13 +96,15 @@ def _player_rows(
         rows, ["match_id", "player_id"], max_frames, ["match_id", "player_id", "frame_id"], seed=seed
     )
     rows = J.with_centroid(rows)
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "dist_to_ball": S.distance(F.col("ball_x"), F.col("ball_y"), F.col("x"), F.col("y")),
             "period_second_half": S.second_half(F.col("period")),
             "is_home": F.col("is_home").cast("int"),
         }
     )
+    used = [*PROFILE_KEYS, "frame_id", "x", "y", "rel_x", "rel_y", SPEED, DIST, "dist_to_ball", "is_home", "period_second_half"]
+    return materialise(rows.select(*used, *[c for c in (ACCEL,) if c in rows.columns]))
 
 
 def player_profile(
@@ -422,7 +425,7 @@ def player_context(
     rows = sample_per_group(
         shown(df), ["match_id", "player_id"], max_frames, ["match_id", "player_id", "frame_id"], seed=seed
     )
-    near = J.neighbours_in_frame(rows)
+    near = materialise(J.neighbours_in_frame(rows))
     keys = ["match_id", "player_id"]
     return aggregate_with_quantiles(
         near,

@@ -38,22 +38,23 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     series = [*groups, "f"]
-    extent = counts.groupBy(*series).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Every use of ``counts`` reads the same columns, so its shuffle is planned once and reused.
+    extent = counts.groupBy(*series).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")
+    )
     share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     bucket = F.when(
         F.col("hi") > F.col("lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))
     ).otherwise(0)
-    placed = counts.join(extent, series).select(*series, "v", "n", bucket.cast("int").alias("b"))
+    placed = counts.join(extent, series).select(
+        *series, "v", "n", "total", bucket.cast("int").alias("b")
+    )
 
     ordered = Window.partitionBy(*series).orderBy("b")
-    per_bucket = placed.groupBy(*series, "b").agg(F.sum("n").alias("bn"))
-    per_bucket = per_bucket.withColumns(
-        {
-            "before": F.coalesce(
-                F.sum("bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-            "total": F.sum("bn").over(Window.partitionBy(*series)),
-        }
+    per_bucket = placed.groupBy(*series, "b").agg(F.sum("n").alias("bn"), F.max("total").alias("total"))
+    per_bucket = per_bucket.withColumn(
+        "before",
+        F.coalesce(F.sum("bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
     probabilities = {
         column: sorted({p for c, p in wanted.values() if c == column}) for column in columns
@@ -80,7 +81,7 @@ def exact_quantiles(
     )
     upto = F.col("before") + F.sum("n").over(running)
     found = (
-        placed.join(hit.select(*series, "b", "before", "total", "ks"), [*series, "b"])
+        placed.join(hit.select(*series, "b", "before", "ks"), [*series, "b"])
         .withColumn("upto", upto)
         .withColumn(
             "k",

@@ -12,9 +12,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from touchline.operators.series import POS, LentChunks
+from touchline.operators.series import CHUNK, POS, LentChunks
 
 
 def odd(width: int) -> int:
@@ -43,45 +42,46 @@ def smooth_columns(
     """
     weights = fit_matrix(width, degree)
     half, reach = width // 2, width - 1
-    by_pos = chunks.window()
-    upto = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = by_pos.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = chunks.chunk()
+    over = f"partition by {', '.join([*chunks.keys, CHUNK])}"
+    ordered = f"{over} order by {POS}"
     offsets = range(-reach, reach + 1)
     context: dict[str, Column] = {}
     places: dict[str, Column] = {}
     results: dict[str, Column] = {}
     for i, (given, out) in enumerate(columns.items()):
-        value = F.col(given)
-        gap = F.when(value.isNull(), F.col(POS))
+        gap = f"case when {given} is null then {POS} end"
         left, right, place = f"_left{i}", f"_right{i}", f"_place{i}"
-        context[left] = F.col(POS) - F.coalesce(F.max(gap).over(upto) + 1, F.min(POS).over(whole))
-        context[right] = F.coalesce(F.min(gap).over(onward) - 1, F.max(POS).over(whole)) - F.col(POS)
+        context[left] = F.expr(
+            f"{POS} - coalesce(max({gap}) over ({ordered} rows between unbounded preceding and current row) + 1,"
+            f" min({POS}) over ({over}))"
+        )
+        context[right] = F.expr(
+            f"coalesce(min({gap}) over ({ordered} rows between current row and unbounded following) - 1,"
+            f" max({POS}) over ({over})) - {POS}"
+        )
         for offset in offsets:
             if offset:
-                moved = F.lag(value, -offset) if offset < 0 else F.lead(value, offset)
-                context[f"_n{i}_{offset + reach}"] = moved.over(by_pos)
-        places[place] = (
-            F.when(F.col(left) < half, F.col(left))
-            .when(F.col(right) < half, reach - F.col(right))
-            .otherwise(F.lit(half))
-            .cast("int")
+                side = f"lag({given}, {-offset})" if offset < 0 else f"lead({given}, {offset})"
+                context[f"_n{i}_{offset + reach}"] = F.expr(f"{side} over ({ordered})")
+        places[place] = F.expr(
+            f"cast(case when {left} < {half} then {left}"
+            f" when {right} < {half} then {reach} - {right} else {half} end as int)"
         )
         # The weight of the neighbour at an offset depends on the row's place in its fit.
-        total = None
+        terms = []
         for offset in offsets:
             per_place = [
-                float(weights[q, q + offset]) if 0 <= q + offset < width else 0.0
+                f"{weights[q, q + offset]!r}D".replace("np.float64(", "").replace(")", "")
+                if 0 <= q + offset < width
+                else "0D"
                 for q in range(width)
             ]
-            neighbour = value if offset == 0 else F.col(f"_n{i}_{offset + reach}")
-            weight = F.get(F.array(*[F.lit(w) for w in per_place]), F.col(place))
-            term = F.coalesce(neighbour, F.lit(0.0)) * weight
-            total = term if total is None else total + term
-        usable = value.isNotNull() & (F.col(left) + F.col(right) + 1 >= width)
+            neighbour = given if offset == 0 else f"_n{i}_{offset + reach}"
+            terms.append(f"coalesce({neighbour}, 0D) * get(array({', '.join(per_place)}), {place})")
+        usable = F.expr(f"{given} is not null and {left} + {right} + 1 >= {width}")
         if enough_rows is not None:
             usable = usable & enough_rows
-        results[out] = F.when(usable, total).otherwise(value)
+        results[out] = F.when(usable, F.expr(" + ".join(terms))).otherwise(F.col(given))
     kept = [c for c in chunks.df.columns if c not in results]
     df = chunks.df.withColumns(context).withColumns(places)
     return chunks.with_df(df.select(*kept, *[expr.alias(out) for out, expr in results.items()]))

@@ -128,12 +128,18 @@ def dense_frame_id(
     period: str = "period",
     frame: str = "frame_id_source",
     name: str = "frame_id",
+    frames: DataFrame | None = None,
     span: int = DEFAULT_SPAN,
 ) -> DataFrame:
-    """Frame ids 0, 1, 2, ... per match in playing order; ranks distinct frames only."""
-    ordered = df.withColumn("_order", playing_order(period, frame))
-    ranks = rank_distinct(ordered, [match], "_order", name=name, span=span)
-    return ordered.join(ranks, [match, "_order"]).drop("_order")
+    """Frame ids 0, 1, 2, ... per match in playing order; ranks distinct frames only.
+
+    ``frames`` may name a cheaper table holding the same frames (say, the raw scan when
+    ``df`` is an expensive plan), so ``df`` is evaluated once.
+    """
+    order = playing_order(period, frame)
+    listed = (df if frames is None else frames).select(match, order.alias("_order"))
+    ranks = rank_distinct(listed, [match], "_order", name=name, span=span)
+    return df.withColumn("_order", order).join(ranks, [match, "_order"]).drop("_order")
 
 
 def runs(
@@ -191,27 +197,35 @@ def _smooth_positions(
     degree: int,
 ) -> LentChunks:
     """Smooth x, y of the sources in ``windows``; needs ``_n_rows``, ``_n_valid_x/_y``."""
-    df = chunks.df.withColumn("_exclude", F.coalesce(exclude, F.lit(False)))
-    df = df.withColumn("x_smooth", F.col(x).cast("double")).withColumn("y_smooth", F.col(y).cast("double"))
+    df = chunks.df.withColumns(
+        {
+            "_exclude": F.coalesce(exclude, F.lit(False)),
+            "x_smooth": F.col(x).cast("double"),
+            "y_smooth": F.col(y).cast("double"),
+        }
+    )
     for name, width in windows.items():
         width = odd(width)
         applies = (F.col(source) == name) & (F.col("_n_rows") >= width)
+        inputs = {}
         for axis, given in (("x", x), ("y", y)):
             active = applies & (F.col(f"_n_valid_{axis}") > 0)
-            df = df.withColumn(f"_clean_{axis}", F.when(active & ~F.col("_exclude"), F.col(given)))
-            df = df.withColumn(f"_active_{axis}", active)
+            inputs[f"_clean_{axis}"] = F.when(active & ~F.col("_exclude"), F.col(given))
+            inputs[f"_active_{axis}"] = active
         smoothed = smooth_columns(
-            chunks.with_df(df),
+            chunks.with_df(df.withColumns(inputs)),
             {"_clean_x": "_fit_x", "_clean_y": "_fit_y"},
             width=width,
             degree=degree,
         ).df
-        for axis in ("x", "y"):
-            smoothed = smoothed.withColumn(
-                f"{axis}_smooth",
-                F.when(F.col(f"_active_{axis}"), F.col(f"_fit_{axis}")).otherwise(F.col(f"{axis}_smooth")),
-            )
-        df = smoothed.drop("_clean_x", "_clean_y", "_active_x", "_active_y", "_fit_x", "_fit_y")
+        df = smoothed.withColumns(
+            {
+                f"{axis}_smooth": F.when(F.col(f"_active_{axis}"), F.col(f"_fit_{axis}")).otherwise(
+                    F.col(f"{axis}_smooth")
+                )
+                for axis in ("x", "y")
+            }
+        ).drop("_clean_x", "_clean_y", "_active_x", "_active_y", "_fit_x", "_fit_y")
     return chunks.with_df(df.drop("_exclude"))
 
 
@@ -342,43 +356,54 @@ def kinematics_qc(
         chunks, windows, x="x", y="y", exclude=spike, source="source", degree=K.SMOOTHING_ORDER
     )
     native_speed = S.cap(F.col("speed_kmh"), max_speed)
-    chunks = chunks.with_df(
-        chunks.df.withColumn(
-            "speed_kmh_filtered",
-            F.when(derived, _speed(chunks, x="x_smooth", y="y_smooth", seconds=seconds)).otherwise(native_speed),
-        ).withColumn("speed_kmh", native_speed)
-    )
     native_accel = S.cap(F.col("acceleration_ms2"), max_accel)
+    moving = F.when(derived, _speed(chunks, x="x_smooth", y="y_smooth", seconds=seconds))
     chunks = chunks.with_df(
-        chunks.df.withColumn(
-            "_derived_accel",
-            F.when(derived, _acceleration(chunks, speed="speed_kmh_filtered", seconds=seconds)),
+        chunks.df.withColumns(
+            {
+                "speed_kmh_filtered": F.when(derived, moving).otherwise(native_speed),
+                "speed_kmh": native_speed,
+            }
         )
     )
+    change = _acceleration(chunks, speed="speed_kmh_filtered", seconds=seconds)
+    chunks = chunks.with_df(chunks.df.withColumn("_derived_accel", F.when(derived, change)))
     chunks = smooth_columns(
         chunks, {"_derived_accel": "_smooth_accel"}, width=K.ACCEL_WINDOW, degree=K.SMOOTHING_ORDER
     )
-    out = chunks.close().withColumn(
-        "acceleration_ms2_filtered", F.when(derived, F.col("_smooth_accel")).otherwise(native_accel)
-    ).withColumn("acceleration_ms2", F.when(derived, F.col("_derived_accel")).otherwise(native_accel))
-
+    out = chunks.close()
     hidden = F.col("source").isin(*masked_sources) & ~F.coalesce("is_visible", F.lit(False))
-    for name in ("speed_kmh", "speed_kmh_filtered", "acceleration_ms2", "acceleration_ms2_filtered", "distance_m"):
+
+    def shown(value: Column) -> Column:
+        return F.when(~hidden, value)
+
+    speed = S.cap(shown(F.col("speed_kmh_filtered")), max_speed)
+
+    def with_speed(value: Column) -> Column:
+        return F.when(speed.isNotNull(), S.cap(shown(value), max_accel))
+
+    final = {
+        "speed_kmh": shown(F.col("speed_kmh")),
+        "speed_kmh_filtered": speed,
+        "acceleration_ms2": with_speed(
+            F.when(derived, F.col("_derived_accel")).otherwise(native_accel)
+        ),
+        "acceleration_ms2_filtered": with_speed(
+            F.when(derived, F.col("_smooth_accel")).otherwise(native_accel)
+        ),
+    }
+    for name in ("distance_m",):
         if name in out.columns:
-            out = out.withColumn(name, F.when(~hidden, F.col(name)))
-    out = out.withColumn("speed_kmh_filtered", S.cap(F.col("speed_kmh_filtered"), max_speed))
-    for name in ("acceleration_ms2", "acceleration_ms2_filtered"):
-        out = out.withColumn(
-            name, F.when(F.col("speed_kmh_filtered").isNotNull(), S.cap(F.col(name), max_accel))
-        )
-    if round_to is not None:
-        for name in K.TRACKING_FLOATS:
-            if name in out.columns:
-                out = out.withColumn(name, F.round(name, round_to))
-    if direction and direction in out.columns:
-        for name in ("x", "ball_x"):
-            if name in out.columns:
-                out = out.withColumn(name, S.flip_if(F.col(name), F.col(direction)))
+            final[name] = shown(F.col(name))
+    for name in ("x", "y", "ball_x", "ball_y", "ball_z"):
+        if name in out.columns:
+            final[name] = F.col(name)
+    for name in final:
+        if round_to is not None:
+            final[name] = F.round(final[name], round_to)
+        if direction and direction in out.columns and name in ("x", "ball_x"):
+            final[name] = S.flip_if(final[name], F.col(direction))
+    out = out.withColumns(final)
     return out.drop(
         "x_smooth", "y_smooth", "_derived_accel", "_smooth_accel", "_n_rows", "_n_valid_x", "_n_valid_y"
     )

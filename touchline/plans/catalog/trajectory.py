@@ -233,17 +233,18 @@ def acceleration(t: Tables) -> DataFrame:
 
 def kinematics(t: Tables) -> DataFrame:
     """The harmonised tracking table of the stand-in view."""
-    df = t.tracking().withColumn("t_s", F.col("t_kin_ms") / 1000.0)
-    framed = T.dense_frame_id(df)
-    directed = framed.withColumn(
-        "play_direction",
-        F.when(
-            F.col("match_id").isin("m0", "m1") == (F.col("period") == "first_half"), "left_right"
-        ).otherwise("right_left"),
+    df = t.tracking()
+    left_first = F.col("match_id").isin("m0", "m1") == (F.col("period") == "first_half")
+    staged = df.withColumns(
+        {
+            "t_s": F.col("t_kin_ms") / 1000.0,
+            "play_direction": F.when(left_first, "left_right").otherwise("right_left"),
+        }
     )
-    return T.kinematics_qc(
-        directed, keys=KEYS, order="fi", windows=_WINDOW_B, masked_sources=("B",), round_to=None
+    moved = T.kinematics_qc(
+        staged, keys=KEYS, order="fi", windows=_WINDOW_B, masked_sources=("B",), round_to=None
     )
+    return T.dense_frame_id(moved, frames=df)
 
 
 @query(

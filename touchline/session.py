@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Used where several later steps would otherwise each recompute an expensive plan. The
+    table survives lost executors and keeps column pruning, unlike a cached RDD.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/touchline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Turn a table of parameters into a local relation when it is provably small.
 
