@@ -56,8 +56,8 @@ def smooth_columns(
             f" min({POS}) over ({over}))"
         )
         context[right] = F.expr(
-            f"coalesce(min({gap}) over ({ordered} rows between current row and unbounded following) - 1,"
-            f" max({POS}) over ({over})) - {POS}"
+            f"coalesce(min({gap}) over ({ordered} rows between current row and {reach} following) - 1,"
+            f" least({POS} + {reach}, max({POS}) over ({over}))) - {POS}"
         )
         for offset in offsets:
             if offset:

@@ -510,9 +510,12 @@ def visible_segments(
     w = chunks.window()
     gap = F.when(~F.coalesce(F.col(visible), F.lit(False)), F.col(POS))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = w.rowsBetween(Window.currentRow, reach)
     first = F.coalesce(F.max(gap).over(upto) + 1, F.min(POS).over(chunks.chunk()))
-    last = F.coalesce(F.min(gap).over(onward) - 1, F.max(POS).over(chunks.chunk()))
+    last = F.coalesce(
+        F.min(gap).over(onward) - 1,
+        F.least(F.col(POS) + reach, F.max(POS).over(chunks.chunk())),
+    )
     out = chunks.df.withColumn("_stretch", last - first + 1)
     kept = chunks.with_df(out).close()
     return kept.filter(F.col(visible) & (F.col("_stretch") >= min_rows)).drop("_stretch")
