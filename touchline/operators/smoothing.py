@@ -3,8 +3,8 @@
 The filter fits a polynomial of degree ``degree`` to ``width`` consecutive values and
 reads it at one of them. For a fixed width this is a constant linear map, so a row's
 result is a dot product of its neighbours with one row of that map: the middle row
-inside a run, another row near either end of the run. The neighbours come from
-``lag``/``lead``; runs shorter than ``width`` stay as they are.
+inside a run, another row near either end of the run. The neighbours come from one
+bounded window frame; runs shorter than ``width`` stay as they are.
 """
 
 from __future__ import annotations
@@ -27,6 +27,15 @@ def fit_matrix(width: int, degree: int) -> np.ndarray:
     return powers @ np.linalg.pinv(powers)
 
 
+def _literal(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def _weight_table(weights: np.ndarray) -> str:
+    rows = [f"array({', '.join(_literal(w) for w in row)})" for row in weights]
+    return f"array({', '.join(rows)})"
+
+
 def smooth_columns(
     chunks: LentChunks,
     columns: dict[str, str],
@@ -44,44 +53,45 @@ def smooth_columns(
     half, reach = width // 2, width - 1
     over = f"partition by {', '.join([*chunks.keys, CHUNK])}"
     ordered = f"{over} order by {POS}"
-    offsets = range(-reach, reach + 1)
+    table = _weight_table(weights)
     context: dict[str, Column] = {}
     places: dict[str, Column] = {}
     results: dict[str, Column] = {}
     for i, (given, out) in enumerate(columns.items()):
         gap = f"case when {given} is null then {POS} end"
-        left, right, place = f"_left{i}", f"_right{i}", f"_place{i}"
+        left, right, place, near, at = (f"_{n}{i}" for n in ("left", "right", "place", "near", "at"))
+        first, last = f"min({POS}) over ({over})", f"max({POS}) over ({over})"
         context[left] = F.expr(
             f"{POS} - coalesce(max({gap}) over ({ordered} rows between unbounded preceding and current row) + 1,"
-            f" min({POS}) over ({over}))"
+            f" {first})"
         )
         context[right] = F.expr(
             f"coalesce(min({gap}) over ({ordered} rows between current row and {reach} following) - 1,"
-            f" least({POS} + {reach}, max({POS}) over ({over}))) - {POS}"
+            f" least({POS} + {reach}, {last})) - {POS}"
         )
-        for offset in offsets:
-            if offset:
-                side = f"lag({given}, {-offset})" if offset < 0 else f"lead({given}, {offset})"
-                context[f"_n{i}_{offset + reach}"] = F.expr(f"{side} over ({ordered})")
+        # All values within reach as one array, and the row's own index in it.
+        context[near] = F.expr(
+            f"collect_list(coalesce({given}, double('NaN'))) over"
+            f" ({ordered} rows between {reach} preceding and {reach} following)"
+        )
+        context[at] = F.expr(f"cast(least({POS} - {first}, {reach}) as int)")
         places[place] = F.expr(
             f"cast(case when {left} < {half} then {left}"
             f" when {right} < {half} then {reach} - {right} else {half} end as int)"
         )
-        # The weight of the neighbour at an offset depends on the row's place in its fit.
-        terms = []
-        for offset in offsets:
-            per_place = [
-                f"{weights[q, q + offset]!r}D".replace("np.float64(", "").replace(")", "")
-                if 0 <= q + offset < width
-                else "0D"
-                for q in range(width)
-            ]
-            neighbour = given if offset == 0 else f"_n{i}_{offset + reach}"
-            terms.append(f"coalesce({neighbour}, 0D) * get(array({', '.join(per_place)}), {place})")
+        # Inside a run the weights are constants; only rows near an end look theirs up.
+        inner = " + ".join(
+            f"get({near}, {at} + ({o})) * {_literal(weights[half, half + o])}" for o in range(-half, half + 1)
+        )
+        outer = (
+            f"aggregate(zip_with(slice({near}, {at} - {place} + 1, {width}), get({table}, {place}),"
+            " (v, w) -> v * w), 0D, (total, term) -> total + term)"
+        )
+        fitted = F.expr(f"case when {place} = {half} then {inner} else {outer} end")
         usable = F.expr(f"{given} is not null and {left} + {right} + 1 >= {width}")
         if enough_rows is not None:
             usable = usable & enough_rows
-        results[out] = F.when(usable, F.expr(" + ".join(terms))).otherwise(F.col(given))
+        results[out] = F.when(usable, fitted).otherwise(F.col(given))
     kept = [c for c in chunks.df.columns if c not in results]
     df = chunks.df.withColumns(context).withColumns(places)
     return chunks.with_df(df.select(*kept, *[expr.alias(out) for out, expr in results.items()]))
