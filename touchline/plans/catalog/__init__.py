@@ -1,6 +1,6 @@
 """Registered queries, grouped by operator family."""
 
-from touchline.plans.catalog import actions, audit, evaluation, features, trajectory  # noqa: F401
+from touchline.plans.catalog import actions, audit, evaluation, features, outputs, trajectory  # noqa: F401
 from touchline.plans.registry import all_oracles, all_queries
 
 __all__ = ["all_oracles", "all_queries"]
