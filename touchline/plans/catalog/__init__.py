@@ -1,6 +1,14 @@
 """Registered queries, grouped by operator family."""
 
-from touchline.plans.catalog import actions, audit, evaluation, features, outputs, trajectory  # noqa: F401
+from touchline.plans.catalog import (  # noqa: F401
+    actions,
+    audit,
+    evaluation,
+    features,
+    learning,
+    outputs,
+    trajectory,
+)
 from touchline.plans.registry import all_oracles, all_queries
 
 __all__ = ["all_oracles", "all_queries"]
