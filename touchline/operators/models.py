@@ -13,15 +13,16 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import constants as K
+from touchline.operators.metrics import classification_metrics
 from touchline.operators.sampling import group_folds
-from touchline.session import materialise, small_table
+from touchline.session import materialise
 
 
 def training_medians(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -30,14 +31,15 @@ def training_medians(train: DataFrame, features: Sequence[str]) -> dict[str, flo
     return {c: row[c] for c in features if row[c] is not None}
 
 
-def balanced_weights(train: DataFrame, label: str, name: str = "_weight") -> DataFrame:
-    """Weight rows by n / (classes * class size)."""
+def balanced_weights(train: DataFrame, label: str, name: str = "_weight") -> tuple[DataFrame, tuple[str, ...]]:
+    """Weight rows by n / (classes * class size); also returns the sorted class names."""
     sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).collect()
     total, k = sum(r["_n"] for r in sizes), len(sizes)
     table = train.sparkSession.createDataFrame(
         [(r[label], total / (k * r["_n"])) for r in sizes], f"{label} {train.schema[label].dataType.simpleString()}, {name} double"
     )
-    return train.join(F.broadcast(table), label)
+    # The table has one row per class.
+    return train.join(F.broadcast(table), label), tuple(sorted(r[label] for r in sizes))
 
 
 def _classifier(kind: str, seed: int, classes: int, **params):
@@ -106,10 +108,9 @@ def fit_classifier(
     """Median imputation, scaling and a class-balanced classifier (or given weights)."""
     typed = train.withColumns({**{c: F.col(c).cast("double") for c in features}, label: F.col(label).cast("string")})
     medians = training_medians(typed, features)
-    filled = balanced_weights(typed.na.fill(medians), label)
+    filled, labels = balanced_weights(typed.na.fill(medians), label)
     if weight:
         filled = filled.withColumn("_weight", F.col("_weight") * F.col(weight))
-    labels = tuple(sorted(r[0] for r in filled.select(label).distinct().collect()))
     index = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1
     indexed = filled.withColumn("_y", index.cast("double"))
     stages = [*_prepare(features), _classifier(kind, seed, len(labels), **params)]
@@ -216,8 +217,6 @@ def domain_classifier(
         )
         parts = guessed if parts is None else parts.unionByName(guessed)
         totals = [a + b / len(numbers) for a, b in zip(totals, fitted.importances())]
-    from touchline.operators.metrics import classification_metrics
-
     scores = classification_metrics(parts, ["fold"])
     table = df.sparkSession.createDataFrame(list(zip(features, map(float, totals))), "feature string, importance double")
     return scores, table.orderBy(F.desc("importance"), "feature").limit(15)
@@ -233,8 +232,6 @@ def encode_pca(
     df: DataFrame, column: str, size: int, *, components: int = 64, name: str = "embedding"
 ) -> DataFrame:
     """Standardise a numeric array column and project it on its leading components."""
-    from pyspark.ml.functions import array_to_vector
-
     ready = df.withColumn("_raw", array_to_vector(column))
     stages = [
         StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
@@ -242,8 +239,3 @@ def encode_pca(
     ]
     out = Pipeline(stages=stages).fit(ready).transform(ready)
     return out.withColumn(name, vector_to_array("_z")).drop("_raw", "_x", "_z")
-
-
-__all__ = ["Column", "Fitted", "StringIndexer", "StringIndexerModel", "small_table"] + [
-    n for n in dir() if n.startswith(("fit_", "domain_", "density_", "encode_", "flatten_", "pretrain_", "balanced_", "training_"))
-]

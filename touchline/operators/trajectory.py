@@ -21,7 +21,6 @@ from touchline.operators.series import (
     POS,
     LentChunks,
     last_seen,
-    lend_borders,
     open_series,
     rank_distinct,
     row_positions,
@@ -609,6 +608,3 @@ def duplicate_number(
 ) -> DataFrame:
     """0 for the first row of each key, 1 for the second, and so on."""
     return row_positions(df, keys, order, name=name, span=span)
-
-
-__all__ = [name for name in dir() if not name.startswith("_")]

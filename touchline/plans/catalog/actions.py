@@ -727,6 +727,3 @@ select match_id, period as type, 'start' as sub_type, s as time from b union all
 )
 def whistles(t: Tables) -> DataFrame:
     return E.whistles(E.period_bounds(t.view("harm_v"), time="t_ms"))
-
-
-__all__ = ["raw_events", "unified", "rounded"]

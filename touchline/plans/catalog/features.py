@@ -9,7 +9,6 @@ from touchline.functions import scalars as S
 from touchline.operators import features as A
 from touchline.operators import joins as J
 from touchline.operators import sampling as O
-from touchline.operators.trajectory import onsets  # noqa: F401
 from touchline.plans.registry import query, r6, rounded
 from touchline.plans.standin import Tables
 

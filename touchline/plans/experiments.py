@@ -39,6 +39,7 @@ class Task:
         return self.df.filter(F.col("source") == source)
 
     def fit(self, train: DataFrame, model: str, seed: int, weight: str | None = None) -> ML.Fitted:
+        train = materialise(train)
         if self.kind == "classification":
             return ML.fit_classifier(train, self.features, self.label, kind=model, seed=seed, weight=weight, **self.params)
         return ML.fit_regressor(train, self.features, self.label, kind=model, seed=seed, **self.params)
@@ -220,9 +221,9 @@ def pretrain(
             for n in train_sizes:
                 if n > n_pool:
                     continue
-                tune = O.reservoir_sample(pool, n, task.key, seed=seed)
+                tune = materialise(O.reservoir_sample(pool, n, task.key, seed=seed))
                 for regime, start in (("target_only_mlp", tune), ("pretrain_other_finetune_target", first)):
-                    fitted = ML.pretrain_finetune(start, tune, task.features, task.label, seed=seed, max_iter=max_iter)
+                    fitted = ML.pretrain_finetune(materialise(start), tune, task.features, task.label, seed=seed, max_iter=max_iter)
                     parts.append(
                         task.score(fitted, test, seed=seed, fold_id=fold, target_source=target, regime=regime, train_size=n)
                     )

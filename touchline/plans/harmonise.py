@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
-from touchline.operators import actions as E
 from touchline.operators.sheets import match_sheets
 from touchline.operators.trajectory import dense_frame_id, kinematics_qc
 from touchline.session import materialise
@@ -101,6 +100,3 @@ def run(spark: SparkSession, feeds: Feeds, out: str, *, resume: bool = True) ->
         .join(counted, "match_id", "left")
         .select("match_id", "source", status.alias("status"), "rows")
     )
-
-
-__all__ = ["E", "Feeds", "actions", "harmonise_tracking", "run", "tracking"]

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline import constants as K
 from touchline.functions import scalars as S
 
 
@@ -148,5 +147,3 @@ def write_report(sections: dict[str, DataFrame], path: str, *, mode: str = "over
     for name, section in sections.items():
         section.write.mode(mode).json(f"{path}/{name}")
 
-
-FORMAT_VERSION = K.FORMAT_VERSION
