@@ -123,4 +123,4 @@ def aggregate_with_quantiles(
     if not wanted:
         return plain
     quantiles = exact_quantiles(df, groups, wanted)
-    return plain.join(quantiles, list(groups), "left") if groups else plain.join(quantiles)
+    return plain.join(quantiles, list(groups), "left")

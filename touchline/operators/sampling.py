@@ -49,9 +49,7 @@ def sample_per_group(
         .groupBy(*groups)
         .agg(F.min(F.struct("_digit", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_cut"))
     )
-    kept = staged.join(small_table(cuts), list(groups), "left") if groups else staged.join(
-        small_table(cuts), how="left"
-    )
+    kept = staged.join(small_table(cuts), list(groups), "left")
     kept = kept.filter(F.col("_cut").isNull() | (F.col("_digit") <= F.col("_cut._digit")))
     place = F.row_number().over(Window.partitionBy(*groups, "_digit").orderBy("_draw", *key))
     inside = (

@@ -21,6 +21,7 @@ from touchline.operators.series import (
     POS,
     LentChunks,
     last_seen,
+    lend_borders,
     open_series,
     rank_distinct,
     row_positions,
@@ -554,35 +555,32 @@ def snippets(
 ) -> DataFrame:
     """Overlapping windows of ``length`` consecutive frames, one every ``stride`` frames.
 
-    A segment is a stretch whose ``order`` grows by exactly 1. Because it does, the index
-    inside a segment is ``order`` minus the segment's first ``order``, and a window fits
-    exactly when the row ``length - 1`` ahead is ``length - 1`` later. Rows need all
-    ``features``. Output: keys, ``carry``, ``start_frame``, ``snippet`` (array of structs).
+    A segment is a stretch whose ``order`` grows by exactly 1, so ``order`` minus the row
+    number is constant in a segment and names it. A window fits exactly when the row
+    ``length - 1`` ahead is ``length - 1`` later. Rows need all ``features``. Output:
+    keys, ``carry``, ``start_frame``, ``snippet`` (array of structs).
     """
     need = max(length, min_segment)
-    ready = df.dropna(subset=[*keys, *features])
-    opened = open_series(ready, keys, order, before=1, span=span, rows=rows)
-    jump = F.coalesce(F.col(order) - F.lag(order).over(opened.window()) != 1, F.lit(True))
-    marked = opened.with_df(opened.df.withColumn("_first", F.when(jump, F.col(order)))).close()
-    staged = last_seen(marked, keys, order, F.col("_first"), "_segment", span=span)
-
-    chunks = open_series(staged, keys, order, before=need - 1, after=need - 1, span=span, rows=rows)
-    w = chunks.window()
-    ahead = w.rowsBetween(0, length - 1)
-    same = Window.partitionBy(*chunks.keys, "_chunk", "_segment")
-    frame = F.collect_list(F.struct(*features))
-    out = (
-        chunks.df.withColumn("_size", F.count(F.lit(1)).over(same))
-        .withColumn("_end", F.lead(order, length - 1).over(w))
-        .withColumn("snippet", frame.over(ahead))
+    ready = df.dropna(subset=[*keys, *features]).select(*dict.fromkeys([*keys, *carry, order, *features]))
+    placed = row_positions(ready, keys, order, span=span).withColumn(
+        "_segment", F.col(order) - F.col(POS)
     )
+    starts = placed.groupBy(*keys, "_segment").agg(
+        F.min(order).alias("_start"), F.count(F.lit(1)).alias("_size")
+    )
+    long_enough = starts.filter(F.col("_size") >= need).drop("_size")
+    kept = placed.join(long_enough, [*keys, "_segment"])
+    chunks = lend_borders(kept, keys, after=length - 1, rows=rows)
+    w = chunks.window()
+    frame = F.collect_list(F.struct(*features)).over(w.rowsBetween(0, length - 1))
+    out = chunks.df.withColumns({"_end": F.lead(order, length - 1).over(w), "snippet": frame})
     fits = (F.col("_end") - F.col(order) == length - 1) & (
-        F.pmod(F.col(order) - F.col("_segment"), F.lit(stride)) == 0
+        F.pmod(F.col(order) - F.col("_start"), F.lit(stride)) == 0
     )
     return (
         chunks.with_df(out)
         .close()
-        .filter(fits & (F.col("_size") >= min_segment))
+        .filter(fits)
         .select(*keys, *carry, F.col(order).alias("start_frame"), "snippet")
     )
 
