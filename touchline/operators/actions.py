@@ -401,27 +401,35 @@ def substitution_times(subs: DataFrame) -> DataFrame:
     )
 
 
-def expand_counts(rosters: DataFrame) -> DataFrame:
+def expand_counts(rosters: DataFrame, *, block: int = 1_000) -> DataFrame:
     """One row per goal and card of the match sheet; own goals count for the opponent.
 
     ``rosters``: match_id, team_id, opponent_id, player_id and the four counts.
     """
-    def entries(count: str, kind: str, team: str) -> Column:
-        n = F.coalesce(F.col(count), F.lit(0)).cast("int")
-        made = F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: F.struct(F.lit(kind).alias("kind"), F.col(team).alias("team_id"), i.alias("copy_no")),
-        )
-        return F.when(n > 0, made).otherwise(F.slice(made, 1, 0))
-
-    every = F.concat(
-        entries("goals", "goal", "team_id"),
-        entries("own_goals", "own_goal", "opponent_id"),
-        entries("yellow_cards", "yellow_card", "team_id"),
-        entries("red_cards", "red_card", "team_id"),
+    kinds = (
+        ("goals", "goal", "team_id"),
+        ("own_goals", "own_goal", "opponent_id"),
+        ("yellow_cards", "yellow_card", "team_id"),
+        ("red_cards", "red_card", "team_id"),
+    )
+    counted = F.array(
+        *[
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.col(team).alias("team_id"),
+                F.coalesce(F.col(count), F.lit(0)).cast("long").alias("n"),
+            )
+            for count, kind, team in kinds
+        ]
     )
-    return rosters.select("match_id", "player_id", F.explode(every).alias("e")).select(
+    rows = rosters.select("match_id", "player_id", F.explode(counted).alias("e")).select(
         "match_id", "player_id", "e.*"
+    ).filter(F.col("n") > 0)
+    # Two levels of sequences, so a large count never becomes one large array.
+    blocks = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("long"))))
+    inside = F.sequence(F.lit(1), F.least(F.lit(block), F.col("n") - F.col("_b") * block).cast("int"))
+    return blocks.withColumn("_i", F.explode(inside)).select(
+        "match_id", "player_id", "kind", "team_id", (F.col("_b") * block + F.col("_i")).cast("int").alias("copy_no")
     )
 
 

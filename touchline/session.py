@@ -31,11 +31,13 @@ def build_session(app_name: str = "touchline", master: str | None = None, **conf
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set a local one only if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
     return folder
 
