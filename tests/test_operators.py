@@ -179,3 +179,13 @@ def test_iso_and_ids(spark):
     rows = df.select(S.iso_normalise(F.col("a")).alias("a"), S.clean_id(F.col("b")).alias("b")).collect()
     assert [r.a for r in rows] == ["2025-01-01T12:00:00.100000+00:00", "2025-01-01T12:00:00+00:00", "x", None]
     assert [r.b for r in rows] == ["51649", "abc", None, "7"]
+
+
+def test_iso_ignores_session_time_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2025-01-01T12:00:00",), ("2025-01-01T12:00:00.5+02:00",)], "a string")
+        got = [r.a for r in df.select(S.iso_normalise(F.col("a")).alias("a")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2025-01-01T12:00:00+00:00", "2025-01-01T10:00:00.500000+00:00"]

@@ -18,13 +18,18 @@ def lookup(col: Column, mapping: Mapping[str, object], default: Column | None =
 
 
 def to_utc(raw: Column) -> Column:
-    """Parse ISO-8601 text; text without an offset counts as UTC; junk becomes null."""
-    return F.try_to_timestamp(raw)
+    """Parse ISO-8601 text; text without an offset counts as UTC; junk becomes null.
+
+    Independent of the session time zone.
+    """
+    bare = raw.contains(":") & ~raw.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$")
+    return F.try_to_timestamp(F.when(bare, F.concat(raw, F.lit("+00:00"))).otherwise(raw))
 
 
 def iso_text(ts: Column) -> Column:
     """Render a timestamp as ISO-8601 UTC, with microseconds only where they exist."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
     fraction = F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
     return F.concat(whole, F.coalesce(fraction, F.lit("")), F.lit("+00:00"))
