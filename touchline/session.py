@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,17 +30,27 @@ def build_session(app_name: str = "touchline", master: str | None = None, **conf
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a local one only if none is named."""
+    """Return the cluster's checkpoint folder; a local session without one gets its own.
+
+    A cluster without ``spark.checkpoint.dir`` is refused: executors would write to their
+    own disks and later reads would miss those files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(folder)
-    return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/touchline-{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -49,7 +60,7 @@ def materialise(df: DataFrame) -> DataFrame:
     table survives lost executors and keeps column pruning, unlike a cached RDD.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/touchline-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.parquet(path)
 
