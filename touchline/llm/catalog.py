@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from touchline.llm import reference_sql
 from touchline.llm.common import table
@@ -22,6 +23,40 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from touchline.llm.byte_bpe import decode, encode, tokenizer_json
+
+    serialised = tokenizer_json(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    decoded = decode(encode(docs, serialised, offsets=False, keep_text=False), serialised)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from touchline.llm import token_store
+    from touchline.session import scratch_path
+
+    docs = table(spark, folder, "documents")
+    path = scratch_path(spark, "tokens")
+    entries = token_store.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    fetched = token_store.fetch(token_store.lookup(entries.select("key", "copy"), path), path)
+    return fetched.join(token_store.shard_starts(spark, path), "shard", "left").select(
+        F.col("key").alias("doc_id"),
+        (F.col("shard_start") + F.col("place")).alias("start"),
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from touchline.llm.mixing import mix, word_count
     from touchline.session import materialise
@@ -35,6 +70,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_byte_bpe": op2_byte_bpe,
+        "op5_token_store": op5_token_store,
         "op10_mixing": op10_mixing,
     }
 

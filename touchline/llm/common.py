@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,22 @@ def with_arrow_columns(
     )
 
 
+
+
+def shared_files(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of a folder that driver and executors share."""
+    return pa.fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+
+
+def write_file(uri: str, name: str, chunks: Iterable[bytes]) -> None:
+    """Write a file below ``uri`` under a temporary name and rename it when complete.
+
+    A retried or speculative task replaces the file by one of equal content.
+    """
+    files, folder = shared_files(uri)
+    files.create_dir(folder, recursive=True)
+    partial = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with files.open_output_stream(partial) as out:
+        for chunk in chunks:
+            out.write(chunk)
+    files.move(partial, f"{folder}/{name}")
