@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import reference_sql
@@ -39,6 +39,24 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm.secret_scan import BASE_KINDS, scan, span_text
+    from touchline.session import scratch_path
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = scan(docs, scratch_path(spark, "ledger"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("findings", lambda f: f["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS),
+        F.sha2(span_text(of(*BASE_KINDS)), 256).alias("base_sha256"),
+        span_text(F.col("findings")).alias("spans"),
+    )
+
+
 def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +89,7 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_byte_bpe": op2_byte_bpe,
+        "op4_secret_scan": op4_secret_scan,
         "op5_token_store": op5_token_store,
         "op10_mixing": op10_mixing,
     }
@@ -79,5 +98,6 @@ def all_queries() -> dict[str, Query]:
 def all_oracles() -> dict[str, str]:
     return {
         "op1_quality_rules": reference_sql.QUALITY_RULES,
+        "op4_secret_scan": reference_sql.SECRET_SCAN,
         "op10_mixing": reference_sql.MIXING,
     }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import SPACE_CLASS, SPACES, ascii_lower, free_name
+from touchline.llm.common import SPACE_CLASS, SPACES, WORD, free_name
 
 SYMBOLS = "#*$%&|<>"
 #: Fixed phrases of licences, consent banners and page furniture, in lower case.
@@ -19,8 +19,9 @@ BOILERPLATE = (
     "cookie policy", "accept cookies", "enable javascript", "lorem ipsum", "click here", "read more", "sign in",
     "log in", "subscribe", "share this", "back to top", "skip to content",
 )
-#: Strings between the entries of a menu or a breadcrumb trail.
-SEPARATORS = (" | ", " > ", " » ", " · ", " :: ")
+#: What stands between the entries of a menu or a breadcrumb trail.
+SEPARATOR = " (?:[|]|>|»|·|::) "
+MARK = "[#*$%&|<>!]"
 ENDINGS = ".!?:;…。！？\"'”’)»"
 WINDOW = 8
 MIN_WORDS = 20
@@ -28,39 +29,30 @@ MAX_REPEATED_PERCENT = 30
 MAX_LOST_PERCENT = 50
 
 
-def _count(text: Column, part: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
-
-
 def _words_in(text: Column) -> Column:
-    bare = F.btrim(text, F.lit(SPACES))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE_CLASS + "+")))
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def failed_rule(line: Column) -> Column:
-    """The first rule that a line fails, or null: boilerplate, navigation or punctuation.
+    """The first rule that a line fails, or null: navigation, punctuation or boilerplate.
 
-    boilerplate: it holds a fixed phrase and has fewer than 25 words. navigation: at least
-    three menu separators, or as many as a third of its words. punctuation: a symbol of
-    markup or a ``!`` for at least every second word, or ten words and more without
-    any mark at their end and without a stop or comma inside.
+    navigation: at least three menu separators, or as many as a third of its words.
+    punctuation: a symbol of markup or a ``!`` for at least every second word, or ten words
+    and more without any mark at their end and without a stop or comma inside. boilerplate:
+    it holds a fixed phrase and has fewer than 25 words.
     """
-    lower = ascii_lower(line)
+    lower = F.lower(line)
     words = _words_in(line)
     phrase = F.lit(False)
     for text in BOILERPLATE:
         phrase = phrase | F.contains(lower, F.lit(text))
-    separators = sum((_count(line, text) for text in SEPARATORS), F.lit(0.0))
-    marks = F.length(line) - F.length(F.translate(line, SYMBOLS + "!", ""))
-    unfinished = (
-        (words >= 10)
-        & ~F.right(F.btrim(line, F.lit(SPACES)), F.lit(1)).isin(*ENDINGS)
-        & (F.translate(line, ".,;:!?", "") == line)
-    )
+    separators = F.regexp_count(line, F.lit(SEPARATOR))
+    marks = F.regexp_count(line, F.lit(MARK))
+    ended = F.right(F.btrim(line, F.lit(SPACES)), F.lit(1)).isin(*ENDINGS)
     return (
-        F.when(phrase & (words < 25), "boilerplate")
-        .when((separators >= 3) | ((separators >= 1) & (separators * 3 >= words)), "navigation")
-        .when(((marks >= 3) & (marks * 2 >= words)) | unfinished, "punctuation")
+        F.when((separators >= 1) & ((separators >= 3) | (separators * 3 >= words)), "navigation")
+        .when(((marks >= 3) & (marks * 2 >= words)) | (~ended & (words >= 10) & ~line.rlike("[.,;:!?]")), "punctuation")
+        .when((words < 25) & phrase, "boilerplate")
     )
 
 
@@ -134,8 +126,8 @@ def clean(
     df = df.withColumn(words, F.filter(F.split(whole, SPACE_CLASS + "+"), lambda word: word != ""))
     df = df.withColumn(lines, F.split(whole, "\n", -1))
     df = df.withColumn("n_words", F.size(words).cast("long"))
-    df = df.withColumn("word_chars", F.length(F.translate(whole, SPACES, "")).cast("long"))
-    df = df.withColumn("n_symbols", (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"))
+    df = df.withColumn("word_chars", F.length(F.array_join(F.col(words), "")).cast("long"))
+    df = df.withColumn("n_symbols", F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("long"))
     df = _repeated_words(df, words, "n_repeat_words")
     df = df.withColumn(
         verdicts,

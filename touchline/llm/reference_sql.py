@@ -1,6 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
 from touchline.llm import quality_rules as rules
+from touchline.llm.secret_scan import BASE_KINDS, RULES
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -10,13 +11,8 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _removed(text: str, part: str) -> str:
-    return f"(length({text}) - length(replace({text}, {_quoted(part)}, ''))) / {len(part)}.0"
-
-
-_LOWER = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "lower(line)"
 _PHRASES = " or ".join(f"contains({_LOWER}, {_quoted(text)})" for text in rules.BOILERPLATE)
-_SEPARATORS = " + ".join(_removed("line", text) for text in rules.SEPARATORS)
 _ENDINGS = ", ".join(_quoted(text) for text in rules.ENDINGS)
 
 QUALITY_RULES = f"""
@@ -40,8 +36,8 @@ lines as (
     from docs)
   where trim(line, {_SPACE}) <> ''),
 judged as (
-  select *, len(regexp_extract_all(line, {_WORD})) as words, {_SEPARATORS} as separators,
-         length(line) - length(translate(line, '{rules.SYMBOLS}!', '')) as marks
+  select *, len(regexp_extract_all(line, {_WORD})) as words, len(regexp_extract_all(line, {_quoted(rules.SEPARATOR)})) as separators,
+         len(regexp_extract_all(line, {_quoted(rules.MARK)})) as marks
   from lines),
 passed as (
   select doc_id, line, words,
@@ -102,3 +98,47 @@ select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as sour
        cast(epochs * size + least(size, greatest(budget - epochs * source_size - before, 0)) as bigint) as taken
 from cut
 """
+
+_EITHER_CASE = "|".join(
+    "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    for word in ("password", "passwd", "secret", "token", "api_?key")
+)
+
+
+def _kind(at: int) -> str:
+    rule = RULES[at]
+    pattern = _quoted(
+        rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", f"(?:{_EITHER_CASE})")
+    )
+    return f"""
+select doc_id, '{rule.kind}' as kind, {at} as ord, {rule.least} as least, {rule.group} as grp,
+       regexp_extract_all(body, {pattern}) as found,
+       list_transform(regexp_extract_all(body, {pattern}, {rule.group}), lambda s: length(s)) as sizes,
+       list_transform(string_split_regex(body, {pattern}), lambda s: length(s)) as gaps
+from docs where regexp_matches(body, {pattern})"""
+
+
+_BASE = ", ".join(_quoted(kind) for kind in BASE_KINDS)
+SECRET_SCAN = f"""
+with docs as (select doc_id, coalesce(text, '') as body from documents),
+kinds as ({" union all ".join(_kind(at) for at in range(len(RULES)))}),
+each_one as (
+  select doc_id, kind, ord, least, unnest(found) as hit, unnest(sizes) as size,
+         generate_subscripts(found, 1) as i, gaps, list_transform(found, lambda s: length(s)) as lengths
+  from kinds),
+placed as (
+  select doc_id, kind, ord,
+         cast(list_sum(gaps[1:i]) + coalesce(list_sum(lengths[1:i - 1]), 0) as bigint) as start, length(hit) as span
+  from each_one where size >= least),
+joined as (
+  select doc_id,
+         count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+         count(*) filter (kind = 'hex') as n_hex,
+         string_agg(kind || ':' || start || ':' || (start + span), ',' order by start, ord)
+           filter (kind in ({_BASE})) as base,
+         string_agg(kind || ':' || start || ':' || (start + span), ',' order by start, ord) as spans
+  from placed group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join joined using (doc_id)
+"""
