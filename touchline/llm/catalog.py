@@ -39,6 +39,16 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm import warc
+    from touchline.session import scratch_path
+
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    records = warc.read(spark, path, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from touchline.llm.secret_scan import BASE_KINDS, scan, span_text
     from touchline.session import scratch_path
@@ -75,6 +85,13 @@ def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm.exact_topk import top_k
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter(vectors.vec_id % 50 == 0), k=5)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from touchline.llm.mixing import mix, word_count
     from touchline.session import materialise
@@ -89,8 +106,10 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_warc": op3_warc,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_store": op5_token_store,
+        "op6_exact_topk": op6_exact_topk,
         "op10_mixing": op10_mixing,
     }
 
@@ -98,6 +117,8 @@ def all_queries() -> dict[str, Query]:
 def all_oracles() -> dict[str, str]:
     return {
         "op1_quality_rules": reference_sql.QUALITY_RULES,
+        "op3_warc": reference_sql.WARC,
         "op4_secret_scan": reference_sql.SECRET_SCAN,
+        "op6_exact_topk": reference_sql.EXACT_TOPK,
         "op10_mixing": reference_sql.MIXING,
     }

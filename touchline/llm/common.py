@@ -92,7 +92,7 @@ def write_file(uri: str, name: str, chunks: Iterable[bytes]) -> None:
     files, folder = shared_files(uri)
     files.create_dir(folder, recursive=True)
     partial = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with files.open_output_stream(partial) as out:
+    with files.open_output_stream(partial, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
     files.move(partial, f"{folder}/{name}")

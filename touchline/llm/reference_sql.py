@@ -142,3 +142,28 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from docs left join joined using (doc_id)
 """
+
+WARC = """
+with digested as (
+  select page_id, encode(coalesce(html, '')) as body, sha1(coalesce(html, '')) as digest from pages),
+kept as (
+  select digest, max(page_id) as keeper from digested where octet_length(body) >= 1000 group by digest)
+select page_id, cast(octet_length(body) as bigint) as payload_bytes, digest as payload_digest,
+       case when page_id < keeper then 'revisit' else 'response' end as record_type,
+       case when page_id < keeper then keeper end as refers_to
+from digested left join kept using (digest)
+"""
+
+EXACT_TOPK = """
+with usable as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from usable q join usable c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 5
+"""
