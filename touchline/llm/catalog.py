@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import reference_sql
-from touchline.llm.common import table
+from touchline.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,21 @@ def op6_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(vectors, vectors.filter(vectors.vec_id % 50 == 0), k=5)
 
 
+def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm import quality_model
+    from touchline.session import materialise
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    measured = materialise(quality_model.measure(docs, keep_text=False))
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    held_out = crc_remainder(F.col("doc_id"), 5) == 0
+    model = quality_model.fit(measured, labels, trainable=~held_out)
+    return quality_model.score(measured, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= quality_model.KEEP_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from touchline.llm.mixing import mix, word_count
     from touchline.session import materialise
@@ -110,6 +125,7 @@ def all_queries() -> dict[str, Query]:
         "op4_secret_scan": op4_secret_scan,
         "op5_token_store": op5_token_store,
         "op6_exact_topk": op6_exact_topk,
+        "op7_quality_model": op7_quality_model,
         "op10_mixing": op10_mixing,
     }
 
