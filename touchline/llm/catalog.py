@@ -107,6 +107,18 @@ def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm import class_lm
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_remainder(F.col("doc_id"), 7) == 2
+    model = class_lm.train(docs.filter(~held_out))
+    return class_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from touchline.llm.mixing import mix, word_count
     from touchline.session import materialise
@@ -126,6 +138,7 @@ def all_queries() -> dict[str, Query]:
         "op5_token_store": op5_token_store,
         "op6_exact_topk": op6_exact_topk,
         "op7_quality_model": op7_quality_model,
+        "op8_class_lm": op8_class_lm,
         "op10_mixing": op10_mixing,
     }
 

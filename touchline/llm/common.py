@@ -67,6 +67,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             yield batch.slice(begin)
 
 
+_SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_lists(body: bytes, at_once: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of bounded size unless a single word is longer."""
+    begin = 0
+    while begin < len(body):
+        stop = begin + at_once
+        if stop < len(body):
+            found = _SPACE_BYTE.search(body, stop)
+            stop = found.start() if found else len(body)
+        yield body[begin:stop].split()
+        begin = stop
+
+
 def with_arrow_columns(
     batch: pa.RecordBatch, drop: tuple[str, ...], added: dict[str, pa.Array]
 ) -> pa.RecordBatch:
