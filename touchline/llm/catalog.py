@@ -119,6 +119,13 @@ def op8_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm.jaccard_join import link
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return link(docs, width=4, numerator=85, denominator=100)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from touchline.llm.mixing import mix, word_count
     from touchline.session import materialise
@@ -139,6 +146,7 @@ def all_queries() -> dict[str, Query]:
         "op6_exact_topk": op6_exact_topk,
         "op7_quality_model": op7_quality_model,
         "op8_class_lm": op8_class_lm,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
     }
 
@@ -149,5 +157,6 @@ def all_oracles() -> dict[str, str]:
         "op3_warc": reference_sql.WARC,
         "op4_secret_scan": reference_sql.SECRET_SCAN,
         "op6_exact_topk": reference_sql.EXACT_TOPK,
+        "op9_jaccard_join": reference_sql.JACCARD_JOIN,
         "op10_mixing": reference_sql.MIXING,
     }

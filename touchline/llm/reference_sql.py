@@ -167,3 +167,27 @@ select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 where rank <= 5
 """
+
+JACCARD_JOIN = f"""
+with recursive words as materialized (
+  select doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) as w
+  from documents),
+shingles as materialized (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from words where len(w) > 0)),
+sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as materialized (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.other) as component_id
+from documents d left join sizes s using (doc_id) join reach r on r.doc_id = d.doc_id
+group by d.doc_id
+"""
