@@ -87,30 +87,99 @@ def load_tokenizer(serialised: str):
 
 
 class PieceCache:
-    """Remembers the encoded bytes of pieces; the number of entries is bounded."""
+    """Remembers the encoded bytes of pieces in two generations of bounded size."""
 
-    def __init__(self, encode: Callable[[list], list[bytes]]):
+    def __init__(self, encode: Callable[[list], list[bytes]], most: int = MAX_CACHED_PIECES):
         self._encode = encode
-        self._known: dict = {}
+        self._most = most
+        self._young: dict = {}
+        self._old: dict = {}
 
     def __call__(self, pieces: list) -> list[bytes]:
-        found = list(map(self._known.get, pieces))
+        found = list(map(self._young.get, pieces))
         if None not in found:
             return found
-        missing = list(dict.fromkeys(piece for piece, value in zip(pieces, found) if value is None))
-        fresh: dict = {}
+        fresh = dict.fromkeys(piece for piece, value in zip(pieces, found) if value is None)
+        missing = []
+        for piece in fresh:
+            if (value := self._old.get(piece)) is None:
+                missing.append(piece)
+            else:
+                fresh[piece] = value
         begin = size = 0
         for at, piece in enumerate(missing):
             size += len(piece) + 1
             if size > ENCODE_AT_ONCE or at + 1 == len(missing):
                 fresh.update(zip(missing[begin : at + 1], self._encode(missing[begin : at + 1])))
                 begin, size = at + 1, 0
-        if len(self._known) + len(fresh) > MAX_CACHED_PIECES:
-            self._known.clear()
-        self._known.update(item for item in fresh.items() if len(item[0]) <= MAX_CACHED_LENGTH)
+        self._young.update(item for item in fresh.items() if len(item[0]) <= MAX_CACHED_LENGTH)
+        if len(self._young) > self._most:
+            self._old, self._young = self._young, {}
         return [fresh[piece] if value is None else value for piece, value in zip(pieces, found)]
 
 
+#: Characters whose classes, cases and compositions all Unicode versions agree on.
+_PLAIN = re.compile("[\x20-\x7e\xa1-\u024f]*")
+
+
+class PieceEncoder:
+    """Ids of pieces, as bytes of the given integer type.
+
+    Whole pieces can go through the tokenizer. For plain characters, and where the tokenizer
+    splits by one pattern and maps bytes, the pattern is applied here and the model merges each
+    distinct part once; that saves the library's bookkeeping for every piece.
+    """
+
+    def __init__(self, engine, kind: str = "<i4"):
+        import regex
+
+        self._engine, self._kind = engine, kind
+        form = json.loads(engine.to_str())
+        self._special = [token["content"] for token in form["added_tokens"]]
+        normalizers = (form["normalizer"] or {}).get("normalizers", [form["normalizer"]] if form["normalizer"] else [])
+        steps = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        kinds = [step["type"] for step in normalizers]
+        split = steps[0] if [step["type"] for step in steps] == ["Split", "ByteLevel"] else None
+        plain = (
+            split is not None
+            and set(kinds) <= {"NFC", "Lowercase", "Replace"}
+            and all(step["pattern"] == {"Regex": "\\s+"} and step["content"] == " " for step in normalizers if step["type"] == "Replace")
+            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and (split["behavior"], split["invert"]) in {("Isolated", False), ("Removed", True)}
+            and "Regex" in split["pattern"]
+        )
+        self._pattern = regex.compile(split["pattern"]["Regex"]) if plain else None
+        self._all_parts = plain and split["behavior"] == "Isolated"
+        self._lower = "Lowercase" in kinds
+        self._names = dict(enumerate(byte_characters()))
+        self._parts = PieceCache(self._merge, MAX_CACHED_PIECES // 2)
+
+    def _merge(self, parts: list[str]) -> list[bytes]:
+        tokenize = self._engine.model.tokenize
+        return [
+            np.array([t.id for t in tokenize(part.encode().decode("latin1").translate(self._names))], self._kind).tobytes()
+            for part in parts
+        ]
+
+    def _split(self, piece: str) -> list[str] | None:
+        if not _PLAIN.fullmatch(piece) or any(token in piece for token in self._special):
+            return None
+        if self._lower:
+            piece = piece.lower()
+        parts = self._pattern.findall(piece)
+        return parts if not self._all_parts or "".join(parts) == piece else None
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        split = [None if self._pattern is None else self._split(piece) for piece in pieces]
+        ids = iter(self._parts([part for parts in split if parts for part in parts]))
+        rest = [piece for piece, parts in zip(pieces, split) if parts is None]
+        whole = iter(self._engine.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [
+            np.asarray(next(whole).ids, self._kind).tobytes() if parts is None else b"".join(next(ids) for _ in parts)
+            for parts in split
+        ]
+
+
 def pieces_of(text: str) -> list[str]:
     """Parts of a text that the pre-tokenizer treats independently of each other."""
     if _ADJACENT.search(text):
@@ -122,18 +191,13 @@ def pieces_of(text: str) -> list[str]:
 def _caches(serialised: str) -> tuple[PieceCache, PieceCache]:
     engine = load_tokenizer(serialised)
 
-    def ids(pieces: list[str]) -> list[bytes]:
-        return [
-            np.asarray(e.ids, "<i4").tobytes() for e in engine.encode_batch_fast(pieces, add_special_tokens=False)
-        ]
-
     def spans(pieces: list[str]) -> list[bytes]:
         return [
             np.asarray(e.offsets, "<i4").reshape(-1, 2).tobytes()
             for e in engine.encode_batch(pieces, add_special_tokens=False)
         ]
 
-    return PieceCache(ids), PieceCache(spans)
+    return PieceCache(PieceEncoder(engine)), PieceCache(spans)
 
 
 def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.byte_bpe import PieceCache
+from touchline.llm.byte_bpe import PieceCache, PieceEncoder
 from touchline.llm.common import free_name, joinable, shared_files, slices, write_file
 
 BATCH_BYTES = 4 << 20
@@ -41,13 +41,8 @@ def _engine(path: str):
     from tokenizers import Tokenizer
 
     engine = Tokenizer.from_file(path)
-    width = 2 if engine.get_vocab_size() <= 1 << 16 else 4
-
-    def ids(pieces: list[bytes]) -> list[bytes]:
-        texts = [piece.decode() for piece in pieces]
-        return [np.asarray(e.ids, f"<u{width}").tobytes() for e in engine.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return PieceCache(ids)
+    encode = PieceEncoder(engine, f"<u{2 if engine.get_vocab_size() <= 1 << 16 else 4}")
+    return PieceCache(lambda pieces: encode([piece.decode() for piece in pieces]))
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
