@@ -70,7 +70,10 @@ def mix(
     """
     size = word_count(F.col("text")) if size is None else size
     added = ("size", "source_size", "target", "taken", "copies")
-    inner, draw, bucket = (free_name(docs, name) for name in ("mix_source", "mix_draw", "mix_bucket"))
+    inner, draw, bucket, named, total, goal, buckets, ranged, range_, offset, before = (
+        free_name(docs, f"mix_{name}")
+        for name in ("source", "draw", "bucket", "named", "total", "goal", "buckets", "ranged", "range", "offset", "before")
+    )
     df = docs.withColumn("size", size).drop(*(name for name in added if name != "size" and name not in (source, key)))
     df = df.withColumn(inner, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))).withColumn(
         draw, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("-"))).cast("binary"))
@@ -80,21 +83,21 @@ def mix(
     )
     plan = joinable(
         source_targets(totals, max_epochs).select(
-            F.col(inner).alias("plan_source"),
-            F.col("source_size").alias("plan_size"),
-            F.col("target").alias("plan_target"),
-            F.ceil(F.col("source_rows") / rows_per_bucket).alias("plan_buckets"),
+            F.col(inner).alias(named),
+            F.col("source_size").alias(total),
+            F.col("target").alias(goal),
+            F.ceil(F.col("source_rows") / rows_per_bucket).alias(buckets),
         )
     )
-    planned = df.join(plan, F.col(inner) == F.col("plan_source")).withColumn(
+    planned = df.join(plan, F.col(inner) == F.col(named)).withColumn(
         bucket,
-        F.floor(F.conv(F.substring(draw, 1, 8), 16, 10).cast("long") * F.col("plan_buckets") / F.lit(2**32)),
+        F.floor(F.conv(F.substring(draw, 1, 8), 16, 10).cast("long") * F.col(buckets) / F.lit(2**32)),
     )
-    by_range = Window.partitionBy("range_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    by_range = Window.partitionBy(ranged).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
     ranges = joinable(
-        planned.groupBy(F.col(inner).alias("range_source"), F.col(bucket).alias("range"))
+        planned.groupBy(F.col(inner).alias(ranged), F.col(bucket).alias(range_))
         .agg(F.sum("size").alias("range_size"))
-        .withColumn("offset", F.coalesce(F.sum("range_size").over(by_range), F.lit(0)))
+        .withColumn(offset, F.coalesce(F.sum("range_size").over(by_range), F.lit(0)))
         .drop("range_size")
     )
     in_range = (
@@ -103,17 +106,17 @@ def mix(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = planned.join(
-        ranges, (F.col(inner) == F.col("range_source")) & (F.col(bucket) == F.col("range"))
-    ).withColumn("before", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
-    budget = F.floor(F.col("plan_target"))
-    epochs = F.when(F.col("plan_size") > 0, F.floor(budget / F.col("plan_size"))).otherwise(0)
-    left = budget - epochs * F.col("plan_size") - F.col("offset") - F.col("before")
+        ranges, (F.col(inner) == F.col(ranged)) & (F.col(bucket) == F.col(range_))
+    ).withColumn(before, F.coalesce(F.sum("size").over(in_range), F.lit(0)))
+    budget = F.floor(F.col(goal))
+    epochs = F.when(F.col(total) > 0, F.floor(budget / F.col(total))).otherwise(0)
+    left = budget - epochs * F.col(total) - F.col(offset) - F.col(before)
     part = F.least(F.col("size"), F.greatest(left, F.lit(0)))
     return placed.select(
         *(F.col(f"`{name}`") for name in df.columns if name not in (inner, draw, "size")),
         "size",
-        F.col("plan_size").alias("source_size"),
-        F.col("plan_target").alias("target"),
+        F.col(total).alias("source_size"),
+        F.col(goal).alias("target"),
         (epochs * F.col("size") + part).cast("long").alias("taken"),
         F.when(F.col("size") > 0, epochs + F.when(part > 0, 1).otherwise(0)).otherwise(0).cast("int").alias("copies"),
     )
