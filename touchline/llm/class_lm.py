@@ -269,40 +269,42 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     nothing is known and base scores are 0.
     """
     added = ("n_tokens", "n_known", "base_score", "score")
-    row_id, body = free_name(docs, "score_row"), free_name(docs, "score_body")
+    row_id, body, matched, rare_counted, rare_known = (
+        free_name(docs, f"score_{name}") for name in ("row", "body", "matched", "rare_counted", "rare_known")
+    )
+    walked_name, counted_name, known_name, rare_name, times_name = (
+        free_name(docs, name) for name in ("walked", "counted", "known", "rare", "times")
+    )
     df = docs.drop(*(name for name in added if name != text)).withColumn(row_id, F.monotonically_increasing_id())
     kept = [f for f in df.schema.fields if f.name != text]
     df = df.withColumn(body, F.coalesce(F.col(text), F.lit("")).cast("binary")).drop(text)
     names = [f.name for f in kept]
-    run = partial(_walk, names, body, model.frequent, model.exchanged, model.classes, model.transitions, model.emissions)
-    fields = [
-        T.StructField("n_tokens", T.LongType()), T.StructField("walked", T.DoubleType()),
-        T.StructField("counted", T.DoubleType()), T.StructField("known", T.LongType()),
-        T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.IntegerType())),
-    ]
-    walked = materialise(df.mapInArrow(run, T.StructType(kept + fields)))
+    out = ("n_tokens", walked_name, counted_name, known_name, rare_name, times_name)
+    kinds = (T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.BinaryType()), T.ArrayType(T.IntegerType()))
+    run = partial(_walk, names, body, out, model.frequent, model.exchanged, model.classes, model.transitions, model.emissions)
+    walked = materialise(df.mapInArrow(run, T.StructType(kept + [T.StructField(n, k) for n, k in zip(out, kinds)])))
     rare = (
-        walked.select(F.col(row_id).alias("row_id"), F.explode(F.arrays_zip("rare", "times")).alias("entry"))
-        .select("row_id", F.col("entry.rare").alias("word"), F.col("entry.times").alias("times"))
+        walked.select(row_id, F.explode(F.arrays_zip(F.col(rare_name).alias("word"), F.col(times_name).alias("times"))).alias("entry"))
+        .select(F.col(row_id).alias(matched), "entry.word", "entry.times")
         .join(model.vocabulary, "word")
-        .groupBy("row_id")
+        .groupBy(matched)
         .agg(
-            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_counted"), F.sum("times").alias("rare_known")
+            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias(rare_counted), F.sum("times").alias(rare_known)
         )
     )
-    joined = walked.drop("rare", "times").join(rare, F.col(row_id) == F.col("row_id"), "left")
-    counted = F.col("counted") + F.coalesce("rare_counted", F.lit(0.0))
+    joined = walked.drop(rare_name, times_name).join(rare, F.col(row_id) == F.col(matched), "left")
+    counted = F.col(counted_name) + F.coalesce(rare_counted, F.lit(0.0))
     whole = math.log10(model.tokens + model.distinct + 1)
     return joined.select(
         *(F.col(f"`{name}`") for name in names if name != row_id),
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0)) + int(model.texts > 0)).alias("n_known"),
+        (F.col(known_name) + F.coalesce(rare_known, F.lit(0)) + int(model.texts > 0)).alias("n_known"),
         (counted + math.log10(model.texts + 1) - F.col("n_tokens") * whole).alias("base_score"),
-        (counted + F.col("walked")).alias("score"),
+        (counted + F.col(walked_name)).alias("score"),
     )
 
 
-def _walk(names, body, frequent, exchanged, classes, transitions, emissions, batches) -> Iterator[pa.RecordBatch]:
+def _walk(names, body, added, frequent, exchanged, classes, transitions, emissions, batches) -> Iterator[pa.RecordBatch]:
     states = States(exchanged)
     for batch in slices(batches, body, BATCH_BYTES):
         out: list[list] = [[], [], [], [], [], []]
@@ -323,5 +325,5 @@ def _walk(names, body, frequent, exchanged, classes, transitions, emissions, bat
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(
             [batch.column(name) for name in names] + [pa.array(c, kind) for c, kind in zip(out, kinds)],
-            names + ["n_tokens", "walked", "counted", "known", "rare", "times"],
+            names + list(added),
         )

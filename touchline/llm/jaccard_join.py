@@ -3,7 +3,9 @@
 1. Shingle hashes of all documents are counted in a sketch of fixed size; rarer hashes come
    first in one order for all sets.
 2. Documents with equal sets become one node. Two sets that are similar enough share a hash
-   among the first few of each (the prefix), so only prefixes are shuffled.
+   among the first few of each (the prefix), so only prefixes are shuffled. As hashes shared by
+   chance grow with a set, each prefix is lengthened in proportion to its set, and as many more
+   hashes must be shared; nodes that share too few with all others are dropped.
 3. Nodes that share prefix hashes get a common label and are dealt into blocks of bounded
    size; blocks with a prefix hash in common must meet, all parts of a label among them.
 4. Each pair of blocks is one small group. There every node picks by estimated cost how many
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import slices, word_lists
@@ -36,6 +38,9 @@ MAX_EXTRA = 4
 #: Cost of one full comparison against that of one prefix entry.
 COMPARISON_COST = 16
 LABEL_ROUNDS = 2
+#: One more prefix hash, and one more match, for every so many hashes of a set.
+MATCH_EVERY = 16
+PRUNE_ROUNDS = 2
 _WORDS_REMEMBERED = 400_000
 _PRIME = 0x9E3779B97F4A7C15
 
@@ -78,6 +83,16 @@ def least_overlap(size: int, numerator: int, denominator: int) -> int:
     return -(-numerator * size // denominator)
 
 
+def required_matches(size: int) -> int:
+    """Prefix hashes that two sets must share if the smaller one has this size."""
+    return 1 + size // MATCH_EVERY
+
+
+def _enough_matches(size: Column, numerator: int, denominator: int) -> Column:
+    """``required_matches`` of the smallest set that is similar enough to one of this size."""
+    return 1 + F.floor(F.ceil(size * numerator / denominator) / MATCH_EVERY)
+
+
 def frequency_levels(bodies: DataFrame, width: int, bits: int) -> np.ndarray:
     """Level (8 per doubling) of each of 2**bits cells that count the hashes of all documents."""
     cells = 1 << bits
@@ -121,7 +136,7 @@ def _prefixes(bodies: DataFrame, width: int, numerator: int, denominator: int, b
                 found = shingles(body, width)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                head = len(found) - least_overlap(len(found), numerator, denominator) + 1 if len(found) else 0
+                head = len(found) - least_overlap(len(found), numerator, denominator) + required_matches(len(found))
                 order = np.lexsort((found, level_of[(found >> np.uint64(64 - bits)).astype(np.int64)]))[:head]
                 heads.append(found[order].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -234,6 +249,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """Entries (token, node) of tokens in two nodes or more, with the token's least node."""
+    leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+    return postings.join(leaders.filter("leader < last").drop("last"), "token")
+
+
 def _labels(shared: DataFrame, rounds: int) -> DataFrame:
     """A label per node: the least node within ``rounds`` steps over shared prefix hashes."""
     labels = materialise(shared.groupBy("node").agg(F.min("leader").alias("label")))
@@ -246,13 +267,13 @@ def _labels(shared: DataFrame, rounds: int) -> DataFrame:
 
 def _block_pairs(shared: DataFrame, members: DataFrame) -> DataFrame:
     """(pair, label, part, side): the blocks of every pair that must meet; a lone block is its own pair."""
-    parts = materialise(members.groupBy("label").agg(F.max("parts").alias("parts")))
+    parts = materialise(members.groupBy("label").agg(F.max("parts").alias("parts"), F.count(F.lit(1)).alias("held")))
     at = shared.join(members.select("node", "label"), "node").select("token", "label").distinct()
     mixed = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     at = materialise(at.join(mixed.select("token"), "token"))
     other = at.select("token", F.col("label").alias("label_b"))
     cross = at.join(other, "token").filter("label < label_b").select(F.col("label").alias("label_a"), "label_b").distinct()
-    lone = parts.select(F.col("label").alias("label_a"), F.col("label").alias("label_b"))
+    lone = parts.filter("held > 1").select(F.col("label").alias("label_a"), F.col("label").alias("label_b"))
     met = (
         cross.union(lone)
         .join(parts.select(F.col("label").alias("label_a"), F.col("parts").alias("parts_a")), "label_a")
@@ -350,8 +371,12 @@ def link(
         .withColumn("node", F.monotonically_increasing_id())
     )
     postings = nodes.select("node", F.explode("head").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    shared = materialise(postings.join(leaders.filter("leader < last").drop("last"), "token"))
+    shared = materialise(_shared(postings))
+    needed = nodes.select("node", _enough_matches(F.col("size"), numerator, denominator).alias("needed"))
+    for _ in range(PRUNE_ROUNDS):
+        matched = shared.groupBy("node").agg(F.count(F.lit(1)).alias("matches")).join(needed, "node")
+        able = matched.filter("matches >= needed").select("node")
+        shared = materialise(_shared(shared.select("node", "token").join(able, "node", "left_semi")))
     labels = _labels(shared, LABEL_ROUNDS)
     named = labels.join(nodes.select("node", "size", "digest", "first_doc"), "node")
     weights = named.groupBy("label").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("hashes"))

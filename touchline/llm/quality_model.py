@@ -199,7 +199,7 @@ def fit(
         .select("values", "label")
         .collect()
     )
-    values = np.array([row["values"] for row in rows], float).reshape(len(rows), -1)
+    values = np.array([row["values"] for row in rows], float).reshape(len(rows), len(STATISTICS))
     return fit_trees(values, np.array([row["label"] for row in rows], float))
 
 
