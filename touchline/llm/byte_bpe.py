@@ -24,12 +24,13 @@ from pyspark.sql import types as T
 from touchline.llm.common import slices, with_arrow_columns
 
 BATCH_BYTES = 4 << 20
-MAX_CACHED_PIECES = 300_000
+MAX_CACHED_PIECES = 200_000
 MAX_CACHED_LENGTH = 64
 ENCODE_AT_ONCE = 64 << 10
 #: Between two characters that are not white space, before a single space.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ADJACENT = re.compile(r"^\s|\s\s|\s$|\0")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE_PAIRS = tuple(pair for c in " \t\n\x0b\x0c\r" for pair in (" " + c, c + " "))
 
 
 @lru_cache(maxsize=1)
@@ -182,7 +183,11 @@ class PieceEncoder:
 
 def pieces_of(text: str) -> list[str]:
     """Parts of a text that the pre-tokenizer treats independently of each other."""
-    if _ADJACENT.search(text):
+    if (
+        text.startswith(" ") or text.endswith(" ") or "\0" in text
+        or any(pair in text for pair in _SPACE_PAIRS)
+        or (not text.isascii() and _WIDE_SPACE.search(text))
+    ):
         return _CUT.split(text)
     return text.replace(" ", "\0 ").split("\0")
 
