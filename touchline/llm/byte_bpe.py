@@ -12,6 +12,7 @@ import base64
 import codecs
 import json
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -124,19 +125,19 @@ _PLAIN = re.compile("[\x20-\x7e\xa1-\u024f]*")
 
 
 class PieceEncoder:
-    """Ids of pieces, as bytes of the given integer type.
+    """Ids of pieces as little-endian bytes; ``kind`` is the struct letter of an id.
 
     Whole pieces can go through the tokenizer. For plain characters, and where the tokenizer
     splits by one pattern and maps bytes, the pattern is applied here and the model merges each
     distinct part once; that saves the library's bookkeeping for every piece.
     """
 
-    def __init__(self, engine, kind: str = "<i4"):
+    def __init__(self, engine, kind: str = "i"):
         import regex
 
         self._engine, self._kind = engine, kind
         form = json.loads(engine.to_str())
-        self._special = [token["content"] for token in form["added_tokens"]]
+        self._special = re.compile("|".join(re.escape(token["content"]) for token in form["added_tokens"]) or "(?!)")
         normalizers = (form["normalizer"] or {}).get("normalizers", [form["normalizer"]] if form["normalizer"] else [])
         steps = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
         kinds = [step["type"] for step in normalizers]
@@ -153,17 +154,20 @@ class PieceEncoder:
         self._all_parts = plain and split["behavior"] == "Isolated"
         self._lower = "Lowercase" in kinds
         self._names = dict(enumerate(byte_characters()))
-        self._parts = PieceCache(self._merge, MAX_CACHED_PIECES // 2)
+        self._parts = PieceCache(self._merge)
 
     def _merge(self, parts: list[str]) -> list[bytes]:
-        tokenize = self._engine.model.tokenize
-        return [
-            np.array([t.id for t in tokenize(part.encode().decode("latin1").translate(self._names))], self._kind).tobytes()
-            for part in parts
-        ]
+        tokenize, names, space, kind = self._engine.model.tokenize, self._names, self._names[32], self._kind
+        out = []
+        for part in parts:
+            # Printable characters of ASCII stand for themselves.
+            named = part.replace(" ", space) if part.isascii() else part.encode().decode("latin1").translate(names)
+            tokens = tokenize(named)
+            out.append(struct.pack(f"<{len(tokens)}{kind}", *[token.id for token in tokens]))
+        return out
 
     def _split(self, piece: str) -> list[str] | None:
-        if not _PLAIN.fullmatch(piece) or any(token in piece for token in self._special):
+        if not _PLAIN.fullmatch(piece) or self._special.search(piece):
             return None
         if self._lower:
             piece = piece.lower()
@@ -172,13 +176,21 @@ class PieceEncoder:
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         split = [None if self._pattern is None else self._split(piece) for piece in pieces]
-        ids = iter(self._parts([part for parts in split if parts for part in parts]))
+        ids = self._parts([part for parts in split if parts for part in parts])
         rest = [piece for piece, parts in zip(pieces, split) if parts is None]
         whole = iter(self._engine.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
-        return [
-            np.asarray(next(whole).ids, self._kind).tobytes() if parts is None else b"".join(next(ids) for _ in parts)
-            for parts in split
-        ]
+        out, at = [], 0
+        for parts in split:
+            if parts is None:
+                found = next(whole).ids
+                out.append(struct.pack(f"<{len(found)}{self._kind}", *found))
+            elif len(parts) == 1:
+                out.append(ids[at])
+                at += 1
+            else:
+                out.append(b"".join(ids[at : at + len(parts)]))
+                at += len(parts)
+        return out
 
 
 def pieces_of(text: str) -> list[str]:

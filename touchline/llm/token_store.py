@@ -33,6 +33,7 @@ from touchline.llm.common import free_name, joinable, shared_files, slices, writ
 BATCH_BYTES = 4 << 20
 KEYS_PER_BUCKET = 100_000
 RANGE_BYTES = 8 << 20
+CACHED_PIECES = 300_000
 _GAMMA = 1.5
 
 
@@ -41,8 +42,8 @@ def _engine(path: str):
     from tokenizers import Tokenizer
 
     engine = Tokenizer.from_file(path)
-    encode = PieceEncoder(engine, f"<u{2 if engine.get_vocab_size() <= 1 << 16 else 4}")
-    return PieceCache(lambda pieces: encode([piece.decode() for piece in pieces]))
+    encode = PieceEncoder(engine, "H" if engine.get_vocab_size() <= 1 << 16 else "I")
+    return PieceCache(lambda pieces: encode([piece.decode() for piece in pieces]), CACHED_PIECES)
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
