@@ -30,8 +30,9 @@ MAX_CACHED_LENGTH = 64
 ENCODE_AT_ONCE = 64 << 10
 #: Between two characters that are not white space, before a single space.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACE_PAIRS = tuple(pair for c in " \t\n\x0b\x0c\r" for pair in (" " + c, c + " "))
+#: White space beyond ASCII, in UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_SPACE_PAIRS = tuple(pair for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") for pair in (b" " + c, c + b" "))
 
 
 @lru_cache(maxsize=1)
@@ -193,28 +194,35 @@ class PieceEncoder:
         return out
 
 
-def pieces_of(text: str) -> list[str]:
-    """Parts of a text that the pre-tokenizer treats independently of each other."""
+def pieces_of(body: bytes) -> list[bytes]:
+    """Parts of a text in UTF-8 that the pre-tokenizer treats independently of each other."""
+    if not body:
+        return []
     if (
-        text.startswith(" ") or text.endswith(" ") or "\0" in text
-        or any(pair in text for pair in _SPACE_PAIRS)
-        or (not text.isascii() and _WIDE_SPACE.search(text))
+        body.startswith(b" ") or body.endswith(b" ") or b"\0" in body
+        or any(pair in body for pair in _SPACE_PAIRS)
+        or (not body.isascii() and _WIDE_SPACE.search(body))
     ):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+        return [piece.encode() for piece in _CUT.split(body.decode())]
+    return body.replace(b" ", b"\0 ").split(b"\0")
 
 
 @lru_cache(maxsize=4)
 def _caches(serialised: str) -> tuple[PieceCache, PieceCache]:
     engine = load_tokenizer(serialised)
 
-    def spans(pieces: list[str]) -> list[bytes]:
+    encode_pieces = PieceEncoder(engine)
+
+    def ids(pieces: list[bytes]) -> list[bytes]:
+        return encode_pieces([piece.decode() for piece in pieces])
+
+    def spans(pieces: list[bytes]) -> list[bytes]:
         return [
             np.asarray(e.offsets, "<i4").reshape(-1, 2).tobytes()
-            for e in engine.encode_batch(pieces, add_special_tokens=False)
+            for e in engine.encode_batch([piece.decode() for piece in pieces], add_special_tokens=False)
         ]
 
-    return PieceCache(PieceEncoder(engine)), PieceCache(spans)
+    return PieceCache(ids), PieceCache(spans)
 
 
 def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
@@ -222,17 +230,17 @@ def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def _encode_texts(texts: Iterable[str], serialised: str, offsets: bool) -> dict[str, pa.Array]:
+def _encode_texts(texts: Iterable[bytes], serialised: str, offsets: bool) -> dict[str, pa.Array]:
     ids_of, spans_of = _caches(serialised)
     ids, spans, lengths = [], [], []
     for text in texts:
-        pieces = pieces_of(text) if text else []
+        pieces = pieces_of(text)
         encoded = b"".join(ids_of(pieces))
         ids.append(encoded)
         lengths.append(len(encoded) // 4)
         if offsets:
             parts = spans_of(pieces)
-            begins = np.concatenate([[0], np.cumsum([len(piece) for piece in pieces])])[: len(pieces)]
+            begins = np.concatenate([[0], np.cumsum([len(piece.decode()) for piece in pieces])])[: len(pieces)]
             local = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
             spans.append(local + np.repeat(begins, [len(part) // 8 for part in parts]).astype("<i4")[:, None])
     columns = {"ids": _lists(np.frombuffer(b"".join(ids), "<i4"), lengths)}
@@ -262,7 +270,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, BATCH_BYTES):
             yield with_arrow_columns(
-                batch, dropped, _encode_texts(batch.column(text).to_pylist(), serialised, offsets)
+                batch, dropped, _encode_texts(batch.column(text).cast(pa.binary()).to_pylist(), serialised, offsets)
             )
 
     return df.mapInArrow(run, schema)
