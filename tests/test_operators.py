@@ -136,23 +136,29 @@ def test_mmd_matches_direct_kernel_sums(spark):
     a, b = rng.normal(0, 1, (40, 2)), rng.normal(0.8, 1, (55, 2))
     data = [("a", i, *map(float, r)) for i, r in enumerate(a)] + [("b", 100 + i, *map(float, r)) for i, r in enumerate(b)]
     df = spark.createDataFrame(data, "source string, i long, x double, y double")
-    row = X.mmd(df, ["x", "y"], "a", "b", key=["i"], permutations=30, blocks=3).first()
+    row = X.mmd(df, ["x", "y"], "a", "b", key=["i"], components=512, permutations=30).first()
     pooled = np.vstack([a, b])
     z = (pooled - pooled.mean(0)) / pooled.std(0)
-    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
-    width = np.median(d[np.triu_indices(len(z), 1)])
-    k = np.exp(-(d**2) / (2 * width**2))
+    gaps = z[:, None] - z[None]
     n, m = 40, 55
-    want = (k[:n, :n].sum() - n) / (n * (n - 1)) + (k[n:, n:].sum() - m) / (m * (m - 1)) - 2 * k[:n, n:].mean()
+    width = np.sqrt((gaps**2).sum(2).sum() / ((n + m) * (n + m - 1)))
+
+    def statistic(k):
+        return (k[:n, :n].sum() - n) / (n * (n - 1)) + (k[n:, n:].sum() - m) / (m * (m - 1)) - 2 * k[:n, n:].mean()
+
+    waves = X.fourier_frequencies(2, 512, width, 42)
+    want = statistic(np.cos(gaps @ waves.T).mean(axis=2))
     assert row.bandwidth == pytest.approx(width) and row.mmd_sq == pytest.approx(want)
+    assert row.mmd_sq == pytest.approx(statistic(np.exp(-(gaps**2).sum(2) / (2 * width**2))), abs=0.03)
     assert row.p_value == pytest.approx(1 / 31) and abs(row.permutation_mean) < 0.02
 
 
-def test_ks_statistic(spark):
+@pytest.mark.parametrize("chunks", [2, 7, 128])
+def test_ks_statistic(spark, chunks):
     rng = np.random.default_rng(2)
     a, b = np.round(rng.normal(0, 1, 200), 1), np.round(rng.normal(0.4, 1, 150), 1)
     df = spark.createDataFrame([("a", float(v)) for v in a] + [("b", float(v)) for v in b], "source string, x double")
-    row = X.ks_per_feature(df, ["x"], "a", "b", buckets=7).first()
+    row = X.ks_per_feature(df, ["x"], "a", "b", chunks=chunks).first()
     grid = np.unique(np.concatenate([a, b]))
     want = max(abs((a <= v).mean() - (b <= v).mean()) for v in grid)
     assert row.ks_stat == pytest.approx(want) and 0 < row.p_value < 0.05

@@ -135,16 +135,31 @@ def test_crowded_frames_are_exact(spark):
     assert first.opponents_within_10m == sum(v <= 10 for v in d) and first.min_dist_opponent == pytest.approx(min(d))
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("whole_below", [0, 400, 10_000])
+def test_exact_quantiles_match_numpy(spark, whole_below):
     rng = np.random.default_rng(1)
     data = [(g, float(v)) for g in "ab" for v in np.concatenate([rng.normal(size=300), np.zeros(200), [1e6]])]
     df = spark.createDataFrame(data, "g string, v double")
-    got = {r.g: r for r in exact_quantiles(df, ["g"], {"lo": ("v", 0.1), "mid": ("v", 0.5), "hi": ("v", 0.99)}, buckets=5).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], {"lo": ("v", 0.1), "mid": ("v", 0.5), "hi": ("v", 0.99)}, whole_below=whole_below).collect()}
     for g in "ab":
         vals = [v for gg, v in data if gg == g]
         assert np.allclose([got[g].lo, got[g].mid, got[g].hi], np.quantile(vals, [0.1, 0.5, 0.99]))
 
 
+def test_exact_quantiles_of_many_columns_with_outliers_and_nulls(spark):
+    rng = np.random.default_rng(4)
+    n = 3000
+    a, b = rng.normal(size=n), np.round(rng.exponential(size=n), 1)
+    a[7] = 1e12
+    data = [(float(x), None if i % 9 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(data, "a double, b double")
+    wanted = {f"{c}{p}": (c, p) for c in "ab" for p in (0.0, 0.01, 0.25, 0.5, 0.95, 1.0)}
+    row = exact_quantiles(df, [], wanted).first()
+    kept = {"a": a, "b": [y for i, y in enumerate(b) if i % 9]}
+    for name, (c, p) in wanted.items():
+        assert row[name] == pytest.approx(np.quantile(kept[c], p))
+
+
 def test_sample_is_exact_and_stable(spark):
     df = spark.range(2000).withColumn("g", F.when(F.col("id") < 1500, "big").otherwise("small"))
     picked = sample_per_group(df, ["g"], 700, ["id"])

@@ -23,7 +23,7 @@ def shown(df: DataFrame) -> DataFrame:
     return df.filter(F.col("is_visible"))
 
 
-def frame_state(df: DataFrame, *, frames_per_match: int | None = 8_000, seed: int = K.SEED) -> DataFrame:
+def frame_state(df: DataFrame, *, frames_per_match: int | None = None, seed: int = K.SEED) -> DataFrame:
     """One row per frame: ball, visible players and their spread; label ``ball_in_play``.
 
     Frames whose ball status is unknown are dropped.
@@ -112,7 +112,7 @@ def player_profile(
     roster: DataFrame | None = None,
     *,
     roles: Mapping[str, str] | None = None,
-    max_frames: int | None = 4_000,
+    max_frames: int | None = None,
     min_frames: int = 200,
     seed: int = K.SEED,
 ) -> DataFrame:
@@ -165,7 +165,7 @@ def intensity_rates(
     roster: DataFrame | None = None,
     *,
     roles: Mapping[str, str] | None = None,
-    max_frames: int | None = 5_000,
+    max_frames: int | None = None,
     min_frames: int = 200,
     continuous_frames: int | None = None,
     high_speed: float = K.HIGH_SPEED_KMH,
@@ -228,7 +228,7 @@ def intensity_rates(
 def team_shape(
     df: DataFrame,
     *,
-    frames_per_match: int | None = 2_500,
+    frames_per_match: int | None = None,
     min_visible: int | None = 8,
     min_outfield: int | None = None,
     seed: int = K.SEED,
@@ -286,7 +286,7 @@ def oriented(df: DataFrame, directions: DataFrame, *, normalised: str | None = N
 def player_view(
     df: DataFrame,
     *,
-    rows_per_match: int | None = 8_000,
+    rows_per_match: int | None = None,
     min_outfield: int | None = None,
     seed: int = K.SEED,
 ) -> DataFrame:
@@ -419,7 +419,7 @@ def pass_context(
 
 
 def player_context(
-    df: DataFrame, *, max_frames: int | None = 4_000, seed: int = K.SEED
+    df: DataFrame, *, max_frames: int | None = None, seed: int = K.SEED
 ) -> DataFrame:
     """Mean crowding and median minimum distances of each player in a match."""
     rows = sample_per_group(

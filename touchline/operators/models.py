@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 
 from touchline import constants as K
 from touchline.operators.metrics import classification_metrics
+from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sampling import group_folds
 from touchline.session import materialise
 
 
 def training_medians(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Median of every feature of a (size-bounded) training sample."""
-    row = train.agg(*[F.median(c).alias(c) for c in features]).first()
-    return {c: row[c] for c in features if row[c] is not None}
+    """Exact median of every feature over all training rows."""
+    row = exact_quantiles(train, [], {f"m{i}": (c, 0.5) for i, c in enumerate(features)}).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(features) if row and row[f"m{i}"] is not None}
 
 
 def balanced_weights(train: DataFrame, label: str, name: str = "_weight") -> tuple[DataFrame, tuple[str, ...]]:
@@ -204,7 +205,7 @@ def domain_classifier(
     """Cross-validated accuracy of telling the sources apart, and mean importances.
 
     Whole groups stay on one side of a split, with both sources on both sides. Returns
-    one row per fold and the fifteen largest mean importances.
+    one row per fold and the mean importances of all features.
     """
     settings = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 1, **params}
     dealt = materialise(group_folds(df, group=group, strata=[source], folds=folds, seed=seed))
@@ -219,7 +220,7 @@ def domain_classifier(
         totals = [a + b / len(numbers) for a, b in zip(totals, fitted.importances())]
     scores = classification_metrics(parts, ["fold"])
     table = df.sparkSession.createDataFrame(list(zip(features, map(float, totals))), "feature string, importance double")
-    return scores, table.orderBy(F.desc("importance"), "feature").limit(15)
+    return scores, table.orderBy(F.desc("importance"), "feature")
 
 
 def flatten_snippets(snippets: DataFrame, fields: Sequence[str], length: int, name: str = "values") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,100 +14,89 @@ def exact_quantiles(
     groups: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
     *,
-    buckets: int = 4096,
+    margin: float = 0.01,
+    accuracy: int = 2000,
+    whole_below: int = 400,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``wanted`` maps name -> (column, probability).
 
-    Equal values are counted before the shuffle. Value-range buckets then locate the
-    bucket that holds each wanted rank, and only those buckets are sorted. Groups
-    whose columns are all null do not appear in the result.
+    A first aggregate brackets each wanted rank by approximate quantiles whose error is at
+    most 1/accuracy of the rows, a twentieth of the margin. A second one counts the rows below
+    each bracket, and only values inside brackets, about twice the margin of a group's rows,
+    are counted, sorted and searched for the rank. Groups of fewer than ``whole_below`` rows
+    are their own bracket. The result does not depend on these parameters. Groups whose
+    columns are all null do not appear in the result.
     """
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
-    number = {column: i for i, column in enumerate(columns)}
-    pairs = F.array(
-        *[
-            F.struct(F.lit(number[c]).alias("f"), F.col(c).cast("double").alias("v"))
-            for c in columns
-        ]
-    )
-    counts = (
-        df.select(*groups, F.explode(pairs).alias("p"))
-        .select(*groups, "p.f", "p.v")
-        .filter(F.col("v").isNotNull())
-        .groupBy(*groups, "f", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    value = {column: f"_v{i}" for i, column in enumerate(columns)}
+    keys = [f"_g{i}" for i in range(len(groups))] or ["_g"]
+    rows = df.select(
+        *([F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias("_g")]),
+        *[F.col(c).cast("double").alias(v) for c, v in value.items()],
     )
-    series = [*groups, "f"]
-    # Every use of ``counts`` reads the same columns, so its shuffle is planned once and reused.
-    extent = counts.groupBy(*series).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")
-    )
-    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    bucket = F.when(
-        F.col("hi") > F.col("lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))
-    ).otherwise(0)
-    placed = counts.join(extent, series).select(
-        *series, "v", "n", "total", bucket.cast("int").alias("b")
+    marks = list(dict.fromkeys(wanted.values()))
+    low = [max(p - margin, 0.0) for _, p in marks]
+    high = [min(p + margin, 1.0) for _, p in marks]
+    brackets = rows.groupBy(*keys).agg(
+        *[F.count(v).alias(f"n{v}") for v in value.values()],
+        *[
+            F.percentile_approx(value[column], [low[k], high[k]], accuracy).alias(f"b{k}")
+            for k, (column, _) in enumerate(marks)
+        ],
     )
+    joined = rows.join(brackets, keys)
+
+    def edge(k: int, side: int) -> Column:
+        whole = F.col(f"n{value[marks[k][0]]}") < whole_below
+        open_end = (low[k] <= 0.0) if side == 0 else (high[k] >= 1.0)
+        return F.when(whole | F.lit(open_end), None).otherwise(F.get(f"b{k}", F.lit(side)))
 
-    ordered = Window.partitionBy(*series).orderBy("b")
-    per_bucket = placed.groupBy(*series, "b").agg(F.sum("n").alias("bn"), F.max("total").alias("total"))
-    per_bucket = per_bucket.withColumn(
-        "before",
-        F.coalesce(F.sum("bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    def below(k: int) -> Column:
+        return F.coalesce(F.col(value[marks[k][0]]) < edge(k, 0), F.lit(False))
+
+    def inside(k: int) -> Column:
+        v = F.col(value[marks[k][0]])
+        over = F.coalesce(v > edge(k, 1), F.lit(False))
+        return v.isNotNull() & ~below(k) & ~over
+
+    counted = joined.groupBy(*keys).agg(
+        *[F.count_if(below(k)).alias(f"u{k}") for k in range(len(marks))],
+        *[F.max(f"n{v}").alias(f"n{v}") for v in value.values()],
     )
-    probabilities = {
-        column: sorted({p for c, p in wanted.values() if c == column}) for column in columns
-    }
-    per_feature = F.create_map(
+    entries = F.array(
         *[
-            part
-            for column in columns
-            for part in (F.lit(number[column]), F.array(*[F.lit(float(p)) for p in probabilities[column]]))
+            F.when(inside(k), F.struct(F.lit(k).alias("k"), F.col(value[column]).alias("v")))
+            for k, (column, _) in enumerate(marks)
         ]
     )
-    heights = F.transform(F.element_at(per_feature, F.col("f")), lambda p: p * (F.col("total") - 1))
-    ranks = F.array_distinct(
-        F.concat(
-            F.transform(heights, lambda h: F.floor(h).cast("long")),
-            F.transform(heights, lambda h: F.ceil(h).cast("long")),
-        )
+    near = (
+        joined.select(*keys, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        .groupBy(*keys, "e.k", "e.v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    inside = F.filter(ranks, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("bn")))
-    hit = per_bucket.withColumn("ks", inside).filter(F.size("ks") > 0)
+    running = Window.partitionBy(*keys, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = near.withColumn("upto", F.sum("n").over(running)).join(counted, keys)
 
-    running = (
-        Window.partitionBy(*series, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    upto = F.col("before") + F.sum("n").over(running)
-    found = (
-        placed.join(hit.select(*series, "b", "before", "ks"), [*series, "b"])
-        .withColumn("upto", upto)
-        .withColumn(
-            "k",
-            F.explode(
-                F.filter("ks", lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))
-            ),
-        )
+    def height(k: int) -> Column:
+        return F.lit(float(marks[k][1])) * (F.col(f"n{value[marks[k][0]]}") - 1)
+
+    def at_rank(k: int, rank: Column) -> Column:
+        upto = F.col("upto") + F.col(f"u{k}")
+        hit = (F.col("k") == k) & (rank >= upto - F.col("n")) & (rank < upto)
+        return F.max(F.when(hit, F.col("v")))
+
+    found = placed.groupBy(*keys).agg(
+        *[at_rank(k, F.floor(height(k))).alias(f"l{k}") for k in range(len(marks))],
+        *[at_rank(k, F.ceil(height(k))).alias(f"h{k}") for k in range(len(marks))],
+        *[F.max(height(k) - F.floor(height(k))).alias(f"t{k}") for k in range(len(marks))],
     )
-    aggregates = []
-    for name, (column, p) in wanted.items():
-        mine = F.col("f") == number[column]
-        height = F.lit(float(p)) * (F.col("total") - 1)
-        aggregates += [
-            F.max(F.when(mine & (F.col("k") == F.floor(height)), F.col("v"))).alias(f"_lo_{name}"),
-            F.max(F.when(mine & (F.col("k") == F.ceil(height)), F.col("v"))).alias(f"_hi_{name}"),
-            F.max(F.when(mine, height - F.floor(height))).alias(f"_at_{name}"),
-        ]
-    wide = found.groupBy(*groups).agg(*aggregates)
-    return wide.select(
-        *groups,
+    number = {mark: k for k, mark in enumerate(marks)}
+    return found.select(
+        *[F.col(k).alias(g) for g, k in zip(groups, keys)],
         *[
-            (
-                F.col(f"_lo_{name}")
-                + F.col(f"_at_{name}") * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-            ).alias(name)
-            for name in wanted
+            (F.col(f"l{k}") + F.col(f"t{k}") * (F.col(f"h{k}") - F.col(f"l{k}"))).alias(name)
+            for name, mark in wanted.items()
+            for k in [number[mark]]
         ],
     )
 

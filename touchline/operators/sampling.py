@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline import constants as K
-from touchline.session import small_table
+from touchline.operators.series import row_positions
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -32,8 +32,7 @@ def sample_per_group(
     """Exactly the ``n`` rows of smallest draw per group (all rows when there are fewer).
 
     A histogram over the first four hex digits gives the digit at which each group
-    reaches ``n``. Rows below it are kept as they are read; only rows on that digit
-    are ranked, so no group is sorted as a whole.
+    reaches ``n``. Rows up to that digit are ranked per digit, so no group is sorted as a whole.
     """
     if n is None:
         return df
@@ -49,7 +48,7 @@ def sample_per_group(
         .groupBy(*groups)
         .agg(F.min(F.struct("_digit", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_cut"))
     )
-    kept = staged.join(small_table(cuts), list(groups), "left")
+    kept = staged.join(cuts, list(groups), "left")
     kept = kept.filter(F.col("_cut").isNull() | (F.col("_digit") <= F.col("_cut._digit")))
     place = F.row_number().over(Window.partitionBy(*groups, "_digit").orderBy("_draw", *key))
     inside = (
@@ -64,7 +63,7 @@ def balanced_sample(
     df: DataFrame,
     *,
     source: str = "source",
-    per_source: int = 20_000,
+    per_source: int | None,
     key: Sequence[str],
     seed: int = K.SEED,
 ) -> DataFrame:
@@ -119,7 +118,7 @@ def group_shuffle_split(
     test = ranks.select(
         *strata, group, (F.col("group_rank") < F.ceil(F.col("n_groups") * test_size)).alias("is_test")
     )
-    return df.join(small_table(test), [*strata, group])
+    return df.join(test, [*strata, group])
 
 
 def group_folds(
@@ -128,17 +127,21 @@ def group_folds(
     group: str = "match_id",
     strata: Sequence[str] = ("source",),
     folds: int = 5,
+    allow_fewer: bool = True,
     seed: int = K.SEED,
 ) -> DataFrame:
     """Add ``fold``: per stratum the shuffled groups are dealt into equal folds.
 
-    The number of folds shrinks to the smallest stratum's number of groups.
+    Every fold needs a group of each stratum: with ``allow_fewer`` there are only as many
+    folds as the smallest stratum has groups, else that is an error, as a single fold is.
     """
     ranks = ranked_groups(df, strata, group, seed)
-    smallest = ranks.agg(F.min("n_groups").alias("m")).first()["m"]
-    k = max(1, min(folds, smallest or 1))
+    smallest = ranks.agg(F.min("n_groups").alias("m")).first()["m"] or 0
+    k = min(folds, smallest)
+    if k < 2 or (k < folds and not allow_fewer):
+        raise ValueError(f"{folds} folds need as many groups in each stratum; the smallest has {smallest}")
     dealt = ranks.select(*strata, group, F.pmod("group_rank", F.lit(k)).alias("fold"))
-    return df.join(small_table(dealt), [*strata, group])
+    return df.join(dealt, [*strata, group])
 
 
 def leave_one_group_out(df: DataFrame, *, group: str = "match_id") -> DataFrame:

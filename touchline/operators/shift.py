@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from touchline import constants as K
 from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sampling import balanced_sample, draw
 from touchline.operators.series import running_totals
-from touchline.session import materialise, small_table
+from touchline.session import materialise
 
 
 def numeric_features(df: DataFrame, exclude: Sequence[str] = ("source", "match_id")) -> list[str]:
@@ -33,9 +34,9 @@ def impute_median(df: DataFrame, features: Sequence[str], *, fit_on: DataFrame |
 
 
 def prepare(
-    df: DataFrame, features: Sequence[str], *, key: Sequence[str], per_source: int | None = 20_000, seed: int = K.SEED
+    df: DataFrame, features: Sequence[str], *, key: Sequence[str], per_source: int | None = None, seed: int = K.SEED
 ) -> DataFrame:
-    """Source-balanced sample with nulls and infinities replaced by pooled medians."""
+    """All rows, or a source-balanced sample, with nulls and infinities replaced by pooled medians."""
     sampled = balanced_sample(df, per_source=per_source, key=key, seed=seed)
     clean = sampled.withColumns(
         {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")) for c in features}
@@ -64,12 +65,12 @@ def kolmogorov_p(stat: Column, n: Column, m: Column, terms: int = 100) -> Column
 
 
 def ks_per_feature(
-    df: DataFrame, features: Sequence[str], source_a: str, source_b: str, *, source: str = "source", buckets: int = 1024
+    df: DataFrame, features: Sequence[str], source_a: str, source_b: str, *, source: str = "source", chunks: int = 128
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and p-values per feature.
 
     Equal values are counted before the shuffle; the cumulative counts then run over
-    value buckets, so a feature's values are never sorted in one task.
+    chunks with about equally many distinct values each, whatever the values' spread.
     """
     is_a, is_b = F.col(source) == source_a, F.col(source) == source_b
     counts = (
@@ -77,12 +78,10 @@ def ks_per_feature(
         .groupBy("feature", "value")
         .agg(F.count_if(is_a).alias("a"), F.count_if(is_b).alias("b"))
     )
-    extent = small_table(counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
-    place = F.when(
-        F.col("hi") > F.col("lo"),
-        F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-    ).otherwise(0).cast("long")
-    placed = counts.join(extent, "feature").withColumn("_bucket", place).drop("lo", "hi")
+    shares = F.array(*[F.lit(k / chunks) for k in range(1, chunks)])
+    borders = counts.groupBy("feature").agg(F.percentile_approx("value", shares, 20 * chunks).alias("_borders"))
+    place = F.size(F.filter("_borders", lambda border: border <= F.col("value"))).cast("long")
+    placed = counts.join(borders, "feature").withColumn("_bucket", place).drop("_borders")
     run = running_totals(
         placed, ["feature"], "value", {"ca": F.col("a"), "cb": F.col("b")},
         group_totals={"na": F.col("a"), "nb": F.col("b")}, chunk=F.col("_bucket"),
@@ -134,110 +133,30 @@ def location_scale(
 # Kernel two-sample test ------------------------------------------------------------------
 
 
-def _standardised_sample(
-    df: DataFrame, features: Sequence[str], source_a: str, source_b: str, key: Sequence[str], subsample: int, seed: int, source: str
-) -> DataFrame:
-    """At most ``subsample`` rows per source as (row_id, is_a, z): pooled z-scores."""
-    rows = df.filter(F.col(source).isin(source_a, source_b)).select(source, *dict.fromkeys([*key, *features]))
-    sampled = materialise(balanced_sample(rows, source=source, per_source=subsample, key=key, seed=seed))
-    moments = sampled.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)],
-    ).first()
-    z = [
-        (F.col(c) - F.lit(moments[f"m{i}"])) / F.lit(moments[f"s{i}"] or 1.0) for i, c in enumerate(features)
-    ]
-    order = Window.orderBy(draw(seed + 1, *key), *key)
-    # The sample holds at most 2 * subsample rows, so numbering it in one task is bounded.
-    return sampled.select(
-        (F.row_number().over(order) - 1).alias("row_id"),
-        (F.col(source) == source_a).alias("is_a"),
-        F.array(*z).alias("z"),
-    )
-
+def _uniform(*parts: object) -> float:
+    """Reproducible number in (0, 1) from the md5 of the parts."""
+    text = hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+    return (int(text[:8], 16) + 0.5) / 2**32
 
-def _block_pairs(sample: DataFrame, blocks: int) -> DataFrame:
-    """Deal rows into blocks and send each row to every pair of blocks containing its own.
-
-    A group (left, right) then holds two blocks of the bounded sample.
-    """
-    mine = F.pmod("row_id", F.lit(blocks)).cast("int")
-    dealt = sample.withColumn("_own", mine)
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
-        lambda o: F.struct(
-            F.least(F.col("_own"), o).alias("left"), F.greatest(F.col("_own"), o).alias("right")
-        ),
-    )
-    return dealt.withColumn("_pair", F.explode(pairs)).select("*", "_pair.*").drop("_pair")
 
+def fourier_frequencies(size: int, components: int, bandwidth: float, seed: int) -> np.ndarray:
+    """Normal frequencies (components x size) of the RBF kernel exp(-d^2 / (2 bandwidth^2))."""
+    out = np.empty((components, size))
+    for k in range(components):
+        for i in range(size):
+            radius = math.sqrt(-2 * math.log(_uniform(seed, k, i, "r")))
+            out[k, i] = radius * math.cos(2 * math.pi * _uniform(seed, k, i, "a")) / bandwidth
+    return out
 
-def _pair_distances(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
-    """Rows of both blocks, their distances, and which cells are distinct pairs."""
-    left_no, right_no = int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
-    left = pdf[pdf["_own"] == left_no].sort_values("row_id")
-    right = pdf[pdf["_own"] == right_no].sort_values("row_id")
-    a = np.stack(left["z"].to_numpy()) if len(left) else np.zeros((0, 1))
-    b = np.stack(right["z"].to_numpy()) if len(right) else np.zeros((0, 1))
-    if not len(a) or not len(b):
-        return left, right, np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
-    dist = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    use = np.triu(np.ones_like(dist, dtype=bool), 1) if left_no == right_no else np.ones_like(dist, dtype=bool)
-    return left, right, dist, use
 
-
-def _median_distance(sample: DataFrame, blocks: int, bins: int = 4096) -> float:
-    """Exact median of the positive pairwise distances of the sample.
-
-    A first pass counts distances per bin; a second one returns only the distances of
-    the bins that hold the middle ranks. No pass emits the pairs themselves.
-    """
-    pairs = _block_pairs(sample.select("row_id", "z"), blocks)
-    largest = sample.select(
-        F.max(F.sqrt(F.aggregate("z", F.lit(0.0), lambda acc, v: acc + v * v))).alias("r")
-    ).first()["r"]
-    top = 2.0 * float(largest or 0.0) * (1 + 1e-9)
-    if top <= 0:
-        return 1.0
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, dist, use = _pair_distances(pdf)
-        values = dist[use]
-        values = values[values > 0]
-        where = np.minimum((values / top * bins).astype(int), bins - 1)
-        found, n = np.unique(where, return_counts=True)
-        return pd.DataFrame({"bin": found.astype("int32"), "n": n.astype("int64")})
-
-    histogram = (
-        pairs.groupBy("left", "right").applyInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    ).toPandas().sort_values("bin")
-    total = int(histogram["n"].sum()) if len(histogram) else 0
-    if not total:
-        return 1.0
-    upto = histogram["n"].cumsum().to_numpy()
-    ranks = [(total - 1) // 2, total // 2]
-    chosen = sorted({int(histogram["bin"].iloc[int(np.searchsorted(upto, r, side="right"))]) for r in ranks})
-    first = int(np.where(histogram["bin"].to_numpy() == chosen[0])[0][0])
-    before = int(upto[first - 1]) if first else 0
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, dist, use = _pair_distances(pdf)
-        values = dist[use]
-        values = values[values > 0]
-        where = np.minimum((values / top * bins).astype(int), bins - 1)
-        found, n = np.unique(values[np.isin(where, chosen)], return_counts=True)
-        return pd.DataFrame({"d": found.astype(float), "n": n.astype("int64")})
-
-    near = (
-        pairs.groupBy("left", "right").applyInPandas(pick, "d double, n long").groupBy("d").agg(F.sum("n").alias("n"))
-    )
-    running = near.withColumn(
-        "upto", F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    middle = running.agg(
-        *[F.min(F.when(F.col("upto") > r - before, F.col("d"))).alias(f"v{i}") for i, r in enumerate(ranks)]
-    ).first()
-    return (middle["v0"] + middle["v1"]) / 2
+def _labels(draws: np.ndarray, permutations: int, share: float, seed: int) -> np.ndarray:
+    """Rows x permutations: is the row drawn into the first sample? By a mixed hash of its draw."""
+    with np.errstate(over="ignore"):
+        salts = (np.arange(1, permutations + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = draws[:, None] ^ salts[None, :]
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((mixed >> np.uint64(11)) / float(2**53)) < share
 
 
 def mmd(
@@ -247,68 +166,82 @@ def mmd(
     source_b: str,
     *,
     key: Sequence[str],
-    subsample: int = 1_500,
+    components: int = 128,
     permutations: int = 100,
+    bandwidth: float | None = None,
     seed: int = K.SEED,
     source: str = "source",
-    blocks: int = 8,
 ) -> DataFrame:
-    """Unbiased squared MMD with an RBF kernel and a permutation p-value, as one row.
-
-    The test works on a sample of fixed size. Kernel sums are computed per pair of
-    sample blocks, for the observed labels and all permutations at once, and then added.
+    """Unbiased squared MMD with an RBF kernel over all rows, and a permutation p-value.
+
+    Features are standardised by their pooled moments; nulls and infinities count as the
+    mean. The kernel is written as the mean of ``components`` random cosines of pair
+    differences, so the sums over all pairs follow from one sum of cosines and sines per
+    source, and the work is linear in the rows. ``bandwidth`` is the root mean square
+    distance of pairs by default. Permutations draw each row into the first sample with
+    the share of the first source, by a hash of ``key``; their sample sizes vary a little.
     """
-    sample = materialise(
-        _standardised_sample(df, features, source_a, source_b, key, subsample, seed, source)
-    )
-    sizes = sample.agg(F.count_if("is_a").alias("n"), F.count_if(~F.col("is_a")).alias("m")).first()
-    n, m = int(sizes["n"]), int(sizes["m"])
+    rows = df.filter(F.col(source).isin(source_a, source_b))
+    clean = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")) for c in features}
+    moments = rows.agg(
+        F.count_if(F.col(source) == source_a).alias("n"), F.count_if(F.col(source) == source_b).alias("m"),
+        *[F.avg(clean[c]).alias(f"m{i}") for i, c in enumerate(features)],
+        *[F.stddev_pop(clean[c]).alias(f"s{i}") for i, c in enumerate(features)],
+    ).first()
+    n, m = int(moments["n"]), int(moments["m"])
     if n < 2 or m < 2:
         raise ValueError("both sources need at least two rows")
-    bandwidth = _median_distance(sample, blocks)
-    labels = F.array(F.col("is_a"))
-    labelled = sample.withColumn("labels", labels)
-    if permutations:
-        shuffled = sample.select(
-            "row_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
-        )
-        place = F.row_number().over(
-            Window.partitionBy("perm").orderBy(
-                F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("row_id").cast("string")))
-            )
-        )
-        drawn = (
-            shuffled.withColumn("a", place <= n)
-            .groupBy("row_id")
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "a"))), lambda s: s["a"]).alias("perms"))
+    total = n + m
+    moving = sum(1 for i in range(len(features)) if moments[f"s{i}"])
+    width = bandwidth or math.sqrt(2.0 * max(moving, 1) * total / (total - 1))
+    waves = fourier_frequencies(len(features), components, width, seed)
+    z = [
+        F.coalesce((clean[c] - F.lit(moments[f"m{i}"])) / F.lit(moments[f"s{i}"] or 1.0), F.lit(0.0))
+        for i, c in enumerate(features)
+    ]
+    number = F.conv(F.substring(draw(seed + 1, *key), 1, 15), 16, 10).cast("long")
+    table = rows.select((F.col(source) == source_a).alias("is_a"), number.alias("draw"), F.array(*z).alias("z"))
+    share = n / total
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((permutations + 1, 4, components))
+        counts = np.zeros((permutations + 1, 2), np.int64)
+        for pdf in batches:
+            phase = np.stack(pdf["z"].to_numpy()) @ waves.T
+            waved = np.concatenate([np.cos(phase), np.sin(phase)], axis=1)
+            first = pdf["is_a"].to_numpy(bool)[:, None]
+            drawn = _labels(pdf["draw"].to_numpy(np.uint64), permutations, share, seed)
+            labels = np.concatenate([first, drawn], axis=1).astype(float)
+            both = waved.sum(axis=0)
+            mine = labels.T @ waved
+            held[:, :2] += mine.reshape(-1, 2, components)
+            held[:, 2:] += (both - mine).reshape(-1, 2, components)
+            counts[:, 0] += labels.sum(axis=0).astype(np.int64)
+            counts[:, 1] += len(pdf)
+        cells = permutations + 1
+        yield pd.DataFrame(
+            {
+                "perm": np.repeat(np.arange(cells, dtype="int32"), components),
+                "k": np.tile(np.arange(components, dtype="int32"), cells),
+                **{name: held[:, i].ravel() for i, name in enumerate(("ca", "sa", "cb", "sb"))},
+                "a": np.repeat(counts[:, 0], components),
+                "all": np.repeat(counts[:, 1], components),
+            }
         )
-        labelled = sample.join(drawn, "row_id").withColumn("labels", F.concat(labels, F.col("perms"))).drop("perms")
-    gamma = 1.0 / (2.0 * bandwidth**2)
-    total = permutations + 1
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, dist, use = _pair_distances(pdf)
-        kernel = np.where(use, np.exp(-gamma * dist**2), 0.0)
-        la = np.stack(left["labels"].to_numpy()).astype(float) if len(left) else np.zeros((0, total))
-        ra = np.stack(right["labels"].to_numpy()).astype(float) if len(right) else np.zeros((0, total))
-        aa = (la * (kernel @ ra)).sum(axis=0)
-        bb = ((1 - la) * (kernel @ (1 - ra))).sum(axis=0)
-        ab = kernel.sum() - aa - bb
-        return pd.DataFrame({"perm": np.arange(total, dtype="int32"), "aa": aa, "bb": bb, "ab": ab})
-
-    per_perm = (
-        _block_pairs(labelled.select("row_id", "z", "labels"), blocks)
-        .groupBy("left", "right")
-        .applyInPandas(sums, "perm int, aa double, bb double, ab double")
-        .groupBy("perm")
-        .agg(F.sum("aa").alias("aa"), F.sum("bb").alias("bb"), F.sum("ab").alias("ab"))
+
+    summed = (
+        table.mapInPandas(sums, "perm int, k int, ca double, sa double, cb double, sb double, a long, all long")
+        .groupBy("perm", "k")
+        .agg(*[F.sum(c).alias(c) for c in ("ca", "sa", "cb", "sb", "a", "all")])
+        .withColumn("b", F.col("all") - F.col("a"))
     )
+    square = lambda c, s: F.col(c) * F.col(c) + F.col(s) * F.col(s)
     value = (
-        2 * F.col("aa") / F.lit(n * (n - 1.0))
-        + 2 * F.col("bb") / F.lit(m * (m - 1.0))
-        - 2 * F.col("ab") / F.lit(float(n) * m)
+        (square("ca", "sa") - F.col("a")) / (F.col("a") * (F.col("a") - 1.0))
+        + (square("cb", "sb") - F.col("b")) / (F.col("b") * (F.col("b") - 1.0))
+        - 2 * (F.col("ca") * F.col("cb") + F.col("sa") * F.col("sb")) / (F.col("a").cast("double") * F.col("b"))
     )
-    stats = per_perm.withColumn("v", value)
+    stats = summed.groupBy("perm").agg(F.avg(value).alias("v"))
     observed = F.max(F.when(F.col("perm") == 0, F.col("v")))
     others = F.when(F.col("perm") > 0, F.col("v"))
     wide = stats.agg(
@@ -321,7 +254,7 @@ def mmd(
     return wide.select(
         "mmd_sq",
         ((at_least + 1) / F.lit(permutations + 1.0)).alias("p_value"),
-        F.lit(bandwidth).alias("bandwidth"),
+        F.lit(width).alias("bandwidth"),
         F.lit(n).cast("long").alias("n_source"),
         F.lit(m).cast("long").alias("n_target"),
         F.lit(permutations).alias("n_permutations"),

@@ -65,34 +65,33 @@ def location_scale(t: Tables) -> DataFrame:
     return rounded(out, ["gamma_pooled_sd", "delta2_a", "delta2_b", "variance_ratio"])
 
 
-_SAMPLE = """
-smp as (select * from (select *, row_number() over (partition by source order by md5(concat_ws(':', '42', cast(l_orderkey as varchar),
-    cast(l_linenumber as varchar), cast(l_partkey as varchar), cast(l_suppkey as varchar))), l_orderkey, l_linenumber, l_partkey, l_suppkey) as rn
-  from drift_v) q where rn <= {n})
-"""
+_UNIFORM = "(cast(concat('0x', substr(md5(concat('42:', cast(k as varchar), ':{i}:{part}')), 1, 8)) as bigint) + 0.5) / 4294967296.0"
+_WAVE = ", ".join(
+    f"sqrt(-2 * ln({_UNIFORM.format(i=i, part='r')})) * cos(2 * pi() * {_UNIFORM.format(i=i, part='a')}) / w as f{i}"
+    for i in range(len(FEATURES))
+)
+_Z = ", ".join(f"({c} - avg({c}) over ()) / stddev_pop({c}) over () as z{i}" for i, c in enumerate(FEATURES))
+_PHASE = " + ".join(f"z{i} * f{i}" for i in range(len(FEATURES)))
+_MMD_COMPONENTS = 32
 
 
 @query(
     "mmd",
     "drift_v",
     f"""
-with {_SAMPLE.format(n=1500).strip()},
-mo as (select avg(l_quantity) as m1, stddev_pop(l_quantity) as s1, avg(l_extendedprice) as m2, stddev_pop(l_extendedprice) as s2,
-  avg(l_discount) as m3, stddev_pop(l_discount) as s3, avg(l_tax) as m4, stddev_pop(l_tax) as s4 from smp),
-z as (select row_number() over () as id, source, (l_quantity - m1) / s1 as a, (l_extendedprice - m2) / s2 as b, (l_discount - m3) / s3 as c, (l_tax - m4) / s4 as d
-  from smp, mo),
-pr as (select x.source as sx, y.source as sy, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2) as dist
-  from z x join z y on x.id < y.id),
-bw as (select quantile_cont(dist, 0.5) as w from pr where dist > 0),
-ks as (select sx, sy, exp(-dist * dist / (2 * w * w)) as k from pr, bw),
+with z as (select source, count(*) over () as t, {_Z} from drift_v where source in ('F', 'O')),
+bw as (select max(sqrt(8.0 * t / (t - 1))) as w from z),
+fr as (select k, {_WAVE} from range({_MMD_COMPONENTS}) as r(k), bw),
+s as (select k, sum(cos({_PHASE})) filter (source = 'F') as ca, sum(sin({_PHASE})) filter (source = 'F') as sa,
+  sum(cos({_PHASE})) filter (source = 'O') as cb, sum(sin({_PHASE})) filter (source = 'O') as sb from z, fr group by 1),
 n as (select count(*) filter (source = 'F') as n, count(*) filter (source = 'O') as m from z)
 select round(max(w) + 1e-9, 6) as bandwidth, cast(max(n) as bigint) as n_source, cast(max(m) as bigint) as n_target,
-  round(2 * sum(k) filter (sx = 'F' and sy = 'F') / (max(n) * (max(n) - 1)) + 2 * sum(k) filter (sx = 'O' and sy = 'O') / (max(m) * (max(m) - 1))
-  - 2 * sum(k) filter (sx <> sy) / (max(n) * max(m)) + 1e-9, 6) as mmd_sq from ks, bw, n
+  round(avg((ca * ca + sa * sa - n) / (n * (n - 1.0)) + (cb * cb + sb * sb - m) / (m * (m - 1.0))
+  - 2 * (ca * cb + sa * sb) / (n * m::double)) + 1e-9, 6) as mmd_sq from s, bw, n
 """,
 )
 def mmd(t: Tables) -> DataFrame:
-    out = X.mmd(t.view("drift_v"), FEATURES, "F", "O", key=ROW_KEY, permutations=0)
+    out = X.mmd(t.view("drift_v"), FEATURES, "F", "O", key=ROW_KEY, components=_MMD_COMPONENTS, permutations=0)
     return _floats(out.select("bandwidth", "n_source", "n_target", "mmd_sq"))
 
 

@@ -417,11 +417,11 @@ with seen as (select * from harm_v where is_visible), {_SAMPLED.format(src="seen
 select event_id, source, match_id, {_round_sql(*_VIEW_FLOATS, "ball_x", "ball_y", "ball_z")},
   cast(is_home as int) as is_home, cast(ball_status as int) as ball_status,
   cast(period = 'second_half' as int) as period_second_half
-from ranked where rn <= 800
+from ranked
 """,
 )
 def player_view(t: Tables) -> DataFrame:
-    out = A.player_view(t.view("harm_v"), rows_per_match=800)
+    out = A.player_view(t.view("harm_v"))
     return _floats(
         out.select(
             "event_id", "source", "match_id", *_VIEW_FLOATS, "ball_x", "ball_y", "ball_z",
@@ -435,11 +435,11 @@ def player_view(t: Tables) -> DataFrame:
     "harm_v",
     f"""
 with seen as (select * from harm_v where is_visible), {_SAMPLED.format(src="seen").strip()}
-select event_id, source, match_id, {_round_sql(*_VIEW_FLOATS)} from ranked where rn <= 800
+select event_id, source, match_id, {_round_sql(*_VIEW_FLOATS)} from ranked
 """,
 )
 def player_view_core(t: Tables) -> DataFrame:
-    out = A.player_view(t.view("harm_v"), rows_per_match=800)
+    out = A.player_view(t.view("harm_v"))
     return _floats(out.select("event_id", *A.PLAYER_CORE))
 
 
@@ -454,11 +454,11 @@ strict as (select h.* from {src} h semi join cover c
     "harm_v",
     f"""
 with {_COVER_SQL.strip()}, {_STRICT_ROWS.format(src="harm_v").strip()}, {_SAMPLED.format(src="strict").strip()}
-select event_id, source, match_id, {_round_sql(*_VIEW_FLOATS)} from ranked where rn <= 800
+select event_id, source, match_id, {_round_sql(*_VIEW_FLOATS)} from ranked
 """,
 )
 def player_view_strict(t: Tables) -> DataFrame:
-    out = A.player_view(t.view("harm_v"), rows_per_match=800, min_outfield=9)
+    out = A.player_view(t.view("harm_v"), min_outfield=9)
     return _floats(out.select("event_id", *A.PLAYER_CORE))
 
 
@@ -468,12 +468,12 @@ def player_view_strict(t: Tables) -> DataFrame:
     f"""
 with {_COVER_SQL.strip()}, {_ORIENTED_SQL.strip()}, {_STRICT_ROWS.format(src="orient").strip()},
 {_SAMPLED.format(src="strict").strip()}
-select event_id, source, match_id, {_round_sql(*_VIEW_FLOATS)} from ranked where rn <= 800
+select event_id, source, match_id, {_round_sql(*_VIEW_FLOATS)} from ranked
 """,
 )
 def player_view_oriented(t: Tables) -> DataFrame:
     df = A.oriented(t.view("harm_v"), _directions(t))
-    out = A.player_view(df, rows_per_match=800, min_outfield=9)
+    out = A.player_view(df, min_outfield=9)
     return _floats(out.select("event_id", *A.PLAYER_CORE))
 
 
@@ -690,7 +690,7 @@ where rn <= 20000
 )
 def balanced_sample(t: Tables) -> DataFrame:
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return O.balanced_sample(t.view("drift_v"), key=key).select("source", *key)
+    return O.balanced_sample(t.view("drift_v"), per_source=20_000, key=key).select("source", *key)
 
 
 @query(

@@ -47,7 +47,7 @@ def shift_report(t: Tables) -> DataFrame:
     rows = _rows(t).drop("size_class")
     views = {"player_tracking": rows, "player_tracking_core": rows.drop("l_tax")}
     sections = G.shift_report(
-        views, sources=("F", "O"), key=KEY, subsample=500, permutations=20, folds=2, **SMALL_FOREST
+        views, sources=("F", "O"), key=KEY, permutations=20, folds=2, **SMALL_FOREST
     )
     return sections["summary"]
 

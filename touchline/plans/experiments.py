@@ -249,13 +249,13 @@ def headline(linear: DataFrame, forest: DataFrame, *, compare: Sequence[str] = (
 
 def evaluate_view(
     name: str, df: DataFrame, *, sources: tuple[str, str] = (K.SOURCE_XML, K.SOURCE_JSON), key: Sequence[str],
-    features: Sequence[str] | None = None, per_source: int = 20_000, subsample: int = 1_500, permutations: int = 100,
+    features: Sequence[str] | None = None, per_source: int | None = None, permutations: int = 100,
     folds: int = 5, seed: int = K.SEED, **params,
 ) -> dict[str, DataFrame]:
     """Kernel test, source classifier, per-feature tests and shifts of one feature view."""
     features = list(features or X.numeric_features(df, ("source", "match_id", *key)))
     rows = materialise(X.prepare(df, features, key=key, per_source=per_source, seed=seed))
-    kernel = X.mmd(rows, features, *sources, key=key, subsample=subsample, permutations=permutations, seed=seed)
+    kernel = X.mmd(rows, features, *sources, key=key, permutations=permutations, seed=seed)
     folds_df, importances = ML.domain_classifier(rows, features, folds=folds, seed=seed, **params)
     ks = materialise(X.ks_per_feature(rows, features, *sources))
     accuracy = folds_df.agg(

@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_TABLE_ROWS = 20_000
-
 
 def build_session(app_name: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session with the settings the plans assume (UTC clock, AQE on)."""
@@ -63,16 +61,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Turn a table of parameters into a local relation when it is provably small.
-
-    At most ``max_rows + 1`` rows reach the driver. Within the bound the result has
-    an exact size, so the planner broadcasts it by itself; beyond the bound the
-    original DataFrame is returned and joins shuffle as usual.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
