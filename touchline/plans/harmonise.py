@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,10 @@ class Feeds:
             yield json_feed, self.json
 
 
-def _union(spark: SparkSession, feeds: Feeds, table: str) -> DataFrame:
+def _union(spark: SparkSession, feeds: Feeds, table: str, *args) -> DataFrame:
     out: DataFrame | None = None
     for module, folder in feeds.modules():
-        part = getattr(module, table)(spark, folder)
+        part = getattr(module, table)(spark, folder, *args)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError("no feed given")
@@ -54,32 +55,33 @@ def harmonise_tracking(raw: DataFrame, directions: DataFrame) -> DataFrame:
     return dense_frame_id(moved, frames=staged).drop("t_s", "play_direction")
 
 
-def tracking(spark: SparkSession, feeds: Feeds, only: DataFrame | None = None) -> DataFrame:
-    raw = _union(spark, feeds, "tracking")
-    if only is not None:
-        raw = raw.join(only, "match_id", "left_semi")
-    return harmonise_tracking(raw, _union(spark, feeds, "directions"))
+def tracking(spark: SparkSession, feeds: Feeds, only: Sequence[str] | None = None) -> DataFrame:
+    """Harmonised tracking of all matches, or of those in ``only``; files of others are not read."""
+    return harmonise_tracking(_union(spark, feeds, "tracking", only), _union(spark, feeds, "directions"))
 
 
-def actions(spark: SparkSession, feeds: Feeds) -> DataFrame:
-    out: DataFrame | None = None
-    for module, folder in feeds.modules():
-        part = module.actions(spark, folder)
-        out = part if out is None else out.unionByName(part)
-    return out
+def actions(spark: SparkSession, feeds: Feeds, only: Sequence[str] | None = None) -> DataFrame:
+    return _union(spark, feeds, "actions", only)
 
 
 def run(spark: SparkSession, feeds: Feeds, out: str, *, resume: bool = True) -> DataFrame:
     """Write tracking, frame lines, actions, event lines and sheets below ``out``.
 
-    With ``resume`` only matches without written tracking are processed. Returns one
+    With ``resume`` only matches without a completion mark are processed; the mark is written
+    after all outputs of a run, so what a broken run left is written anew. Every output is
+    partitioned by match, and only partitions of processed matches are replaced. Returns one
     status row per discovered match: skipped, ok, or failed (no usable rows).
     """
     matches = materialise(_union(spark, feeds, "matches"))
-    done = sinks.written_matches(spark, f"{out}/tracking") if resume else None
-    done = materialise(done) if done is not None else None
+    marks = f"{out}/completed"
+    done = sinks.written_matches(spark, marks) if resume else None
     todo = materialise(sinks.pending(matches, done))
-    rows = materialise(tracking(spark, feeds, todo))
+    # One id per match, as many as there are match files.
+    only = sorted(row["match_id"] for row in todo.collect())
+    status = matches.select("match_id", "source").join(todo.withColumn("_todo", F.lit(True)), "match_id", "left")
+    if not only:
+        return status.select("match_id", "source", F.lit("skipped").alias("status"), F.lit(None).cast("long").alias("rows"))
+    rows = materialise(tracking(spark, feeds, only))
     sinks.write_tracking(rows, f"{out}/tracking")
     ids = matches.select("match_id", "home_team_id", "away_team_id")
     sinks.write_frame_lines(sinks.frame_lines(sinks.nest_frames(rows.join(ids, "match_id"))), f"{out}/frames")
@@ -87,16 +89,11 @@ def run(spark: SparkSession, feeds: Feeds, out: str, *, resume: bool = True) ->
     sheets = match_sheets(
         rows, pending, _union(spark, feeds, "rosters"), _union(spark, feeds, "referees"), _union(spark, feeds, "directions")
     )
-    sheets.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source").json(f"{out}/sheets")
-    made = materialise(actions(spark, feeds).join(todo, "match_id", "left_semi"))
-    sinks.write_actions(made, f"{out}/actions", f"{out}/event_lines")
-    counted = rows.groupBy("match_id").agg(F.count(F.lit(1)).alias("rows"))
-    status = (
+    sinks.write_sheets(sheets, f"{out}/sheets")
+    sinks.write_actions(materialise(actions(spark, feeds, only)), f"{out}/actions", f"{out}/event_lines")
+    counted = materialise(rows.groupBy("match_id").agg(F.count(F.lit(1)).alias("rows")))
+    counted.select("match_id").write.mode("append" if resume else "overwrite").parquet(marks)
+    verdict = (
         F.when(F.col("_todo").isNull(), "skipped").when(F.col("rows").isNull(), "failed").otherwise("ok")
     )
-    return (
-        matches.select("match_id", "source")
-        .join(todo.withColumn("_todo", F.lit(True)), "match_id", "left")
-        .join(counted, "match_id", "left")
-        .select("match_id", "source", status.alias("status"), "rows")
-    )
+    return status.join(counted, "match_id", "left").select("match_id", "source", verdict.alias("status"), "rows")

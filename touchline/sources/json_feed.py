@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,33 @@ def _match_id() -> Column:
     return F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
 
 
+def _of(rows: DataFrame, only: Sequence[str] | None) -> DataFrame:
+    """Rows of the matches in ``only``; the filter on paths skips the files of others."""
+    return rows if only is None else rows.filter(_match_id().isin(*only))
+
+
+def read_csv(spark: SparkSession, pattern: str, columns: Sequence[str], only: Sequence[str] | None = None) -> DataFrame:
+    """(match_id, columns) of CSV files, matched by the names in each file's own header.
+
+    Files with the same header are read together; a column that a header lacks is null. One
+    row per file reaches the driver, as it does when files are listed.
+    """
+    whole = _of(spark.read.text(pattern, wholetext=True), only)
+    head = F.regexp_extract("value", "^\ufeff?([^\r\n]*)", 1)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    found = whole.select(head.alias("head"), path.alias("path")).collect()
+    out: DataFrame | None = None
+    for header in sorted({row["head"] for row in found}):
+        rows = spark.read.option("header", True).csv([row["path"] for row in found if row["head"] == header])
+        named = [F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        part = rows.select(_match_id().alias("match_id"), *named)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        fields = ", ".join(f"`{name}` string" for name in ("match_id", *columns))
+        return spark.createDataFrame([], fields)
+    return out
+
+
 def sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Match sheets, one row per match, as delivered."""
     rows = spark.read.schema(schemas.MATCH_JSON).option("multiLine", True).json(f"{folder}/matches/*/*_match.json")
@@ -116,30 +145,30 @@ def directions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, folder: str) -> DataFrame:
+def frames(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """Frames with nested players; lines that do not parse are dropped."""
     rows = (
         spark.read.schema(schemas.FRAME_JSON)
         .option("mode", "PERMISSIVE")
         .json(f"{folder}/matches/*/*_tracking_extrapolated.jsonl")
     )
-    named = rows.select(_match_id().alias("match_id"), *schemas.FRAME_JSON.names)
+    named = _of(rows, only).select(_match_id().alias("match_id"), *schemas.FRAME_JSON.names)
     good = F.col("_corrupt_record").isNull() & F.col("frame").isNotNull() & F.col("period").isNotNull()
     return named.filter(good).drop("_corrupt_record")
 
 
-def phases(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.option("header", True).csv(f"{folder}/matches/*/*_phases_of_play.csv")
-    return rows.select(
-        _match_id().alias("match_id"),
+def phases(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+    pattern = f"{folder}/matches/*/*_phases_of_play.csv"
+    return read_csv(spark, pattern, ("frame_start", "frame_end"), only).select(
+        "match_id",
         F.col("frame_start").try_cast("double").cast("long").alias("frame_start"),
         F.col("frame_end").try_cast("double").cast("long").alias("frame_end"),
     )
 
 
-def tracking(spark: SparkSession, folder: str) -> DataFrame:
+def tracking(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """Player rows at native 10 Hz with clock, ball, possession and step kinematics."""
-    shots = frames(spark, folder)
+    shots = frames(spark, folder, only)
     offset = sheets(spark, folder).select(
         "match_id", _text("home_team.id").alias("home_team_id"), _text("away_team.id").alias("away_team_id"),
         (_first_half_seconds(0.0) + K.HALF_TIME_BREAK_SECONDS).alias("_second"),
@@ -148,7 +177,7 @@ def tracking(spark: SparkSession, folder: str) -> DataFrame:
         "match_id", "player_id", "player_name", "team_id", "team_name", "position_raw", "position_label", "position_group"
     )
     in_play = in_latest_interval(
-        shots.select("match_id", "frame").distinct(), phases(spark, folder), keys=["match_id"], point="frame",
+        shots.select("match_id", "frame").distinct(), phases(spark, folder, only), keys=["match_id"], point="frame",
         start="frame_start", end="frame_end", name="ball_status",
     )
     owner = roster.select("match_id", F.col("player_id").alias("_owner"), F.col("team_id").alias("_owner_team"))
@@ -192,13 +221,11 @@ def tracking(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("home_team_id")
 
 
-def raw_events(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.option("header", True).csv(f"{folder}/matches/*/*_dynamic_events.csv")
-    named = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in schemas.EVENTS_CSV_COLUMNS]
-    return rows.select(_match_id().alias("match_id"), *named)
+def raw_events(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+    return read_csv(spark, f"{folder}/matches/*/*_dynamic_events.csv", schemas.EVENTS_CSV_COLUMNS, only)
 
 
-def actions(spark: SparkSession, folder: str) -> DataFrame:
+def actions(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """Actions at the end of player possessions, oriented and on the UTC clock."""
     info = sheets(spark, folder).select(
         "match_id",
@@ -208,7 +235,7 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
     )
     sides = directions(spark, folder).drop("source")
     number = F.col("period").try_cast("double").cast("int")
-    rows = raw_events(spark, folder).filter(F.col("event_type") == "player_possession").withColumn("_n", number)
+    rows = raw_events(spark, folder, only).filter(F.col("event_type") == "player_possession").withColumn("_n", number)
 
     def utc(clock: str) -> Column:
         start = F.when(F.col("_n") == 2, F.col("_second")).otherwise(0.0)

@@ -128,6 +128,11 @@ def write_actions(actions: DataFrame, path: str, lines_path: str | None = None,
         )
 
 
+def write_sheets(sheets: DataFrame, path: str, *, mode: str = "overwrite") -> None:
+    """JSON by source and match; only the partitions of the given matches are replaced."""
+    sheets.write.option("partitionOverwriteMode", "dynamic").mode(mode).partitionBy("source", "match_id").json(path)
+
+
 def pending(discovered: DataFrame, written: DataFrame | None, key: Sequence[str] = ("match_id",)) -> DataFrame:
     """Discovered keys that have no output yet."""
     keys = discovered.select(*key).distinct()

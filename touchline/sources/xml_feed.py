@@ -5,6 +5,8 @@ Files pair up by the match id at the end of their names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,12 @@ from touchline.session import materialise
 INFO, EVENTS, POSITIONS = "*matchinformation*.xml", "*events_raw*.xml", "*positions_raw*.xml"
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema) -> DataFrame:
+def _read(spark: SparkSession, path: str, tag: str, schema, only: Sequence[str] | None = None) -> DataFrame:
+    """Rows of all files, or of the matches in ``only``: the filter on file names skips the other files."""
     rows = spark.read.schema(schema).option("rowTag", tag).xml(path)
     match_id = F.regexp_extract("_metadata.file_name", r"([^_]+)\.xml$", 1)
+    if only is not None:
+        rows = rows.filter(match_id.isin(*only))
     return rows.select(match_id.alias("match_id"), *[F.col(f"`{c}`") for c in schema.names])
 
 
@@ -118,9 +123,9 @@ def base_rosters(spark: SparkSession, folder: str) -> DataFrame:
     ).filter(F.col("team_id").isNotNull() & F.col("player_id").isNotNull())
 
 
-def raw_events(spark: SparkSession, folder: str) -> DataFrame:
+def raw_events(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """Raw events in file order (``seq``) with their nested children."""
-    rows = _read(spark, f"{folder}/{EVENTS}", "Event", schemas.EVENT)
+    rows = _read(spark, f"{folder}/{EVENTS}", "Event", schemas.EVENT, only)
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -182,9 +187,9 @@ def directions(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("source", F.lit(K.SOURCE_XML))
 
 
-def positions(spark: SparkSession, folder: str) -> DataFrame:
+def positions(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """All raw position rows: players, ball and referees at 25 Hz."""
-    rows = _read(spark, f"{folder}/{POSITIONS}", "FrameSet", schemas.FRAME_SET)
+    rows = _read(spark, f"{folder}/{POSITIONS}", "FrameSet", schemas.FRAME_SET, only)
     section = F.col("_GameSection")
     return rows.select(
         "match_id",
@@ -205,9 +210,9 @@ def is_player(team: str = "team_id") -> Column:
     return F.coalesce(~F.col(team).isin("BALL", "referee"), F.lit(False))
 
 
-def tracking(spark: SparkSession, folder: str) -> DataFrame:
+def tracking(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """Player rows thinned to 10 Hz, with ball, roster and native kinematics."""
-    raw = positions(spark, folder)
+    raw = positions(spark, folder, only)
     info = matches(spark, folder).select("match_id", "home_team_id", "away_team_id", "competition")
     frame = ["match_id", "period", "frame_id_source"]
     ball = F.when(F.col("team_id") == "BALL", F.struct("x", "y", F.coalesce("z", F.lit(0.0)).alias("z"), "ball_code", "poss_code"))
@@ -239,13 +244,13 @@ def tracking(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def actions(spark: SparkSession, folder: str) -> DataFrame:
+def actions(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """Normalised actions: classified, oriented, offsides marked, throw-ins re-keyed."""
     info = matches(spark, folder).select("match_id", "home_team_id", "competition_name")
     sheet = base_rosters(spark, folder).select(
         "match_id", "player_id", F.col("short_name").alias("player_name"), F.col("team_id").alias("_team"), "team_name"
     )
-    events = raw_events(spark, folder)
+    events = raw_events(spark, folder, only)
     starts = kickoffs(events, info)
     # As for actions only: a missing first half is not inferred from the second.
     sides = E.play_direction(starts, infer_first=False)
