@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import slices, with_arrow_columns
+from touchline.llm.common import bound_batches, slices, with_arrow_columns
 
 BATCH_BYTES = 4 << 20
-MAX_CACHED_PIECES = 200_000
+MAX_CACHED_PIECES = 100_000
 MAX_CACHED_LENGTH = 64
 ENCODE_AT_ONCE = 64 << 10
 #: Between two characters that are not white space, before a single space.
@@ -261,6 +261,7 @@ def encode(
     starts or ends are replaced. ``serialised`` comes from ``tokenizer_json``; no special
     tokens are added or recognised.
     """
+    bound_batches(docs.sparkSession)
     names = ("ids", "starts", "ends") if offsets else ("ids",)
     df = docs.drop(*(name for name in names if name != text)).withColumn(text, F.coalesce(F.col(text), F.lit("")))
     dropped = (text,) if not keep_text else ()

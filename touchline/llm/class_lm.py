@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import free_name, slices, word_lists
+from touchline.llm.common import bound_batches, free_name, slices, word_lists
 from touchline.session import materialise
 
 BATCH_BYTES = 4 << 20
@@ -32,7 +32,7 @@ FREQUENT_WORDS = 65_536
 EXCHANGED_WORDS, CLASSES, SWEEPS = 1024, 64, 8
 SMOOTHING = 0.1
 SHAPES = 32
-_DISTINCT_AT_ONCE = 300_000
+_DISTINCT_AT_ONCE = 200_000
 
 
 def shape(word: bytes) -> int:
@@ -205,6 +205,7 @@ def train(
     exchanged_words: int = EXCHANGED_WORDS, classes: int = CLASSES,
 ) -> ClassModel:
     """Count words and class bigrams over all rows of ``docs``; null texts are empty ones."""
+    bound_batches(docs.sparkSession)
     vocabulary = materialise(count_words(docs, text))
     texts = docs.count()
     levels = (

@@ -52,6 +52,11 @@ def joinable(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(written) if written.count() <= max_rows else written
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the Arrow batches that the session hands to Python by bytes; texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``max_bytes`` in each; one row at least."""
     for batch in batches:

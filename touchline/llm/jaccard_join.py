@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import slices, word_lists
+from touchline.llm.common import bound_batches, slices, word_lists
 from touchline.session import materialise
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -41,7 +41,7 @@ LABEL_ROUNDS = 2
 #: One more prefix hash, and one more match, for every so many hashes of a set.
 MATCH_EVERY = 16
 PRUNE_ROUNDS = 2
-_WORDS_REMEMBERED = 400_000
+_WORDS_REMEMBERED = 150_000
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -359,6 +359,7 @@ def link(
     compared by 64-bit hashes of their shingles. An empty table gives an empty result; other
     columns are ignored, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     bodies = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(size / 96 + 1)), SKETCH_BITS[0]), SKETCH_BITS[1])

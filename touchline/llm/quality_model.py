@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import free_name, slices, with_arrow_columns
+from touchline.llm.common import bound_batches, free_name, slices, with_arrow_columns
 
 BATCH_BYTES = 4 << 20
 #: Labelled rows used to fit a model, those of the smallest hashes.
@@ -81,6 +81,7 @@ def statistics(body: bytes) -> list[float]:
 
 def measure(docs: DataFrame, text: str = "text", out: str = "statistics", keep_text: bool = True) -> DataFrame:
     """Add the array ``out`` to every row; a null text counts as empty. Nothing is shuffled."""
+    bound_batches(docs.sparkSession)
     body = free_name(docs, "measured_body")
     df = docs.drop(*(() if out == text else (out,))).withColumn(body, F.coalesce(F.col(text), F.lit("")).cast("binary"))
     dropped = (body,) if keep_text else (body, text)

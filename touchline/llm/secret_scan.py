@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import free_name, shared_files, slices
+from touchline.llm.common import bound_batches, free_name, shared_files, slices
 
 BATCH_BYTES = 4 << 20
 
@@ -104,6 +104,7 @@ def scan(docs: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ..
     named blob or findings are replaced.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     df = docs.drop(*(name for name in ("blob", "findings") if name != text))
     body = free_name(df, "scan_body")
     named = df.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))

@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.byte_bpe import PieceCache, PieceEncoder
-from touchline.llm.common import free_name, joinable, shared_files, slices, write_file
+from touchline.llm.common import bound_batches, free_name, joinable, shared_files, slices, write_file
 
 BATCH_BYTES = 4 << 20
 KEYS_PER_BUCKET = 100_000
 RANGE_BYTES = 8 << 20
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 _GAMMA = 1.5
 
 
@@ -154,6 +154,7 @@ def write(
     stored, whatever their names.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     width = id_width(tokenizer_path, end_id)
     end = end_id.to_bytes(width, "little")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import shared_files, slices, write_file
+from touchline.llm.common import bound_batches, shared_files, slices, write_file
 
 MIN_REVISIT_BYTES = 1000
 SAMPLE_BYTES = 2 << 20
@@ -136,6 +136,7 @@ def write(
     are all written, each as the page's verdict says. Other columns are not archived,
     whatever their names. An empty table writes no archive.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("body"),
