@@ -146,6 +146,24 @@ def test_exact_quantiles_match_numpy(spark, whole_below):
         assert np.allclose([got[g].lo, got[g].mid, got[g].hi], np.quantile(vals, [0.1, 0.5, 0.99]))
 
 
+def test_speed_memory_survives_repeated_times(spark):
+    times = [0.0, 1.0, 1.0, 1.0, 1.0, 2.0, 4.0, 4.0, 5.0]
+    rows = [("a", i, t, float(i * i), 0.0) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "k string, f long, t_s double, x double, y double").withColumn("vis", F.lit(True))
+    want, last_speed = [None], None
+    for i in range(1, len(times)):
+        dt = times[i] - times[i - 1]
+        gained = None
+        if dt > 0:
+            speed = (i * i - (i - 1) ** 2) / dt
+            gained = None if last_speed is None else (speed - last_speed) / dt
+            last_speed = speed
+        want.append(gained)
+    for cut in ({}, {"span": 3, "rows": 2}):
+        got = T.raw_view_with_resets(df, ["k"], "f", visible="vis", **cut).orderBy("f").collect()
+        assert [r.acceleration_ms2 for r in got] == pytest.approx(want)
+
+
 def test_exact_quantiles_of_many_columns_with_outliers_and_nulls(spark):
     rng = np.random.default_rng(4)
     n = 3000

@@ -144,7 +144,7 @@ def coverage(df: DataFrame) -> DataFrame:
     """Tracked minutes per match and half."""
     def minutes(condition: Column | None = None) -> Column:
         frame = F.col("frame_id") if condition is None else F.when(condition, F.col("frame_id"))
-        return F.round(F.count_distinct(frame) / F.lit(float(K.FRAMES_PER_MINUTE)) + 1e-9, 2)
+        return F.round(F.count_distinct(frame) / F.lit(float(K.FRAMES_PER_MINUTE)), 2)
 
     return df.groupBy("source", "match_id").agg(
         F.count_distinct("frame_id").alias("n_frames"),
@@ -215,14 +215,18 @@ def cadence(
     keys: Sequence[str] = TRACK_KEYS,
     order: str = "frame_id",
     seconds: str = "t_s",
+    near: tuple[float, float] = (0.079, 0.121),
+    name: str = "frac_in_0_08_to_0_12",
     span: int = DEFAULT_SPAN,
     rows: int = DEFAULT_ROWS,
 ) -> DataFrame:
-    """Distribution of the time between consecutive rows of a player, per source."""
+    """Distribution of the time between consecutive rows of a player, per source.
+
+    ``name`` is the share of steps within ``near``.
+    """
     steps = time_steps(df, keys, order, seconds=seconds, span=span, rows=rows)
     ok = steps.filter((F.col("dt_s") > 0) & (F.col("dt_s") < 5.0)).select("source", "dt_s")
-    near = (F.col("dt_s") >= 0.079) & (F.col("dt_s") <= 0.121)
-    return _distribution(ok, "dt_s", {"frac_in_0_08_to_0_12": share(near)})
+    return _distribution(ok, "dt_s", {name: share(F.col("dt_s").between(*near))})
 
 
 def _diffs(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], span: int, rows: int) -> DataFrame:

@@ -204,11 +204,16 @@ def domain_classifier(
 ) -> tuple[DataFrame, DataFrame]:
     """Cross-validated accuracy of telling the sources apart, and mean importances.
 
-    Whole groups stay on one side of a split, with both sources on both sides. Returns
+    Whole groups stay on one side of a split, with both sources on both sides. If a source has
+    a single group, rows are dealt into folds by a hash of their features instead. Returns
     one row per fold and the mean importances of all features.
     """
     settings = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 1, **params}
-    dealt = materialise(group_folds(df, group=group, strata=[source], folds=folds, seed=seed))
+    groups = df.groupBy(source).agg(F.count_distinct(group).alias("n")).agg(F.min("n")).first()[0] or 0
+    if groups >= 2:
+        dealt = materialise(group_folds(df, group=group, strata=[source], folds=folds, seed=seed))
+    else:
+        dealt = materialise(df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds))))
     numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())
     parts, totals = None, [0.0] * len(features)
     for fold in numbers:

@@ -471,11 +471,10 @@ def _plain_kinematics(
 ) -> DataFrame:
     """Distance, speed, acceleration between neighbours of the same era.
 
-    The speed memory survives a step without positive duration, so acceleration compares
-    with the last speed that exists; two rows of look-back are enough while durations are
-    positive, which an increasing clock guarantees.
+    The speed memory survives any number of steps without positive duration: acceleration
+    compares with the last speed that exists in the era.
     """
-    chunks = open_series(df, keys, order, before=2, span=span, rows=rows)
+    chunks = open_series(df, keys, order, before=1, span=span, rows=rows)
     w = chunks.window()
     same = F.lit(True) if era is None else F.col(era) == F.lag(era).over(w)
     dt = F.col(seconds) - F.lag(seconds).over(w)
@@ -483,11 +482,11 @@ def _plain_kinematics(
     moved = S.distance(F.col(x), F.col(y), F.lag(x).over(w), F.lag(y).over(w))
     out = out.withColumn("distance_m", F.when(F.col("_dt").isNotNull(), moved))
     out = out.withColumn("_ms", F.col("distance_m") / F.col("_dt"))
-    out = out.withColumn("speed_kmh", F.col("_ms") * 3.6)
-    out = out.withColumn(
-        "acceleration_ms2", F.when(same, (F.col("_ms") - F.lag("_ms").over(w)) / F.col("_dt"))
-    )
-    return chunks.with_df(out.drop("_dt", "_ms")).close()
+    moved_rows = chunks.with_df(out.withColumn("speed_kmh", F.col("_ms") * 3.6)).close()
+    series = list(keys) if era is None else [*keys, era]
+    remembered = last_seen(moved_rows, series, order, F.col("_ms"), "_last_ms", inclusive=False, span=span)
+    gained = (F.col("_ms") - F.col("_last_ms")) / F.col("_dt")
+    return remembered.withColumn("acceleration_ms2", gained).drop("_dt", "_ms", "_last_ms")
 
 
 def visible_segments(

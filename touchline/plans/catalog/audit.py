@@ -247,12 +247,8 @@ ok as (select * from s where dt > 0 and dt < 5),
 """,
 )
 def cadence(t: Tables) -> DataFrame:
-    from touchline.operators.trajectory import time_steps
-
     df = t.tracking().withColumn("t_s", F.col("t_kin_ms") / 1000.0)
-    steps = time_steps(df, KEYS, "fi").filter("dt_s > 0 and dt_s < 5").select("source", "dt_s")
-    near = (F.col("dt_s") >= 0.779) & (F.col("dt_s") <= 0.821)
-    return _floats(D._distribution(steps, "dt_s", {"frac_near": D.share(near)}))
+    return _floats(D.cadence(df, keys=KEYS, order="fi", near=(0.779, 0.821), name="frac_near"))
 
 
 @query(
