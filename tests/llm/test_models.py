@@ -65,15 +65,15 @@ def test_scores_equal_brute_force(spark, frequent):
     total, distinct = sum(trained.values()), len(trained)
     out = class_lm.score(docs, model).collect()
     assert len(out) == len(rows) and {(r["word"], r["row_id"]) for r in out} == {("w", 7)}
-    states = class_lm.States(model.exchanged)
+    states = class_lm.States(model.frequent, model.exchanged)
 
     def state(token):
-        return states.end if token is None else int(states.of([token])[0])
+        return states.end if token is None else int(states.state_of[states.code([token])[0]])
 
     held = Counter()
     for token, n in trained.items():
         held[model.classes[state(token)]] += n + 1
-    for at in range(len(model.exchanged), states.end):
+    for at in range(model.exchanged, states.end):
         held[model.classes[at]] += 1
     pairs = Counter()
     for r in rows:

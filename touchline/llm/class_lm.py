@@ -35,12 +35,15 @@ SHAPES = 32
 _DISTINCT_AT_ONCE = 200_000
 
 
+_DIGITS = b"0123456789"
+
+
 def shape(word: bytes) -> int:
-    """Class of a word outside the exchange: length, last character, digits, wide characters."""
+    """Class of a word outside the exchange: length, last character, wide characters, digits."""
     length = len(word)
     size = 0 if length <= 4 else 1 if length <= 7 else 2 if length <= 11 else 3
     ended = word[-1:] in b".,;:!?"
-    return size * 8 + ended * 4 + (not word.isascii()) * 2 + any(48 <= byte < 58 for byte in word)
+    return size * 8 + ended * 4 + (not word.isascii()) * 2 + (len(word.translate(None, _DIGITS)) < length)
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -68,60 +71,67 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return bodies.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Codes(dict):
+    """Code of each word: its place among the frequent ones, or behind them its shape.
+
+    Words that are not frequent are noted in ``rare``.
+    """
+
+    def __init__(self, frequent: list[bytes]):
+        super().__init__(zip(frequent, range(len(frequent))))
+        self.frequent = len(frequent)
+        self.rare: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.rare.append(word)
+        return self.frequent + shape(word)
+
+
 class States:
-    """Numbers the words of a text: exchanged words, then shapes, then the text's end."""
+    """Numbers words by code and by state: exchanged words, then shapes, then the text's end."""
 
-    def __init__(self, exchanged: list[bytes]):
-        self.end = len(exchanged) + SHAPES
+    def __init__(self, frequent: list[bytes], exchanged: int):
+        self.codes = _Codes(frequent)
+        self.end = exchanged + SHAPES
         self.size = self.end + 1
-        self._first_shape = len(exchanged)
-        self._known = {word: at for at, word in enumerate(exchanged)}
-        self._remembered: dict[bytes, int] = {}
-
-    def _state(self, word: bytes) -> int:
-        if len(self._remembered) > _DISTINCT_AT_ONCE:
-            self._remembered.clear()
-            self._remembered.update(self._known)
-        found = self._remembered[word] = self._first_shape + shape(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if not self._remembered:
-            self._remembered.update(self._known)
-        found = list(map(self._remembered.get, words))
-        if None in found:
-            known = self._remembered
-            found = [self._state(word) if (at := known.get(word)) is None else at for word in words]
-        return np.array(found, np.int64)
-
-    def path(self, body: bytes) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-        """Words, the states before them, and their own; the end comes last, without a word."""
+        shapes = [exchanged + number for number in range(SHAPES)]
+        self.state_of = np.array(
+            [at if at < exchanged else exchanged + shape(word) for at, word in enumerate(frequent)] + shapes
+        )
+
+    def code(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+
+    def path(self, body: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Codes of words, the states before them, and their own; the end comes last, without a code."""
         before = self.end
         for words in word_lists(body.lower()):
             if words:
-                states = self.of(words)
-                yield words, np.concatenate([[before], states[:-1]]), states
+                codes = self.code(words)
+                states = self.state_of[codes]
+                yield codes, np.concatenate([[before], states[:-1]]), states
                 before = int(states[-1])
-        yield [], np.array([before]), np.array([self.end])
+        yield np.empty(0, np.int64), np.array([before]), np.array([self.end])
 
 
-def count_transitions(docs: DataFrame, exchanged: list[bytes], text: str = "text") -> np.ndarray:
+def count_transitions(docs: DataFrame, frequent: list[bytes], exchanged: int, text: str = "text") -> np.ndarray:
     """Counts of successive states over all texts; (exchanged words + shapes + 1) squared cells."""
-    size = States(exchanged).size
+    size = exchanged + SHAPES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = States(exchanged)
+        states = States(frequent, exchanged)
         counts = np.zeros(size * size, np.int64)
         for batch in slices(batches, "body", BATCH_BYTES):
-            codes = [
+            cells = [
                 before * size + own
                 for body in batch.column("body").to_pylist()
                 for _, before, own in states.path(body)
             ]
-            if codes:
-                counts += np.bincount(np.concatenate(codes), minlength=size * size)
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
+            states.codes.rare.clear()
+            if cells:
+                counts += np.bincount(np.concatenate(cells), minlength=size * size)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
 
     bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     cells = bodies.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -190,8 +200,9 @@ class ClassModel:
     """What scoring needs: bounded tables for the tasks, and the counts of all words as a table."""
 
     vocabulary: DataFrame
-    frequent: dict[bytes, float]
-    exchanged: list[bytes]
+    frequent: list[bytes]
+    counted: np.ndarray
+    exchanged: int
     classes: np.ndarray
     transitions: np.ndarray
     emissions: np.ndarray
@@ -222,32 +233,35 @@ def train(
         least = 2 ** row["level"]
     rows = [] if least is None else vocabulary.filter(F.col("n") >= least).collect()
     rows = sorted(((int(row["n"]), bytes(row["word"])) for row in rows), key=lambda row: (-row[0], row[1]))
-    exchanged = [word for _, word in rows[:exchanged_words]]
-    counts = count_transitions(docs, exchanged, text)
-    own = exchange(counts, len(exchanged), classes)
+    frequent = [word for _, word in rows]
+    exchanged = min(len(rows), exchanged_words)
+    counts = count_transitions(docs, frequent, exchanged, text)
+    own = exchange(counts, exchanged, classes)
     groups = int(own.max()) + 1
     member = np.zeros((len(own), groups))
     member[np.arange(len(own)), own] = 1
     pairs = member.T @ counts @ member
     transitions = np.log10((pairs + SMOOTHING) / (pairs.sum(axis=1, keepdims=True) + SMOOTHING * groups))
-    held = _class_sizes(vocabulary, exchanged, own, groups)
+    held = _class_sizes(vocabulary, frequent, exchanged, own, groups)
     emissions = np.log10(np.maximum(held, 1.0))
     emissions[own[-1]] = 0.0
     words = sum(row["words"] for row in levels)
     return ClassModel(
-        vocabulary, {word: math.log10(n + 1) for n, word in rows}, exchanged, own, transitions, emissions,
+        vocabulary, frequent, np.log10(np.array([n for n, _ in rows] + [0] * SHAPES) + 1.0), exchanged, own, transitions,
+        emissions,
         sum(row["tokens"] for row in levels) + texts, texts, words + (texts > 0),
     )
 
 
-def _class_sizes(vocabulary: DataFrame, exchanged: list[bytes], own: np.ndarray, groups: int) -> np.ndarray:
+def _class_sizes(vocabulary: DataFrame, frequent: list[bytes], exchanged: int, own: np.ndarray, groups: int) -> np.ndarray:
     """Per class its tokens, its distinct words, and for shapes one more for unseen words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = States(exchanged)
+        states = States(frequent, exchanged)
         sums = np.zeros(states.size)
         for batch in batches:
-            at = states.of(batch.column("word").to_pylist())
+            at = states.state_of[states.code(batch.column("word").to_pylist())]
+            states.codes.rare.clear()
             sums += np.bincount(at, batch.column("n").to_numpy() + 1.0, states.size)
         cells = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[cells])], ["state", "held"])
@@ -256,7 +270,7 @@ def _class_sizes(vocabulary: DataFrame, exchanged: list[bytes], own: np.ndarray,
     held = np.zeros(groups)
     for row in rows:
         held[own[row["state"]]] += row["held"]
-    held[own[len(exchanged) : len(exchanged) + SHAPES]] += 1
+    held[own[exchanged : exchanged + SHAPES]] += 1
     return held
 
 
@@ -282,7 +296,8 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     names = [f.name for f in kept]
     out = ("n_tokens", walked_name, counted_name, known_name, rare_name, times_name)
     kinds = (T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.BinaryType()), T.ArrayType(T.IntegerType()))
-    run = partial(_walk, names, body, out, model.frequent, model.exchanged, model.classes, model.transitions, model.emissions)
+    tables = (model.counted, model.classes, model.transitions, model.emissions)
+    run = partial(_walk, names, body, out, model.frequent, model.exchanged, *tables)
     walked = materialise(df.mapInArrow(run, T.StructType(kept + [T.StructField(n, k) for n, k in zip(out, kinds)])))
     rare = (
         walked.select(row_id, F.explode(F.arrays_zip(F.col(rare_name).alias("word"), F.col(times_name).alias("times"))).alias("entry"))
@@ -305,22 +320,22 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     )
 
 
-def _walk(names, body, added, frequent, exchanged, classes, transitions, emissions, batches) -> Iterator[pa.RecordBatch]:
-    states = States(exchanged)
+def _walk(
+    names, body, added, frequent, exchanged, counted_of, classes, transitions, emissions, batches
+) -> Iterator[pa.RecordBatch]:
+    states = States(frequent, exchanged)
     for batch in slices(batches, body, BATCH_BYTES):
         out: list[list] = [[], [], [], [], [], []]
         for whole in batch.column(body).to_pylist():
             tokens, walked, counted, known = 0, 0.0, 0.0, 0
-            rare: Counter = Counter()
-            for words, before, own in states.path(whole):
+            for codes, before, own in states.path(whole):
                 to = classes[own]
                 walked += float((transitions[classes[before], to] - emissions[to]).sum())
                 tokens += len(own)
-                values = [value for value in map(frequent.get, words) if value is not None]
-                counted += math.fsum(values)
-                known += len(values)
-                if len(values) < len(words):
-                    rare.update(word for word in words if word not in frequent)
+                counted += float(counted_of[codes].sum())
+                known += int((codes < len(frequent)).sum())
+            rare = Counter(states.codes.rare)
+            states.codes.rare.clear()
             for column, value in zip(out, (tokens, walked, counted, known, list(rare), list(rare.values()))):
                 column.append(value)
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
