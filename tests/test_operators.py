@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +172,14 @@ def test_wilcoxon_small_exact_and_ties(spark):
     assert out["g"].w_plus == 15 and out["g"].p_value == pytest.approx(0.0625)
     assert out["t"].n == 4 and out["t"].w_plus == 8
     assert out["o"].p_value is None
+    normal = {r.g: r.p_value for r in M.wilcoxon(spark.createDataFrame(rows, "g string, d double"), ["g"], "d", method="normal").collect()}
+    assert normal["g"] == pytest.approx(math.erfc(abs(out["g"].z) / math.sqrt(2)), rel=1e-6)
+
+
+def test_normal_tail_far_out(spark):
+    df = spark.createDataFrame([(float(z),) for z in (0, 1, -2.5, 6, 12, 30)], "z double")
+    got = df.select("z", M.normal_two_sided(F.col("z")).alias("p")).collect()
+    assert all(r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-6) for r in got)
 
 
 def test_metrics_by_hand(spark):

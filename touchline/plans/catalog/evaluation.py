@@ -166,6 +166,22 @@ def metrics_clf(t: Tables) -> DataFrame:
     return _floats(M.classification_metrics(t.view("preds_v"), ["cell_id"]))
 
 
+@query(
+    "positive_rates",
+    "preds_v",
+    f"""
+with b as (select cell_id, cast(y_true = 'R' as int) as t, cast(y_pred = 'R' as int) as g from preds_v)
+select cell_id, round(case when count(distinct t) = 2 then avg(t) end + 1e-9, 6) as positive_rate_true,
+  round(case when count(distinct t) = 2 then avg(g) end + 1e-9, 6) as positive_rate_pred from b group by 1
+""",
+)
+def positive_rates(t: Tables) -> DataFrame:
+    binary = t.view("preds_v").select(
+        "cell_id", (F.col("y_true") == "R").cast("int").alias("y_true"), (F.col("y_pred") == "R").cast("int").alias("y_pred")
+    )
+    return _floats(M.positive_rates(binary, ["cell_id"]))
+
+
 @query(
     "metrics_reg",
     "preds_v",
@@ -240,12 +256,18 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in ("ci_low", "ci_high")})
 
 
-_WILCOXON = """
+_ERFC = ""
+for _coefficient in M.ERFC_FIT:
+    _ERFC = f"({_ERFC} * t + {_coefficient})" if _ERFC else str(_coefficient)
+_WILCOXON = f"""
 ab as (select target_source, train_size, compare_regime, abs(delta_macro_f1) as a, count(*) as t, count(*) filter (delta_macro_f1 > 0) as pos
   from deltas where delta_macro_f1 <> 0 group by 1, 2, 3, 4),
 ra as (select *, coalesce(sum(t) over (partition by target_source, train_size, compare_regime order by a rows between unbounded preceding and 1 preceding), 0)
   + (t + 1) / 2.0 as rk from ab),
-wx as (select target_source, train_size, compare_regime, sum(rk * pos) as w_plus, sum(t) as n, sum(t * t * t - t) as ties from ra group by 1, 2, 3)
+wx as (select target_source, train_size, compare_regime, sum(rk * pos) as w_plus, sum(t) as n, sum(t * t * t - t) as ties from ra group by 1, 2, 3),
+zs as (select *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) as z from wx),
+xs as (select *, abs(z) / sqrt(2.0) as x, 1 / (1 + abs(z) / sqrt(2.0) / 2) as t from zs),
+pv as (select target_source, train_size, compare_regime, w_plus, n, z, case when n >= 2 then t * exp({_ERFC} - x * x) end as p_value from xs)
 """
 
 
@@ -255,29 +277,29 @@ wx as (select target_source, train_size, compare_regime, sum(rk * pos) as w_plus
     f"""
 with {_PAIRS.strip()}, {_WILCOXON.strip()}
 select target_source, train_size, compare_regime, w_plus, cast(n as bigint) as n,
-  round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) + 1e-9, 6) as z from wx
+  round(z + 1e-9, 6) as z, round(p_value + 1e-9, 6) as p_value from pv
 """,
 )
 def wilcoxon(t: Tables) -> DataFrame:
-    out = M.wilcoxon(deltas(t), _GROUPS, "delta_macro_f1").drop("p_value")
-    return rounded(out, ["z"])
+    return rounded(M.wilcoxon(deltas(t), _GROUPS, "delta_macro_f1", method="normal"), ["z", "p_value"])
 
 
 @query(
     "paired_summary",
     "measurements_v",
     f"""
-with {_PAIRS.strip()}, {_BOOT.strip()},
+with {_PAIRS.strip()}, {_BOOT.strip()}, {_WILCOXON.strip()},
 s as (select target_source, train_size, compare_regime, avg(delta_macro_f1) as mean, coalesce(stddev_samp(delta_macro_f1), 0) as sd, count(*) as n_pairs from deltas group by 1, 2, 3)
 select s.target_source, s.train_size, s.compare_regime, round(mean + 1e-9, 4) as mean, round(sd + 1e-9, 4) as std,
   round(case when n_pairs > 1 then 1.96 * sd / sqrt(n_pairs) else 0 end + 1e-9, 4) as ci95, n_pairs,
-  round(ci_low + 1e-9, 4) as ci_low, round(ci_high + 1e-9, 4) as ci_high
+  round(ci_low + 1e-9, 4) as ci_low, round(ci_high + 1e-9, 4) as ci_high, round(p_value + 1e-9, 4) as p_value
 from s left join bo on s.target_source = bo.target_source and s.train_size = bo.train_size and s.compare_regime = bo.compare_regime
+left join pv on s.target_source = pv.target_source and s.train_size = pv.train_size and s.compare_regime = pv.compare_regime
 """,
 )
 def paired_summary(t: Tables) -> DataFrame:
-    out = M.paired_summary(deltas(t), _GROUPS, "delta_macro_f1", resamples=500).drop("p_value")
-    names = ("mean", "std", "ci95", "ci_low", "ci_high")
+    out = M.paired_summary(deltas(t), _GROUPS, "delta_macro_f1", resamples=500, method="normal")
+    names = ("mean", "std", "ci95", "ci_low", "ci_high", "p_value")
     return out.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in names})
 
 
@@ -285,15 +307,16 @@ def paired_summary(t: Tables) -> DataFrame:
     "forest_table",
     "measurements_v",
     f"""
-with {_PAIRS.strip()}, {_BOOT.strip()},
+with {_PAIRS.strip()}, {_BOOT.strip()}, {_WILCOXON.strip()},
 s as (select target_source, train_size, compare_regime, avg(delta_macro_f1) as mean from deltas where compare_regime = 'merged_same_n' group by 1, 2, 3)
 select 'stand_in' as task, s.target_source, s.train_size, s.compare_regime, round(mean + 1e-9, 4) as mean, round(coalesce(ci_low, mean) + 1e-9, 4) as lo,
-  round(coalesce(ci_high, mean) + 1e-9, 4) as hi
+  round(coalesce(ci_high, mean) + 1e-9, 4) as hi, coalesce(p_value < 0.05, false) as significant
 from s left join bo on s.target_source = bo.target_source and s.train_size = bo.train_size and s.compare_regime = bo.compare_regime
+left join pv on s.target_source = pv.target_source and s.train_size = pv.train_size and s.compare_regime = pv.compare_regime
 """,
 )
 def forest_table(t: Tables) -> DataFrame:
-    summary = M.paired_summary(deltas(t), _GROUPS, "delta_macro_f1", resamples=500)
+    summary = M.paired_summary(deltas(t), _GROUPS, "delta_macro_f1", resamples=500, method="normal")
     out = M.forest_table(summary.withColumn("task", F.lit("stand_in")))
-    out = out.select("task", "target_source", "train_size", "compare_regime", "mean", "lo", "hi")
+    out = out.select("task", "target_source", "train_size", "compare_regime", "mean", "lo", "hi", "significant")
     return out.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in ("mean", "lo", "hi")})
