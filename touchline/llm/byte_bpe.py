@@ -102,7 +102,8 @@ class PieceCache:
         found = list(map(self._young.get, pieces))
         if None not in found:
             return found
-        fresh = dict.fromkeys(piece for piece, value in zip(pieces, found) if value is None)
+        places = [at for at, value in enumerate(found) if value is None]
+        fresh = dict.fromkeys(pieces[at] for at in places)
         missing = []
         for piece in fresh:
             if (value := self._old.get(piece)) is None:
@@ -115,12 +116,15 @@ class PieceCache:
             if size > ENCODE_AT_ONCE or at + 1 == len(missing):
                 fresh.update(zip(missing[begin : at + 1], self._encode(missing[begin : at + 1])))
                 begin, size = at + 1, 0
+        for at in places:
+            found[at] = fresh[pieces[at]]
         self._young.update(item for item in fresh.items() if len(item[0]) <= MAX_CACHED_LENGTH)
         if len(self._young) > self._most:
             self._old, self._young = self._young, {}
-        return [fresh[piece] if value is None else value for piece, value in zip(pieces, found)]
+        return found
 
 
+_MARKS = ".,;:!?"
 #: Characters whose classes, cases and compositions all Unicode versions agree on.
 _PLAIN = re.compile("[\x20-\x7e\xa1-\u024f]*")
 
@@ -154,6 +158,13 @@ class PieceEncoder:
         self._pattern = regex.compile(split["pattern"]["Regex"]) if plain else None
         self._all_parts = plain and split["behavior"] == "Isolated"
         self._lower = "Lowercase" in kinds
+        # Letters are one part, and a mark after them another one: most pieces need no pattern.
+        self._letters_first = plain and all(
+            self._pattern.findall(space + "é" * n + mark) == [space + "é" * n] + [mark] * bool(mark)
+            for n in range(1, MAX_CACHED_LENGTH)
+            for mark in ("", *_MARKS)
+            for space in ("", " " * self._all_parts)
+        )
         self._names = dict(enumerate(byte_characters()))
         self._parts = PieceCache(self._merge)
 
@@ -168,6 +179,11 @@ class PieceEncoder:
         return out
 
     def _split(self, piece: str) -> list[str] | None:
+        if self._letters_first and len(piece) <= MAX_CACHED_LENGTH and (piece.isascii() or _PLAIN.fullmatch(piece)):
+            whole = piece.lower() if self._lower else piece
+            marked = whole[-1] in _MARKS
+            if whole[1 if whole[0] == " " else 0 : -1 if marked else None].isalpha():
+                return [whole[:-1], whole[-1]] if marked else [whole]
         if not _PLAIN.fullmatch(piece) or self._special.search(piece):
             return None
         if self._lower:
