@@ -25,13 +25,14 @@ from pyspark.sql import types as T
 from touchline.llm.common import bound_batches, slices, with_arrow_columns
 
 BATCH_BYTES = 4 << 20
-MAX_CACHED_PIECES = 100_000
+MAX_CACHED_PIECES = 150_000
 MAX_CACHED_LENGTH = 64
 ENCODE_AT_ONCE = 64 << 10
 #: Between two characters that are not white space, before a single space.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space beyond ASCII, in UTF-8.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_LINE_PAIRS = tuple(pair for c in (b"\t", b"\n", b"\x0b", b"\x0c", b"\r") for pair in (b"\n" + c, c + b"\n"))
 _SPACE_PAIRS = tuple(pair for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") for pair in (b" " + c, c + b" "))
 
 
@@ -220,6 +221,9 @@ def pieces_of(body: bytes) -> list[bytes]:
         or (not body.isascii() and _WIDE_SPACE.search(body))
     ):
         return [piece.encode() for piece in _CUT.split(body.decode())]
+    # A line break between two characters that are not white space is a part of its own.
+    if b"\n" in body and body[0] != 10 and body[-1] != 10 and not any(pair in body for pair in _LINE_PAIRS):
+        body = body.replace(b"\n", b"\0\n\0")
     return body.replace(b" ", b"\0 ").split(b"\0")
 
 
