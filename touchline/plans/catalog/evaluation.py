@@ -142,11 +142,37 @@ def ls_correct_permuted(t: Tables) -> DataFrame:
     return out.test.groupBy("source").agg(*[F.avg(c).alias(c) for c in FEATURES])
 
 
-@query("combat")
+_COMBAT_DIGITS = {"l_quantity": 5, "l_extendedprice": 3, "l_discount": 6, "l_tax": 6}
+_COMBAT_STEP_G = "(n * t2 * gh + a.d * gb) / (n * t2 + a.d)"
+_COMBAT_OUT = ", ".join(
+    f"round(({c} - max(c) filter (feature = '{c}')) / max(s) filter (feature = '{c}') + max(o) filter (feature = '{c}') + 1e-9, {digits}) as {c}"
+    for c, digits in _COMBAT_DIGITS.items()
+)
+
+
+@query(
+    "combat",
+    "drift_v",
+    f"""
+with long as (select source, feature, value from (select source, {", ".join(FEATURES)} from drift_v where {_SPLIT}) q
+  unpivot (value for feature in ({", ".join(FEATURES)}))),
+mo as (select source, feature, count(*)::double as n, avg(value) as mean, var_pop(value) * count(*) as sq, var_samp(value) as v from long group by 1, 2),
+co as (select feature, sum(n * mean) / sum(n) as grand, sqrt(sum(sq) / sum(n)) as pooled from mo group by 1),
+sc as (select source, feature, n, grand, pooled, (mean - grand) / pooled as gh, v / (pooled * pooled) as dh, sq / (pooled * pooled) as sq from mo join co using (feature)),
+pr as (select source, avg(gh) as gb, greatest(var_samp(gh), 1e-12) as t2, avg(dh) as u, greatest(var_samp(dh), 1e-12) as s2 from sc group by 1),
+st as (select sc.*, gb, t2, 2 + u * u / s2 as shape, u + u * u * u / s2 as rate from sc join pr using (source)),
+so as (select source, feature, grand, pooled, list_reduce(list_transform(range(101), lambda i: {{'g': gh, 'd': dh}}), lambda a, b:
+    {{'g': {_COMBAT_STEP_G}, 'd': (rate + (sq + n * (gh - {_COMBAT_STEP_G}) ** 2) / 2) / (shape + n / 2 - 1)}}) as r from st),
+pa as (select source, feature, grand + r.g * pooled as c, sqrt(r.d) as s, grand as o from so)
+select d.source, match_id, {", ".join(ROW_KEY)}, {_COMBAT_OUT}
+from drift_v d join pa on d.source = pa.source where not ({_SPLIT}) group by d.source, match_id, {", ".join(ROW_KEY)}, {", ".join(FEATURES)}
+""",
+)
 def combat(t: Tables) -> DataFrame:
     df = t.view("drift_v")
     out = C.correct(df.filter(_SPLIT), df.filter(f"not ({_SPLIT})"), FEATURES, method="combat_p")
-    return out.test.select("source", "match_id", *ROW_KEY, *FEATURES)
+    rows = out.test.select("source", "match_id", *ROW_KEY, *FEATURES)
+    return rows.withColumns({c: F.round(F.col(c) + 1e-9, digits) for c, digits in _COMBAT_DIGITS.items()})
 
 
 @query(
