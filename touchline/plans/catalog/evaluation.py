@@ -135,11 +135,33 @@ def ls_correct(t: Tables) -> DataFrame:
     return rounded(out.test.select(*ROW_KEY, "l_quantity", "l_tax"), ["l_quantity", "l_tax"])
 
 
-@query("ls_correct_permuted")
+def _random_order(seed: int) -> str:
+    keys = ", ".join(f"cast({key} as varchar)" for key in ROW_KEY)
+    return f"row_number() over (order by substr(md5(concat_ws(':', '{seed}', {keys})), 1, 8), {', '.join(ROW_KEY)}) as place"
+
+
+_MOMENTS = ", ".join(f"avg({c}) as m{i}, stddev_pop({c}) as s{i}" for i, c in enumerate(FEATURES))
+_MOVED = ", ".join(
+    f"round(avg((d.{c} - s.m{i}) / s.s{i} * r.s{i} + r.m{i}) + 1e-9, 4) as {c}" for i, c in enumerate(FEATURES)
+)
+
+
+@query(
+    "ls_correct_permuted",
+    "drift_v",
+    f"""
+with tr as (select * from drift_v where {_SPLIT}),
+ra as (select {", ".join(FEATURES)}, {_random_order(42)} from tr),
+la as (select source, {_random_order(43)} from tr),
+s as (select source, {_MOMENTS} from ra join la using (place) group by 1),
+r as (select * from s where source = 'F')
+select d.source, {_MOVED} from drift_v d join s on d.source = s.source, r where not ({_SPLIT}) group by 1
+""",
+)
 def ls_correct_permuted(t: Tables) -> DataFrame:
     df = t.view("drift_v")
     out = C.correct(df.filter(_SPLIT), df.filter(f"not ({_SPLIT})"), FEATURES, method="ls_permuted", reference="F", key=ROW_KEY)
-    return out.test.groupBy("source").agg(*[F.avg(c).alias(c) for c in FEATURES])
+    return out.test.groupBy("source").agg(*[F.round(F.avg(c) + 1e-9, 4).alias(c) for c in FEATURES])
 
 
 _COMBAT_DIGITS = {"l_quantity": 5, "l_extendedprice": 3, "l_discount": 6, "l_tax": 6}
