@@ -8,6 +8,7 @@ from touchline.functions import scalars as S
 from touchline.operators import actions as E
 from touchline.operators import correction as C
 from touchline.operators import metrics as M
+from touchline.operators import models as ML
 from touchline.operators import shift as X
 from touchline.operators import trajectory as T
 
@@ -205,3 +206,12 @@ def test_iso_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == ["2025-01-01T12:00:00+00:00", "2025-01-01T10:00:00.500000+00:00"]
+
+
+def test_perceptron_kind_learns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    data = [(float(a), float(b), "in" if a + b > 0 else "out") for a, b in x]
+    df = spark.createDataFrame(data, "a double, b double, side string")
+    out = ML.fit_classifier(df, ["a", "b"], "side", kind="mlp", maxIter=60, hidden=(6,)).predict(df)
+    assert out.filter("side = y_pred").count() > 280

@@ -39,11 +39,10 @@ def balanced_weights(train: DataFrame, label: str, name: str = "_weight") -> tup
     table = train.sparkSession.createDataFrame(
         [(r[label], total / (k * r["_n"])) for r in sizes], f"{label} {train.schema[label].dataType.simpleString()}, {name} double"
     )
-    # The table has one row per class.
-    return train.join(F.broadcast(table), label), tuple(sorted(r[label] for r in sizes))
+    return train.join(table, label), tuple(sorted(r[label] for r in sizes))
 
 
-def _classifier(kind: str, seed: int, classes: int, **params):
+def _classifier(kind: str, seed: int, classes: int, width: int, **params):
     common = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p"}
     if kind == "rf":
         settings = {"numTrees": 200, "maxDepth": 8, "minInstancesPerNode": 5, **params}
@@ -57,6 +56,10 @@ def _classifier(kind: str, seed: int, classes: int, **params):
     if kind == "logistic":
         settings = {"maxIter": 1000, "regParam": 0.0, **params}
         return LogisticRegression(**common, weightCol="_weight", **settings)
+    if kind == "mlp":
+        settings = {"maxIter": 400, **params}
+        layers = [width, *settings.pop("hidden", (64, 32)), max(classes, 2)]
+        return MultilayerPerceptronClassifier(**common, layers=layers, seed=seed, **settings)
     raise ValueError(f"unknown classifier {kind}")
 
 
@@ -106,7 +109,10 @@ def fit_classifier(
     weight: str | None = None,
     **params,
 ) -> Fitted:
-    """Median imputation, scaling and a class-balanced classifier (or given weights)."""
+    """Median imputation, scaling and a class-balanced classifier (or given weights).
+
+    ``kind``: rf, gbt, logistic or mlp; the perceptron has no row weights.
+    """
     typed = train.withColumns({**{c: F.col(c).cast("double") for c in features}, label: F.col(label).cast("string")})
     medians = training_medians(typed, features)
     filled, labels = balanced_weights(typed.na.fill(medians), label)
@@ -114,7 +120,7 @@ def fit_classifier(
         filled = filled.withColumn("_weight", F.col("_weight") * F.col(weight))
     index = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1
     indexed = filled.withColumn("_y", index.cast("double"))
-    stages = [*_prepare(features), _classifier(kind, seed, len(labels), **params)]
+    stages = [*_prepare(features), _classifier(kind, seed, len(labels), len(features), **params)]
     return Fitted(Pipeline(stages=stages).fit(indexed), medians, labels)
 
 

@@ -302,9 +302,17 @@ PRESETS: dict[str, dict] = {
     "player_position_context": {"view": "profile_with_context", "label": "position_group", "runs": {"augmentation": {"train_sizes": (50, 100, 150)}}},
     "intensity": {"view": "intensity_rates", "label": "distance_per_minute_m", "kind": "regression", "runs": {"learning_curve": {"train_sizes": (50, 100, 150)}, "transfer": {}, "augmentation": {"train_sizes": (50, 100, 150)}}},
     "intensity_visible": {"view": "intensity_rates_vis", "label": "distance_per_minute_m", "kind": "regression", "runs": {"augmentation": {"train_sizes": (50, 100, 150)}}},
-    "pass_success": {"view": "pass_view", "label": "pass_success", "runs": {"learning_curve": {"train_sizes": (250, 500, 1000, 2000)}, "transfer": {}, "augmentation": {"train_sizes": (250, 500, 1000, 2000)}}},
+    "pass_success": {
+        "view": "pass_view", "label": "pass_success",
+        "runs": {
+            "learning_curve": {"train_sizes": (250, 500, 1000, 2000)}, "transfer": {},
+            "augmentation": {"train_sizes": (250, 500, 1000, 2000)},
+            "acquisition": {"target_sizes": (100, 250, 500, 1000, 2000), "other_sizes": (0, 250, 500, 1000, 2000, 4000)},
+            "importance_weighted": {"train_sizes": (250, 500, 1000, 2000)}, "pretrain": {"train_sizes": (250, 500, 1000, 2000)},
+        },
+    },
     "pass_success_context": {"view": "pass_context", "label": "pass_success", "runs": {"learning_curve": {"train_sizes": (250, 500, 1000, 2000)}, "transfer": {}, "augmentation": {"train_sizes": (250, 500, 1000, 2000)}}},
-    "shot_success": {"view": "shot_view", "label": "shot_success", "runs": {"augmentation": {"train_sizes": (25, 50, 100)}}},
+    "shot_success": {"view": "shot_view", "label": "shot_success", "runs": {"learning_curve": {"train_sizes": (25, 50, 100)}, "transfer": {}, "augmentation": {"train_sizes": (25, 50, 100)}}},
 }
 RUNS: dict[str, Callable[..., DataFrame]] = {
     "learning_curve": learning_curve, "transfer": transfer, "augmentation": augmentation, "acquisition": acquisition,
