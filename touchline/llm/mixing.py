@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import WORD, free_name, joinable
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 MAX_EPOCHS = 3
 
 
