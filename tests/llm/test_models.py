@@ -115,6 +115,57 @@ def test_exchange_finds_the_classes_of_a_grammar():
     assert len(set(own[:words])) == 3
 
 
+def grammar_rows(texts=60, kinds=3, each=20, length=90):
+    """Words of one shape; the kind of a word follows from the kind before it."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for doc in range(texts):
+        picks = np.minimum(rng.geometric(0.2, length) - 1, each - 1)
+        rows.append((doc, " ".join(f"w{'abc'[at % kinds]}{'abcdefghijklmnopqrst'[p]}" for at, p in enumerate(picks)), "en", "s", 0))
+    return rows
+
+
+def test_words_outside_the_seeds_are_exchanged_too(spark):
+    docs = documents(spark, grammar_rows())
+    model = class_lm.train(docs, frequent_words=8, seed_words=6, classes=3)
+    found = {bytes(r["word"]).decode(): r["class"] for r in model.vocabulary.collect()}
+    assert len(found) > 50 and model.exchanged == 6
+    by_kind = {kind: {c for word, c in found.items() if word[1] == kind} for kind in "abc"}
+    assert all(len(classes) == 1 for classes in by_kind.values())
+    assert len(set.union(*by_kind.values())) == 3
+
+
+@pytest.mark.parametrize("frequent", [1, 30, class_lm.FREQUENT_WORDS])
+def test_scores_of_all_exchanged_words_equal_brute_force(spark, frequent):
+    rows = document_rows(8)
+    docs = documents(spark, rows)
+    model = class_lm.train(docs.filter("doc_id % 3 <> 0"), frequent_words=frequent, seed_words=16, classes=4)
+    class_of = {bytes(r["word"]): r["class"] for r in model.vocabulary.collect()}
+    trained = Counter(t for r in rows if r[0] is not None and r[0] % 3 for t in tokens(r[1]))
+    assert set(class_of) | {None} == set(trained) and set(class_of.values()) <= set(range(4))
+    groups, end = len(model.transitions), len(model.transitions) - 1
+
+    def kind(token):
+        return end if token is None else class_of.get(token, 4 + class_lm.shape(token))
+
+    pairs, before, held = Counter(), Counter(), Counter(range(4, end))
+    for r in rows:
+        if r[0] is not None and r[0] % 3:
+            path = [end] + [kind(t) for t in tokens(r[1])]
+            pairs.update(zip(path, path[1:]))
+    for (a, _), n in pairs.items():
+        before[a] += n
+    for token, n in trained.items():
+        held[kind(token)] += n + 1
+    out = {(r["doc_id"], r["n_tokens"]): r for r in class_lm.score(docs, model).collect()}
+    for doc, text, *_ in rows:
+        own = tokens(text)
+        path = [end] + [kind(t) for t in own]
+        score = sum(math.log10((pairs[a, b] + 0.1) / (before[a] + 0.1 * groups)) for a, b in zip(path, path[1:]))
+        score += sum(math.log10((trained[t] + 1) / held[kind(t)]) for t in own if t is not None)
+        assert out[doc, len(own)]["score"] == pytest.approx(score)
+
+
 def test_training_on_nothing(spark):
     model = class_lm.train(documents(spark, []))
     out = class_lm.score(documents(spark, [(1, "a b", "en", "s", 0), (2, None, None, None, None)]), model).collect()

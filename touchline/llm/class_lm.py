@@ -1,12 +1,15 @@
 """Language-model scores from Brown classes: exchange clustering and class bigrams.
 
-Words are counted over the whole training corpus. The most frequent ones are assigned to classes by
-exchange: each is moved to the class that raises the likelihood of class bigrams most, until
-none moves. All other words, seen or not, belong to a class of their shape. A text's probability is
-that of its class transitions and of each word within its class, both smoothed.
-
-Counts of frequent words travel with the tasks (their number is bounded); counts of all others
-reach the texts by a join on the word.
+Words are counted over the whole training corpus. The most frequent ones, the seeds, are assigned to
+classes by exchange on the driver: each is moved to the class that raises the likelihood of class
+bigrams most, until none moves. All other training words are exchanged by sweeps of Spark jobs: a join
+gives every word its counts by neighbouring class, and all words move at once to their best
+class, until none moves or a sweep no longer raises the likelihood of all bigrams. Words are
+known by 64-bit hashes there. Unseen words belong to a class of their shape. A text's probability
+is that of its class transitions and of each word within its class, both smoothed.
+
+Counts and classes of frequent words travel with the tasks (their number is bounded); those of all
+others reach the texts by a join on the word.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +33,13 @@ from touchline.session import materialise
 BATCH_BYTES = 4 << 20
 #: At most so many frequent words travel with the tasks; all others are joined.
 FREQUENT_WORDS = 65_536
-EXCHANGED_WORDS, CLASSES, SWEEPS = 1024, 64, 8
+#: So many words are exchanged on the driver; all others by sweeps over Spark tables.
+SEED_WORDS, CLASSES = 1024, 64
 SMOOTHING = 0.1
 SHAPES = 32
 _DISTINCT_AT_ONCE = 200_000
+_NEIGHBOURS_AT_ONCE = 2_000_000
+_GAINS_AT_ONCE = 20_000
 
 
 _DIGITS = b"0123456789"
@@ -144,7 +151,7 @@ def _xlogx(values: np.ndarray) -> np.ndarray:
     return values * np.log(np.maximum(values, 1e-300))
 
 
-def exchange(counts: np.ndarray, words: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(counts: np.ndarray, words: int, classes: int = CLASSES) -> np.ndarray:
     """Class of each state: words move to the class that raises the likelihood most.
 
     Words start in ``classes`` classes by rank; shapes and the end keep classes of their own.
@@ -157,7 +164,8 @@ def exchange(counts: np.ndarray, words: int, classes: int = CLASSES, sweeps: int
     member[np.arange(len(counts)), own] = 1
     after, before = counts @ member, counts.T @ member
     pairs = member.T @ after
-    for _ in range(sweeps if words else 0):
+    moved = words
+    while moved:
         moved = 0
         for word in range(words):
             old, out, into, self_n = own[word], after[word], before[word], counts[word, word]
@@ -190,32 +198,301 @@ def exchange(counts: np.ndarray, words: int, classes: int = CLASSES, sweeps: int
                     table[:, old] -= side
                     table[:, new] += side
                 moved += 1
-        if not moved:
-            break
     return own
 
 
+# --- words outside the seed exchange -----------------------------------------------------
+
+
+def word_hash(word: bytes) -> int:
+    """Spark's xxhash64 of a binary."""
+    return xxhash.xxh64_intdigest(word, seed=42)
+
+
+class _Numbers(dict):
+    """Class of each seed word; any other word gets the next number from ``first`` on."""
+
+    def __init__(self, seeds: list[bytes], own: np.ndarray, first: int):
+        super().__init__(zip(seeds, own.tolist()))
+        self.seeds, self.own, self.first = seeds, own, first
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.first + len(self.hashes)
+        self.hashes.append(word_hash(word))
+        return number
+
+    def restart(self) -> None:
+        self.clear()
+        self.update(zip(self.seeds, self.own.tolist()))
+        self.hashes = []
+
+
+def count_neighbours(docs: DataFrame, seeds: list[bytes], own: np.ndarray, text: str = "text") -> DataFrame:
+    """(word, other, cell, n): what stands next to words outside the seeds, by word hash.
+
+    With G classes in all, ``cell`` is the class of a seed or the end behind the word, 2 G more than
+    that of one before it, or -1 where ``other``, no seed either, stands behind it. Tasks add up
+    their own counts before they are shuffled.
+    """
+    groups = int(own[-1]) + 1
+    end = groups - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(seeds, own[: len(seeds)], groups)
+        lefts: list[np.ndarray] = []
+        rights: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            left = np.concatenate(lefts) if lefts else np.empty(0, np.int64)
+            right = np.concatenate(rights) if rights else np.empty(0, np.int64)
+            pairs, counts = np.unique((left << 32) | right, return_counts=True)
+            left, right = pairs >> 32, pairs & 0xFFFFFFFF
+            hashes = np.array(numbers.hashes, np.uint64).view(np.int64)
+            one, two = left >= groups, right >= groups
+            cells = np.where(one & two, -1, np.where(one, right, 2 * groups + left))
+            word = hashes[np.where(one, left, right) - groups]
+            other = np.where(one & two, hashes[np.where(two, right - groups, 0)], 0) if len(word) else word
+            lefts.clear()
+            rights.clear()
+            numbers.restart()
+            held = 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word), pa.array(other), pa.array(cells.astype(np.int32)), pa.array(counts.astype(np.int64))],
+                ["word", "other", "cell", "n"],
+            )
+
+        for batch in slices(batches, "body", BATCH_BYTES):
+            for body in batch.column("body").to_pylist():
+                before = end
+                for words in [*word_lists(body.lower()), None]:
+                    path = np.array([before, end]) if words is None else np.fromiter(
+                        (before, *map(numbers.__getitem__, words)), np.int64, len(words) + 1
+                    )
+                    left, right = path[:-1], path[1:]
+                    open_ = (left >= groups) | (right >= groups)
+                    lefts.append(left[open_])
+                    rights.append(right[open_])
+                    held += int(open_.sum())
+                    before = int(path[-1])
+                # Numbers are restarted between texts only.
+                if held > _NEIGHBOURS_AT_ONCE:
+                    yield flush()
+        yield flush()
+
+    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    return bodies.mapInArrow(run, "word long, other long, cell int, n long")
+
+
+def _gather(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per word its class and its counts by neighbouring class, behind it and (from ``groups`` on) before it.
+
+    Rows come in the order of word and cell; cell -1 holds the class as ``n``. Each task's last row has
+    no word: its cells are the bigrams of classes that hold a word outside the seeds, counted once.
+    """
+    total = np.zeros(groups * groups)
+    names = ["word", "class", "cells", "counts"]
+
+    def packed(word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        first = np.concatenate([[True], word[1:] != word[:-1]])
+        number = np.cumsum(first) - 1
+        own = n[first]
+        used = cell >= 0
+        number, cell, n = number[used], cell[used], n[used]
+        kind, at = cell // groups, cell % groups
+        if (own >= 0).all():
+            mine = own[number]
+            for chosen, key in ((kind == 0, mine * groups + at), (kind == 2, at * groups + mine)):
+                total[:] += np.bincount(key[chosen], n[chosen], len(total))
+        keys, back = np.unique(number * (2 * groups) + np.where(kind == 0, at, groups + at), return_inverse=True)
+        counts = np.bincount(back, n, len(keys))
+        offsets = np.searchsorted(keys, np.arange(len(own) + 1) * (2 * groups)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(word[first]), pa.array(own.astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array((keys % (2 * groups)).astype(np.int32))),
+                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+            ],
+            names,
+        )
+
+    waiting: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        columns = tuple(batch.column(name).to_numpy().astype(np.int64) for name in ("word", "cell", "n"))
+        if not batch.num_rows:
+            continue
+        waiting.append(columns)
+        if waiting[0][0][0] == columns[0][-1]:
+            continue
+        word, cell, n = (np.concatenate(part) for part in zip(*waiting))
+        cut = int(np.searchsorted(word, word[-1]))
+        yield packed(word[:cut], cell[:cut], n[:cut])
+        waiting = [(word[cut:], cell[cut:], n[cut:])]
+    if waiting:
+        yield packed(*(np.concatenate(part) for part in zip(*waiting)))
+    cells = np.flatnonzero(total)
+    whole = np.array([0, len(cells)], np.int32)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([None], pa.int64()), pa.array([None], pa.int32()),
+            pa.ListArray.from_arrays(whole, pa.array(cells.astype(np.int32))),
+            pa.ListArray.from_arrays(whole, pa.array(total[cells].astype(np.int64))),
+        ],
+        names,
+    )
+
+
+def _move(pairs: np.ndarray, classes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class of best likelihood of each word while all others stay."""
+    beside = np.concatenate([pairs[:classes].T, pairs[:, :classes]])
+    with_logs = _xlogx(beside)
+    out_all, in_all = pairs[:classes].sum(axis=1), pairs[:, :classes].sum(axis=0)
+    groups = len(pairs)
+
+    def best(own: np.ndarray, offsets: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        number = np.repeat(np.arange(len(own)), np.diff(offsets))
+        gain = np.zeros((len(own), classes))
+        known = own >= 0
+        if len(cells):
+            step = _xlogx(beside[cells] + counts[:, None]) - with_logs[cells]
+            mine = np.flatnonzero(known[number])
+            at = own[number[mine]]
+            held = beside[cells[mine], at]
+            step[mine, at] = _xlogx(held) - _xlogx(held - counts[mine])
+            filled = np.flatnonzero(np.diff(offsets))
+            gain[filled] = np.add.reduceat(step, offsets[:-1][filled], axis=0)
+        behind = cells < groups
+        for totals, chosen in ((out_all, behind), (in_all, ~behind)):
+            added = np.bincount(number[chosen], counts[chosen], len(own))
+            loss = _xlogx(totals + added[:, None]) - _xlogx(totals)
+            mine = np.flatnonzero(known)
+            held = totals[own[mine]]
+            loss[mine, own[mine]] = _xlogx(held) - _xlogx(held - added[mine])
+            gain -= loss
+        new = gain.argmax(axis=1)
+        rows = np.arange(len(own))
+        stays = known & (gain[rows, new] <= gain[rows, np.maximum(own, 0)] + 1e-9)
+        return np.where(stays, own, new)
+
+    for batch in batches:
+        word, own = batch.column("word").to_numpy(), batch.column("class").to_numpy().astype(np.int64)
+        lists = batch.column("cells")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        cells = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+        counts = batch.column("counts")
+        sums = counts.values.to_numpy()[counts.offsets[0].as_py() : counts.offsets[-1].as_py()].astype(float)
+        offsets -= offsets[0]
+        found = np.empty(len(own), np.int64)
+        begin = 0
+        while begin < len(own):
+            stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _GAINS_AT_ONCE, "right")) - 1)
+            stop = min(stop, begin + _GAINS_AT_ONCE)
+            low, high = offsets[begin], offsets[stop]
+            found[begin:stop] = best(own[begin:stop], offsets[begin : stop + 1] - low, cells[low:high], sums[low:high])
+            begin = stop
+        # Nothing is known yet of words that stand between words outside the seeds only.
+        lost = (own < 0) & (np.diff(offsets) == 0)
+        found[lost] = word[lost] % classes
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(word), pa.array(found.astype(np.int32)), pa.array(found != own)], ["word", "class", "moved"]
+        )
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of class bigrams, without what no exchange changes."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum())
+
+
+def exchange_rest(
+    docs: DataFrame, seeds: list[bytes], own: np.ndarray, counts: np.ndarray, text: str = "text"
+) -> tuple[DataFrame, np.ndarray]:
+    """(word hash, class) of all words outside the seeds, and the counts of class bigrams over all texts.
+
+    Words first take the class that fits their neighbours among the seeds. Then all move at once in
+    every sweep, each to its best class while the others stay, until none moves or a
+    sweep does not raise the likelihood; the best classes found are kept.
+    """
+    groups, classes = int(own[-1]) + 1, int(own[len(seeds)])
+    member = np.zeros((len(own), groups))
+    member[np.arange(len(own)), own] = 1
+    fixed = [*range(len(seeds)), len(own) - 1]
+    among_seeds = member[fixed].T @ counts[np.ix_(fixed, fixed)] @ member[fixed]
+    found = materialise(count_neighbours(docs, seeds, own, text))
+    beside = materialise(found.filter("cell >= 0").groupBy("word", "cell").agg(F.sum("n").alias("n")))
+    links = materialise(found.filter("cell < 0").groupBy("word", "other").agg(F.sum("n").alias("n")))
+    both = links.select("word", "other", F.lit(0).alias("side"), "n").unionByName(
+        links.select(F.col("other").alias("word"), F.col("word").alias("other"), F.lit(groups).alias("side"), "n")
+    )
+    gathered_as = "word long, class int, cells array<int>, counts array<long>"
+
+    def gather(entries: DataFrame) -> DataFrame:
+        dealt = entries.repartition("word").sortWithinPartitions("word", "cell")
+        return materialise(dealt.mapInArrow(partial(_gather, groups), gathered_as))
+
+    def move(gathered: DataFrame, pairs: np.ndarray) -> DataFrame:
+        run = partial(_move, pairs, classes)
+        return materialise(
+            gathered.filter("word is not null").mapInArrow(run, "word long, class int, moved boolean")
+        )
+
+    words = beside.select("word").union(both.select("word")).distinct()
+    start = words.select("word", F.lit(-1).alias("cell"), F.lit(-1).cast("long").alias("n"))
+    placed = move(gather(beside.unionByName(start)), member.T @ counts @ member)
+    best: tuple[float, DataFrame | None, np.ndarray] = (-math.inf, None, among_seeds)
+    while True:
+        known = placed.select(F.col("word").alias("named"), "class")
+        entries = both.join(known, both.other == known.named).select(
+            "word", (F.col("side") + F.col("class")).alias("cell"), "n"
+        )
+        classed = placed.select("word", F.lit(-1).alias("cell"), F.col("class").cast("long").alias("n"))
+        gathered = gather(entries.unionByName(beside).unionByName(classed))
+        pairs = among_seeds.copy().ravel()
+        sums = gathered.filter("word is null").select(F.explode(F.arrays_zip("cells", "counts")).alias("e"))
+        for row in sums.groupBy("e.cells").agg(F.sum("e.counts").alias("n")).collect():
+            pairs[row["cells"]] += row["n"]
+        pairs = pairs.reshape(groups, groups)
+        reached = likelihood(pairs)
+        if reached <= best[0]:
+            return best[1], best[2]
+        best = (reached, placed, pairs)
+        placed = move(gathered, pairs)
+        if placed.filter("moved").isEmpty():
+            return best[1], best[2]
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """What scoring needs: bounded tables for the tasks, and the counts of all words as a table."""
+    """What scoring needs: bounded tables for the tasks, and count and class of all words as a table.
+
+    ``class_of`` has the class of each frequent word and then of each shape. ``vocabulary`` has a
+    null class where a word's shape decides.
+    """
 
     vocabulary: DataFrame
     frequent: list[bytes]
     counted: np.ndarray
     exchanged: int
     classes: np.ndarray
+    class_of: np.ndarray
     transitions: np.ndarray
     emissions: np.ndarray
     tokens: int
     texts: int
     distinct: int
+    whole: bool
 
 
 def train(
     docs: DataFrame, text: str = "text", frequent_words: int = FREQUENT_WORDS,
-    exchanged_words: int = EXCHANGED_WORDS, classes: int = CLASSES,
+    exchanged_words: int | None = None, classes: int = CLASSES, seed_words: int = SEED_WORDS,
 ) -> ClassModel:
-    """Count words and class bigrams over all rows of ``docs``; null texts are empty ones."""
+    """Count words and class bigrams over all rows of ``docs``; null texts are empty ones.
+
+    All words are exchanged, the ``seed_words`` most frequent ones first (ties in the order of
+    words). With ``exchanged_words`` only so many are, and the others are classed by shape.
+    """
     bound_batches(docs.sparkSession)
     vocabulary = materialise(count_words(docs, text))
     texts = docs.count()
@@ -233,26 +510,72 @@ def train(
         least = 2 ** row["level"]
     rows = [] if least is None else vocabulary.filter(F.col("n") >= least).collect()
     rows = sorted(((int(row["n"]), bytes(row["word"])) for row in rows), key=lambda row: (-row[0], row[1]))
+    wanted = seed_words if exchanged_words is None else exchanged_words
+    if len(rows) < wanted:
+        # The words that travel are too few; the exchanged ones go by rank alone.
+        ranked = vocabulary.orderBy(F.desc("n"), "word").limit(wanted).collect()
+        rows = [(int(row["n"]), bytes(row["word"])) for row in ranked]
     frequent = [word for _, word in rows]
-    exchanged = min(len(rows), exchanged_words)
+    exchanged = min(len(rows), wanted)
     counts = count_transitions(docs, frequent, exchanged, text)
     own = exchange(counts, exchanged, classes)
     groups = int(own.max()) + 1
-    member = np.zeros((len(own), groups))
-    member[np.arange(len(own)), own] = 1
-    pairs = member.T @ counts @ member
+    words = sum(row["words"] for row in levels)
+    class_of = own[States(frequent, exchanged).state_of]
+    if exchanged_words is None:
+        if words > exchanged:
+            vocabulary, pairs = _with_classes(docs, vocabulary, frequent[:exchanged], own, counts, text)
+        else:
+            vocabulary, pairs = _seeds_only(vocabulary, frequent, own), _by_class(counts, own)
+        if len(frequent) > exchanged:
+            places = {word: at for at, word in enumerate(frequent)}
+            for row in vocabulary.filter(F.col("n") >= rows[-1][0]).select("word", "class").collect():
+                at = places.get(bytes(row["word"]))
+                if at is not None:
+                    class_of[at] = row["class"]
+        held = np.zeros(groups)
+        for row in vocabulary.groupBy("class").agg(F.sum(F.col("n") + 1).alias("held")).collect():
+            held[row["class"]] = row["held"]
+        held[own[exchanged : exchanged + SHAPES]] += 1
+    else:
+        pairs = _by_class(counts, own)
+        held = _class_sizes(vocabulary, frequent, exchanged, own, groups)
+        vocabulary = vocabulary.withColumn("class", F.lit(None).cast("int"))
     transitions = np.log10((pairs + SMOOTHING) / (pairs.sum(axis=1, keepdims=True) + SMOOTHING * groups))
-    held = _class_sizes(vocabulary, frequent, exchanged, own, groups)
     emissions = np.log10(np.maximum(held, 1.0))
     emissions[own[-1]] = 0.0
-    words = sum(row["words"] for row in levels)
     return ClassModel(
-        vocabulary, frequent, np.log10(np.array([n for n, _ in rows] + [0] * SHAPES) + 1.0), exchanged, own, transitions,
-        emissions,
-        sum(row["tokens"] for row in levels) + texts, texts, words + (texts > 0),
+        vocabulary, frequent, np.log10(np.array([n for n, _ in rows] + [0] * SHAPES) + 1.0), exchanged, own, class_of,
+        transitions, emissions,
+        sum(row["tokens"] for row in levels) + texts, texts, words + (texts > 0), exchanged_words is None,
     )
 
 
+def _by_class(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    member = np.zeros((len(own), int(own.max()) + 1))
+    member[np.arange(len(own)), own] = 1
+    return member.T @ counts @ member
+
+
+def _seeds_only(vocabulary: DataFrame, seeds: list[bytes], own: np.ndarray) -> DataFrame:
+    """``vocabulary`` with the class of each seed, null for other words."""
+    spark = vocabulary.sparkSession
+    rows = [(bytearray(word), int(number)) for word, number in zip(seeds, own)]
+    table = F.broadcast(spark.createDataFrame(rows, "word binary, class int"))
+    return vocabulary.join(table, "word", "left")
+
+
+def _with_classes(
+    docs: DataFrame, vocabulary: DataFrame, seeds: list[bytes], own: np.ndarray, counts: np.ndarray, text: str
+) -> tuple[DataFrame, np.ndarray]:
+    """``vocabulary`` with the class of every word, and the counts of class bigrams."""
+    placed, pairs = exchange_rest(docs, seeds, own, counts, text)
+    seeded = _seeds_only(vocabulary, seeds, own).withColumnRenamed("class", "seeded")
+    found = placed.select(F.col("word").alias("hash"), "class")
+    joined = seeded.join(found, F.xxhash64("word") == F.col("hash"), "left")
+    return materialise(joined.select("word", "n", F.coalesce("seeded", "class").alias("class"))), pairs
+
+
 def _class_sizes(vocabulary: DataFrame, frequent: list[bytes], exchanged: int, own: np.ndarray, groups: int) -> np.ndarray:
     """Per class its tokens, its distinct words, and for shapes one more for unseen words."""
 
@@ -282,64 +605,138 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     Every row is scored on its own, so repeated rows and ties need no rule. Columns of the
     added names are replaced; an empty table gives an empty result; without training texts
     nothing is known and base scores are 0.
+
+    Texts are read once: bigrams with a word that does not travel with the tasks are noted by
+    number, and counted when the join has brought the classes of these words.
     """
     added = ("n_tokens", "n_known", "base_score", "score")
-    row_id, body, matched, rare_counted, rare_known = (
-        free_name(docs, f"score_{name}") for name in ("row", "body", "matched", "rare_counted", "rare_known")
+    row_id, body, matched, rare_counted, rare_known, rare_classes = (
+        free_name(docs, f"score_{name}") for name in ("row", "body", "matched", "rare_counted", "rare_known", "rare_classes")
     )
-    walked_name, counted_name, known_name, rare_name, times_name = (
-        free_name(docs, name) for name in ("walked", "counted", "known", "rare", "times")
+    walked_name, counted_name, known_name, rare_name, times_name, left_name, right_name, guess_name = (
+        free_name(docs, name) for name in ("walked", "counted", "known", "rare", "times", "left", "right", "guess")
     )
     df = docs.drop(*(name for name in added if name != text)).withColumn(row_id, F.monotonically_increasing_id())
     kept = [f for f in df.schema.fields if f.name != text]
     df = df.withColumn(body, F.coalesce(F.col(text), F.lit("")).cast("binary")).drop(text)
     names = [f.name for f in kept]
-    out = ("n_tokens", walked_name, counted_name, known_name, rare_name, times_name)
-    kinds = (T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.BinaryType()), T.ArrayType(T.IntegerType()))
-    tables = (model.counted, model.classes, model.transitions, model.emissions)
-    run = partial(_walk, names, body, out, model.frequent, model.exchanged, *tables)
+    out = ("n_tokens", walked_name, counted_name, known_name, rare_name, times_name, left_name, right_name, guess_name)
+    integers = T.ArrayType(T.IntegerType())
+    kinds = (
+        T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.BinaryType()), integers, integers,
+        integers, integers,
+    )
+    run = partial(
+        _walk, names, body, out, model.frequent, model.whole, model.counted, model.class_of, model.transitions,
+        model.emissions,
+    )
     walked = materialise(df.mapInArrow(run, T.StructType(kept + [T.StructField(n, k) for n, k in zip(out, kinds)])))
     rare = (
-        walked.select(row_id, F.explode(F.arrays_zip(F.col(rare_name).alias("word"), F.col(times_name).alias("times"))).alias("entry"))
-        .select(F.col(row_id).alias(matched), "entry.word", "entry.times")
+        walked.select(
+            row_id, F.posexplode(F.arrays_zip(F.col(rare_name).alias("word"), F.col(times_name).alias("times"))).alias("at", "entry")
+        )
+        .select(F.col(row_id).alias(matched), "at", "entry.word", "entry.times")
         .join(model.vocabulary, "word")
         .groupBy(matched)
         .agg(
-            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias(rare_counted), F.sum("times").alias(rare_known)
+            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias(rare_counted), F.sum("times").alias(rare_known),
+            F.collect_list(F.when(F.col("class").isNotNull(), F.col("at") * len(model.transitions) + F.col("class"))).alias(
+                rare_classes
+            ),
         )
     )
     joined = walked.drop(rare_name, times_name).join(rare, F.col(row_id) == F.col(matched), "left")
     counted = F.col(counted_name) + F.coalesce(rare_counted, F.lit(0.0))
     whole = math.log10(model.tokens + model.distinct + 1)
-    return joined.select(
+    empty = F.array().cast("array<int>")
+    resolved = joined.select(
         *(F.col(f"`{name}`") for name in names if name != row_id),
         "n_tokens",
         (F.col(known_name) + F.coalesce(rare_known, F.lit(0)) + int(model.texts > 0)).alias("n_known"),
         (counted + math.log10(model.texts + 1) - F.col("n_tokens") * whole).alias("base_score"),
         (counted + F.col(walked_name)).alias("score"),
+        left_name, right_name, guess_name, F.coalesce(F.col(rare_classes), empty).alias(rare_classes),
     )
+    lists = (left_name, right_name, guess_name, rare_classes)
+    fields = [f for f in resolved.schema.fields if f.name not in lists]
+    return resolved.mapInArrow(partial(_resolve, lists, model.transitions, model.emissions), T.StructType(fields))
 
 
 def _walk(
-    names, body, added, frequent, exchanged, counted_of, classes, transitions, emissions, batches
+    names, body, added, frequent, whole, counted_of, class_of, transitions, emissions, batches
 ) -> Iterator[pa.RecordBatch]:
-    states = States(frequent, exchanged)
+    """Sums of each text. Bigrams with a word of unknown class are listed as pairs of classes and,
+    from the number of classes on, places in the list of such words.
+    """
+    codes_of = _Codes(frequent)
+    groups = len(transitions)
+    end = groups - 1
     for batch in slices(batches, body, BATCH_BYTES):
-        out: list[list] = [[], [], [], [], [], []]
-        for whole in batch.column(body).to_pylist():
+        out: list[list] = [[] for _ in added]
+        for text in batch.column(body).to_pylist():
             tokens, walked, counted, known = 0, 0.0, 0.0, 0
-            for codes, before, own in states.path(whole):
-                to = classes[own]
-                walked += float((transitions[classes[before], to] - emissions[to]).sum())
+            places: dict[bytes, int] = {}
+            times: list[int] = []
+            guess: list[int] = []
+            lefts, rights = [], []
+            before = end
+            for words in [*word_lists(text.lower()), None]:
+                if words is None:
+                    own = np.array([end])
+                elif words:
+                    codes = np.fromiter(map(codes_of.__getitem__, words), np.int64, len(words))
+                    counted += float(counted_of[codes].sum())
+                    own = class_of[codes]
+                    missed = np.flatnonzero(codes >= len(frequent))
+                    known += len(codes) - len(missed)
+                    at = []
+                    for word, number in zip(codes_of.rare, own[missed].tolist()):
+                        place = places.setdefault(word, len(places))
+                        if place == len(times):
+                            times.append(0)
+                            guess.append(number)
+                        times[place] += 1
+                        at.append(groups + place)
+                    codes_of.rare.clear()
+                    if whole:
+                        own = own.copy()
+                        own[missed] = at
+                else:
+                    continue
                 tokens += len(own)
-                counted += float(counted_of[codes].sum())
-                known += int((codes < len(frequent)).sum())
-            rare = Counter(states.codes.rare)
-            states.codes.rare.clear()
-            for column, value in zip(out, (tokens, walked, counted, known, list(rare), list(rare.values()))):
+                left = np.concatenate([[before], own[:-1]])
+                before = int(own[-1])
+                ready = (left < groups) & (own < groups)
+                to = own[ready]
+                walked += float((transitions[left[ready], to] - emissions[to]).sum())
+                if len(to) < len(own):
+                    lefts.append(left[~ready])
+                    rights.append(own[~ready])
+            pairs = [np.concatenate(side).astype(np.int32) if side else np.empty(0, np.int32) for side in (lefts, rights)]
+            row = (tokens, walked, counted, known, list(places), times, *pairs, guess if whole else [])
+            for column, value in zip(out, row):
                 column.append(value)
-        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+        integers = pa.list_(pa.int32())
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), integers, integers, integers, integers)
         yield pa.RecordBatch.from_arrays(
             [batch.column(name) for name in names] + [pa.array(c, kind) for c, kind in zip(out, kinds)],
             names + list(added),
         )
+
+
+def _resolve(lists, transitions, emissions, batches) -> Iterator[pa.RecordBatch]:
+    """Add the bigrams that waited for the classes of words to ``score``."""
+    groups = len(transitions)
+    for batch in batches:
+        scores = batch.column("score").to_numpy().copy()
+        columns = [batch.column(name) for name in lists]
+        for row in range(batch.num_rows):
+            left, right, guess, found = (column[row].values.to_numpy() for column in columns)
+            if len(left):
+                class_of = np.concatenate([np.arange(groups), guess])
+                class_of[groups + found // groups] = found % groups
+                to = class_of[right]
+                scores[row] += (transitions[class_of[left], to] - emissions[to]).sum()
+        batch = batch.drop_columns(list(lists))
+        place = batch.schema.names.index("score")
+        yield batch.set_column(place, "score", pa.array(scores))
