@@ -115,6 +115,22 @@ def test_exchange_finds_the_classes_of_a_grammar():
     assert len(set(own[:words])) == 3
 
 
+def test_no_single_move_of_the_exchange_raises_the_likelihood():
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(rng.gamma(0.3, 40, (23, 23))).astype(float)
+    own = class_lm.exchange(counts, 20, classes=4)
+
+    def reached(classes):
+        member = np.eye(7)[classes]
+        return class_lm.likelihood(member.T @ counts @ member)
+
+    for word in range(20):
+        for other in range(4):
+            moved = own.copy()
+            moved[word] = other
+            assert reached(moved) <= reached(own) + 1e-6
+
+
 def grammar_rows(texts=60, kinds=3, each=20, length=90):
     """Words of one shape; the kind of a word follows from the kind before it."""
     rng = np.random.default_rng(4)

@@ -151,6 +151,11 @@ def _xlogx(values: np.ndarray) -> np.ndarray:
     return values * np.log(np.maximum(values, 1e-300))
 
 
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of class bigrams, without what no exchange changes."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum())
+
+
 def exchange(counts: np.ndarray, words: int, classes: int = CLASSES) -> np.ndarray:
     """Class of each state: words move to the class that raises the likelihood most.
 
@@ -160,13 +165,18 @@ def exchange(counts: np.ndarray, words: int, classes: int = CLASSES) -> np.ndarr
     fixed = len(counts) - words
     own = np.concatenate([np.arange(words) % classes, classes + np.arange(fixed)])
     groups = classes + fixed
-    member = np.zeros((len(counts), groups))
-    member[np.arange(len(counts)), own] = 1
-    after, before = counts @ member, counts.T @ member
-    pairs = member.T @ after
-    moved = words
+    # Gains below the rounding error of the likelihood are none; words would move in circles.
+    least_gain = 1e-9 + 1e-12 * float(_xlogx(counts.sum()))
+    best, reached, moved = own.copy(), -math.inf, words
     while moved:
-        moved = 0
+        member = np.zeros((len(counts), groups))
+        member[np.arange(len(counts)), own] = 1
+        after, before = counts @ member, counts.T @ member
+        pairs = member.T @ after
+        now = likelihood(pairs)
+        if now <= reached + least_gain:
+            return best
+        best, reached, moved = own.copy(), now, 0
         for word in range(words):
             old, out, into, self_n = own[word], after[word], before[word], counts[word, word]
             left = pairs.copy()
@@ -185,10 +195,12 @@ def exchange(counts: np.ndarray, words: int, classes: int = CLASSES) -> np.ndarr
             a, b = out_rest[:classes], into_rest[:classes]
             gain -= _xlogx(corner + a) + _xlogx(corner + b) - 2 * _xlogx(corner)
             gain += _xlogx(corner + a + b + self_n) - _xlogx(corner)
-            for total, added in ((left[:classes].sum(axis=1), out.sum()), (left[:, :classes].sum(axis=0), into.sum())):
+            # Totals of a class hold its bigrams with the word, wherever the word goes.
+            followed, preceded = left[:classes].sum(axis=1) + b, left[:, :classes].sum(axis=0) + a
+            for total, added in ((followed, out.sum()), (preceded, into.sum())):
                 gain -= _xlogx(total + added) - _xlogx(total)
             new = int(gain.argmax())
-            if new != old and gain[new] > gain[old] + 1e-9:
+            if new != old and gain[new] > gain[old] + least_gain:
                 left[new] += out_rest
                 left[:, new] += into_rest
                 left[new, new] += self_n
@@ -400,11 +412,6 @@ def _move(pairs: np.ndarray, classes: int, batches: Iterator[pa.RecordBatch]) ->
         )
 
 
-def likelihood(pairs: np.ndarray) -> float:
-    """Log likelihood of class bigrams, without what no exchange changes."""
-    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum())
-
-
 def exchange_rest(
     docs: DataFrame, seeds: list[bytes], own: np.ndarray, counts: np.ndarray, text: str = "text"
 ) -> tuple[DataFrame, np.ndarray]:
