@@ -182,6 +182,13 @@ def test_scores_of_all_exchanged_words_equal_brute_force(spark, frequent):
         assert out[doc, len(own)]["score"] == pytest.approx(score)
 
 
+def test_exchanged_words_go_by_rank_whatever_travels(spark):
+    docs = documents(spark, [(1, "e d c b a f", "en", "s", 0), (2, "f a b c d e", "en", "s", 0)])
+    for travel in (1, 4, 100):
+        model = class_lm.train(docs, frequent_words=travel, exchanged_words=3, classes=2)
+        assert model.exchanged == 3 and model.frequent[:3] == [b"a", b"b", b"c"]
+
+
 def test_training_on_nothing(spark):
     model = class_lm.train(documents(spark, []))
     out = class_lm.score(documents(spark, [(1, "a b", "en", "s", 0), (2, None, None, None, None)]), model).collect()
