@@ -59,7 +59,8 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source up to its target; a row appears once for each epoch that takes it.
 
-    The row at the cut of a source appears whole.
+    The row at the cut of a source appears whole. Rows without words (null or blank texts) have
+    no copies and leave the mix, although no target excludes them.
     """
     mixed = mixing.mix(docs).filter("copies > 0")
     return _columns_of(mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
