@@ -136,6 +136,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm import merkle
+
+    docs = table(spark, folder, "documents")
+    shortened = F.when(crc_remainder(docs.doc_id, 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(docs.text)
+    changed = merkle.leaf([shortened if name == "text" else docs[name] for name in merkle.FIELDS])
+    proofs = merkle.prove(docs, keep={"changed_leaf": changed})
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.sibling_text(F.col("siblings")), 256).alias("proof_sha256"),
+        merkle.fold(F.col("changed_leaf"), F.col("siblings")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -148,6 +162,7 @@ def all_queries() -> dict[str, Query]:
         "op8_class_lm": op8_class_lm,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
+        "op11_merkle": op11_merkle,
     }
 
 
@@ -159,4 +174,5 @@ def all_oracles() -> dict[str, str]:
         "op6_exact_topk": reference_sql.EXACT_TOPK,
         "op9_jaccard_join": reference_sql.JACCARD_JOIN,
         "op10_mixing": reference_sql.MIXING,
+        "op11_merkle": reference_sql.MERKLE,
     }

@@ -191,3 +191,72 @@ select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.other) as comp
 from documents d left join sizes s using (doc_id) join reach r on r.doc_id = d.doc_id
 group by d.doc_id
 """
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    values = ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)
+    return f"sha256({' || '.join(_framed(value) for value in values)})"
+
+
+#: crc32 of the decimal id, bit by bit.
+_ODD_CRC = """
+(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c))),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, nothing: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) % 2)
+"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (tree, level, i, digest, n) of trees over (tree, i, digest), and the siblings of each leaf."""
+    return f"""
+{name} as (
+  select tree, 0 as level, i, digest, count(*) over (partition by tree) as n from {leaves}
+  union all
+  select tree, any_value(level) + 1, i // 3, sha256(string_agg(digest, '' order by i)), (any_value(n) + 2) // 3
+  from {name} where n > 1 group by tree, i // 3),
+{name}_path as (
+  select tree, i as leaf, i, 0 as level from {name} where level = 0
+  union all
+  select p.tree, p.leaf, p.i // 3, p.level + 1
+  from {name}_path p join {name} x on x.tree = p.tree and x.level = p.level and x.i = p.i and x.n > 1),
+{name}_steps as (
+  select p.tree, p.leaf, p.level, string_agg(s.digest, '' order by s.i) filter (s.i < p.i) as l,
+         string_agg(s.digest, '' order by s.i) filter (s.i > p.i) as r
+  from {name}_path p join {name} s on s.tree = p.tree and s.level = p.level and s.i // 3 = p.i // 3 and s.n > 1
+  group by all),
+{name}_proofs as (
+  select tree, leaf, list({{'l': coalesce(l, ''), 'r': coalesce(r, '')}} order by level) as steps
+  from {name}_steps group by all)"""
+
+
+MERKLE = f"""
+with recursive rows_ as materialized (
+  select doc_id, coalesce('=' || source, '-') as tree, {_leaf("text")} as digest,
+         {_leaf(f"case when {_ODD_CRC} = 0 then replace(text, chr(10), '') else text end")} as changed
+  from documents),
+ranked as materialized (
+  select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as i from rows_),
+{_tree("inner_", "ranked")},
+subroots as materialized (
+  select tree as source_tree, digest, 'all' as tree, row_number() over (order by tree) - 1 as i from inner_ where n = 1),
+{_tree("outer_", "subroots")},
+whole as materialized (
+  select r.doc_id, r.digest as leaf, s.digest as subroot, t.digest as root, r.changed,
+         list_concat(coalesce(p.steps, []), coalesce(q.steps, [])) as steps
+  from ranked r join subroots s on s.source_tree = r.tree join outer_ t on t.n = 1
+  left join inner__proofs p on p.tree = r.tree and p.leaf = r.i
+  left join outer__proofs q on q.leaf = s.i),
+folded as (
+  select *, changed as folded_root, 1 as step from whole
+  union all
+  select * replace (sha256(steps[step].l || folded_root || steps[step].r) as folded_root, step + 1 as step)
+  from folded where step <= len(steps))
+select doc_id, leaf, subroot, root,
+       sha256(coalesce(array_to_string(list_transform(steps, lambda s: s.l || s.r), ''), '')) as proof_sha256,
+       folded_root, folded_root = root as verified
+from folded where step = len(steps) + 1
+"""
