@@ -150,6 +150,25 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm.periodic_runs import detect
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    number = F.crc32(F.coalesce(docs.doc_id.cast("string"), F.lit("")).cast("binary"))
+    found = detect(docs, planted=F.when(number % 10 == 0, F.floor(number / 10)), keep_text=False)
+    best = F.get("runs", F.col("strongest"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * runs[strongest].length div runs[strongest].period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -163,6 +182,7 @@ def all_queries() -> dict[str, Query]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
         "op11_merkle": op11_merkle,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
