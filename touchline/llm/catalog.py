@@ -150,6 +150,23 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from touchline.llm.pii import BASE_KINDS, scan, span_text
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = scan(docs, keep_text=False)
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS),
+        F.sha2(span_text(of(*BASE_KINDS)), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     from touchline.llm.periodic_runs import detect
 
@@ -182,6 +199,7 @@ def all_queries() -> dict[str, Query]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
         "op11_merkle": op11_merkle,
+        "op12_pii": op12_pii,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -195,4 +213,5 @@ def all_oracles() -> dict[str, str]:
         "op9_jaccard_join": reference_sql.JACCARD_JOIN,
         "op10_mixing": reference_sql.MIXING,
         "op11_merkle": reference_sql.MERKLE,
+        "op12_pii": reference_sql.PII,
     }

@@ -1,6 +1,8 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from touchline.llm import pii
 from touchline.llm import quality_rules as rules
+from touchline.llm.common import LOWER, UPPER
 from touchline.llm.secret_scan import BASE_KINDS, RULES
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -260,3 +262,85 @@ select doc_id, leaf, subroot, root,
        folded_root, folded_root = root as verified
 from folded where step = len(steps) + 1
 """
+
+#: The base patterns as they are defined, without the marks that only keep the search linear.
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"[+][0-9][\x20().0-9-]+[0-9]",
+}
+_PII_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_PII_VALID = {
+    "email": "true",
+    "ip": f"regexp_matches(value, '{pii.IP_VALUE}')",
+    "card": f"""length({_PII_DIGITS}) between 16 and 19 and list_sum(list_transform(string_split(reverse({_PII_DIGITS}), ''),
+      lambda c, place: case when place % 2 = 1 then cast(c as int) when c > '4' then 2 * cast(c as int) - 9 else 2 * cast(c as int) end)) % 10 = 0""",
+    "phone": f"length({_PII_DIGITS}) between 8 and 15",
+}
+_PII_ENTITY = {"email": f"translate(value, '{UPPER}', '{LOWER}')", "ip": "value", "card": _PII_DIGITS, "phone": _PII_DIGITS}
+
+
+def _pii_kind(at: int, kind: str) -> str:
+    pattern = _quoted(_PII[kind])
+    return f"""
+select id, {at} as ord, '{kind}' as kind, start, start + length(value) as stop, '{kind}:' || {_PII_ENTITY[kind]} as entity,
+       case when length(b) > {pii.CONTEXT} then regexp_replace(right(b, {pii.CONTEXT}), '^[^\\x20\\x09-\\x0D]+', '') else b end || ' ' ||
+       case when length(a) > {pii.CONTEXT} then regexp_replace(left(a, {pii.CONTEXT}), '[^\\x20\\x09-\\x0D]+$', '') else a end as context
+from (
+  select id, unnest(hits) as value, unnest(gaps[:len(hits)]) as b, unnest(gaps[2:]) as a,
+         unnest(list_transform(range(1, len(hits) + 1), lambda i:
+           cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) as bigint))) as start
+  from (select id, regexp_extract_all(body, {pattern}) as hits, string_split_regex(body, {pattern}) as gaps from docs)
+  where len(hits) > 0)
+where {_PII_VALID[kind]}"""
+
+
+def _pii_items(text: str) -> str:
+    terms = f"list_distinct(regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{pii.TERM}'))"
+    return f"list_distinct(list_concat({terms}, list_transform({terms}, lambda w: left(w, {pii.KEPT_LETTERS}) || '*')))"
+
+
+_PII_SHARE = " * ".join(["(together / held)"] * 2**pii.STRICTNESS)
+PII = f"""
+with docs as materialized (
+  select row_number() over () as id, doc_id, coalesce(text, '') as body from documents),
+base as materialized ({" union all ".join(_pii_kind(at, kind) for at, kind in enumerate(pii.BASE_KINDS))}),
+near as materialized (
+  select distinct id, entity, unnest({_pii_items("context")}) as item from base),
+holders as (select entity, count(distinct id) as holding from base group by entity),
+wanted as (
+  select entity, item, count(*) as together from near join docs using (id)
+  group by entity, item having count(distinct body) > 1),
+held as (
+  select item, count(*) as held from (select unnest({_pii_items("body")}) as item from docs) group by item),
+judged as materialized (
+  select entity, item from wanted join holders using (entity) join held using (item), (select count(*) as n from docs)
+  where {_PII_SHARE} * n >= holding and holding < n),
+flagged as (
+  select entity, item, case when exists (
+           select 1 from judged c where c.entity = t.entity and c.item = left(t.item, {pii.KEPT_LETTERS}) || '*')
+         then 'removed' else 'generalised' end as kind
+  from judged t where item not like '%*'),
+by_text as (select id, item, max(kind) as kind from near join flagged using (entity, item) group by all),
+words as (
+  select id, unnest(hits) as word,
+         unnest(list_transform(range(1, len(hits) + 1), lambda i:
+           cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) as bigint))) as start
+  from (select id, regexp_extract_all(body, '{pii.TERM}') as hits, string_split_regex(body, '{pii.TERM}') as gaps
+        from docs where id in (select id from by_text))),
+spans as (
+  select id, ord, kind, start, stop from base
+  union all
+  select w.id, case t.kind when 'generalised' then 4 else 5 end, t.kind, w.start, w.start + length(word)
+  from words w join by_text t on t.id = w.id and t.item = translate(w.word, '{UPPER}', '{LOWER}')
+  where not exists (select 1 from base b where b.id = w.id and b.start < w.start + length(word) and w.start < b.stop)),
+listed as (
+  select id, {", ".join(f"count(*) filter (kind = '{kind}') as n_{kind}" for kind in pii.BASE_KINDS)},
+         string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start) filter (ord < 4) as base,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start) as spans
+  from spans group by id)
+select doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in pii.BASE_KINDS)},
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join listed using (id)
+"""
