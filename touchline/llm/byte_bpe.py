@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from touchline.llm.common import bound_batches, slices, with_arrow_columns
 
 BATCH_BYTES = 4 << 20
-MAX_CACHED_PIECES = 150_000
+MAX_CACHED_PIECES = 100_000
 MAX_CACHED_LENGTH = 64
 ENCODE_AT_ONCE = 64 << 10
 #: Between two characters that are not white space, before a single space.
@@ -298,13 +299,25 @@ def encode(
 
 
 @lru_cache(maxsize=4)
-def _token_bytes(serialised: str) -> list[bytes]:
+def _token_table(serialised: str) -> pa.Array:
+    """The bytes of every id, and at the end those of an unknown one."""
     byte_of = {character: byte for byte, character in enumerate(byte_characters())}
     vocabulary = json.loads(serialised)["model"]["vocab"]
     table = ["�".encode()] * (max(vocabulary.values(), default=-1) + 1)
     for token, number in vocabulary.items():
         table[number] = bytes(byte_of[character] for character in token)
-    return table
+    return pa.array([*table, "�".encode()], pa.binary())
+
+
+def _tokens(ids: pa.Array, table: pa.Array) -> pa.Array:
+    """Lists of the bytes of each id, without nulls; a null list is an empty one."""
+    lengths = pc.fill_null(pc.list_value_length(ids), 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)]).astype(np.int32)
+    numbers = ids.flatten()
+    unknown = len(table) - 1
+    known = pc.and_(pc.greater_equal(numbers, 0), pc.less(numbers, unknown))
+    places = pc.fill_null(pc.if_else(known, numbers, unknown), unknown)
+    return pa.ListArray.from_arrays(pa.array(offsets), table.take(places))
 
 
 def token_texts(tokens: Iterable[bytes]) -> list[str]:
@@ -328,24 +341,14 @@ def decode(df: DataFrame, serialised: str, ids: str = "ids", per_token: bool = F
     added = [T.StructField("decoded", T.BinaryType())]
     if per_token:
         added.append(T.StructField("token_texts", T.ArrayType(T.StringType())))
-    unknown = "�".encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(serialised)
+        table = _token_table(serialised)
         for batch in batches:
-            decoded, texts = [], []
-            for row in range(batch.num_rows):
-                value = batch.column(ids)[row].values
-                numbers = [] if value is None else value.to_pylist()
-                try:
-                    tokens = list(map(table.__getitem__, numbers))
-                except (IndexError, TypeError):
-                    tokens = [table[n] if n is not None and 0 <= n < len(table) else unknown for n in numbers]
-                decoded.append(b"".join(tokens))
-                if per_token:
-                    texts.append(token_texts(tokens) if tokens else [])
-            columns = {"decoded": pa.array(decoded, pa.binary())}
+            tokens = _tokens(batch.column(ids), table)
+            columns = {"decoded": pc.binary_join(tokens, pa.scalar(b"", pa.binary()))}
             if per_token:
+                texts = [token_texts(row) if row else [] for row in tokens.to_pylist()]
                 columns["token_texts"] = pa.array(texts, pa.list_(pa.string()))
             yield with_arrow_columns(batch, (), columns)
 
