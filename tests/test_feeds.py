@@ -8,6 +8,7 @@ from touchline.plans import harmonise
 from touchline.sources import json_feed as JF
 from touchline.sources import sinks
 from touchline.sources import xml_feed as XF
+from touchline.sources.files import Files
 from touchline.streaming.ingest import ingest_frames
 
 
@@ -116,7 +117,7 @@ def test_run_end_to_end_and_resume(spark, roots, tmp_path):
     assert {k: r.status for k, r in status.items()} == {"X1": "ok", "501": "ok"}
     assert status["501"].rows == 120 and status["X1"].rows == 24 * 2 + 23
 
-    tracking = spark.read.parquet(f"{out}/tracking")
+    tracking = harmonise.read(spark, out, "tracking")
     frames = tracking.groupBy("match_id").agg(F.min("frame_id").alias("a"), F.max("frame_id").alias("b")).collect()
     assert {(str(r.match_id), r.a, r.b) for r in frames} == {("X1", 0, 23), ("501", 0, 39)}
     spike = tracking.filter("player_id = 'Q1' and frame_id_source = 10020").first()
@@ -129,14 +130,14 @@ def test_run_end_to_end_and_resume(spark, roots, tmp_path):
     hidden = tracking.filter("player_id = '2' and frame_id_source = 120").first()
     assert hidden.is_visible is False and hidden.speed_kmh_filtered is None
 
-    lines = [json.loads(r.value) for r in spark.read.text(f"{out}/frames").collect()]
+    lines = [json.loads(r.value) for r in harmonise.read(spark, out, "frames").collect()]
     one = next(o for o in lines if o["match"]["id"] == "501" and o["frame_id"] == 20)
     assert [p["id"] for p in one["teams"]["home"]["players"]] == ["1", "2"]
     assert one["teams"]["home"]["players"][1]["x"] is None and "vel" not in one["teams"]["home"]["players"][1]
     assert one["ball"]["y"] is None and one["teams"]["away"]["id"] == "22"
     assert one["teams"]["home"]["players"][0]["vel"] == pytest.approx(1.0, abs=1e-3)
 
-    sheets = {r["match_id"]: r.asDict(True) for r in spark.read.json(f"{out}/sheets").collect()}
+    sheets = {r["match_id"]: r.asDict(True) for r in harmonise.read(spark, out, "sheets").collect()}
     x1 = sheets["X1"]
     assert x1["match"]["result"]["winning_team_id"] == "T1"
     assert x1["match"]["periods"][0]["left_team_id"] == "T2" and len(x1["match"]["whistles"]) == 2
@@ -144,7 +145,7 @@ def test_run_end_to_end_and_resume(spark, roots, tmp_path):
     assert x1["match"]["events"]["substitutions"][0]["out_player_id"] == "P2"
     assert sheets["501"]["match"]["result"].get("winning_team_id") is None
 
-    events = [json.loads(r.value) for r in spark.read.text(f"{out}/event_lines").collect()]
+    events = [json.loads(r.value) for r in harmonise.read(spark, out, "event_lines").collect()]
     shot = next(e for e in events if e["event"]["id"] == "E16")
     assert (shot["event"]["type"], shot["event"]["sub_type"], shot["event"]["outcome_type"]) == ("shot", "free_kick", "wide")
     assert "body_part" in shot["event"] and shot["event"]["body_part"] is None
@@ -152,7 +153,7 @@ def test_run_end_to_end_and_resume(spark, roots, tmp_path):
 
     again = harmonise.run(spark, feeds, out).collect()
     assert {r.status for r in again} == {"skipped"}
-    assert spark.read.parquet(f"{out}/tracking").count() == 191
+    assert harmonise.read(spark, out, "tracking").count() == 191
 
 
 def add_match(root, match_id):
@@ -170,10 +171,12 @@ def test_csv_columns_go_by_each_header(spark, tmp_path):
     root = json_feed(tmp_path / "json")
     add_match(root, "502")
     names = ("event_id", "player_name", "team_id", "not_there")
-    rows = JF.read_csv(spark, f"{root}/matches/*/*_dynamic_events.csv", names)
+    rows = JF.read_csv(spark, str(root), "events", names)
     by_match = {m: sorted(tuple(r)[1:] for r in rows.collect() if r.match_id == m) for m in ("501", "502")}
     assert by_match["501"] == by_match["502"] and ("8_0", "Two", "11.0", None) in by_match["501"]
-    assert {r.match_id for r in JF.read_csv(spark, f"{root}/matches/*/*_dynamic_events.csv", names, ["502"]).collect()} == {"502"}
+    one = Files(str(root), {"events": [f"{root}/matches/502/502_dynamic_events.csv"]})
+    assert {r.match_id for r in JF.read_csv(spark, one, "events", names).collect()} == {"502"}
+    assert JF.read_csv(spark, one, "phases", names).collect() == []
     kinds = {m: sorted(r.action_type for r in JF.actions(spark, str(root)).collect() if r.match_id == m) for m in ("501", "502")}
     assert kinds["501"] == kinds["502"] and len(kinds["501"]) == 4
 
@@ -182,11 +185,11 @@ def written(spark, out):
     """Everything below an output folder, as comparable text."""
     found = {}
     for name in ("tracking", "actions"):
-        rows = spark.read.parquet(f"{out}/{name}")
+        rows = harmonise.read(spark, out, name)
         found[name] = sorted(str([r[c] for c in sorted(rows.columns)]) for r in rows.collect())
     for name in ("frames", "event_lines"):
-        found[name] = sorted(r.value for r in spark.read.text(f"{out}/{name}").collect())
-    sheets = spark.read.json(f"{out}/sheets")
+        found[name] = sorted(r.value for r in harmonise.read(spark, out, name).collect())
+    sheets = harmonise.read(spark, out, "sheets")
     found["sheets"] = sorted(str(r.asDict(True)) for r in sheets.select(sorted(sheets.columns)).collect())
     return found
 
@@ -208,6 +211,87 @@ def test_a_late_match_and_a_broken_run_end_as_a_run_from_scratch(spark, tmp_path
     (tmp_path / "fresh" / "tracking").rename(tmp_path / "broken" / "tracking")
     assert {r.status for r in harmonise.run(spark, feeds, broken).collect()} == {"ok"}
     assert written(spark, broken) == whole
+    # A run that does not resume replaces everything; nothing of the old batch stays.
+    harmonise.run(spark, feeds, broken, resume=False, matches_per_batch=1).collect()
+    assert written(spark, broken) == whole
+    assert spark.read.parquet(f"{broken}/tracking").select("batch").distinct().count() == 2
+
+
+def add_xml_match(root, match_id):
+    """A copy of match X1 under another id."""
+    for path in list(root.glob("*_X1.xml")):
+        path.with_name(path.name.replace("X1", match_id)).write_text(path.read_text())
+
+
+def test_a_bad_match_fails_alone_with_its_reason(spark, tmp_path):
+    xml, js = xml_feed(tmp_path / "xml"), json_feed(tmp_path / "json")
+    for name in ("X2", "X3", "X4", "X5"):
+        add_xml_match(xml, name)
+    for name in ("502", "503", "504"):
+        add_match(js, name)
+    positions = xml / "F_04_03_positions_raw_observed_A-1_X2.xml"
+    positions.write_text(positions.read_text()[:4000])
+    (xml / "F_03_02_events_raw_A-1_X3.xml").unlink()
+    events = xml / "F_03_02_events_raw_A-1_X4.xml"
+    events.write_text(events.read_text().replace('EventId="E9" EventTime=', 'EventId="E9 EventTime='))
+    (xml / "F_02_01_matchinformation_A-1_X5.xml").write_text("")
+    sheet = js / "matches" / "502" / "502_match.json"
+    sheet.write_text(sheet.read_text()[:300])
+    (js / "matches" / "503" / "503_tracking_extrapolated.jsonl").write_text("{broken\n")
+    feeds, out = harmonise.Feeds(str(xml), str(js)), str(tmp_path / "out")
+    rows = {r.match_id: r for r in harmonise.run(spark, feeds, out).collect()}
+    assert {m for m, r in rows.items() if r.status == "ok"} == {"X1", "501", "504"}
+    assert "closing tag" in rows["X2"].reason and rows["X3"].reason == "no events file, or it is empty"
+    assert rows["X4"].reason.startswith("malformed Event") and rows["X5"].reason == "no info file, or it is empty"
+    assert rows["502"].reason == "match sheet is not JSON" and "no frame" in rows["503"].reason
+    # Once mended, only the failed matches are read, and all is as if run from scratch.
+    for name in ("X2", "X3", "X4", "X5"):
+        add_xml_match(xml, name)
+    for name in ("502", "503"):
+        for path in (js / "matches" / "501").iterdir():
+            (js / "matches" / name / path.name.replace("501", name)).write_text(path.read_text())
+    again = {r.match_id: r.status for r in harmonise.run(spark, feeds, out).collect()}
+    assert again == {m: "skipped" if m in ("X1", "501", "504") else "ok" for m in rows}
+    fresh = str(tmp_path / "fresh")
+    harmonise.run(spark, feeds, fresh).collect()
+    assert written(spark, out) == written(spark, fresh)
+
+
+def test_an_unforeseen_error_is_narrowed_down_to_its_match(spark, tmp_path, monkeypatch):
+    root = json_feed(tmp_path / "json")
+    for name in ("502", "503"):
+        add_match(root, name)
+    plain = harmonise.actions
+
+    def failing(session, feeds):
+        return plain(session, feeds).withColumn(
+            "result", F.when(F.col("match_id") == "502", F.raise_error(F.lit("bad action"))).otherwise(F.col("result"))
+        )
+
+    monkeypatch.setattr(harmonise, "actions", failing)
+    out = str(tmp_path / "out")
+    rows = {r.match_id: r for r in harmonise.run(spark, harmonise.Feeds(json=str(root)), out).collect()}
+    assert {m: r.status for m, r in rows.items()} == {"501": "ok", "502": "failed", "503": "ok"}
+    assert "bad action" in rows["502"].reason
+    assert {r.match_id for r in harmonise.read(spark, out, "actions").collect()} == {"501", "503"}
+
+
+def test_each_file_is_parsed_once(spark, tmp_path, monkeypatch):
+    parsed = []
+    plain = XF.materialise
+
+    def counting(df):
+        if "FrameSet" in df._jdf.queryExecution().toString() or "Frame" in df.columns or "KickOff" in df.columns:
+            parsed.append(tuple(df.columns))
+        return plain(df)
+
+    monkeypatch.setattr(XF, "materialise", counting)
+    staged = XF.stage(spark, str(xml_feed(tmp_path / "xml")))
+    assert len(parsed) == 2
+    first = XF.raw_events(spark, staged).select("_EventId", "seq").collect()
+    assert sorted((r.seq, r["_EventId"]) for r in first) == [(i, f"E{i}") for i in range(20)]
+    plan = XF.tracking(spark, staged)._jdf.queryExecution().executedPlan().toString()
+    assert "positions_raw" not in plan  # the position file itself is not read again
 
 
 def test_pending_without_outputs(spark):

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,5 +62,46 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``materialise`` writes inside, once the block ends; results must be stored by then."""
+    written: list[str] = []
+    token = _OWNER.set(written)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+        for path in written:
+            remove(spark, path)
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _folder(spark, path)
+    return files.exists(place)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``; none if it does not exist."""
+    files, place = _folder(spark, path)
+    found = files.listStatus(place) if files.exists(place) else []
+    return sorted(entry.getPath().getName() for entry in found if entry.isDirectory())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline import constants as K
 from touchline import schemas
@@ -13,47 +14,95 @@ from touchline.functions import scalars as S
 from touchline.operators import actions as E
 from touchline.operators.joins import in_latest_interval
 from touchline.operators.trajectory import step_speed_with_reset
+from touchline.session import materialise
+from touchline.sources.files import Files, as_files, list_files
 
 
 def _match_id() -> Column:
     return F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
 
 
-def _of(rows: DataFrame, only: Sequence[str] | None) -> DataFrame:
-    """Rows of the matches in ``only``; the filter on paths skips the files of others."""
-    return rows if only is None else rows.filter(_match_id().isin(*only))
+KINDS = {
+    "sheet": "matches/*/*_match.json", "frames": "matches/*/*_tracking_extrapolated.jsonl",
+    "phases": "matches/*/*_phases_of_play.csv", "events": "matches/*/*_dynamic_events.csv",
+}
+#: A match without one of these files is incomplete.
+REQUIRED = ("sheet", "frames")
 
 
-def read_csv(spark: SparkSession, pattern: str, columns: Sequence[str], only: Sequence[str] | None = None) -> DataFrame:
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """All files of the feed with their match and kind."""
+    forms = {kind: "/" + pattern.replace(".", "[.]").replace("*", "[^/]*") + "$" for kind, pattern in KINDS.items()}
+    return list_files(
+        spark, folder, K.SOURCE_JSON, "*_*", forms, F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    )
+
+
+def read_csv(spark: SparkSession, folder: str | Files, kind: str, columns: Sequence[str]) -> DataFrame:
     """(match_id, columns) of CSV files, matched by the names in each file's own header.
 
-    Files with the same header are read together; a column that a header lacks is null. One
-    row per file reaches the driver, as it does when files are listed.
+    Files with the same header are read together; a column that a header lacks is null. The header
+    is the first line of a file's first block; one row per file reaches the driver, as it does when
+    files are listed.
     """
-    whole = _of(spark.read.text(pattern, wholetext=True), only)
-    head = F.regexp_extract("value", "^\ufeff?([^\r\n]*)", 1)
+    fields = ", ".join(f"`{name}` string" for name in ("match_id", *columns))
+    paths = as_files(folder).of(kind, KINDS[kind])
+    if not paths:
+        return spark.createDataFrame([], fields)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    found = whole.select(head.alias("head"), path.alias("path")).collect()
+    lines = spark.read.text(paths).select(
+        path.alias("path"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
+    head = F.regexp_replace("value", "^\ufeff|\r$", "")
+    found = lines.filter("block = 0").groupBy("path").agg(F.min_by(head, "line").alias("head")).collect()
     out: DataFrame | None = None
     for header in sorted({row["head"] for row in found}):
         rows = spark.read.option("header", True).csv([row["path"] for row in found if row["head"] == header])
         named = [F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
         part = rows.select(_match_id().alias("match_id"), *named)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        fields = ", ".join(f"`{name}` string" for name in ("match_id", *columns))
-        return spark.createDataFrame([], fields)
-    return out
+    return spark.createDataFrame([], fields) if out is None else out
+
+
+def _read_json(spark: SparkSession, folder: str | Files, kind: str, schema, **options) -> DataFrame:
+    paths = as_files(folder).of(kind, KINDS[kind])
+    if not paths:
+        return spark.createDataFrame([], T.StructType([T.StructField("match_id", T.StringType()), *schema.fields]))
+    rows = spark.read.schema(schema).options(**options).json(paths)
+    return rows.select(_match_id().alias("match_id"), *schema.names)
 
 
-def sheets(spark: SparkSession, folder: str) -> DataFrame:
+def sheets(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Match sheets, one row per match, as delivered."""
-    rows = spark.read.schema(schemas.MATCH_JSON).option("multiLine", True).json(f"{folder}/matches/*/*_match.json")
-    return rows.select(_match_id().alias("match_id"), *schemas.MATCH_JSON.names)
+    return _read_json(spark, folder, "sheet", schemas.MATCH_JSON, multiLine=True)
 
 
-def kickoff_index(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.schema(schemas.MATCH_INDEX).option("multiLine", True).json(f"{folder}/matches.json")
+def incomplete(spark: SparkSession, folder: str | Files) -> DataFrame:
+    """(match_id, reason) of match sheets that are not JSON, or name no team."""
+    schema = T.StructType([*schemas.MATCH_JSON.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = _read_json(spark, folder, "sheet", schema, multiLine=True)
+    broken = F.when(F.col("_corrupt_record").isNotNull(), "match sheet is not JSON").when(
+        F.col("home_team.id").isNull() | F.col("away_team.id").isNull(), "match sheet names no teams"
+    )
+    return rows.select("match_id", broken.alias("reason")).filter("reason is not null")
+
+
+def stage(spark: SparkSession, folder: str | Files) -> Files:
+    """Frames are parsed once and written; all readers then take the written rows."""
+    files = as_files(folder)
+    return files.with_staged(frames=materialise(frames(spark, files)))
+
+
+def malformed(spark: SparkSession, staged: Files) -> DataFrame:
+    """Single frames that do not parse are dropped, so only files without any frame are left to report."""
+    listed = [(path.split("/")[-2],) for path in staged.of("frames", KINDS["frames"])]
+    known = spark.createDataFrame(listed, "match_id string")
+    missing = known.join(staged.staged["frames"].select("match_id").distinct(), "match_id", "left_anti")
+    return missing.select("match_id", F.lit("no frame of the tracking file parses").alias("reason"))
+
+
+def kickoff_index(spark: SparkSession, folder: str | Files) -> DataFrame:
+    rows = spark.read.schema(schemas.MATCH_INDEX).option("multiLine", True).json(f"{as_files(folder).root}/matches.json")
     return rows.select(F.col("id").cast("string").alias("match_id"), F.col("date_time").alias("kickoff_raw")).dropDuplicates(["match_id"])
 
 
@@ -71,7 +120,7 @@ def second_half_offset(default_minutes: float = 45.0) -> Column:
     return _first_half_seconds(default_minutes * 60.0) + K.HALF_TIME_BREAK_SECONDS
 
 
-def matches(spark: SparkSession, folder: str) -> DataFrame:
+def matches(spark: SparkSession, folder: str | Files) -> DataFrame:
     rows = sheets(spark, folder).join(kickoff_index(spark, folder), "match_id", "left")
     return rows.select(
         "match_id",
@@ -105,7 +154,7 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def referees(spark: SparkSession, folder: str) -> DataFrame:
+def referees(spark: SparkSession, folder: str | Files) -> DataFrame:
     rows = sheets(spark, folder).select("match_id", F.explode("referees").alias("r"))
     return rows.filter(F.col("r.id").isNotNull()).select(
         "match_id", _text("r.id").alias("id"), "r.first_name", "r.last_name", "r.short_name",
@@ -113,7 +162,7 @@ def referees(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def rosters(spark: SparkSession, folder: str) -> DataFrame:
+def rosters(spark: SparkSession, folder: str | Files) -> DataFrame:
     rows = sheets(spark, folder).select("match_id", "home_team", "away_team", F.posexplode("players").alias("seq", "p"))
     raw = F.col("p.player_role.acronym")
     labels = {c: lab for c, (lab, _) in K.POSITIONS_JSON.items() if lab}
@@ -134,7 +183,7 @@ def rosters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def directions(spark: SparkSession, folder: str) -> DataFrame:
+def directions(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Entries are plain text or objects with an ``attacking_side``."""
     rows = sheets(spark, folder).select("match_id", F.posexplode(F.slice("home_team_side", 1, 2)).alias("i", "side"))
     inner = F.coalesce(F.get_json_object("side", "$.attacking_side"), F.col("side"))
@@ -145,30 +194,27 @@ def directions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+def frames(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Frames with nested players; lines that do not parse are dropped."""
-    rows = (
-        spark.read.schema(schemas.FRAME_JSON)
-        .option("mode", "PERMISSIVE")
-        .json(f"{folder}/matches/*/*_tracking_extrapolated.jsonl")
-    )
-    named = _of(rows, only).select(_match_id().alias("match_id"), *schemas.FRAME_JSON.names)
+    files = as_files(folder)
+    if "frames" in files.staged:
+        return files.staged["frames"]
+    named = _read_json(spark, files, "frames", schemas.FRAME_JSON, mode="PERMISSIVE")
     good = F.col("_corrupt_record").isNull() & F.col("frame").isNotNull() & F.col("period").isNotNull()
     return named.filter(good).drop("_corrupt_record")
 
 
-def phases(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
-    pattern = f"{folder}/matches/*/*_phases_of_play.csv"
-    return read_csv(spark, pattern, ("frame_start", "frame_end"), only).select(
+def phases(spark: SparkSession, folder: str | Files) -> DataFrame:
+    return read_csv(spark, folder, "phases", ("frame_start", "frame_end")).select(
         "match_id",
         F.col("frame_start").try_cast("double").cast("long").alias("frame_start"),
         F.col("frame_end").try_cast("double").cast("long").alias("frame_end"),
     )
 
 
-def tracking(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+def tracking(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Player rows at native 10 Hz with clock, ball, possession and step kinematics."""
-    shots = frames(spark, folder, only)
+    shots = frames(spark, folder)
     offset = sheets(spark, folder).select(
         "match_id", _text("home_team.id").alias("home_team_id"), _text("away_team.id").alias("away_team_id"),
         (_first_half_seconds(0.0) + K.HALF_TIME_BREAK_SECONDS).alias("_second"),
@@ -177,7 +223,7 @@ def tracking(spark: SparkSession, folder: str, only: Sequence[str] | None = None
         "match_id", "player_id", "player_name", "team_id", "team_name", "position_raw", "position_label", "position_group"
     )
     in_play = in_latest_interval(
-        shots.select("match_id", "frame").distinct(), phases(spark, folder, only), keys=["match_id"], point="frame",
+        shots.select("match_id", "frame").distinct(), phases(spark, folder), keys=["match_id"], point="frame",
         start="frame_start", end="frame_end", name="ball_status",
     )
     owner = roster.select("match_id", F.col("player_id").alias("_owner"), F.col("team_id").alias("_owner_team"))
@@ -221,11 +267,11 @@ def tracking(spark: SparkSession, folder: str, only: Sequence[str] | None = None
     ).drop("home_team_id")
 
 
-def raw_events(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
-    return read_csv(spark, f"{folder}/matches/*/*_dynamic_events.csv", schemas.EVENTS_CSV_COLUMNS, only)
+def raw_events(spark: SparkSession, folder: str | Files) -> DataFrame:
+    return read_csv(spark, folder, "events", schemas.EVENTS_CSV_COLUMNS)
 
 
-def actions(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+def actions(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Actions at the end of player possessions, oriented and on the UTC clock."""
     info = sheets(spark, folder).select(
         "match_id",
@@ -235,7 +281,7 @@ def actions(spark: SparkSession, folder: str, only: Sequence[str] | None = None)
     )
     sides = directions(spark, folder).drop("source")
     number = F.col("period").try_cast("double").cast("int")
-    rows = raw_events(spark, folder, only).filter(F.col("event_type") == "player_possession").withColumn("_n", number)
+    rows = raw_events(spark, folder).filter(F.col("event_type") == "player_possession").withColumn("_n", number)
 
     def utc(clock: str) -> Column:
         start = F.when(F.col("_n") == 2, F.col("_second")).otherwise(0.0)

@@ -5,10 +5,9 @@ Files pair up by the match id at the end of their names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline import constants as K
 from touchline import schemas
@@ -16,17 +15,81 @@ from touchline.functions import scalars as S
 from touchline.operators import actions as E
 from touchline.operators.trajectory import keep_pattern, step_distance
 from touchline.session import materialise
+from touchline.sources.files import Files, as_files, list_files
+
+KINDS = {"info": "*matchinformation*.xml", "events": "*events_raw*.xml", "positions": "*positions_raw*.xml"}
+#: A match without one of these files is incomplete.
+REQUIRED = ("info", "events", "positions")
+CORRUPT = "_corrupt_record"
 
-INFO, EVENTS, POSITIONS = "*matchinformation*.xml", "*events_raw*.xml", "*positions_raw*.xml"
+
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """All files of the feed with their match and kind."""
+    forms = {kind: pattern.replace(".", "[.]").replace("*", "[^/]*") + "$" for kind, pattern in KINDS.items()}
+    return list_files(
+        spark, folder, K.SOURCE_XML, "*.xml", forms, F.regexp_extract("path", r"([^_/]+)[.]xml$", 1)
+    )
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema, only: Sequence[str] | None = None) -> DataFrame:
-    """Rows of all files, or of the matches in ``only``: the filter on file names skips the other files."""
-    rows = spark.read.schema(schema).option("rowTag", tag).xml(path)
+def _read(spark: SparkSession, folder: str | Files, kind: str, tag: str, schema) -> DataFrame:
+    """The elements ``tag`` of all files of a kind, with the text of those that do not parse."""
+    files = as_files(folder)
+    if tag in files.staged:
+        return files.staged[tag]
+    names = ["match_id", *schema.names, CORRUPT]
+    fields = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    paths = files.of(kind, KINDS[kind])
+    if not paths:
+        return spark.createDataFrame([], T.StructType([T.StructField("match_id", T.StringType()), *fields.fields]))
+    rows = spark.read.schema(fields).option("rowTag", tag).xml(paths)
     match_id = F.regexp_extract("_metadata.file_name", r"([^_]+)\.xml$", 1)
-    if only is not None:
-        rows = rows.filter(match_id.isin(*only))
-    return rows.select(match_id.alias("match_id"), *[F.col(f"`{c}`") for c in schema.names])
+    return rows.select(match_id.alias("match_id"), *[F.col(f"`{c}`") for c in names[1:]])
+
+
+def stage(spark: SparkSession, folder: str | Files) -> Files:
+    """Parse events and positions once and write them; all readers then take the written rows."""
+    files = as_files(folder)
+    return files.with_staged(
+        Event=materialise(_read(spark, files, "events", "Event", schemas.EVENT).withColumn("row_id", F.monotonically_increasing_id())),
+        FrameSet=materialise(_read(spark, files, "positions", "FrameSet", schemas.FRAME_SET)),
+    )
+
+
+def incomplete(spark: SparkSession, folder: str | Files) -> DataFrame:
+    """(match_id, reason) of files that do not end with the closing tag of their first element.
+
+    The first and the last line of a file follow from the block and the place of the row in its task,
+    so large files are read in parallel and never held as a whole.
+    """
+    files = as_files(folder)
+    paths = [path for kind, pattern in KINDS.items() for path in files.of(kind, pattern)]
+    if not paths:
+        return spark.createDataFrame([], "match_id string, reason string")
+    at = F.struct("block", "line")
+    tag = F.regexp_extract("value", r"<([A-Za-z_:][^\s/>]*)", 1)
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"),
+    )
+    ends = lines.filter("value <> ''").groupBy("file").agg(
+        F.min_by(tag, F.when(tag != "", at)).alias("root"), F.max_by("value", at).alias("last")
+    )
+    closed = F.endswith("last", F.concat(F.lit("</"), F.col("root"), F.lit(">")))
+    return ends.filter(~F.coalesce(closed, F.lit(False))).select(
+        F.regexp_extract("file", r"([^_]+)\.xml$", 1).alias("match_id"),
+        F.concat("file", F.lit(": does not end with its closing tag")).alias("reason"),
+    )
+
+
+def malformed(spark: SparkSession, staged: Files) -> DataFrame:
+    """(match_id, reason) of staged elements that did not parse."""
+    out = None
+    for tag, rows in staged.staged.items():
+        found = rows.filter(F.col(CORRUPT).isNotNull()).groupBy("match_id").agg(F.min(CORRUPT).alias("text"))
+        reason = F.concat(F.lit(f"malformed {tag}: "), F.left("text", F.lit(200)))
+        part = found.select("match_id", reason.alias("reason"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _score(pair: Column, side: int) -> Column:
@@ -39,10 +102,9 @@ def _both(pair: Column, side: int) -> Column:
     return F.when(_score(pair, 0).isNotNull() & _score(pair, 1).isNotNull(), _score(pair, side))
 
 
-def matches(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder}/{INFO}"
-    general = _read(spark, path, "General", schemas.GENERAL)
-    place = _read(spark, path, "Environment", schemas.ENVIRONMENT)
+def matches(spark: SparkSession, folder: str | Files) -> DataFrame:
+    general = _read(spark, folder, "info", "General", schemas.GENERAL)
+    place = _read(spark, folder, "info", "Environment", schemas.ENVIRONMENT)
     competition = S.lookup(F.col("_CompetitionId"), K.COMPETITION_XML, F.coalesce("_CompetitionId", F.lit("")))
     halves = [F.col(c) for c in ("_ResultFirstHalf", "_ResultSecondHalf")]
     out = general.select(
@@ -81,8 +143,8 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     return out.join(place, "match_id", "left")
 
 
-def referees(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _read(spark, f"{folder}/{INFO}", "Referee", schemas.REFEREE)
+def referees(spark: SparkSession, folder: str | Files) -> DataFrame:
+    rows = _read(spark, folder, "info", "Referee", schemas.REFEREE)
     return rows.select(
         "match_id",
         F.coalesce("_PersonId", "_RefereeId").alias("id"),
@@ -93,9 +155,9 @@ def referees(spark: SparkSession, folder: str) -> DataFrame:
     ).filter(F.col("id").isNotNull())
 
 
-def base_rosters(spark: SparkSession, folder: str) -> DataFrame:
+def base_rosters(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Players of the team sheets, before anything is added from events."""
-    rows = _read(spark, f"{folder}/{INFO}", "Team", schemas.TEAM)
+    rows = _read(spark, folder, "info", "Team", schemas.TEAM)
     team_id = F.coalesce("_TeamId", "_id")
     players = F.concat(F.coalesce("Player", F.array()), F.coalesce("Players.Player", F.array()))
     rows = rows.select(
@@ -123,10 +185,17 @@ def base_rosters(spark: SparkSession, folder: str) -> DataFrame:
     ).filter(F.col("team_id").isNotNull() & F.col("player_id").isNotNull())
 
 
-def raw_events(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
-    """Raw events in file order (``seq``) with their nested children."""
-    rows = _read(spark, f"{folder}/{EVENTS}", "Event", schemas.EVENT, only)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+def raw_events(spark: SparkSession, folder: str | Files) -> DataFrame:
+    """Raw events with their nested children and their place in the file (``seq``, from 0).
+
+    A file is read by one task from its beginning, so the rows' numbers follow the file.
+    """
+    rows = _read(spark, folder, "events", "Event", schemas.EVENT)
+    if "row_id" not in rows.columns:
+        rows = materialise(rows.withColumn("row_id", F.monotonically_increasing_id()))
+    # A match has some thousand events.
+    first = F.min("row_id").over(Window.partitionBy("match_id"))
+    return rows.withColumn("seq", F.col("row_id") - first).drop("row_id", CORRUPT)
 
 
 def kickoffs(events: DataFrame, matches_df: DataFrame) -> DataFrame:
@@ -138,7 +207,7 @@ def kickoffs(events: DataFrame, matches_df: DataFrame) -> DataFrame:
     return rows.join(matches_df.select("match_id", "home_team_id"), "match_id")
 
 
-def rosters(spark: SparkSession, folder: str) -> DataFrame:
+def rosters(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Team sheets completed with substitution times, cards and goals from the events."""
     base = base_rosters(spark, folder)
     events = raw_events(spark, folder)
@@ -181,15 +250,15 @@ def rosters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def directions(spark: SparkSession, folder: str) -> DataFrame:
+def directions(spark: SparkSession, folder: str | Files) -> DataFrame:
     info = matches(spark, folder)
     out = E.play_direction(kickoffs(raw_events(spark, folder), info))
     return out.withColumn("source", F.lit(K.SOURCE_XML))
 
 
-def positions(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+def positions(spark: SparkSession, folder: str | Files) -> DataFrame:
     """All raw position rows: players, ball and referees at 25 Hz."""
-    rows = _read(spark, f"{folder}/{POSITIONS}", "FrameSet", schemas.FRAME_SET, only)
+    rows = _read(spark, folder, "positions", "FrameSet", schemas.FRAME_SET)
     section = F.col("_GameSection")
     return rows.select(
         "match_id",
@@ -210,9 +279,9 @@ def is_player(team: str = "team_id") -> Column:
     return F.coalesce(~F.col(team).isin("BALL", "referee"), F.lit(False))
 
 
-def tracking(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+def tracking(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Player rows thinned to 10 Hz, with ball, roster and native kinematics."""
-    raw = positions(spark, folder, only)
+    raw = positions(spark, folder if "FrameSet" in as_files(folder).staged else stage(spark, folder))
     info = matches(spark, folder).select("match_id", "home_team_id", "away_team_id", "competition")
     frame = ["match_id", "period", "frame_id_source"]
     ball = F.when(F.col("team_id") == "BALL", F.struct("x", "y", F.coalesce("z", F.lit(0.0)).alias("z"), "ball_code", "poss_code"))
@@ -244,13 +313,13 @@ def tracking(spark: SparkSession, folder: str, only: Sequence[str] | None = None
     )
 
 
-def actions(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+def actions(spark: SparkSession, folder: str | Files) -> DataFrame:
     """Normalised actions: classified, oriented, offsides marked, throw-ins re-keyed."""
     info = matches(spark, folder).select("match_id", "home_team_id", "competition_name")
     sheet = base_rosters(spark, folder).select(
         "match_id", "player_id", F.col("short_name").alias("player_name"), F.col("team_id").alias("_team"), "team_name"
     )
-    events = raw_events(spark, folder, only)
+    events = raw_events(spark, folder)
     starts = kickoffs(events, info)
     # As for actions only: a missing first half is not inferred from the second.
     sides = E.play_direction(starts, infer_first=False)
@@ -284,5 +353,5 @@ def actions(spark: SparkSession, folder: str, only: Sequence[str] | None = None)
         axis("_Y-Position", width).alias("end_y"),
         F.lit(K.SOURCE_XML).alias("source"), F.coalesce("competition_name", F.lit("")).alias("competition"),
     )
-    marked = E.mark_offside(rows, ["match_id"], "seq", span=1 << 33)
-    return E.conform_actions(E.rekey_throw_ins(marked, ["match_id"], "seq", span=1 << 33))
+    marked = E.mark_offside(rows, ["match_id"], "seq", span=65_536)
+    return E.conform_actions(E.rekey_throw_ins(marked, ["match_id"], "seq", span=65_536))
