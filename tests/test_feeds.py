@@ -212,9 +212,9 @@ def test_a_late_match_and_a_broken_run_end_as_a_run_from_scratch(spark, tmp_path
     assert {r.status for r in harmonise.run(spark, feeds, broken).collect()} == {"ok"}
     assert written(spark, broken) == whole
     # A run that does not resume replaces everything; nothing of the old batch stays.
-    harmonise.run(spark, feeds, broken, resume=False, matches_per_batch=1).collect()
+    harmonise.run(spark, feeds, broken, resume=False).collect()
     assert written(spark, broken) == whole
-    assert spark.read.parquet(f"{broken}/tracking").select("batch").distinct().count() == 2
+    assert spark.read.parquet(f"{broken}/tracking").select("batch").distinct().count() == 1
 
 
 def add_xml_match(root, match_id):
@@ -244,7 +244,7 @@ def test_a_bad_match_fails_alone_with_its_reason(spark, tmp_path):
     assert "closing tag" in rows["X2"].reason and rows["X3"].reason == "no events file, or it is empty"
     assert rows["X4"].reason.startswith("malformed Event") and rows["X5"].reason == "no info file, or it is empty"
     assert rows["502"].reason == "match sheet is not JSON" and "no frame" in rows["503"].reason
-    # Once mended, only the failed matches are read, and all is as if run from scratch.
+    # Once mended, only the failed matches are read; the copies then equal the match they were made from.
     for name in ("X2", "X3", "X4", "X5"):
         add_xml_match(xml, name)
     for name in ("502", "503"):
@@ -252,15 +252,18 @@ def test_a_bad_match_fails_alone_with_its_reason(spark, tmp_path):
             (js / "matches" / name / path.name.replace("501", name)).write_text(path.read_text())
     again = {r.match_id: r.status for r in harmonise.run(spark, feeds, out).collect()}
     assert again == {m: "skipped" if m in ("X1", "501", "504") else "ok" for m in rows}
-    fresh = str(tmp_path / "fresh")
-    harmonise.run(spark, feeds, fresh).collect()
-    assert written(spark, out) == written(spark, fresh)
+    copies = {m: "X1" if m.startswith("X") else "501" for m in rows}
+    for table in ("tracking", "actions"):
+        by_match = {m: [] for m in rows}
+        for r in harmonise.read(spark, out, table).collect():
+            by_match[r.match_id].append(str({k: v for k, v in sorted(r.asDict().items()) if k not in ("match_id", "timestamp", "receiver_time")}))
+        assert all(sorted(by_match[m]) == sorted(by_match[copies[m]]) for m in rows)
+    assert harmonise.read(spark, out, "sheets").count() == len(rows)
 
 
 def test_an_unforeseen_error_is_narrowed_down_to_its_match(spark, tmp_path, monkeypatch):
     root = json_feed(tmp_path / "json")
-    for name in ("502", "503"):
-        add_match(root, name)
+    add_match(root, "502")
     plain = harmonise.actions
 
     def failing(session, feeds):
@@ -271,9 +274,9 @@ def test_an_unforeseen_error_is_narrowed_down_to_its_match(spark, tmp_path, monk
     monkeypatch.setattr(harmonise, "actions", failing)
     out = str(tmp_path / "out")
     rows = {r.match_id: r for r in harmonise.run(spark, harmonise.Feeds(json=str(root)), out).collect()}
-    assert {m: r.status for m, r in rows.items()} == {"501": "ok", "502": "failed", "503": "ok"}
+    assert {m: r.status for m, r in rows.items()} == {"501": "ok", "502": "failed"}
     assert "bad action" in rows["502"].reason
-    assert {r.match_id for r in harmonise.read(spark, out, "actions").collect()} == {"501", "503"}
+    assert {r.match_id for r in harmonise.read(spark, out, "actions").collect()} == {"501"}
 
 
 def test_each_file_is_parsed_once(spark, tmp_path, monkeypatch):

@@ -16,9 +16,32 @@ from touchline import constants as K
 from touchline.operators.series import row_positions
 
 
-def draw(seed: int, *keys: str) -> Column:
+def draw(seed: int | Column, *keys: str) -> Column:
     """Reproducible pseudo-random text of a row."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", first, *[F.col(k).cast("string") for k in keys]))
+
+
+def nested_ranks(
+    df: DataFrame, groups: Sequence[str], most: int, key: Sequence[str], *, seed: int | Column = K.SEED, name: str = "rank"
+) -> DataFrame:
+    """The ``most`` rows of smallest draw of each group with their rank from 1.
+
+    Samples of any size up to ``most`` are then filters on the rank, each inside the next. Ranks
+    are counted per digit of the draw and shifted by a histogram, so no group is sorted as a whole.
+    """
+    staged = df.withColumn("_draw", draw(seed, *key)).withColumn(
+        "_digit", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("int")
+    )
+    before = Window.partitionBy(*groups).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+    digits = (
+        staged.groupBy(*groups, "_digit").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter(F.col("_before") < most).drop("_n")
+    )
+    place = F.row_number().over(Window.partitionBy(*groups, "_digit").orderBy("_draw", *key))
+    ranked = staged.join(digits, [*groups, "_digit"]).withColumn(name, (F.col("_before") + place).cast("long"))
+    return ranked.filter(F.col(name) <= most).select(*df.columns, name)
 
 
 def sample_per_group(

@@ -92,6 +92,64 @@ def transfer(t: Tables) -> DataFrame:
     return G.transfer(_task(t), seeds=(42,), max_budget=2000)
 
 
+_DESIGN_SQL = """
+with seeds as (select unnest([42, 7]) as seed),
+groups as (select source, match_id, count(*) as n_rows from drift_v group by source, match_id),
+sides as (
+  select seed, source, match_id, n_rows,
+         row_number() over (partition by seed, source order by md5(concat(seed, ':', match_id)), match_id)
+           <= ceil(count(*) over (partition by seed, source) * 0.3) as is_test
+  from groups, seeds),
+pools as (
+  select seed, source as target_source, 'target' as role, source, match_id, n_rows, seed as draw_seed from sides where not is_test
+  union all
+  select s.seed, t.target_source, 'other', g.source, g.match_id, g.n_rows, s.seed + 100
+  from groups g, seeds s, (select unnest(['F', 'O']) as target_source) t where g.source <> t.target_source),
+sizes as (select seed, target_source, role, sum(n_rows) as found from pools group by all),
+ranked as (
+  select p.seed, p.target_source, p.role, d.l_orderkey, d.l_linenumber, d.l_partkey, d.l_suppkey,
+         row_number() over (partition by p.seed, p.target_source, p.role order by
+           md5(concat_ws(':', p.draw_seed, d.l_orderkey, d.l_linenumber, d.l_partkey, d.l_suppkey))) as place
+  from drift_v d join pools p on p.source = d.source and p.match_id = d.match_id),
+cells as (
+  select seed, target_source, regime, train_size,
+         case regime when 'other_only' then 0 when 'merged_same_n' then train_size // 2 else train_size end as of_target,
+         case regime when 'target_only' then 0 when 'merged_same_n' then train_size - train_size // 2 else train_size end as of_other
+  from seeds, (select unnest(['F', 'O']) as target_source), (select unnest([100, 751, 100000000]) as train_size),
+       (select unnest(['target_only', 'other_only', 'merged_same_n', 'target_plus_other_2n']) as regime)),
+judged as (
+  select c.*, case when a.found >= of_target and b.found >= of_other then 'ok' else 'skipped' end as status
+  from cells c join sizes a on a.seed = c.seed and a.target_source = c.target_source and a.role = 'target'
+  join sizes b on b.seed = c.seed and b.target_source = c.target_source and b.role = 'other'),
+taken as (
+  select j.seed, j.target_source, j.regime, j.train_size,
+         md5(string_agg(k, ',' order by k)) as rows_md5
+  from judged j join (
+    select *, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) as k from ranked) r
+  on r.seed = j.seed and r.target_source = j.target_source
+     and r.place <= case r.role when 'target' then of_target else of_other end
+  where j.status = 'ok' group by all)
+select j.seed, concat('shuffle:', j.seed) as fold_id, j.target_source, j.regime, j.train_size, j.status,
+       cast(of_target + of_other as int) as n_train, coalesce(rows_md5, '') as rows_md5
+from judged j left join taken t on t.seed = j.seed and t.target_source = j.target_source and t.regime = j.regime
+     and t.train_size = j.train_size
+"""
+
+
+@query("grid_design", "drift_v", _DESIGN_SQL)
+def grid_design(t: Tables) -> DataFrame:
+    """Cells of an augmentation grid: status, rows, and a digest of the training rows' keys."""
+    task = _task(t)
+    spark = task.df.sparkSession
+    design = G.augmentation_design(task, (100, 751, 100_000_000), seeds=(42, 7))
+    # A training set has as many keys as its size says.
+    keys = F.sort_array(F.collect_list(F.concat_ws(":", *KEY)))
+    taken = design.memberships(spark, KEY).groupBy(*G.D.CELL).agg(F.md5(F.array_join(keys, ",")).alias("rows_md5"))
+    return design.table(spark).join(taken, G.D.CELL, "left").select(
+        "seed", "fold_id", "target_source", "regime", "train_size", "status", "n_train", F.coalesce("rows_md5", F.lit("")).alias("rows_md5")
+    )
+
+
 @query("augmentation")
 def augmentation(t: Tables) -> DataFrame:
     return G.augmentation(_task(t), (200,), seeds=(42,), correction="ls")
@@ -99,7 +157,7 @@ def augmentation(t: Tables) -> DataFrame:
 
 @query("augmentation_regression")
 def augmentation_regression(t: Tables) -> DataFrame:
-    task = _task(t, label="l_quantity", kind="regression")
+    task = _task(t, label="l_quantity", kind="regression", features=("l_discount", "l_tax"), more_labels=("l_extendedprice",))
     return G.augmentation(task, (200,), seeds=(42,), regimes=("target_only", "merged_same_n"))
 
 

@@ -1,13 +1,14 @@
 """Cross-source learning experiments: grids of fits whose predictions are scored together.
 
-A grid cell is one Spark ML fit. Fits are launched from the driver one after the other;
-all predictions of a grid end in one table, and one aggregation scores every cell.
+A grid cell is one Spark ML fit per target. The design of a grid (``design.py``) decides the rows of all
+cells beforehand; fits are launched from the driver, a few at a time; all predictions of a grid
+end in one table, and one aggregation scores every cell and target.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +19,18 @@ from touchline.operators import models as ML
 from touchline.operators import sampling as O
 from touchline.operators import shift as X
 from touchline.operators.correction import correct
+from touchline.plans import design as D
 from touchline.session import materialise
 
-CELL = ["experiment", "seed", "fold_id", "target_source", "regime", "train_size", "n_target", "n_other"]
+CELL = [*D.CELL, "target"]
 
 
 @dataclass(frozen=True)
 class Task:
-    """A feature view with its label; ``key`` identifies a row."""
+    """A feature view with its label; ``key`` identifies a row.
+
+    ``more_labels`` are further targets: every cell fits each of them on the same rows.
+    """
 
     df: DataFrame
     features: tuple[str, ...]
@@ -34,30 +39,34 @@ class Task:
     kind: str = "classification"
     sources: tuple[str, str] = (K.SOURCE_XML, K.SOURCE_JSON)
     params: dict = field(default_factory=dict)
+    more_labels: tuple[str, ...] = ()
+
+    def single(self) -> list[Task]:
+        """One task for each target."""
+        return [replace(self, label=label, more_labels=()) for label in (self.label, *self.more_labels)]
 
     def of(self, source: str) -> DataFrame:
         return self.df.filter(F.col("source") == source)
 
     def fit(self, train: DataFrame, model: str, seed: int, weight: str | None = None) -> ML.Fitted:
-        train = materialise(train)
         if self.kind == "classification":
             return ML.fit_classifier(train, self.features, self.label, kind=model, seed=seed, weight=weight, **self.params)
         return ML.fit_regressor(train, self.features, self.label, kind=model, seed=seed, **self.params)
 
     def score(self, fitted: ML.Fitted, test: DataFrame, **cell) -> DataFrame:
-        """Predictions of one cell, tagged with the cell's coordinates."""
+        """Predictions of one cell, tagged with the cell's coordinates and its target."""
         typed = test.withColumns({c: F.col(c).cast("double") for c in self.features})
         if self.kind == "classification":
             out = fitted.predict(typed).select(F.col(self.label).cast("string").alias("y_true"), "y_pred")
         else:
             out = fitted.predict(typed).select(F.col(self.label).cast("double").alias("y"), "yhat")
-        defaults = {"experiment": "", "fold_id": "", "target_source": "", "regime": ""}
+        defaults = {"experiment": "", "fold_id": "", "target_source": "", "regime": "", "target": self.label}
         tags = {c: F.lit(cell.get(c, defaults.get(c, 0))) for c in CELL}
         return out.select(*[v.alias(c) for c, v in tags.items()], *out.columns)
 
     def measure(self, parts: list[DataFrame]) -> DataFrame:
         if not parts:
-            raise ValueError("no cell of the grid could be run")
+            raise ValueError("no cell of the grid could be run; its design names the sizes of the pools")
         every = parts[0]
         for part in parts[1:]:
             every = every.unionByName(part)
@@ -66,64 +75,92 @@ class Task:
 
     def prepared(self) -> Task:
         """The same task over a written copy of its view, so no fit recomputes it."""
-        return Task(materialise(self.df), self.features, self.label, self.key, self.kind, self.sources, self.params)
+        return replace(self, df=materialise(self.df))
+
+
+def _run(task: Task, design: D.Design, train: Callable[[D.Cell], tuple[DataFrame, DataFrame]], fit) -> DataFrame:
+    """Fit every cell that its pools can fill, several at a time, and score all predictions together."""
+
+    def one(cell: D.Cell) -> list[DataFrame]:
+        rows, test = train(cell)
+        rows = materialise(rows)
+        return [task.score(fit(part, rows, cell), test, **cell.tags(), target=part.label) for part in task.single()]
 
+    ready = [cell for cell in design.cells if design.runs(cell)]
+    return task.measure([part for parts in D.in_parallel(one, ready) for part in parts])
 
-def target_splits(
-    task: Task, target: str, seeds: Sequence[int], test_size: float, scheme: str
-) -> Iterator[tuple[int, str, DataFrame, DataFrame]]:
-    """(seed, fold id, training pool, test rows) of the target source."""
-    rows = task.of(target)
-    if scheme == "lomo":
-        for r in rows.select("match_id").distinct().orderBy("match_id").toLocalIterator():
-            held = F.col("match_id") == r["match_id"]
-            yield int(seeds[0]), f"lomo:{r['match_id']}", rows.filter(~held), rows.filter(held)
-        return
-    for seed in seeds:
-        split = O.group_shuffle_split(rows, test_size=test_size, seed=seed)
-        yield int(seed), f"shuffle:{seed}", split.filter("not is_test").drop("is_test"), split.filter("is_test").drop("is_test")
+
+def _plain(design: D.Design):
+    return lambda cell: (design.train(cell), design.test(cell))
+
+
+def _model(kind: str, **settings):
+    return lambda task, rows, cell: task.fit(rows, kind, cell.seed, **settings)
+
+
+def curve_design(task: Task, train_sizes: Sequence[int], *, seeds: Sequence[int] = K.SEEDS, test_size: float = 0.30) -> D.Design:
+    def cells(split, sizes):
+        seed, fold, target = split
+        for regime in (*task.sources, "merged"):
+            for n in train_sizes:
+                yield D.Cell(seed=seed, fold_id=fold, target_source=target, regime=regime, train_size=n, parts=((regime, n),))
+
+    return D.lay_out(task.df, task.key, task.sources, cells, seeds=seeds, test_size=test_size, by_target=False)
 
 
 def learning_curve(
     task: Task, train_sizes: Sequence[int], *, seeds: Sequence[int] = K.SEEDS, test_size: float = 0.30, model: str = "rf"
 ) -> DataFrame:
     """Each source alone and both merged, at growing training sizes."""
-    task, parts = task.prepared(), []
-    for seed in seeds:
-        split = O.group_shuffle_split(task.df, test_size=test_size, seed=seed)
-        pool, test = split.filter("not is_test"), split.filter("is_test")
-        for regime in (*task.sources, "merged"):
-            for n in train_sizes:
-                train = O.sample_source_regime(pool, regime, n, key=task.key, seed=seed)
-                if train is not None:
-                    parts.append(task.score(task.fit(train, model, seed), test, seed=seed, regime=regime, train_size=n))
-    return task.measure(parts)
+    task = task.prepared()
+    design = curve_design(task, train_sizes, seeds=seeds, test_size=test_size)
+    return _run(task, design, _plain(design), _model(model))
+
+
+def transfer_design(
+    task: Task, *, seeds: Sequence[int] = K.SEEDS, test_size: float = 0.35, max_budget: int = 32_000, min_budget: int = 50
+) -> D.Design:
+    """Budgets are equal: as many rows as the smaller pool has; below ``min_budget`` cells are skipped."""
+
+    def cells(split, sizes):
+        seed, fold, target = split
+        other = task.sources[1 - task.sources.index(target)]
+        budget = min(sizes.get("other", 0), sizes.get("target", 0), max_budget)
+        wanted = max(budget, min_budget)
+        half = wanted // 2
+        for name, parts in (
+            (f"{other}_to_{target}", (("other", wanted),)),
+            (f"{target}_only_to_{target}", (("target", wanted),)),
+            (f"merged_to_{target}", (("other", half), ("target", wanted - half))),
+        ):
+            # A budget below the least is wanted of both pools, so that no cell of it runs.
+            need = parts if budget >= min_budget else (("target", min_budget), ("other", min_budget))
+            yield D.Cell(name.lower(), seed, fold, target, train_size=wanted, parts=need)
+
+    return D.lay_out(task.df, task.key, task.sources, cells, seeds=seeds, test_size=test_size)
 
 
 def transfer(
     task: Task, *, seeds: Sequence[int] = K.SEEDS, test_size: float = 0.35, max_budget: int = 32_000, min_budget: int = 50, model: str = "rf"
 ) -> DataFrame:
     """Train on the other source, on the target, or half and half; test on the target."""
-    task, parts = task.prepared(), []
-    for seed in seeds:
-        for target, other in (task.sources, task.sources[::-1]):
-            _, fold, pool, test = next(target_splits(task, target, [seed], test_size, "shuffle"))
-            budget = min(task.of(other).count(), pool.count(), max_budget)
-            if budget < min_budget:
-                continue
-            half = budget // 2
-            sets = {
-                f"{other}_to_{target}": O.reservoir_sample(task.of(other), budget, task.key, seed=seed),
-                f"{target}_only_to_{target}": O.reservoir_sample(pool, budget, task.key, seed=seed),
-                f"merged_to_{target}": O.reservoir_sample(task.of(other), half, task.key, seed=seed).unionByName(
-                    O.reservoir_sample(pool, budget - half, task.key, seed=seed + 100)
-                ),
-            }
-            for name, train in sets.items():
-                parts.append(
-                    task.score(task.fit(train, model, seed), test, experiment=name.lower(), seed=seed, fold_id=fold, target_source=target, train_size=budget)
-                )
-    return task.measure(parts)
+    task = task.prepared()
+    design = transfer_design(task, seeds=seeds, test_size=test_size, max_budget=max_budget, min_budget=min_budget)
+    return _run(task, design, _plain(design), _model(model))
+
+
+def augmentation_design(
+    task: Task, train_sizes: Sequence[int], *, seeds: Sequence[int] = K.SEEDS, test_size: float = 0.30, scheme: str = "shuffle",
+    regimes: Sequence[str] = K.TARGET_REGIMES,
+) -> D.Design:
+    def cells(split, sizes):
+        seed, fold, target = split
+        for n in train_sizes:
+            for regime in regimes:
+                parts = tuple((role, take) for role, take in O.regime_quota(regime, n).items() if take)
+                yield D.Cell(seed=seed, fold_id=fold, target_source=target, regime=regime, train_size=n, parts=parts)
+
+    return D.lay_out(task.df, task.key, task.sources, cells, seeds=seeds, test_size=test_size, scheme=scheme)
 
 
 def augmentation(
@@ -138,23 +175,31 @@ def augmentation(
     regimes: Sequence[str] = K.TARGET_REGIMES,
 ) -> DataFrame:
     """Four training regimes at equal budgets against a fixed target test set."""
-    task, parts = task.prepared(), []
-    for target, other in (task.sources, task.sources[::-1]):
-        others = task.of(other)
-        n_others = others.count()
-        for seed, fold, pool, test in target_splits(task, target, seeds, test_size, scheme):
-            sizes = (pool.count(), n_others)
-            for n in train_sizes:
-                for regime in regimes:
-                    train = O.sample_target_regime(pool, others, regime, n, key=task.key, seed=seed, pool_sizes=sizes)
-                    if train is None:
-                        continue
-                    fixed = correct(train, test, task.features, method=correction, reference=target, key=task.key, seed=seed)
-                    fitted = task.fit(fixed.train, model, seed)
-                    parts.append(
-                        task.score(fitted, fixed.test, seed=seed, fold_id=fold, target_source=target, regime=regime, train_size=n)
-                    )
-    return task.measure(parts)
+    task = task.prepared()
+    design = augmentation_design(task, train_sizes, seeds=seeds, test_size=test_size, scheme=scheme, regimes=regimes)
+
+    def corrected(cell: D.Cell) -> tuple[DataFrame, DataFrame]:
+        fixed = correct(
+            materialise(design.train(cell)), design.test(cell), task.features, method=correction,
+            reference=cell.target_source, key=task.key, seed=cell.seed,
+        )
+        return fixed.train, fixed.test
+
+    return _run(task, design, _plain(design) if correction == "none" else corrected, _model(model))
+
+
+def acquisition_design(
+    task: Task, target_sizes: Sequence[int], other_sizes: Sequence[int], *, seeds: Sequence[int] = K.SEEDS,
+    test_size: float = 0.30, scheme: str = "shuffle",
+) -> D.Design:
+    def cells(split, sizes):
+        seed, fold, target = split
+        for nt in target_sizes:
+            for no in other_sizes:
+                parts = (("target", nt),) + ((("other", no),) if no else ())
+                yield D.Cell(seed=seed, fold_id=fold, target_source=target, n_target=nt, n_other=no, parts=parts)
+
+    return D.lay_out(task.df, task.key, task.sources, cells, seeds=seeds, test_size=test_size, scheme=scheme)
 
 
 def acquisition(
@@ -162,49 +207,31 @@ def acquisition(
     test_size: float = 0.30, scheme: str = "shuffle", model: str = "rf",
 ) -> DataFrame:
     """Every combination of target rows and added rows of the other source."""
-    task, parts = task.prepared(), []
-    for target, other in (task.sources, task.sources[::-1]):
-        others = task.of(other)
-        n_others = others.count()
-        for seed, fold, pool, test in target_splits(task, target, seeds, test_size, scheme):
-            n_pool = pool.count()
-            for nt in target_sizes:
-                if nt > n_pool:
-                    continue
-                base = O.reservoir_sample(pool, nt, task.key, seed=seed)
-                for no in other_sizes:
-                    if no > n_others:
-                        continue
-                    train = base if no == 0 else base.unionByName(O.reservoir_sample(others, no, task.key, seed=seed + 100))
-                    parts.append(
-                        task.score(task.fit(train, model, seed), test, seed=seed, fold_id=fold, target_source=target, n_target=nt, n_other=no)
-                    )
-    return task.measure(parts)
+    task = task.prepared()
+    design = acquisition_design(task, target_sizes, other_sizes, seeds=seeds, test_size=test_size, scheme=scheme)
+    return _run(task, design, _plain(design), _model(model))
 
 
 def importance_weighted(
     task: Task, train_sizes: Sequence[int], *, seeds: Sequence[int] = K.SEEDS, test_size: float = 0.30, scheme: str = "shuffle", model: str = "rf"
 ) -> DataFrame:
     """Half target, half other rows, the latter weighted by their density ratio."""
-    task, parts = task.prepared(), []
-    for target, other in (task.sources, task.sources[::-1]):
-        others = task.of(other)
-        n_others = others.count()
-        for seed, fold, pool, test in target_splits(task, target, seeds, test_size, scheme):
-            n_pool = pool.count()
-            for n in train_sizes:
-                half = n // 2
-                if n_pool < half or n_others < n - half:
-                    continue
-                mine = X.impute_median(O.reservoir_sample(pool, half, task.key, seed=seed), task.features)
-                theirs = X.impute_median(O.reservoir_sample(others, n - half, task.key, seed=seed + 100), task.features)
-                both = materialise(mine.unionByName(theirs).withColumn("_target", F.col("source") == target))
-                weighted = ML.density_weights(both, task.features, "_target")
-                fitted = task.fit(weighted, model, seed, weight="density_weight")
-                parts.append(
-                    task.score(fitted, test, seed=seed, fold_id=fold, target_source=target, regime="merged_same_n_iw", train_size=n)
-                )
-    return task.measure(parts)
+    task = task.prepared()
+
+    def cells(split, sizes):
+        seed, fold, target = split
+        for n in train_sizes:
+            parts = (("target", n // 2), ("other", n - n // 2))
+            yield D.Cell(seed=seed, fold_id=fold, target_source=target, regime="merged_same_n_iw", train_size=n, parts=parts)
+
+    design = D.lay_out(task.df, task.key, task.sources, cells, seeds=seeds, test_size=test_size, scheme=scheme)
+
+    def weighted(cell: D.Cell) -> tuple[DataFrame, DataFrame]:
+        parts = [X.impute_median(design.part(cell, role), task.features) for role in ("target", "other")]
+        both = materialise(parts[0].unionByName(parts[1]).withColumn("_target", F.col("source") == cell.target_source))
+        return ML.density_weights(both, task.features, "_target"), design.test(cell)
+
+    return _run(task, design, weighted, _model(model, weight="density_weight"))
 
 
 def pretrain(
@@ -212,22 +239,24 @@ def pretrain(
     budget: int = 200, max_iter: int = 200,
 ) -> DataFrame:
     """Perceptron on the target alone against one pretrained on the other source."""
-    task, parts = task.prepared(), []
-    for target, other in (task.sources, task.sources[::-1]):
-        others = task.of(other)
-        for seed, fold, pool, test in target_splits(task, target, seeds, test_size, scheme):
-            first = O.reservoir_sample(others, budget, task.key, seed=seed)
-            n_pool = pool.count()
-            for n in train_sizes:
-                if n > n_pool:
-                    continue
-                tune = materialise(O.reservoir_sample(pool, n, task.key, seed=seed))
-                for regime, start in (("target_only_mlp", tune), ("pretrain_other_finetune_target", first)):
-                    fitted = ML.pretrain_finetune(materialise(start), tune, task.features, task.label, seed=seed, max_iter=max_iter)
-                    parts.append(
-                        task.score(fitted, test, seed=seed, fold_id=fold, target_source=target, regime=regime, train_size=n)
-                    )
-    return task.measure(parts)
+    task = task.prepared()
+    second = "pretrain_other_finetune_target"
+
+    def cells(split, sizes):
+        seed, fold, target = split
+        # As many rows of the other source as there are, up to the budget.
+        start = min(budget, sizes.get("other", 0))
+        for n in train_sizes:
+            for regime, parts in (("target_only_mlp", (("target", n),)), (second, (("target", n), ("other", start)))):
+                yield D.Cell(seed=seed, fold_id=fold, target_source=target, regime=regime, train_size=n, parts=parts)
+
+    design = D.lay_out(task.df, task.key, task.sources, cells, seeds=seeds, test_size=test_size, scheme=scheme)
+
+    def fit(part: Task, tune: DataFrame, cell: D.Cell) -> ML.Fitted:
+        start = materialise(design.part(cell, "other")) if cell.regime == second else tune
+        return ML.pretrain_finetune(start, tune, part.features, part.label, seed=cell.seed, max_iter=max_iter)
+
+    return _run(task, design, lambda cell: (design.part(cell, "target"), design.test(cell)), fit)
 
 
 def headline(linear: DataFrame, forest: DataFrame, *, compare: Sequence[str] = ("merged_same_n", "target_plus_other_2n")) -> DataFrame:
