@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import bound_batches, slices, with_arrow_columns
+from touchline.llm.common import bound_batches, releasing, slices, with_arrow_columns
 
 BATCH_BYTES = 4 << 20
 MAX_CACHED_PIECES = 100_000
@@ -246,6 +246,11 @@ def _caches(serialised: str) -> tuple[PieceCache, PieceCache]:
     return PieceCache(ids), PieceCache(spans)
 
 
+def forget() -> None:
+    """Drop all remembered pieces of this worker."""
+    _caches.cache_clear()
+
+
 def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
@@ -295,7 +300,7 @@ def encode(
                 batch, dropped, _encode_texts(batch.column(text).cast(pa.binary()).to_pylist(), serialised, offsets)
             )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run, forget), schema)
 
 
 @lru_cache(maxsize=4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -72,6 +72,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             yield batch.slice(begin)
 
 
+def releasing(run: Callable[[Iterator], Iterator], release: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """``run``, and when its task ends ``release``: workers are used again, and would keep what it remembered."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 _SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bound_batches, slices, word_lists
+from touchline.llm.common import bound_batches, releasing, slices, word_lists
 from touchline.session import materialise
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -56,6 +56,11 @@ class _WordHashes(dict):
 _remembered = _WordHashes()
 
 
+def forget() -> None:
+    """Drop all remembered words of this worker."""
+    _remembered.clear()
+
+
 def _mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * np.uint64(_PRIME)
     return values ^ (values >> np.uint64(29))
@@ -120,7 +125,7 @@ def frequency_levels(bodies: DataFrame, width: int, bits: int) -> np.ndarray:
         levels = [np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8).tobytes() for total in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["chunk", "levels"])
 
-    summed = bodies.mapInArrow(count, "chunk int, packed binary").repartition("chunk").mapInArrow(add, "chunk int, levels binary")
+    summed = bodies.mapInArrow(releasing(count, forget), "chunk int, packed binary").repartition("chunk").mapInArrow(add, "chunk int, levels binary")
     out = np.zeros(cells, np.uint8)
     for row in summed.collect():  # one byte per cell of the sketch, whatever the input
         out[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["levels"], np.uint8)
@@ -146,7 +151,7 @@ def _prefixes(bodies: DataFrame, width: int, numerator: int, denominator: int, b
             )
 
     kind = bodies.schema["doc"].dataType.simpleString()
-    return bodies.mapInArrow(run, f"doc {kind}, size long, digest binary, head array<long>")
+    return bodies.mapInArrow(releasing(run, forget), f"doc {kind}, size long, digest binary, head array<long>")
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray | None, numerator: int, denominator: int) -> list[tuple[int, int]]:
@@ -304,7 +309,7 @@ def _find_links(placed: DataFrame, bodies: DataFrame, width: int, numerator: int
             yield whole.filter(pa.array(right, pa.bool_()))
 
     meeting = (
-        rows.mapInArrow(sets, "node long, entries array<struct<pair: long, side: boolean>>, hashes binary")
+        rows.mapInArrow(releasing(sets, forget), "node long, entries array<struct<pair: long, side: boolean>>, hashes binary")
         .select("node", "hashes", F.explode("entries").alias("entry"))
         .select("entry.pair", "entry.side", "node", "hashes")
         .repartition("pair")
