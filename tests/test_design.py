@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators import metrics as M
 from touchline.operators import sampling as O
 from touchline.plans import design as D
 from touchline.plans import experiments as G
@@ -89,3 +90,12 @@ def test_transfer_skips_small_budgets(spark, rows):
 
 def test_parallel_results_keep_their_order():
     assert D.in_parallel(lambda c: c.seed, [D.Cell(seed=n) for n in range(20)], at_once=3) == list(range(20))
+
+
+def test_gains_of_merging_have_the_sign_of_an_improvement(spark):
+    rows = [(1, "A", 10.0, 0.5), (1, "B", 8.0, 0.7), (1, "merged", 7.0, 0.75), (2, "A", 4.0, 0.1), (2, "merged", 5.0, None), (3, "merged", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "seed int, regime string, mae double, r2 double")
+    got = {(r.seed, r.source_regime): (r.delta_mae, r.delta_r2) for r in M.merged_deltas(df, ["seed"], ["mae", "r2"], ("A", "B"), lower_is_better=("mae",)).collect()}
+    assert got[1, "A"] == (3.0, 0.25) and got[1, "B"] == (1.0, pytest.approx(0.05)) and got[2, "A"] == (-1.0, None) and len(got) == 3
+    summary = {r.source_regime: r for r in M.merged_summary(df, ["seed"], [], ["mae"], ("A", "B"), lower_is_better=("mae",)).collect()}
+    assert summary["A"].delta_mae_mean == 1.0 and summary["A"].n_pairs == 2 and summary["B"].delta_mae_ci95 == 0.0

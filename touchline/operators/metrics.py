@@ -109,6 +109,43 @@ def paired_deltas(
     )
 
 
+def merged_deltas(
+    measurements: DataFrame,
+    pair_keys: Sequence[str],
+    metrics: Sequence[str],
+    sources: Sequence[str],
+    *,
+    merged: str = "merged",
+    regime: str = "regime",
+    lower_is_better: Sequence[str] = (),
+) -> DataFrame:
+    """Gain of training on both sources over each source alone, at equal keys.
+
+    Here the merged regime is what is compared, each single source a baseline: merged minus single,
+    or single minus merged where lower is better, so that positive always means merging helped. Keys that
+    lack either side have no row; a metric that is null on either side has a null delta.
+    """
+    both = measurements.filter(F.col(regime) == merged).select(*pair_keys, *[F.col(m).alias(f"_merged_{m}") for m in metrics])
+    single = measurements.filter(F.col(regime).isin(*sources))
+    gain = {m: F.col(f"_merged_{m}") - F.col(m) for m in metrics}
+    return single.join(both, list(pair_keys)).select(
+        *pair_keys, F.col(regime).alias("source_regime"),
+        *[(-delta if m in lower_is_better else delta).alias(f"delta_{m}") for m, delta in gain.items()],
+    )
+
+
+def merged_summary(
+    measurements: DataFrame, pair_keys: Sequence[str], groups: Sequence[str], metrics: Sequence[str], sources: Sequence[str], **settings
+) -> DataFrame:
+    """Mean, standard deviation and interval of ``merged_deltas`` per group and source, with the number of pairs."""
+    deltas = merged_deltas(measurements, pair_keys, metrics, sources, **settings)
+    out = []
+    for m in metrics:
+        name = f"delta_{m}"
+        out += [F.avg(name).alias(f"{name}_mean"), F.stddev_samp(name).alias(f"{name}_std"), ci95(name).alias(f"{name}_ci95")]
+    return deltas.groupBy(*groups, "source_regime").agg(*out, F.count(F.lit(1)).alias("n_pairs"))
+
+
 def _resample_index(size: Column, *parts: Column) -> Column:
     text = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
     return F.pmod(F.conv(F.substring(text, 1, 8), 16, 10).cast("long"), size)

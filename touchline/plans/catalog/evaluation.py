@@ -282,6 +282,29 @@ def paired_join(t: Tables) -> DataFrame:
     return deltas(t).withColumn("delta_macro_f1", F.round("delta_macro_f1", 4))
 
 
+@query(
+    "paired_merged",
+    "measurements_v",
+    """
+select s.train_size, s.target_source, s.regime as source_regime,
+  round(avg(m.macro_f1 - s.macro_f1) + 1e-9, 4) as delta_macro_f1_mean,
+  round(stddev_samp(m.macro_f1 - s.macro_f1) + 1e-9, 4) as delta_macro_f1_std,
+  round(case when count(*) > 1 then 1.96 * stddev_samp(m.macro_f1 - s.macro_f1) / sqrt(count(*)) else 0 end + 1e-9, 4) as delta_macro_f1_ci95,
+  count(*) as n_pairs
+from measurements_v s join measurements_v m
+  on m.fold_id = s.fold_id and m.target_source = s.target_source and m.train_size = s.train_size
+where m.regime = 'merged_same_n' and s.regime in ('target_only', 'other_only')
+group by 1, 2, 3
+""",
+)
+def paired_merged(t: Tables) -> DataFrame:
+    out = M.merged_summary(
+        t.view("measurements_v"), _PAIR_KEYS, ["train_size", "target_source"], ["macro_f1"],
+        ("target_only", "other_only"), merged="merged_same_n",
+    )
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in out.columns if c.startswith("delta_")})
+
+
 _BOOT = """
 pl as (select target_source, train_size, compare_regime, delta_macro_f1 as v,
   row_number() over (partition by target_source, train_size, compare_regime order by delta_macro_f1) - 1 as j,
