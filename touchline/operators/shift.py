@@ -285,6 +285,16 @@ def accuracy_drop(table: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFra
     )
 
 
+def measure_changes(table: DataFrame, pairs: Sequence[tuple[str, str]], measures: Sequence[str]) -> DataFrame:
+    """Each measure before and after, and its drop, for related views. ``table``: name and measures, a row per view."""
+    out = table.sparkSession.createDataFrame(list(pairs), "before string, after string")
+    for side in ("before", "after"):
+        named = table.select(F.col("name").alias(side), *[F.col(m).alias(f"{m}_{side}") for m in measures])
+        out = out.join(named, side)
+    drops = {f"{m}_drop": F.col(f"{m}_before") - F.col(f"{m}_after") for m in measures}
+    return out.withColumns(drops)
+
+
 ABLATION_PAIRS = (
     ("raw_tracking_common", "player_tracking_strict"),
     ("player_tracking", "player_tracking_core"),

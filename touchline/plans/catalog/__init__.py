@@ -8,6 +8,7 @@ from touchline.plans.catalog import (  # noqa: F401
     learning,
     outputs,
     trajectory,
+    views,
 )
 from touchline.plans.registry import all_oracles, all_queries
 

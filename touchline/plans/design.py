@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import astuple, dataclass, fields
 from typing import TypeVar
 
@@ -27,6 +28,7 @@ OTHER_SHIFT = 100
 #: Fits that the driver keeps going at the same time.
 FITS_AT_ONCE = 4
 
+Item = TypeVar("Item")
 Result = TypeVar("Result")
 
 
@@ -186,7 +188,10 @@ def lay_out(
     return Design(rows, materialise(ranked), pools, cells, sizes)
 
 
-def in_parallel(work: Callable[[Cell], Result], cells: Iterable[Cell], at_once: int = FITS_AT_ONCE) -> list[Result]:
-    """Results of independent cells in their order; a bounded number of them runs at a time."""
+def in_parallel(work: Callable[[Item], Result], cells: Iterable[Item], at_once: int = FITS_AT_ONCE) -> list[Result]:
+    """Results of independent cells, or other items, in their order; a bounded number of them runs at a time.
+
+    Threads run in a copy of the caller's context, so what they write has the caller's owner.
+    """
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        return list(pool.map(work, cells))
+        return [done.result() for done in [pool.submit(copy_context().run, work, cell) for cell in cells]]

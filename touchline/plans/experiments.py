@@ -7,7 +7,7 @@ end in one table, and one aggregation scores every cell and target.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from touchline.operators import sampling as O
 from touchline.operators import shift as X
 from touchline.operators.correction import correct
 from touchline.plans import design as D
+from touchline.plans.views import View
 from touchline.session import materialise
 
 CELL = [*D.CELL, "target"]
@@ -40,6 +41,7 @@ class Task:
     sources: tuple[str, str] = (K.SOURCE_XML, K.SOURCE_JSON)
     params: dict = field(default_factory=dict)
     more_labels: tuple[str, ...] = ()
+    written: bool = False
 
     def single(self) -> list[Task]:
         """One task for each target."""
@@ -75,7 +77,7 @@ class Task:
 
     def prepared(self) -> Task:
         """The same task over a written copy of its view, so no fit recomputes it."""
-        return replace(self, df=materialise(self.df))
+        return self if self.written else replace(self, df=materialise(self.df), written=True)
 
 
 def _run(task: Task, design: D.Design, train: Callable[[D.Cell], tuple[DataFrame, DataFrame]], fit) -> DataFrame:
@@ -278,45 +280,73 @@ def headline(linear: DataFrame, forest: DataFrame, *, compare: Sequence[str] = (
 
 def evaluate_view(
     name: str, df: DataFrame, *, sources: tuple[str, str] = (K.SOURCE_XML, K.SOURCE_JSON), key: Sequence[str],
-    features: Sequence[str] | None = None, per_source: int | None = None, permutations: int = 100,
-    folds: int = 5, seed: int = K.SEED, **params,
+    features: Sequence[str] | None = None, per_source: int | None = None, permutations: int = 100, components: int = 128,
+    classifier: bool = True, folds: int = 5, seed: int = K.SEED, **params,
 ) -> dict[str, DataFrame]:
-    """Kernel test, source classifier, per-feature tests and shifts of one feature view."""
+    """Kernel test, source classifier, per-feature tests and shifts of one feature view.
+
+    Without ``classifier`` no source classifier is fitted. A view with less than two rows of a source
+    has the section ``skipped`` only, with the numbers of rows.
+    """
     features = list(features or X.numeric_features(df, ("source", "match_id", *key)))
-    rows = materialise(X.prepare(df, features, key=key, per_source=per_source, seed=seed))
-    kernel = X.mmd(rows, features, *sources, key=key, permutations=permutations, seed=seed)
-    folds_df, importances = ML.domain_classifier(rows, features, folds=folds, seed=seed, **params)
+    rows = materialise(X.prepare(df, features, key=("match_id", *key), per_source=per_source, seed=seed))
+    one = F.lit(name).alias("name")
+    sizes = rows.agg(*[F.count_if(F.col("source") == source).alias(side) for side, source in zip(("n_source", "n_target"), sources)])
+    if min(sizes.first()) < 2:
+        return {"skipped": sizes.select(one, "*")}
+    kernel = X.mmd(rows, features, *sources, key=("match_id", *key), permutations=permutations, components=components, seed=seed)
     ks = materialise(X.ks_per_feature(rows, features, *sources))
-    accuracy = folds_df.agg(
-        F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
-        F.avg("balanced_accuracy").alias("balanced_accuracy_mean"), F.stddev_pop("balanced_accuracy").alias("balanced_accuracy_std"),
-    )
+    moved = materialise(X.location_scale(rows, features, *sources))
     significant = ks.agg(F.count_if(F.col("p_value_bonferroni") < 0.05).alias("n_ks_significant"), F.avg("ks_stat").alias("ks_mean"))
-    one = F.lit(name).alias("name")
-    # Three one-row tables side by side.
-    summary = kernel.select(one, "*").join(accuracy.select(one, "*"), "name").join(significant.select(one, "*"), "name")
-    return {
-        "summary": summary.withColumn("n_features", F.lit(len(features))),
-        "importances": importances.withColumn("name", F.lit(name)),
-        "ks": ks.withColumn("name", F.lit(name)),
-        "location_scale": X.location_scale(rows, features, *sources).withColumn("name", F.lit(name)),
-    }
-
-
-def shift_report(views: dict[str, DataFrame], **settings) -> dict[str, DataFrame]:
-    """All views evaluated, plus the change between related views."""
+    shifted = moved.agg(F.avg(F.abs("gamma_pooled_sd")).alias("shift_mean"))
+    # Tables of one row side by side.
+    summary = kernel.select(one, "*").join(significant.select(one, "*"), "name").join(shifted.select(one, "*"), "name")
+    sections = {"ks": ks.withColumn("name", one), "location_scale": moved.withColumn("name", one)}
+    if classifier:
+        folds_df, importances = ML.domain_classifier(rows, features, folds=folds, seed=seed, **params)
+        accuracy = folds_df.agg(
+            F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
+            F.avg("balanced_accuracy").alias("balanced_accuracy_mean"), F.stddev_pop("balanced_accuracy").alias("balanced_accuracy_std"),
+        )
+        summary = summary.join(accuracy.select(one, "*"), "name")
+        sections["importances"] = importances.withColumn("name", one)
+    return {"summary": summary.withColumn("n_features", F.lit(len(features))), **sections}
+
+
+MEASURES = ("mmd_sq", "ks_mean", "n_ks_significant", "shift_mean")
+
+
+def shift_report(
+    views: Mapping[str, DataFrame], *, described: Mapping[str, View] | None = None, **settings
+) -> dict[str, DataFrame]:
+    """All views evaluated, a few at a time, plus the change between related views.
+
+    ``described`` gives the key and the features of each view; else ``settings`` name the key of all.
+    """
+
+    def one(name: str) -> dict[str, DataFrame]:
+        own = dict(settings)
+        if described:
+            own |= {"key": described[name].key, "features": described[name].features_of(views[name])}
+        return evaluate_view(name, views[name], **own)
+
     sections: dict[str, DataFrame] = {}
-    for name, df in views.items():
-        for section, part in evaluate_view(name, df, **settings).items():
+    for evaluated in D.in_parallel(one, views):
+        for section, part in evaluated.items():
             sections[section] = part if section not in sections else sections[section].unionByName(part)
+    if "summary" not in sections:
+        return sections
     sections["summary"] = materialise(sections["summary"])
     pairs = [p for p in X.ABLATION_PAIRS if set(p) <= set(views)]
     if pairs:
-        sections["ablation"] = X.accuracy_drop(sections["summary"], pairs)
+        sections["changes"] = X.measure_changes(sections["summary"], pairs, MEASURES)
+        if "accuracy_mean" in sections["summary"].columns:
+            sections["ablation"] = X.accuracy_drop(sections["summary"], pairs)
     return sections
 
 
-# Presets: which view each task reads and which grids it runs.
+# Presets: which view each task reads, its label and further targets, and which grids it runs.
+_RATES = {"label": "distance_per_minute_m", "more_labels": ("hsr_per_minute_m", "mean_speed_kmh"), "kind": "regression"}
 PRESETS: dict[str, dict] = {
     "ball_status": {"view": "frame_state", "label": "ball_in_play", "runs": {"learning_curve": {"train_sizes": K.TRACKING_TRAIN_SIZES}, "transfer": {}}},
     "player_position": {
@@ -329,8 +359,8 @@ PRESETS: dict[str, dict] = {
     },
     "player_position_no_kinematic": {"view": "player_profile_no_kinematic", "label": "position_group", "runs": {"augmentation": {"train_sizes": (50, 100, 150)}}},
     "player_position_context": {"view": "profile_with_context", "label": "position_group", "runs": {"augmentation": {"train_sizes": (50, 100, 150)}}},
-    "intensity": {"view": "intensity_rates", "label": "distance_per_minute_m", "kind": "regression", "runs": {"learning_curve": {"train_sizes": (50, 100, 150)}, "transfer": {}, "augmentation": {"train_sizes": (50, 100, 150)}}},
-    "intensity_visible": {"view": "intensity_rates_vis", "label": "distance_per_minute_m", "kind": "regression", "runs": {"augmentation": {"train_sizes": (50, 100, 150)}}},
+    "intensity": {"view": "intensity_rates", **_RATES, "runs": {"learning_curve": {"train_sizes": (50, 100, 150)}, "transfer": {}, "augmentation": {"train_sizes": (50, 100, 150)}}},
+    "intensity_visible": {"view": "intensity_rates_vis", **_RATES, "runs": {"augmentation": {"train_sizes": (50, 100, 150)}}},
     "pass_success": {
         "view": "pass_view", "label": "pass_success",
         "runs": {
@@ -343,12 +373,30 @@ PRESETS: dict[str, dict] = {
     "pass_success_context": {"view": "pass_context", "label": "pass_success", "runs": {"learning_curve": {"train_sizes": (250, 500, 1000, 2000)}, "transfer": {}, "augmentation": {"train_sizes": (250, 500, 1000, 2000)}}},
     "shot_success": {"view": "shot_view", "label": "shot_success", "runs": {"learning_curve": {"train_sizes": (25, 50, 100)}, "transfer": {}, "augmentation": {"train_sizes": (25, 50, 100)}}},
 }
+# Position and intensity again, with the training rows of each cell corrected between sources, or by permuted sources.
+for _name in ("player_position", "intensity"):
+    for _method in ("ls", "ls_permuted", "combat_p", "combat_p_permuted"):
+        PRESETS[f"{_name}_{_method}"] = {
+            **PRESETS[_name], "runs": {"augmentation": {"train_sizes": (50, 100, 150), "correction": _method}},
+        }
 RUNS: dict[str, Callable[..., DataFrame]] = {
     "learning_curve": learning_curve, "transfer": transfer, "augmentation": augmentation, "acquisition": acquisition,
     "importance_weighted": importance_weighted, "pretrain": pretrain,
 }
 
 
-def run_preset(name: str, task: Task, **overrides) -> dict[str, DataFrame]:
-    """Run every grid of a preset on a task built from the preset's view."""
-    return {run: RUNS[run](task, **{**settings, **overrides}) for run, settings in PRESETS[name]["runs"].items()}
+def preset_task(name: str, views: Mapping[str, DataFrame], described: Mapping[str, View], **settings) -> Task:
+    """The task of a preset over its view; ``settings`` replace fields of the task."""
+    preset = PRESETS[name]
+    df, view = views[preset["view"]], described[preset["view"]]
+    labels = (preset["label"], *preset.get("more_labels", ()))
+    features = tuple(c for c in view.features_of(df) if c not in labels)
+    given = {c: preset[c] for c in ("kind", "more_labels") if c in preset}
+    return Task(df=df, features=features, label=labels[0], key=("match_id", *view.key), **{**given, **settings})
+
+
+def run_preset(name: str, task: Task, *, grids: Mapping[str, Mapping] | None = None, **overrides) -> dict[str, DataFrame]:
+    """Run the grids of a preset on its task, or ``grids`` (settings by grid); ``overrides`` are settings of them all."""
+    task = task.prepared()
+    chosen = PRESETS[name]["runs"] if grids is None else grids
+    return {run: RUNS[run](task, **{**settings, **overrides}) for run, settings in chosen.items()}

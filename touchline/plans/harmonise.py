@@ -91,11 +91,14 @@ def manifest(spark: SparkSession, out: str) -> DataFrame:
     return latest.select("m.*")
 
 
-def read(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """Rows of an output table for matches that the manifest names as ok; ids keep their text form."""
+def read(spark: SparkSession, out: str, table: str, *, schema: str | None = None) -> DataFrame:
+    """Rows of an output table for matches that the manifest names as ok; ids keep their text form.
+
+    ``schema`` names the wanted columns, batch, source and match_id among them, of a table of JSON.
+    """
     reader = {"frames": "text", "event_lines": "text", "sheets": "json"}.get(table, "parquet")
     path = f"{out}/{table}"
-    known = spark.read.format(reader).load(path).schema
+    known = T.StructType.fromDDL(schema) if schema else spark.read.format(reader).load(path).schema
     names = ("batch", "source", "match_id")
     fixed = T.StructType([T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in known])
     rows = spark.read.format(reader).schema(fixed).load(path)
