@@ -1,6 +1,9 @@
+import hashlib
 import math
+from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +137,40 @@ def test_permuted_labels_keep_counts(spark):
     assert out.filter("id < 120 and source = 'b'").count() > 50
 
 
+def test_bca_interval_against_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    groups = {"skewed": rng.exponential(1.0, 25), "pair": np.array([1.0, 4.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("flat", 2.0)] * 6 + [("one", 1.0), ("skewed", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    found = {r.g: r for r in M.bootstrap_ci(df, ["g"], "v", resamples=400, method="bca").collect()}
+    assert set(found) == {"skewed", "pair", "flat"} and found["flat"].ci_low is None
+
+    normal = NormalDist()
+    for name in ("skewed", "pair"):
+        values = np.sort(groups[name])
+        n = len(values)
+        picks = [[int(hashlib.md5(f"0:{b}:{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)] for b in range(400)]
+        means = np.array([values[p].mean() for p in picks])
+        equal = np.isclose(means, values.mean(), rtol=1e-12, atol=0)
+        bias = normal.inv_cdf(np.where(equal, 0.5, means < values.mean()).mean())
+        left_out = np.array([np.delete(values, i).mean() for i in range(n)])
+        gaps = left_out.mean() - left_out
+        speed = (gaps**3).sum() / (6 * (gaps**2).sum() ** 1.5)
+        for q, got in ((0.025, found[name].ci_low), (0.975, found[name].ci_high)):
+            end = bias + normal.inv_cdf(q)
+            assert got == pytest.approx(np.quantile(means, normal.cdf(bias + end / (1 - speed * end))))
+
+
+def test_permutations_are_cut_at_the_exact_size(spark):
+    rng = np.random.default_rng(5)
+    # Many rows, then equal draws only, which no digit tells apart.
+    for draws in (rng.integers(0, 2**60, 20_000), np.repeat(rng.integers(0, 2**60, 3), 100)):
+        table = spark.createDataFrame(pd.DataFrame({"draw": draws})).repartition(3)
+        mixed = np.sort(X._mixed(draws.astype(np.uint64), 7, 42), axis=0)
+        for n in (1, 150, len(draws)):
+            assert (X.permutation_cuts(table, n, 7, 42) == mixed[n - 1]).all()
+
+
 def test_mmd_matches_direct_kernel_sums(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, (40, 2)), rng.normal(0.8, 1, (55, 2))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from touchline.operators.quantiles import exact_quantiles
@@ -159,12 +161,16 @@ def bootstrap_ci(
     resamples: int = 5_000,
     alpha: float = 0.05,
     seed: int = 0,
+    method: str = "percentile",
 ) -> DataFrame:
-    """Percentile bootstrap interval of the mean per group; null for fewer than two values.
+    """Bootstrap interval of the mean per group; null for fewer than two values.
 
-    Every draw is a row: replicate b takes, for each j below n, the value at a position
+    ``method`` is "percentile", or "bca" for levels that are corrected for bias and acceleration; the
+    latter has no interval where all values, and so all replicates, are equal. Every draw is a row: replicate b takes, for each j below n, the value at a position
     given by the md5 of (seed, b, j). Replicate means then come from one aggregation.
     """
+    if method not in ("percentile", "bca"):
+        raise ValueError(f"unknown method {method}")
     values = df.filter(F.col(column).isNotNull())
     w = Window.partitionBy(*groups)
     placed = values.select(
@@ -183,11 +189,60 @@ def bootstrap_ci(
         .groupBy(*groups, "_b")
         .agg(F.avg("_v").alias("_mean"))
     )
+    if method == "bca":
+        return _bca(values, means, groups, column, resamples, alpha)
     return exact_quantiles(
         means, groups, {"ci_low": ("_mean", alpha / 2), "ci_high": ("_mean", 1 - alpha / 2)}
     )
 
 
+@F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
+def _bca_levels(share: pd.Series, skewness: pd.Series, n: pd.Series, alpha: pd.Series) -> pd.DataFrame:
+    """Levels of the interval's ends, from the share of replicates below the mean and the skewness.
+
+    The acceleration is that of the jackknife, which for a mean is skewness / (6 sqrt n).
+    """
+    normal = NormalDist()
+    out = []
+    for below, skew, size, level in zip(share, skewness, n, alpha):
+        if not 0 < below < 1 or not math.isfinite(skew):
+            out.append((None, None))
+            continue
+        bias, speed = normal.inv_cdf(below), skew / (6 * math.sqrt(size))
+        ends = [bias + normal.inv_cdf(q) for q in (level / 2, 1 - level / 2)]
+        out.append(tuple(normal.cdf(bias + end / (1 - speed * end)) for end in ends))
+    return pd.DataFrame(out, columns=["low", "high"], dtype=float)
+
+
+def _bca(values: DataFrame, means: DataFrame, groups: Sequence[str], column: str, resamples: int, alpha: float) -> DataFrame:
+    """Quantiles of the replicate means at each group's own levels; a group has ``resamples`` of them."""
+    per_group = Window.partitionBy(*groups)
+    observed = values.groupBy(*groups).agg(
+        F.avg(column).alias("_at"), F.skewness(column).alias("_skew"), F.count(F.lit(1)).alias("_n")
+    )
+    same = [F.col(f"m.{g}").eqNullSafe(F.col(f"o.{g}")) for g in groups]
+    both = means.alias("m").join(observed.alias("o"), same or F.lit(True)).select("m.*", "_at", "_skew", "_n")
+    # Replicates of equal draws differ from the mean by rounding only; they count half.
+    close = F.abs(F.col("_mean") - F.col("_at")) <= 1e-12 * F.greatest(F.abs("_at"), F.lit(1e-300))
+    below = F.when(close, 0.5).when(F.col("_mean") < F.col("_at"), 1.0).otherwise(0.0)
+    ranked = both.withColumns(
+        {"_share": F.avg(below).over(per_group), "_rank": F.row_number().over(per_group.orderBy("_mean")) - 1}
+    )
+    levels = _bca_levels("_share", "_skew", F.col("_n").cast("double"), F.lit(float(alpha)))
+    shares = ranked.groupBy(*groups).agg(F.max("_share").alias("_share"), F.max("_skew").alias("_skew"), F.max("_n").alias("_n"))
+    placed = shares.select(*groups, levels.alias("_levels"))
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"p.{g}")) for g in groups]
+    joined = ranked.alias("r").join(placed.alias("p"), same or F.lit(True)).select("r.*", "p._levels")
+
+    def quantile(level: str) -> Column:
+        place = F.col(f"_levels.{level}") * (resamples - 1)
+        low = F.floor(place)
+        weight = F.when(F.col("_rank") == low, 1 - (place - low)).when(F.col("_rank") == low + 1, place - low)
+        return F.sum(weight * F.col("_mean"))
+
+    return joined.groupBy(*groups).agg(quantile("low").alias("ci_low"), quantile("high").alias("ci_high"))
+
+
 @F.pandas_udf(DoubleType())
 def _exact_signed_rank_p(w_plus: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided exact p of the signed-rank statistic without ties."""

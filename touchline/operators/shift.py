@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline import constants as K
 from touchline.operators.quantiles import exact_quantiles
@@ -149,14 +150,72 @@ def fourier_frequencies(size: int, components: int, bandwidth: float, seed: int)
     return out
 
 
-def _labels(draws: np.ndarray, permutations: int, share: float, seed: int) -> np.ndarray:
-    """Rows x permutations: is the row drawn into the first sample? By a mixed hash of its draw."""
+def _mixed(draws: np.ndarray, permutations: int, seed: int) -> np.ndarray:
+    """Rows x permutations: 64 mixed bits of each row's draw, other ones for each permutation."""
     with np.errstate(over="ignore"):
         salts = (np.arange(1, permutations + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = draws[:, None] ^ salts[None, :]
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((mixed >> np.uint64(11)) / float(2**53)) < share
+    return mixed
+
+
+_DIGIT_BITS = 12
+#: So few values around a cut are looked at themselves, instead of by a further digit.
+_AT_CUT = 64
+
+
+def permutation_cuts(table: DataFrame, n: int, permutations: int, seed: int, *, draw_column: str = "draw") -> np.ndarray:
+    """The ``n``-th smallest mixed draw of each permutation.
+
+    All permutations are cut together, digit by digit: a pass counts the rows by the next digit of those
+    that share the digits found, and a row per permutation comes back. Once only few rows share them,
+    their values are compared.
+    """
+    draws = table.select(F.col(draw_column).alias("draw"))
+    found = np.zeros(permutations, np.uint64)
+    below = np.zeros(permutations, np.int64)
+    left = 64
+    while left:
+        known, step = 64 - left, min(_DIGIT_BITS, left)
+        left -= step
+
+        def count(batches: Iterator[pd.DataFrame], known=known, step=step, left=left, found=found) -> Iterator[pd.DataFrame]:
+            held = np.zeros(permutations << step, np.int64)
+            for pdf in batches:
+                mixed = _mixed(pdf["draw"].to_numpy(np.uint64), permutations, seed)
+                cells = ((mixed >> np.uint64(left)) & np.uint64((1 << step) - 1)).astype(np.int64)
+                cells += np.arange(permutations, dtype=np.int64) << step
+                inside = cells if not known else cells[(mixed >> np.uint64(64 - known)) == found]
+                held += np.bincount(inside.ravel(), minlength=len(held))
+            used = np.flatnonzero(held)
+            yield pd.DataFrame({"perm": (used >> step).astype("int32"), "digit": used & ((1 << step) - 1), "n": held[used]})
+
+        counted = draws.mapInPandas(count, "perm int, digit long, n long").groupBy("perm", "digit").agg(F.sum("n").alias("n"))
+        wanted = F.get(F.array(*[F.lit(int(n - b)) for b in below]), F.col("perm"))
+        upto = F.sum("n").over(Window.partitionBy("perm").orderBy("digit"))
+        cuts = (
+            counted.withColumn("upto", upto).filter(F.col("upto") >= wanted)
+            .groupBy("perm").agg(F.min(F.struct("digit", "upto", "n")).alias("c")).select("perm", "c.*").toPandas().sort_values("perm")
+        )
+        found = (found << np.uint64(step)) | cuts["digit"].to_numpy(np.uint64)
+        below = below + (cuts["upto"] - cuts["n"]).to_numpy(np.int64)
+        if left and cuts["n"].max() <= _AT_CUT:
+            break
+    else:
+        return found
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            mixed = _mixed(pdf["draw"].to_numpy(np.uint64), permutations, seed)
+            row, perm = np.nonzero((mixed >> np.uint64(left)) == found)
+            yield pd.DataFrame({"perm": perm.astype("int32"), "value": mixed[row, perm].view(np.int64)})
+
+    near = draws.mapInPandas(values, "perm int, value long").toPandas()
+    out = np.empty(permutations, np.uint64)
+    for perm, part in near.groupby("perm"):
+        out[perm] = np.sort(part["value"].to_numpy(np.int64).view(np.uint64))[n - below[perm] - 1]
+    return out
 
 
 def mmd(
@@ -178,8 +237,8 @@ def mmd(
     mean. The kernel is written as the mean of ``components`` random cosines of pair
     differences, so the sums over all pairs follow from one sum of cosines and sines per
     source, and the work is linear in the rows. ``bandwidth`` is the root mean square
-    distance of pairs by default. Permutations draw each row into the first sample with
-    the share of the first source, by a hash of ``key``; their sample sizes vary a little.
+    distance of pairs by default. A permutation's first sample are the rows of smallest draw, by a
+    hash of ``key`` and the permutation, as many as the first source has; rows of one key stay together.
     """
     rows = df.filter(F.col(source).isin(source_a, source_b))
     clean = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")) for c in features}
@@ -201,7 +260,9 @@ def mmd(
     ]
     number = F.conv(F.substring(draw(seed + 1, *key), 1, 15), 16, 10).cast("long")
     table = rows.select((F.col(source) == source_a).alias("is_a"), number.alias("draw"), F.array(*z).alias("z"))
-    share = n / total
+    if permutations:
+        table = materialise(table)
+    cuts = permutation_cuts(table, n, permutations, seed) if permutations else np.zeros(0, np.uint64)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((permutations + 1, 4, components))
@@ -210,7 +271,7 @@ def mmd(
             phase = np.stack(pdf["z"].to_numpy()) @ waves.T
             waved = np.concatenate([np.cos(phase), np.sin(phase)], axis=1)
             first = pdf["is_a"].to_numpy(bool)[:, None]
-            drawn = _labels(pdf["draw"].to_numpy(np.uint64), permutations, share, seed)
+            drawn = _mixed(pdf["draw"].to_numpy(np.uint64), permutations, seed) <= cuts
             labels = np.concatenate([first, drawn], axis=1).astype(float)
             both = waved.sum(axis=0)
             mine = labels.T @ waved

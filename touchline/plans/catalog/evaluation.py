@@ -95,9 +95,38 @@ def mmd(t: Tables) -> DataFrame:
     return _floats(out.select("bandwidth", "n_source", "n_target", "mmd_sq"))
 
 
-@query("mmd_permutation")
+_MIX = "(xor({x}, {x} >> {bits})::uhugeint * {factor}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
+
+
+@query(
+    "mmd_permutation",
+    "drift_v",
+    f"""
+with z as (select source, row_number() over () as rid, count(*) over () as t, {_Z},
+    cast(concat('0x', substr(md5(concat_ws(':', '43', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15)) as ubigint) as d
+  from drift_v where source in ('F', 'O')),
+n as (select count(*) filter (source = 'F') as n, count(*) filter (source = 'O') as m, max(sqrt(8.0 * t / (t - 1))) as w from z),
+fr as (select k, {_WAVE} from range(128) as r(k), n),
+waves as materialized (select rid, k, cos({_PHASE}) as c, sin({_PHASE}) as s from z, fr),
+every as (select k, sum(c) as c, sum(s) as s from waves group by 1),
+salted as (select rid, perm, xor(d, ((perm + 42)::uhugeint * 11400714819323198485::uhugeint % 18446744073709551616::uhugeint)::ubigint) as x
+  from z, range(1, 101) as p(perm)),
+half as (select rid, perm, {_MIX.format(x="x", bits=30, factor=13787848793156543929)} as x from salted),
+whole as (select rid, perm, {_MIX.format(x="x", bits=27, factor=10723151780598845931)} as x from half),
+first as (select rid, perm from (select rid, perm, row_number() over (partition by perm order by x) as place from whole), n where place <= n
+  union all select rid, 0 from z where source = 'F'),
+mine as (select perm, k, sum(c) as ca, sum(s) as sa from first join waves using (rid) group by 1, 2),
+v as (select perm, avg((ca * ca + sa * sa - n) / (n * (n - 1.0)) + ((e.c - ca) * (e.c - ca) + (e.s - sa) * (e.s - sa) - m) / (m * (m - 1.0))
+  - 2 * (ca * (e.c - ca) + sa * (e.s - sa)) / (n * m::double)) as v from mine join every e using (k), n group by 1),
+o as (select v as mmd_sq from v where perm = 0)
+select round(max(mmd_sq) + 1e-9, 6) as mmd_sq, (count(*) filter (v >= mmd_sq) + 1) / 101.0 as p_value, round(max(w) + 1e-9, 6) as bandwidth,
+  cast(max(n) as bigint) as n_source, cast(max(m) as bigint) as n_target, cast(count(*) as int) as n_permutations,
+  round(avg(v) + 1e-9, 6) as permutation_mean, round(stddev_pop(v) + 1e-9, 6) as permutation_std from v, o, n where perm > 0
+""",
+)
 def mmd_permutation(t: Tables) -> DataFrame:
-    return X.mmd(t.view("drift_v"), FEATURES, "F", "O", key=ROW_KEY, permutations=100)
+    out = X.mmd(t.view("drift_v"), FEATURES, "F", "O", key=ROW_KEY, permutations=100)
+    return rounded(out, ["mmd_sq", "bandwidth", "permutation_mean", "permutation_std"])
 
 
 @query(
