@@ -43,6 +43,32 @@ def test_archives_read_back(spark, tmp_path, archive_rows):
     assert {r["url"] for r in got if r["page_id"] == 3} == {"http://h/3%20a"}
 
 
+def test_archives_are_cut_by_bytes_and_read_by_several_tasks(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 3000, "r", "d") for i in range(60)]
+    rows += [(i, "u", rows[0][2], "r", "d") for i in range(60, 80)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(5)
+    size = sum(len(r[2]) for r in rows)
+    manifest = warc.write(pages, f"{tmp_path}/a", archive_bytes=size // 8)
+    assert 5 <= manifest.count() <= 9
+    read = warc.read(spark, f"{tmp_path}/a")
+    tasks = read.select("page_id", F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(tasks) >= 4 and sum(r["count"] for r in tasks) == len(rows)
+    assert {r["refers_to"] for r in read.collect()} == {None, 79}
+
+
+def test_samples_are_spread_over_records():
+    assert warc.sample_pieces(b"") == [] and warc.sample_pieces(b"abc") == [b"abc"]
+    pieces = warc.sample_pieces(bytes(8192) * 10 + b"\1" * 8192 * 10, 4 * 8192)
+    assert [p[0] for p in pieces] == [0, 0, 1, 1]
+    # One long first page leaves room for others in the sample.
+    shared = b"<div class='menu'>home about contact</div>" * 20
+    records = [b"q" * 3_000_000, *[shared + str(i).encode() * 50 for i in range(400)]]
+    packed = b"".join(warc.archive_chunks(records))
+    size = int.from_bytes(packed[4:8], "little")
+    assert b"contact" in packed[8 : 8 + size]
+    assert list(warc.iter_records(io.BytesIO(packed))) == records
+
+
 def test_archive_layout():
     records = [warc._record(i, "http://h", f"<html>{i}</html>".encode() * 50, None, warc.DATE) for i in range(40)]
     packed = b"".join(warc.archive_chunks(records))

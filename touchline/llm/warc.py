@@ -21,15 +21,19 @@ from pyspark.sql import functions as F
 from touchline.llm.common import bound_batches, shared_files, slices, write_file
 
 MIN_REVISIT_BYTES = 1000
-SAMPLE_BYTES = 2 << 20
+#: A dictionary is trained on records of so many bytes, at most so many of each, and few are held for it.
+SAMPLE_BYTES, RECORD_SAMPLE_BYTES, SAMPLE_HELD_BYTES = 2 << 20, 32 << 10, 16 << 20
+_PIECE = 8192
 DICTIONARY_BYTES = 64 << 10
-ARCHIVE_ROWS = 20_000
+#: An archive holds about so many records or payload bytes, whichever it reaches first.
+ARCHIVE_ROWS, ARCHIVE_BYTES = 20_000, 64 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the formats: magic of the dictionary's skippable frame, profile of a revisit.
 SKIPPABLE_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ_BYTES = 1 << 20
+READERS = 20_000
 READ_SCHEMA = (
     "archive string, record long, page_id long, url string, record_type string, refers_to long, "
     "payload_digest string, payload_bytes long, payload binary"
@@ -91,23 +95,34 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:] or b"\0"
 
 
+def sample_pieces(record: bytes, limit: int = RECORD_SAMPLE_BYTES) -> list[bytes]:
+    """Pieces of a record, at most ``limit`` bytes of them, spread evenly over its length."""
+    pieces = [record[i : i + _PIECE] for i in range(0, len(record), _PIECE)]
+    most = max(1, limit // _PIECE)
+    if len(pieces) <= most:
+        return pieces
+    return [pieces[i * len(pieces) // most] for i in range(most)]
+
+
 def archive_chunks(records: Iterable[bytes], level: int = LEVEL) -> Iterator[bytes]:
-    """The dictionary frame and one frame per record; the first 2 MB of records are the samples."""
+    """The dictionary frame and one frame per record.
+
+    Samples are pieces of the first records, 2 MB of them but no more than 32 KB of each; records come
+    in an order that has nothing to do with their content, so the first ones are a fair sample.
+    """
     source = iter(records)
     held, size = [], 0
+    samples, sampled = [], 0
     for record in source:
         held.append(record)
         size += len(record)
-        if size >= SAMPLE_BYTES:
+        pieces = sample_pieces(record)
+        samples += pieces
+        sampled += sum(map(len, pieces))
+        if sampled >= SAMPLE_BYTES or size >= SAMPLE_HELD_BYTES:
             break
-    pieces = [piece[i : i + 8192] for piece in held for i in range(0, len(piece), 8192)]
-    kept, budget = [], SAMPLE_BYTES
-    for piece in pieces:
-        if budget <= 0:
-            break
-        kept.append(piece)
-        budget -= len(piece)
-    dictionary = build_dictionary(kept)
+    dictionary = build_dictionary(samples)
+    samples.clear()
     yield struct.pack("<II", SKIPPABLE_MAGIC, len(dictionary)) + dictionary
     compressor = zstandard.ZstdCompressor(
         level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True
@@ -127,6 +142,7 @@ def write(
     html: str = "html",
     min_bytes: int = MIN_REVISIT_BYTES,
     archive_rows: int = ARCHIVE_ROWS,
+    archive_bytes: int = ARCHIVE_BYTES,
     date: str = DATE,
 ) -> DataFrame:
     """Write one record per page into archives below ``path``; return one row per archive.
@@ -134,7 +150,8 @@ def write(
     A null html is an empty payload; a null url gives a record without target; a page without
     an id is always a response and never a keeper. Rows repeated with equal id and payload
     are all written, each as the page's verdict says. Other columns are not archived,
-    whatever their names. An empty table writes no archive.
+    whatever their names. An empty table writes no archive. The number of archives follows from all
+    rows and bytes; pages are dealt to them by a hash and stored in the order of their digests.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(
@@ -142,12 +159,15 @@ def write(
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("body"),
     )
     verdicts = decide(rows, min_bytes)
-    archives = max(1, -(-pages.count() // archive_rows))
-    named = rows.withColumn("digest", F.sha1("body")).repartition(archives, "page_id", "digest")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")).first()
+    archives = max(1, -(-total["n"] // archive_rows), -(-total["bytes"] // archive_bytes))
+    # Both sides are dealt alike, so the join keeps this partitioning: a partition is an archive.
+    keys = ["page_id", "digest"]
     dealt = (
-        named.join(verdicts, ["page_id", "digest"], "left")
+        rows.withColumn("digest", F.sha1("body")).repartition(archives, *keys)
+        .join(verdicts.repartition(archives, *keys), keys, "left")
         .select("page_id", "url", "body", "keeper", "digest")
-        .sortWithinPartitions("page_id", "digest")
+        .sortWithinPartitions("digest", "page_id")
     )
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +260,10 @@ def parse(record: bytes) -> dict:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record of the archives that the manifest below ``path`` names."""
+    """One row per record of the archives that the manifest below ``path`` names; none for an empty table.
+
+    As many tasks as there are archives read them, up to ``READERS``; an archive is read by one.
+    """
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
@@ -270,4 +293,6 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 yield rows(archive, first, held)
 
     manifest = spark.read.parquet(f"{path}/manifest").select("archive")
-    return manifest.repartition("archive").mapInArrow(open_all, READ_SCHEMA)
+    # An explicit number: the few names would be coalesced into one task otherwise.
+    readers = min(max(1, manifest.count()), READERS)
+    return manifest.repartition(readers, "archive").mapInArrow(open_all, READ_SCHEMA)
