@@ -25,7 +25,7 @@ MIN_REVISIT_BYTES = 1000
 SAMPLE_BYTES, RECORD_SAMPLE_BYTES, SAMPLE_HELD_BYTES = 2 << 20, 32 << 10, 16 << 20
 _PIECE = 8192
 DICTIONARY_BYTES = 64 << 10
-#: An archive holds about so many records or payload bytes, whichever it reaches first.
+#: An archive holds no more than about so many records and payload bytes.
 ARCHIVE_ROWS, ARCHIVE_BYTES = 20_000, 64 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -150,8 +150,9 @@ def write(
     A null html is an empty payload; a null url gives a record without target; a page without
     an id is always a response and never a keeper. Rows repeated with equal id and payload
     are all written, each as the page's verdict says. Other columns are not archived,
-    whatever their names. An empty table writes no archive. The number of archives follows from all
-    rows and bytes; pages are dealt to them by a hash and stored in the order of their digests.
+    whatever their names. An empty table writes no archive. The least number of archives follows from
+    all rows and bytes (the join spreads a small table over the session's shuffle partitions); pages are
+    dealt to them by a hash and stored in the order of their digests.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(
