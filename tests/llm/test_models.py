@@ -169,6 +169,10 @@ def test_scores_of_all_exchanged_words_equal_brute_force(spark, frequent):
         if r[0] is not None and r[0] % 3:
             path = [end] + [kind(t) for t in tokens(r[1])]
             pairs.update(zip(path, path[1:]))
+            for at, token in enumerate(tokens(r[1]), 1):
+                if token is not None and trained[token] == 1:
+                    as_shape = 4 + class_lm.shape(token)
+                    pairs.update([(path[at - 1], as_shape), (as_shape, path[at + 1])])
     for (a, _), n in pairs.items():
         before[a] += n
     for token, n in trained.items():

@@ -2,11 +2,17 @@
 
 Words are counted over the whole training corpus. The most frequent ones, the seeds, are assigned to
 classes by exchange on the driver: each is moved to the class that raises the likelihood of class
-bigrams most, until none moves. All other training words are exchanged by sweeps of Spark jobs: a join
-gives every word its counts by neighbouring class, and all words move at once to their best
-class, until none moves or a sweep no longer raises the likelihood of all bigrams. Words are
-known by 64-bit hashes there. Unseen words belong to a class of their shape. A text's probability
-is that of its class transitions and of each word within its class, both smoothed.
+bigrams most, until none moves. All other training words are exchanged by sweeps of Spark jobs. First
+those frequent enough to travel with the tasks: their neighbours are written once, and each sweep
+reads them where they lie. Then all rarer ones, known by 64-bit hashes: they lie in buckets, which
+send each other the classes of words that stand beside each other. In the first sweep all words take their
+best class, after it random halves move in turn; sweeps end when two in a row move no word or raise
+the likelihood of all bigrams by less than ``LEAST_RISE`` a token.
+
+Unseen words belong to a class of their shape. Words found once in training count a second time as
+their shape, so that bigrams with unseen words are learnt. A text's probability is that of its class
+transitions and of each word within its class, both smoothed; an unseen word has the probability of
+its whole shape.
 
 Counts and classes of frequent words travel with the tasks (their number is bounded); those of all
 others reach the texts by a join on the word.
@@ -15,6 +21,7 @@ others reach the texts by a join on the word.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.llm.common import bound_batches, free_name, slices, word_lists
-from touchline.session import materialise
+from touchline.session import materialise, remove, scratch_path, scratch_tables
 
 BATCH_BYTES = 4 << 20
 #: At most so many frequent words travel with the tasks; all others are joined.
@@ -36,9 +43,12 @@ FREQUENT_WORDS = 65_536
 #: So many words are exchanged on the driver; all others by sweeps over Spark tables.
 SEED_WORDS, CLASSES = 1024, 64
 SMOOTHING = 0.1
+#: Sweeps end when two in a row raise the likelihood by less than this for each token, in nats.
+LEAST_RISE = 1e-4
 SHAPES = 32
 _DISTINCT_AT_ONCE = 200_000
 _NEIGHBOURS_AT_ONCE = 2_000_000
+_RARE_AT_ONCE = 500_000
 _GAINS_AT_ONCE = 20_000
 
 
@@ -121,32 +131,6 @@ class States:
         yield np.empty(0, np.int64), np.array([before]), np.array([self.end])
 
 
-def count_transitions(docs: DataFrame, frequent: list[bytes], exchanged: int, text: str = "text") -> np.ndarray:
-    """Counts of successive states over all texts; (exchanged words + shapes + 1) squared cells."""
-    size = exchanged + SHAPES + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = States(frequent, exchanged)
-        counts = np.zeros(size * size, np.int64)
-        for batch in slices(batches, "body", BATCH_BYTES):
-            cells = [
-                before * size + own
-                for body in batch.column("body").to_pylist()
-                for _, before, own in states.path(body)
-            ]
-            states.codes.rare.clear()
-            if cells:
-                counts += np.bincount(np.concatenate(cells), minlength=size * size)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
-
-    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    cells = bodies.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(size * size)
-    counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
-    return counts.reshape(size, size)
-
-
 def _xlogx(values: np.ndarray) -> np.ndarray:
     return values * np.log(np.maximum(values, 1e-300))
 
@@ -213,260 +197,545 @@ def exchange(counts: np.ndarray, words: int, classes: int = CLASSES) -> np.ndarr
     return own
 
 
-# --- words outside the seed exchange -----------------------------------------------------
+def _raw(values: np.ndarray, kind: str) -> bytes:
+    """Bytes of numbers, all lowest ones first: the upper ones are mostly zero and compress well."""
+    return np.ascontiguousarray(values).astype(kind).view("u1").reshape(-1, np.dtype(kind).itemsize).T.tobytes()
 
 
-def word_hash(word: bytes) -> int:
-    """Spark's xxhash64 of a binary."""
-    return xxhash.xxh64_intdigest(word, seed=42)
+def _flat(packed: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(packed, "u1").reshape(size, len(packed) // size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
-class _Numbers(dict):
-    """Class of each seed word; any other word gets the next number from ``first`` on."""
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def __init__(self, seeds: list[bytes], own: np.ndarray, first: int):
-        super().__init__(zip(seeds, own.tolist()))
-        self.seeds, self.own, self.first = seeds, own, first
-        self.hashes: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.first + len(self.hashes)
-        self.hashes.append(word_hash(word))
-        return number
+def _pieces(batch: pa.RecordBatch, row: int, **kinds: str) -> list[np.ndarray]:
+    return [_flat(batch.column(name)[row].as_py(), kind) for name, kind in kinds.items()]
 
-    def restart(self) -> None:
-        self.clear()
-        self.update(zip(self.seeds, self.own.tolist()))
-        self.hashes = []
 
+# --- bigrams of the words that travel ----------------------------------------------------
+
+_LINKS = pa.schema(
+    [("bucket", pa.int32()), ("heads", pa.binary()), ("runs", pa.binary()), ("others", pa.binary()), ("counts", pa.binary())]
+)
+_LINKS_AS = "bucket int, heads binary, runs binary, others binary, counts binary"
+_KINDS = {"heads": "<u4", "runs": "<u4", "others": "<u4", "counts": "<u4"}
+_FIXED = -1
 
-def count_neighbours(docs: DataFrame, seeds: list[bytes], own: np.ndarray, text: str = "text") -> DataFrame:
-    """(word, other, cell, n): what stands next to words outside the seeds, by word hash.
 
-    With G classes in all, ``cell`` is the class of a seed or the end behind the word, 2 G more than
-    that of one before it, or -1 where ``other``, no seed either, stands behind it. Tasks add up
-    their own counts before they are shuffled.
+class Bigrams:
+    """Bigrams of the words that travel, written once: each word's neighbours lie in one row.
+
+    Codes number the words by rank; behind them follow the shapes of all other words and the text's
+    end. ``heads`` are twice a word's code, one more for what stands before it; ``runs`` is how many
+    of ``others`` and ``counts`` belong to a head. Bucket -1 holds bigrams without any such word.
+    Sweeps read these rows where they lie and are given the classes, so no bigram is shuffled twice.
     """
-    groups = int(own[-1]) + 1
-    end = groups - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(seeds, own[: len(seeds)], groups)
-        lefts: list[np.ndarray] = []
-        rights: list[np.ndarray] = []
+    def __init__(self, docs: DataFrame, frequent: list[bytes], tokens: int, text: str = "text"):
+        self.words = words = len(frequent)
+        self.end = words + SHAPES
+        self.shapes = np.array([shape(word) for word in frequent] + list(range(SHAPES)), np.int64)
+        buckets = max(8, min(tokens // _NEIGHBOURS_AT_ONCE, words, 32_000))
+        bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+        found = bodies.mapInArrow(partial(_count_bigrams, frequent, buckets), _LINKS_AS)
+        dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        self.table = materialise(dealt.mapInArrow(_merge_bigrams, _LINKS_AS))
+
+    def pairs(self, class_of: np.ndarray, groups: int, unseen: int | None = None, rare: bool = True) -> np.ndarray:
+        """Counts of successive classes; ``class_of`` has those of all codes.
+
+        With ``unseen``, the first shape's class, words found once count a second time as their shape.
+        Without ``rare``, bigrams with a word that does not travel are left out.
+        """
+        run = partial(_class_pairs, self.words, class_of, groups, self.shapes, unseen, rare)
+        cells = self.table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(groups * groups)
+        counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
+        return counts.reshape(groups, groups)
+
+    def exchange(self, class_of: np.ndarray, placed: int, classes: int) -> np.ndarray:
+        """Classes after sweeps over all words; those before ``placed`` have one, the others that of their shape.
+
+        All the others take their best class first. Then a random half of the words moves in each sweep, each
+        to its best class while the others stay, until two sweeps in a row move none or raise the likelihood
+        by less than ``LEAST_RISE`` a token; the best classes found are kept.
+        """
+        groups = int(class_of[-1]) + 1
+        class_of = class_of.copy()
+        own = np.where(np.arange(self.words) < placed, class_of[: self.words], -1)
+        best, reached, idle, sweep = class_of, -math.inf, 0, 0
+        while True:
+            pairs = self.pairs(class_of, groups)
+            now = likelihood(pairs)
+            enough = LEAST_RISE * max(pairs.sum(), 1.0)
+            if sweep == 1 or now > reached:
+                idle = 0 if sweep <= 1 or now - reached >= enough else idle + 1
+                best, reached = class_of.copy(), now
+            elif sweep:
+                idle += 1
+            if idle >= 2:
+                return best
+            run = partial(_move_words, placed, sweep, class_of, own, pairs, classes)
+            moved = self.table.filter(F.col("bucket") >= 0).mapInArrow(run, "words binary, classes binary").collect()
+            for row in moved:
+                own[_flat(row["words"], "<u4")] = _flat(row["classes"], "<u2")
+            sweep += 1
+            if (own == class_of[: self.words]).all():
+                idle += 1
+                if idle >= 2 or placed >= self.words:
+                    return best if sweep > 1 else class_of
+            class_of[: self.words] = own
+
+
+def _count_bigrams(frequent: list[bytes], buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes = _Codes(frequent)
+    words, end = len(frequent), len(frequent) + SHAPES
+    lefts: list[np.ndarray] = []
+    rights: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held
+        left, right = (np.concatenate(side) if side else np.empty(0, np.int64) for side in (lefts, rights))
+        one, two, none = left < words, right < words, (left >= words) & (right >= words)
+        keys = np.concatenate(
+            [
+                (left[one] % buckets + 1) << 48 | (2 * left[one]) << 24 | right[one],
+                (right[two] % buckets + 1) << 48 | (2 * right[two] + 1) << 24 | left[two],
+                (2 * left[none]) << 24 | right[none],
+            ]
+        )
+        keys, counts = np.unique(keys, return_counts=True)
+        lefts.clear()
+        rights.clear()
         held = 0
+        return _rows(_LINKS, _packed(keys, counts))
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held
-            left = np.concatenate(lefts) if lefts else np.empty(0, np.int64)
-            right = np.concatenate(rights) if rights else np.empty(0, np.int64)
-            pairs, counts = np.unique((left << 32) | right, return_counts=True)
-            left, right = pairs >> 32, pairs & 0xFFFFFFFF
-            hashes = np.array(numbers.hashes, np.uint64).view(np.int64)
-            one, two = left >= groups, right >= groups
-            cells = np.where(one & two, -1, np.where(one, right, 2 * groups + left))
-            word = hashes[np.where(one, left, right) - groups]
-            other = np.where(one & two, hashes[np.where(two, right - groups, 0)], 0) if len(word) else word
-            lefts.clear()
-            rights.clear()
-            numbers.restart()
-            held = 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array(word), pa.array(other), pa.array(cells.astype(np.int32)), pa.array(counts.astype(np.int64))],
-                ["word", "other", "cell", "n"],
-            )
-
-        for batch in slices(batches, "body", BATCH_BYTES):
-            for body in batch.column("body").to_pylist():
-                before = end
-                for words in [*word_lists(body.lower()), None]:
-                    path = np.array([before, end]) if words is None else np.fromiter(
-                        (before, *map(numbers.__getitem__, words)), np.int64, len(words) + 1
-                    )
-                    left, right = path[:-1], path[1:]
-                    open_ = (left >= groups) | (right >= groups)
-                    lefts.append(left[open_])
-                    rights.append(right[open_])
-                    held += int(open_.sum())
-                    before = int(path[-1])
-                # Numbers are restarted between texts only.
+    for batch in slices(batches, "body", BATCH_BYTES):
+        for body in batch.column("body").to_pylist():
+            before = end
+            for listed in [*word_lists(body.lower()), None]:
+                path = np.array([before, end]) if listed is None else np.fromiter(
+                    (before, *map(codes.__getitem__, listed)), np.int64, len(listed) + 1
+                )
+                codes.rare.clear()
+                lefts.append(path[:-1])
+                rights.append(path[1:])
+                held += len(path) - 1
+                before = int(path[-1])
                 if held > _NEIGHBOURS_AT_ONCE:
                     yield flush()
-        yield flush()
+    yield flush()
 
-    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    return bodies.mapInArrow(run, "word long, other long, cell int, n long")
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Rows of ``_LINKS``, one per bucket, from sorted keys of bucket, head and other."""
+    bucket, head, other = (keys >> 48) - 1, (keys >> 24) & 0xFFFFFF, keys & 0xFFFFFF
+    rows = []
+    for at in np.unique(bucket):
+        begin, stop = np.searchsorted(bucket, [at, at + 1])
+        heads, runs = np.unique(head[begin:stop], return_counts=True)
+        packed = (heads, runs, other[begin:stop], counts[begin:stop])
+        rows.append((int(at), *(_raw(part, kind) for part, kind in zip(packed, _KINDS.values()))))
+    return rows
 
-def _gather(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per word its class and its counts by neighbouring class, behind it and (from ``groups`` on) before it.
 
-    Rows come in the order of word and cell; cell -1 holds the class as ``n``. Each task's last row has
-    no word: its cells are the bigrams of classes that hold a word outside the seeds, counted once.
-    """
-    total = np.zeros(groups * groups)
-    names = ["word", "class", "cells", "counts"]
-
-    def packed(word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        first = np.concatenate([[True], word[1:] != word[:-1]])
-        number = np.cumsum(first) - 1
-        own = n[first]
-        used = cell >= 0
-        number, cell, n = number[used], cell[used], n[used]
-        kind, at = cell // groups, cell % groups
-        if (own >= 0).all():
-            mine = own[number]
-            for chosen, key in ((kind == 0, mine * groups + at), (kind == 2, at * groups + mine)):
-                total[:] += np.bincount(key[chosen], n[chosen], len(total))
-        keys, back = np.unique(number * (2 * groups) + np.where(kind == 0, at, groups + at), return_inverse=True)
-        counts = np.bincount(back, n, len(keys))
-        offsets = np.searchsorted(keys, np.arange(len(own) + 1) * (2 * groups)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(word[first]), pa.array(own.astype(np.int32)),
-                pa.ListArray.from_arrays(offsets, pa.array((keys % (2 * groups)).astype(np.int32))),
-                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
-            ],
-            names,
-        )
+def _merge_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the rows of each bucket, which follow one another."""
+    keys, counts, held, current = [], [], 0, None
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        merged, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return merged, np.bincount(back, np.concatenate(counts), len(merged)).astype(np.int64)
 
-    waiting: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        columns = tuple(batch.column(name).to_numpy().astype(np.int64) for name in ("word", "cell", "n"))
-        if not batch.num_rows:
-            continue
-        waiting.append(columns)
-        if waiting[0][0][0] == columns[0][-1]:
-            continue
-        word, cell, n = (np.concatenate(part) for part in zip(*waiting))
-        cut = int(np.searchsorted(word, word[-1]))
-        yield packed(word[:cut], cell[:cut], n[:cut])
-        waiting = [(word[cut:], cell[cut:], n[cut:])]
-    if waiting:
-        yield packed(*(np.concatenate(part) for part in zip(*waiting)))
+        for row in range(batch.num_rows):
+            bucket = batch.column("bucket")[row].as_py()
+            if bucket != current and keys:
+                yield _rows(_LINKS, _packed(*merge()))
+                keys, counts, held = [], [], 0
+            current = bucket
+            heads, runs, others, n = _pieces(batch, row, **_KINDS)
+            keys.append((bucket + 1) << 48 | np.repeat(heads, runs) << 24 | others)
+            counts.append(n)
+            held += len(n)
+            if held > 2 * _NEIGHBOURS_AT_ONCE:
+                merged, n = merge()
+                # What is left after adding up is bounded by the bucket's distinct bigrams.
+                keys, counts, held = [merged], [n], 0
+    if keys:
+        yield _rows(_LINKS, _packed(*merge()))
+
+
+def _class_pairs(words, class_of, groups, shapes, unseen, rare, batches) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(groups * groups)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            heads, runs, others, n = _pieces(batch, row, **_KINDS)
+            word, side = np.repeat(heads >> 1, runs), np.repeat(heads & 1, runs)
+            behind = side == 0
+            times = np.bincount(word[behind], n[behind], int(word.max()) + 1) if len(word) else n
+            if not rare:
+                kept = ((word < words) | (word == words + SHAPES)) & ((others < words) | (others == words + SHAPES))
+                word, side, others, n = word[kept], side[kept], others[kept], n[kept]
+            mine, beside = class_of[word], class_of[others]
+            # Bigrams of two such words are read from the left one only.
+            behind, before = side == 0, (side == 1) & (others >= words)
+            for chosen, key in ((behind, mine * groups + beside), (before, beside * groups + mine)):
+                total += np.bincount(key[chosen], n[chosen], len(total))
+            if unseen is not None and len(word):
+                once = (times[word] == 1) & (word < words)
+                mine = unseen + shapes[word[once]]
+                right = side[once] == 0
+                key = np.where(right, mine * groups + beside[once], beside[once] * groups + mine)
+                total += np.bincount(key, n[once], len(total))
     cells = np.flatnonzero(total)
-    whole = np.array([0, len(cells)], np.int32)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([None], pa.int64()), pa.array([None], pa.int32()),
-            pa.ListArray.from_arrays(whole, pa.array(cells.astype(np.int32))),
-            pa.ListArray.from_arrays(whole, pa.array(total[cells].astype(np.int64))),
-        ],
-        names,
-    )
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
 
 
-def _move(pairs: np.ndarray, classes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class of best likelihood of each word while all others stay."""
-    beside = np.concatenate([pairs[:classes].T, pairs[:, :classes]])
-    with_logs = _xlogx(beside)
-    out_all, in_all = pairs[:classes].sum(axis=1), pairs[:, :classes].sum(axis=0)
-    groups = len(pairs)
+class _Moves:
+    """Finds the class of best likelihood of each word while all others stay."""
 
-    def best(own: np.ndarray, offsets: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def __init__(self, pairs: np.ndarray, classes: int):
+        self.classes, self.groups = classes, len(pairs)
+        self.beside = np.concatenate([pairs[:classes].T, pairs[:, :classes]])
+        self.logs = _xlogx(self.beside)
+        self.totals = pairs[:classes].sum(axis=1), pairs[:, :classes].sum(axis=0)
+
+    def best(self, own: np.ndarray, offsets: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """``own`` is -1 for a word without class; cells of a word lie between its offsets."""
+        found = np.empty(len(own), np.int64)
+        begin = 0
+        while begin < len(own):
+            stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _GAINS_AT_ONCE, "right")) - 1)
+            stop = min(stop, begin + _GAINS_AT_ONCE)
+            low, high = offsets[begin], offsets[stop]
+            found[begin:stop] = self._best(own[begin:stop], offsets[begin : stop + 1] - low, cells[low:high], counts[low:high])
+            begin = stop
+        return found
+
+    def _best(self, own, offsets, cells, counts) -> np.ndarray:
         number = np.repeat(np.arange(len(own)), np.diff(offsets))
-        gain = np.zeros((len(own), classes))
-        known = own >= 0
+        gain = np.zeros((len(own), self.classes))
+        mine = np.flatnonzero(own >= 0)
         if len(cells):
-            step = _xlogx(beside[cells] + counts[:, None]) - with_logs[cells]
-            mine = np.flatnonzero(known[number])
-            at = own[number[mine]]
-            held = beside[cells[mine], at]
-            step[mine, at] = _xlogx(held) - _xlogx(held - counts[mine])
+            step = _xlogx(self.beside[cells] + counts[:, None]) - self.logs[cells]
+            at = np.flatnonzero(own[number] >= 0)
+            held = self.beside[cells[at], own[number[at]]]
+            step[at, own[number[at]]] = _xlogx(held) - _xlogx(held - counts[at])
             filled = np.flatnonzero(np.diff(offsets))
             gain[filled] = np.add.reduceat(step, offsets[:-1][filled], axis=0)
-        behind = cells < groups
-        for totals, chosen in ((out_all, behind), (in_all, ~behind)):
+        for totals, chosen in zip(self.totals, (cells < self.groups, cells >= self.groups)):
             added = np.bincount(number[chosen], counts[chosen], len(own))
             loss = _xlogx(totals + added[:, None]) - _xlogx(totals)
-            mine = np.flatnonzero(known)
             held = totals[own[mine]]
             loss[mine, own[mine]] = _xlogx(held) - _xlogx(held - added[mine])
             gain -= loss
         new = gain.argmax(axis=1)
         rows = np.arange(len(own))
-        stays = known & (gain[rows, new] <= gain[rows, np.maximum(own, 0)] + 1e-9)
+        stays = (own >= 0) & (gain[rows, new] <= gain[rows, np.maximum(own, 0)] + 1e-9)
         return np.where(stays, own, new)
 
+
+def _turn(numbers: np.ndarray, sweep: int) -> np.ndarray:
+    """Which words move in a sweep: all in the first, then one random half and the other in turn."""
+    half = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((sweep // 2) * 0x5851F42D4C957F2D & (1 << 64) - 1)) >> np.uint64(40)
+    half = (half ^ half >> np.uint64(7)) & np.uint64(1)
+    return (half == sweep % 2) | (sweep == 0)
+
+
+def _move_words(placed, sweep, class_of, own, pairs, classes, batches) -> Iterator[pa.RecordBatch]:
+    moves, groups = _Moves(pairs, classes), len(pairs)
     for batch in batches:
-        word, own = batch.column("word").to_numpy(), batch.column("class").to_numpy().astype(np.int64)
-        lists = batch.column("cells")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        cells = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
-        counts = batch.column("counts")
-        sums = counts.values.to_numpy()[counts.offsets[0].as_py() : counts.offsets[-1].as_py()].astype(float)
-        offsets -= offsets[0]
-        found = np.empty(len(own), np.int64)
-        begin = 0
-        while begin < len(own):
-            stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _GAINS_AT_ONCE, "right")) - 1)
-            stop = min(stop, begin + _GAINS_AT_ONCE)
-            low, high = offsets[begin], offsets[stop]
-            found[begin:stop] = best(own[begin:stop], offsets[begin : stop + 1] - low, cells[low:high], sums[low:high])
-            begin = stop
-        # Nothing is known yet of words that stand between words outside the seeds only.
-        lost = (own < 0) & (np.diff(offsets) == 0)
-        found[lost] = word[lost] % classes
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(word), pa.array(found.astype(np.int32)), pa.array(found != own)], ["word", "class", "moved"]
-        )
+        for row in range(batch.num_rows):
+            heads, runs, others, n = _pieces(batch, row, **_KINDS)
+            words, at = np.unique(heads >> 1, return_inverse=True)
+            chosen = _turn(words, sweep) & ((words >= placed) | (sweep > 0))
+            key = np.repeat(at, runs) * (2 * groups) + np.repeat(heads & 1, runs) * groups + class_of[others]
+            sums = np.bincount(key, n, len(words) * 2 * groups).reshape(len(words), -1)[chosen]
+            words = words[chosen]
+            number, cells = np.nonzero(sums)
+            offsets = np.searchsorted(number, np.arange(len(words) + 1))
+            new = moves.best(own[words], offsets, cells, sums[number, cells])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_raw(words, "<u4")], pa.binary()), pa.array([_raw(new, "<u2")], pa.binary())], ["words", "classes"]
+            )
 
 
-def exchange_rest(
-    docs: DataFrame, seeds: list[bytes], own: np.ndarray, counts: np.ndarray, text: str = "text"
-) -> tuple[DataFrame, np.ndarray]:
-    """(word hash, class) of all words outside the seeds, and the counts of class bigrams over all texts.
+# --- rarer words -------------------------------------------------------------------------
 
-    Words first take the class that fits their neighbours among the seeds. Then all move at once in
-    every sweep, each to its best class while the others stay, until none moves or a
-    sweep does not raise the likelihood; the best classes found are kept.
-    """
-    groups, classes = int(own[-1]) + 1, int(own[len(seeds)])
-    member = np.zeros((len(own), groups))
-    member[np.arange(len(own)), own] = 1
-    fixed = [*range(len(seeds)), len(own) - 1]
-    among_seeds = member[fixed].T @ counts[np.ix_(fixed, fixed)] @ member[fixed]
-    found = materialise(count_neighbours(docs, seeds, own, text))
-    beside = materialise(found.filter("cell >= 0").groupBy("word", "cell").agg(F.sum("n").alias("n")))
-    links = materialise(found.filter("cell < 0").groupBy("word", "other").agg(F.sum("n").alias("n")))
-    both = links.select("word", "other", F.lit(0).alias("side"), "n").unionByName(
-        links.select(F.col("other").alias("word"), F.col("word").alias("other"), F.lit(groups).alias("side"), "n")
-    )
-    gathered_as = "word long, class int, cells array<int>, counts array<long>"
 
-    def gather(entries: DataFrame) -> DataFrame:
-        dealt = entries.repartition("word").sortWithinPartitions("word", "cell")
-        return materialise(dealt.mapInArrow(partial(_gather, groups), gathered_as))
+def word_hash(word: bytes) -> int:
+    """Spark's xxhash64 of a binary."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
-    def move(gathered: DataFrame, pairs: np.ndarray) -> DataFrame:
-        run = partial(_move, pairs, classes)
-        return materialise(
-            gathered.filter("word is not null").mapInArrow(run, "word long, class int, moved boolean")
-        )
 
-    words = beside.select("word").union(both.select("word")).distinct()
-    start = words.select("word", F.lit(-1).alias("cell"), F.lit(-1).cast("long").alias("n"))
-    placed = move(gather(beside.unionByName(start)), member.T @ counts @ member)
-    best: tuple[float, DataFrame | None, np.ndarray] = (-math.inf, None, among_seeds)
-    while True:
-        known = placed.select(F.col("word").alias("named"), "class")
-        entries = both.join(known, both.other == known.named).select(
-            "word", (F.col("side") + F.col("class")).alias("cell"), "n"
+class _Numbers(dict):
+    """Class of each word that travels; any other word gets the next number from ``first`` on."""
+
+    def __init__(self, frequent: list[bytes], own: np.ndarray, first: int):
+        super().__init__(zip(frequent, own.tolist()))
+        self.frequent, self.own, self.first = frequent, own, first
+        self.hashes: list[int] = []
+        self.shapes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.first + len(self.hashes)
+        self.hashes.append(word_hash(word))
+        self.shapes.append(shape(word))
+        return number
+
+    def restart(self) -> None:
+        self.clear()
+        self.update(zip(self.frequent, self.own.tolist()))
+        self.hashes, self.shapes = [], []
+
+
+#: Words of a bucket, their shapes, their neighbours that travel by class, and links to other rare words.
+_RARE = {
+    "words": "<i8", "shapes": "<u1", "cell_of": "<u4", "cells": "<u2", "cell_n": "<u4",
+    "link_of": "<u4", "link_to": "<i8", "link_side": "<u1", "link_n": "<u4",
+}
+_RARE_SCHEMA = pa.schema([("bucket", pa.int32())] + [(name, pa.binary()) for name in _RARE])
+_RARE_AS = "bucket int, " + ", ".join(f"{name} binary" for name in _RARE)
+_NEWS = {"words": "<i8", "cells": "<u2", "counts": "<u4"}
+_NEWS_SCHEMA = pa.schema([("bucket", pa.int32())] + [(name, pa.binary()) for name in _NEWS] + [("own", pa.binary()), ("moved", pa.int64())])
+_NEWS_LIST = "array<struct<words:binary,cells:binary,counts:binary,own:binary,moved:bigint>>"
+_NEWS_AS = "bucket int, words binary, cells binary, counts binary, own binary, moved long"
+
+
+def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct tuples of keys with the sum of their counts."""
+    order = np.lexsort(keys[::-1])
+    keys = [key[order] for key in keys]
+    if not len(order):
+        return *keys, counts
+    first = np.concatenate([[True], np.any([key[1:] != key[:-1] for key in keys], axis=0)])
+    return *(key[first] for key in keys), np.add.reduceat(counts[order], np.flatnonzero(first))
+
+
+def _rare_row(bucket: int, hashes, shapes, cell, link) -> tuple:
+    """A bucket's row from its words with repeats, and entries that name words by place."""
+    words, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    cell = _summed([back[cell[0]], cell[1]], cell[2])
+    link = _summed([back[link[0]], link[2], link[1]], link[3])
+    parts = (words, shapes[first], *cell, link[0], link[2], link[1], link[3])
+    return (bucket, *(_raw(part, kind) for part, kind in zip(parts, _RARE.values())))
+
+
+def _count_rare(frequent, own, groups, buckets, batches) -> Iterator[pa.RecordBatch]:
+    end = groups - 1
+    numbers = _Numbers(frequent, own, groups)
+    lefts: list[np.ndarray] = []
+    rights: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held
+        left, right = (np.concatenate(side) if side else np.empty(0, np.int64) for side in (lefts, rights))
+        hashes = np.array(numbers.hashes, np.uint64).view(np.int64)
+        shapes = np.array(numbers.shapes, np.int64)
+        one, two = left >= groups, right >= groups
+        ahead, behind, both = one & ~two, two & ~one, one & two
+        cell_of = np.concatenate([left[ahead], right[behind]]) - groups
+        cells = np.concatenate([right[ahead], groups + left[behind]])
+        link_of = np.concatenate([left[both], right[both]]) - groups
+        link_to = hashes[np.concatenate([right[both], left[both]]) - groups]
+        link_side = np.repeat([0, 1], int(both.sum()))
+        bucket = _bucket_of(hashes, buckets)
+        rows = []
+        by_word, by_cell, by_link = (np.argsort(b, kind="stable") for b in (bucket, bucket[cell_of], bucket[link_of]))
+        place = np.empty(len(hashes), np.int64)
+        for at in range(buckets):
+            w, c, k = (
+                order[slice(*np.searchsorted(b[order], [at, at + 1]))]
+                for order, b in ((by_word, bucket), (by_cell, bucket[cell_of]), (by_link, bucket[link_of]))
+            )
+            if len(w):
+                place[w] = np.arange(len(w))
+                cell = (place[cell_of[c]], cells[c], np.ones(len(c), np.int64))
+                link = (place[link_of[k]], link_to[k], link_side[k], np.ones(len(k), np.int64))
+                rows.append(_rare_row(at, hashes[w], shapes[w], cell, link))
+        lefts.clear()
+        rights.clear()
+        numbers.restart()
+        held = 0
+        return _rows(_RARE_SCHEMA, rows)
+
+    for batch in slices(batches, "body", BATCH_BYTES):
+        for body in batch.column("body").to_pylist():
+            before = end
+            for words in [*word_lists(body.lower()), None]:
+                path = np.array([before, end]) if words is None else np.fromiter(
+                    (before, *map(numbers.__getitem__, words)), np.int64, len(words) + 1
+                )
+                left, right = path[:-1], path[1:]
+                open_ = (left >= groups) | (right >= groups)
+                lefts.append(left[open_])
+                rights.append(right[open_])
+                held += int(open_.sum())
+                before = int(path[-1])
+            # Numbers are restarted between texts only.
+            if held > _NEIGHBOURS_AT_ONCE:
+                yield flush()
+    yield flush()
+
+
+def _merge_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    current, parts = None, []
+
+    def merged() -> pa.RecordBatch:
+        starts = np.cumsum([0] + [len(part[0]) for part in parts])
+        whole = [np.concatenate(column) for column in zip(*parts)]
+        for column in (2, 5):
+            whole[column] = np.concatenate([part[column] + start for part, start in zip(parts, starts)])
+        words, shapes, cell_of, cells, cell_n, link_of, link_to, link_side, link_n = whole
+        return _rows(_RARE_SCHEMA, [_rare_row(current, words, shapes, (cell_of, cells, cell_n), (link_of, link_to, link_side, link_n))])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            bucket = batch.column("bucket")[row].as_py()
+            if bucket != current and parts:
+                yield merged()
+                parts = []
+            current = bucket
+            parts.append(_pieces(batch, row, **_RARE))
+    if parts:
+        yield merged()
+
+
+def _entries(batch: pa.RecordBatch, row: int, groups: int):
+    """Words of a bucket, shapes, classes (-1: none yet), neighbours by word and cell with the news, links."""
+    words, shapes, cell_of, cells, cell_n, *links = _pieces(batch, row, **_RARE)
+    own, parts = np.full(len(words), -1), []
+    for news in batch.column("news")[row].as_py() or []:
+        if news["own"] is not None:
+            own = _flat(news["own"], "<u2")
+        else:
+            to, cell, n = (_flat(news[name], kind) for name, kind in _NEWS.items())
+            parts.append((np.searchsorted(words, to), cell, n))
+    static = len(cells)
+    if parts:
+        cell_of, cells, cell_n = (np.concatenate([a, *b]) for a, b in zip((cell_of, cells, cell_n), zip(*parts)))
+    return words, shapes, own, cell_of, cells, cell_n, static, links
+
+
+def _rare_pairs(groups: int, unseen: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of classes with a rare word, counted once; with ``unseen`` what words found once add as their shape."""
+    total = np.zeros(groups * groups)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words, shapes, own, of, cells, n, static, _ = _entries(batch, row, groups)
+            behind = cells < groups
+            before = ~behind & (np.arange(len(cells)) < static)
+            beside = cells % groups
+            if unseen is None:
+                mine = own[of]
+            else:
+                once = np.bincount(of[behind], n[behind], len(words)) == 1
+                behind, before = behind & once[of], ~behind & once[of]
+                mine = unseen + shapes[of]
+            for chosen, key in ((behind, mine * groups + beside), (before, beside * groups + mine)):
+                total += np.bincount(key[chosen], n[chosen], len(total))
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
+
+
+def _move_rare(pairs, classes, sweep, buckets, batches) -> Iterator[pa.RecordBatch]:
+    """Per bucket its words' new classes, and the news of them for words in other buckets."""
+    moves, groups = _Moves(pairs, classes), len(pairs)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words, _, own, of, cells, n, _, (link_of, link_to, link_side, link_n) = _entries(batch, row, groups)
+            of, cells, n = _summed([of, cells], n)
+            offsets = np.searchsorted(of, np.arange(len(words) + 1))
+            new = moves.best(own, offsets, cells, n.astype(float))
+            new = np.where(_turn(words, sweep), new, own)
+            # Nothing is known yet of words that stand between rare words only.
+            lost = (own < 0) & (np.diff(offsets) == 0)
+            new[lost] = words[lost] % classes
+            rows = [(batch.column("bucket")[row].as_py(), None, None, None, _raw(new, "<u2"), int((new != own).sum()))]
+            # What stands behind a word has the word before it.
+            bucket, to, cell, counts = _summed(
+                [_bucket_of(link_to, buckets), link_to, new[link_of] + groups * (1 - link_side)], link_n
+            )
+            for at in np.unique(bucket):
+                part = slice(*np.searchsorted(bucket, [at, at + 1]))
+                rows.append((int(at), *(_raw(a[part], k) for a, k in zip((to, cell, counts), _NEWS.values())), None, 0))
+            yield _rows(_NEWS_SCHEMA, rows)
+
+
+def _placed_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words, _, own, *_ = _entries(batch, row, 1)
+            for at in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words[at : at + 50_000]), pa.array(own[at : at + 50_000].astype(np.int32))], ["word", "class"]
+                )
+
+
+def exchange_rare(
+    docs: DataFrame, frequent: list[bytes], own: np.ndarray, pairs: np.ndarray, classes: int, tokens: int, text: str = "text"
+) -> tuple[DataFrame, np.ndarray]:
+    """(word hash, class) of all words outside ``frequent``, and all counts of class bigrams.
+
+    ``own`` has the classes of the frequent words, which stay; ``pairs`` counts the bigrams among them. Words
+    lie in buckets by hash. They first take the class that fits their neighbours that travel; then sweeps
+    go on as for the frequent words, in which buckets send each other the classes of linked words. The
+    bigrams returned count words found once a second time, as their shape.
+    """
+    spark, groups = docs.sparkSession, len(pairs)
+    buckets = max(8, tokens // _RARE_AT_ONCE)
+    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    found = bodies.mapInArrow(partial(_count_rare, frequent, own, groups, buckets), _RARE_AS)
+    dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_rare, _RARE_AS)
+    name, path = f"rare_{uuid.uuid4().hex}", scratch_path(spark, "rare")
+    dealt.write.bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
+    state = spark.table(name)
+
+    def joined(news: DataFrame | None) -> DataFrame:
+        if news is None:
+            return state.withColumn("news", F.lit(None).cast(_NEWS_LIST))
+        box = news.repartition(buckets, "bucket").groupBy("bucket").agg(
+            F.collect_list(F.struct("words", "cells", "counts", "own", "moved")).alias("news")
         )
-        classed = placed.select("word", F.lit(-1).alias("cell"), F.col("class").cast("long").alias("n"))
-        gathered = gather(entries.unionByName(beside).unionByName(classed))
-        pairs = among_seeds.copy().ravel()
-        sums = gathered.filter("word is null").select(F.explode(F.arrays_zip("cells", "counts")).alias("e"))
-        for row in sums.groupBy("e.cells").agg(F.sum("e.counts").alias("n")).collect():
-            pairs[row["cells"]] += row["n"]
-        pairs = pairs.reshape(groups, groups)
-        reached = likelihood(pairs)
-        if reached <= best[0]:
-            return best[1], best[2]
-        best = (reached, placed, pairs)
-        placed = move(gathered, pairs)
-        if placed.filter("moved").isEmpty():
-            return best[1], best[2]
+        return state.join(box, "bucket", "left")
+
+    def counted(news: DataFrame, unseen: int | None = None) -> np.ndarray:
+        run = partial(_rare_pairs, groups, unseen)
+        total = np.zeros(groups * groups)
+        for row in joined(news).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            total[row["cell"]] = row["n"]
+        return total.reshape(groups, groups)
+
+    now, news, sweep, idle = pairs, None, 0, 0
+    best: tuple = (-math.inf, None, pairs)
+    while idle < 2:
+        news = materialise(joined(news).mapInArrow(partial(_move_rare, now, classes, sweep, buckets), _NEWS_AS))
+        still = sweep > 0 and not news.agg(F.sum("moved")).first()[0]
+        now = pairs + counted(news)
+        reached = likelihood(now)
+        if reached > best[0]:
+            idle = idle + 1 if reached - best[0] < LEAST_RISE * now.sum() or still else 0
+            best = (reached, news, now)
+        else:
+            idle += 1
+        sweep += 1
+    placed = materialise(joined(best[1]).mapInArrow(_placed_rare, "word long, class int"))
+    whole = best[2] + counted(best[1], unseen=classes)
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+    return placed, whole
 
 
 @dataclass(frozen=True)
@@ -500,15 +769,63 @@ def train(
     All words are exchanged, the ``seed_words`` most frequent ones first (ties in the order of
     words). With ``exchanged_words`` only so many are, and the others are classed by shape.
     """
-    bound_batches(docs.sparkSession)
-    vocabulary = materialise(count_words(docs, text))
-    texts = docs.count()
-    levels = (
-        vocabulary.groupBy(F.floor(F.log2("n")).cast("int").alias("level"))
-        .agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"))
-        .orderBy(F.desc("level"))
-        .collect()
+    spark = docs.sparkSession
+    bound_batches(spark)
+    kept = scratch_path(spark, "vocabulary")
+    with scratch_tables(spark):
+        vocabulary = materialise(count_words(docs, text))
+        texts = docs.count()
+        levels = (
+            vocabulary.groupBy(F.floor(F.log2("n")).cast("int").alias("level"))
+            .agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"))
+            .orderBy(F.desc("level"))
+            .collect()
+        )
+        words, tokens = sum(row["words"] for row in levels), sum(row["tokens"] for row in levels)
+        wanted = seed_words if exchanged_words is None else exchanged_words
+        rows = _most_frequent(vocabulary, levels, frequent_words, wanted)
+        frequent = [word for _, word in rows]
+        exchanged = min(len(rows), wanted)
+        bigrams = Bigrams(docs, frequent, tokens, text)
+        states = States(frequent, exchanged)
+        state_of = np.concatenate([states.state_of, [states.end]])
+        counts = bigrams.pairs(state_of, states.size)
+        own = exchange(counts, exchanged, classes)
+        groups, first_shape = int(own.max()) + 1, int(own[exchanged])
+        class_of = own[state_of]
+        if exchanged_words is None:
+            class_of = bigrams.exchange(class_of, exchanged, first_shape)
+            pairs = among = bigrams.pairs(class_of, groups, rare=False)
+            vocabulary = _with_class(vocabulary, frequent, class_of)
+            if words > len(frequent):
+                rare = tokens - sum(n for n, _ in rows)
+                placed, pairs = exchange_rare(docs, frequent, class_of[: len(frequent)], among, first_shape, rare, text)
+                found = placed.select(F.col("word").alias("hash"), F.col("class").alias("placed"))
+                vocabulary = vocabulary.join(found, F.xxhash64("word") == F.col("hash"), "left").select(
+                    "word", "n", F.coalesce("class", "placed").alias("class")
+                )
+            pairs = pairs + bigrams.pairs(class_of, groups, first_shape, rare=False) - among
+            vocabulary.write.parquet(kept)
+            vocabulary = spark.read.parquet(kept)
+            held = np.zeros(groups)
+            for row in vocabulary.groupBy("class").agg(F.sum(F.col("n") + 1).alias("held")).collect():
+                held[row["class"]] = row["held"]
+        else:
+            pairs = _by_class(counts, own)
+            held = _class_sizes(vocabulary, frequent, exchanged, own, groups)
+            vocabulary.withColumn("class", F.lit(None).cast("int")).write.parquet(kept)
+            vocabulary = spark.read.parquet(kept)
+    transitions = np.log10((pairs + SMOOTHING) / (pairs.sum(axis=1, keepdims=True) + SMOOTHING * groups))
+    emissions = np.log10(np.maximum(held, 1.0))
+    emissions[own[-1]] = 0.0
+    return ClassModel(
+        vocabulary, frequent, np.log10(np.array([n for n, _ in rows] + [0] * SHAPES) + 1.0), exchanged, own, class_of[:-1],
+        transitions, emissions, tokens + texts, texts, words + (texts > 0), exchanged_words is None,
     )
+
+
+def _most_frequent(vocabulary: DataFrame, levels: list, frequent_words: int, wanted: int) -> list[tuple[int, bytes]]:
+    """(n, word) of all words down to the power of two of their counts that ``frequent_words`` leaves room for."""
     room, least = frequent_words, None
     for row in levels:
         room -= row["words"]
@@ -516,46 +833,10 @@ def train(
             break
         least = 2 ** row["level"]
     rows = [] if least is None else vocabulary.filter(F.col("n") >= least).collect()
-    rows = sorted(((int(row["n"]), bytes(row["word"])) for row in rows), key=lambda row: (-row[0], row[1]))
-    wanted = seed_words if exchanged_words is None else exchanged_words
     if len(rows) < wanted:
         # The words that travel are too few; the exchanged ones go by rank alone.
-        ranked = vocabulary.orderBy(F.desc("n"), "word").limit(wanted).collect()
-        rows = [(int(row["n"]), bytes(row["word"])) for row in ranked]
-    frequent = [word for _, word in rows]
-    exchanged = min(len(rows), wanted)
-    counts = count_transitions(docs, frequent, exchanged, text)
-    own = exchange(counts, exchanged, classes)
-    groups = int(own.max()) + 1
-    words = sum(row["words"] for row in levels)
-    class_of = own[States(frequent, exchanged).state_of]
-    if exchanged_words is None:
-        if words > exchanged:
-            vocabulary, pairs = _with_classes(docs, vocabulary, frequent[:exchanged], own, counts, text)
-        else:
-            vocabulary, pairs = _seeds_only(vocabulary, frequent, own), _by_class(counts, own)
-        if len(frequent) > exchanged:
-            places = {word: at for at, word in enumerate(frequent)}
-            for row in vocabulary.filter(F.col("n") >= rows[-1][0]).select("word", "class").collect():
-                at = places.get(bytes(row["word"]))
-                if at is not None:
-                    class_of[at] = row["class"]
-        held = np.zeros(groups)
-        for row in vocabulary.groupBy("class").agg(F.sum(F.col("n") + 1).alias("held")).collect():
-            held[row["class"]] = row["held"]
-        held[own[exchanged : exchanged + SHAPES]] += 1
-    else:
-        pairs = _by_class(counts, own)
-        held = _class_sizes(vocabulary, frequent, exchanged, own, groups)
-        vocabulary = vocabulary.withColumn("class", F.lit(None).cast("int"))
-    transitions = np.log10((pairs + SMOOTHING) / (pairs.sum(axis=1, keepdims=True) + SMOOTHING * groups))
-    emissions = np.log10(np.maximum(held, 1.0))
-    emissions[own[-1]] = 0.0
-    return ClassModel(
-        vocabulary, frequent, np.log10(np.array([n for n, _ in rows] + [0] * SHAPES) + 1.0), exchanged, own, class_of,
-        transitions, emissions,
-        sum(row["tokens"] for row in levels) + texts, texts, words + (texts > 0), exchanged_words is None,
-    )
+        rows = vocabulary.orderBy(F.desc("n"), "word").limit(wanted).collect()
+    return sorted(((int(row["n"]), bytes(row["word"])) for row in rows), key=lambda row: (-row[0], row[1]))
 
 
 def _by_class(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -564,23 +845,11 @@ def _by_class(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
     return member.T @ counts @ member
 
 
-def _seeds_only(vocabulary: DataFrame, seeds: list[bytes], own: np.ndarray) -> DataFrame:
-    """``vocabulary`` with the class of each seed, null for other words."""
-    spark = vocabulary.sparkSession
-    rows = [(bytearray(word), int(number)) for word, number in zip(seeds, own)]
-    table = F.broadcast(spark.createDataFrame(rows, "word binary, class int"))
-    return vocabulary.join(table, "word", "left")
-
-
-def _with_classes(
-    docs: DataFrame, vocabulary: DataFrame, seeds: list[bytes], own: np.ndarray, counts: np.ndarray, text: str
-) -> tuple[DataFrame, np.ndarray]:
-    """``vocabulary`` with the class of every word, and the counts of class bigrams."""
-    placed, pairs = exchange_rest(docs, seeds, own, counts, text)
-    seeded = _seeds_only(vocabulary, seeds, own).withColumnRenamed("class", "seeded")
-    found = placed.select(F.col("word").alias("hash"), "class")
-    joined = seeded.join(found, F.xxhash64("word") == F.col("hash"), "left")
-    return materialise(joined.select("word", "n", F.coalesce("seeded", "class").alias("class"))), pairs
+def _with_class(vocabulary: DataFrame, frequent: list[bytes], class_of: np.ndarray) -> DataFrame:
+    """``vocabulary`` with the class of each word that travels, null for other words."""
+    numbers = pa.array(class_of[: len(frequent)].astype(np.int32))
+    table = pa.table({"word": pa.array(frequent, pa.binary()), "class": numbers})
+    return vocabulary.join(F.broadcast(vocabulary.sparkSession.createDataFrame(table)), "word", "left")
 
 
 def _class_sizes(vocabulary: DataFrame, frequent: list[bytes], exchanged: int, own: np.ndarray, groups: int) -> np.ndarray:
