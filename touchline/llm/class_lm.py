@@ -424,7 +424,10 @@ class _Moves:
         gain = np.zeros((len(own), self.classes))
         mine = np.flatnonzero(own >= 0)
         if len(cells):
-            step = _xlogx(self.beside[cells] + counts[:, None]) - self.logs[cells]
+            # Few cells and counts differ, so the logarithms are taken once for each kind.
+            wide = int(counts.max()) + 1
+            kinds, kind = np.unique(cells * wide + counts.astype(np.int64), return_inverse=True)
+            step = (_xlogx(self.beside[kinds // wide] + (kinds % wide)[:, None]) - self.logs[kinds // wide])[kind]
             at = np.flatnonzero(own[number] >= 0)
             held = self.beside[cells[at], own[number[at]]]
             step[at, own[number[at]]] = _xlogx(held) - _xlogx(held - counts[at])
@@ -432,7 +435,8 @@ class _Moves:
             gain[filled] = np.add.reduceat(step, offsets[:-1][filled], axis=0)
         for totals, chosen in zip(self.totals, (cells < self.groups, cells >= self.groups)):
             added = np.bincount(number[chosen], counts[chosen], len(own))
-            loss = _xlogx(totals + added[:, None]) - _xlogx(totals)
+            sizes, size = np.unique(added, return_inverse=True)
+            loss = (_xlogx(totals + sizes[:, None]) - _xlogx(totals))[size]
             held = totals[own[mine]]
             loss[mine, own[mine]] = _xlogx(held) - _xlogx(held - added[mine])
             gain -= loss
@@ -515,7 +519,7 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct tuples of keys with the sum of their counts."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     keys = [key[order] for key in keys]
     if not len(order):
         return *keys, counts
@@ -526,7 +530,8 @@ def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, ...
 def _rare_row(bucket: int, hashes, shapes, cell, link) -> tuple:
     """A bucket's row from its words with repeats, and entries that name words by place."""
     words, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    cell = _summed([back[cell[0]], cell[1]], cell[2])
+    key, n = _summed([back[cell[0]] << 16 | cell[1]], cell[2])
+    cell = (key >> 16, key & 0xFFFF, n)
     link = _summed([back[link[0]], link[2], link[1]], link[3])
     parts = (words, shapes[first], *cell, link[0], link[2], link[1], link[3])
     return (bucket, *(_raw(part, kind) for part, kind in zip(parts, _RARE.values())))
@@ -656,12 +661,16 @@ def _move_rare(pairs, classes, sweep, buckets, batches) -> Iterator[pa.RecordBat
     for batch in batches:
         for row in range(batch.num_rows):
             words, _, own, of, cells, n, _, (link_of, link_to, link_side, link_n) = _entries(batch, row, groups)
-            of, cells, n = _summed([of, cells], n)
-            offsets = np.searchsorted(of, np.arange(len(words) + 1))
-            new = moves.best(own, offsets, cells, n.astype(float))
-            new = np.where(_turn(words, sweep), new, own)
+            chosen = np.flatnonzero(_turn(words, sweep))
+            place = np.full(len(words), -1)
+            place[chosen] = np.arange(len(chosen))
+            used = place[of] >= 0
+            key, n = _summed([place[of[used]] * (2 * groups) + cells[used]], n[used])
+            offsets = np.searchsorted(key, np.arange(len(chosen) + 1) * (2 * groups))
+            new = own.copy()
+            new[chosen] = moves.best(own[chosen], offsets, key % (2 * groups), n.astype(float))
             # Nothing is known yet of words that stand between rare words only.
-            lost = (own < 0) & (np.diff(offsets) == 0)
+            lost = chosen[(own[chosen] < 0) & (np.diff(offsets) == 0)]
             new[lost] = words[lost] % classes
             rows = [(batch.column("bucket")[row].as_py(), None, None, None, _raw(new, "<u2"), int((new != own).sum()))]
             # What stands behind a word has the word before it.
