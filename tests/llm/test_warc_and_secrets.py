@@ -56,6 +56,16 @@ def test_archives_are_cut_by_bytes_and_read_by_several_tasks(spark, tmp_path):
     assert {r["refers_to"] for r in read.collect()} == {None, 79}
 
 
+@pytest.mark.parametrize("payloads", [True, False])
+def test_an_archive_may_end_with_a_full_batch(spark, tmp_path, payloads):
+    # Each record fills a batch of rows, so none are left at the archive's end.
+    pages = spark.createDataFrame([(i, "u", str(i) * (5 << 20), "r", "d") for i in (1, 2)], PAGES)
+    warc.write(pages, f"{tmp_path}/a", archive_rows=20_000)
+    got = warc.read(spark, f"{tmp_path}/a", payloads).select("archive", "page_id", "payload_bytes").collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(1, 5 << 20), (2, 5 << 20)]
+    assert all(r["archive"].startswith("pages-") for r in got)
+
+
 def test_samples_are_spread_over_records():
     assert warc.sample_pieces(b"") == [] and warc.sample_pieces(b"abc") == [b"abc"]
     pieces = warc.sample_pieces(bytes(8192) * 10 + b"\1" * 8192 * 10, 4 * 8192)

@@ -269,7 +269,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def rows(archive: str, first: int, held: list[dict]) -> pa.RecordBatch:
-        arrays = [pa.array([archive] * len(held)), pa.array(range(first, first + len(held)), pa.int64())]
+        arrays = [pa.array([archive] * len(held), pa.string()), pa.array(range(first, first + len(held)), pa.int64())]
         arrays += [pa.array([r[n] for r in held], kind) for n, kind in zip(names, types)]
         return pa.RecordBatch.from_arrays(arrays, ["archive", "record", *names])
 
@@ -291,7 +291,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                         if size > 4 << 20:
                             yield rows(archive, first, held)
                             held, size, first = [], 0, first + len(held)
-                yield rows(archive, first, held)
+                if held:
+                    yield rows(archive, first, held)
 
     manifest = spark.read.parquet(f"{path}/manifest").select("archive")
     # An explicit number: the few names would be coalesced into one task otherwise.
