@@ -164,6 +164,14 @@ def test_speed_memory_survives_repeated_times(spark):
         assert [r.acceleration_ms2 for r in got] == pytest.approx(want)
 
 
+def test_quantile_brackets_are_evaluated_once(spark):
+    # Approximate quantiles depend on the order in which partial results arrive: a plan that holds them
+    # can tell the rows below by one bracket and those inside by another.
+    df = spark.createDataFrame([(i % 3, float(i * 31 % 997)) for i in range(4500)], "g int, v double")
+    found = exact_quantiles(df, ["g"], {"lo": ("v", 0.1), "mid": ("v", 0.5)})
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
+
+
 def test_exact_quantiles_of_many_columns_with_outliers_and_nulls(spark):
     rng = np.random.default_rng(4)
     n = 3000

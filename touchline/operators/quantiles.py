@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from touchline.session import materialise
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -24,7 +26,9 @@ def exact_quantiles(
     most 1/accuracy of the rows, a twentieth of the margin. A second one counts the rows below
     each bracket, and only values inside brackets, about twice the margin of a group's rows,
     are counted, sorted and searched for the rank. Groups of fewer than ``whole_below`` rows
-    are their own bracket. The result does not depend on these parameters. Groups whose
+    are their own bracket. The result does not depend on these parameters. The brackets are
+    written once: approximate quantiles vary with the order in which partial results arrive, and rows
+    below and inside have to be told by the same ones. Groups whose
     columns are all null do not appear in the result.
     """
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
@@ -44,7 +48,7 @@ def exact_quantiles(
             for k, (column, _) in enumerate(marks)
         ],
     )
-    joined = rows.join(brackets, keys)
+    joined = rows.join(materialise(brackets), keys)
 
     def edge(k: int, side: int) -> Column:
         whole = F.col(f"n{value[marks[k][0]]}") < whole_below
