@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from touchline.operators import joins as J
 from touchline.operators import trajectory as T
 from touchline.operators.quantiles import exact_quantiles
-from touchline.operators.sampling import sample_per_group
+from touchline.operators.sampling import nested_ranks, sample_per_group
 from touchline.operators.series import last_seen, row_positions, running_totals
 from touchline.operators.smoothing import fit_matrix
 
@@ -193,3 +193,15 @@ def test_sample_is_exact_and_stable(spark):
     assert sizes == {"big": 700, "small": 500}
     again = sample_per_group(df.repartition(5), ["g"], 700, ["id"])
     assert {r.id for r in picked.collect()} == {r.id for r in again.collect()}
+
+
+def _moved_whole(df):
+    return "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_move_only_the_rows_up_to_the_cut(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("g"))
+    picked = sample_per_group(df, ["g"], 300, ["id"])
+    assert not _moved_whole(picked) and not _moved_whole(nested_ranks(df, ["g"], 300, ["id"]))
+    # Null is a group as any other.
+    assert {r.g: r["count"] for r in picked.groupBy("g").count().collect()} == {None: 300, 0: 300, 1: 300}

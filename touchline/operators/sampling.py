@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from touchline import constants as K
 from touchline.operators.series import row_positions
+from touchline.session import joinable
 
 
 def draw(seed: int | Column, *keys: str) -> Column:
@@ -30,6 +31,19 @@ def nested_ranks(
     Samples of any size up to ``most`` are then filters on the rank, each inside the next. Ranks
     are counted per digit of the draw and shifted by a histogram, so no group is sorted as a whole.
     """
+    staged, digits = _up_to_digit(df, groups, most, key, seed)
+    place = F.row_number().over(Window.partitionBy(*groups, "_digit").orderBy("_draw", *key))
+    ranked = staged.join(digits, [*groups, "_digit"]).withColumn(name, (F.col("_before") + place).cast("long"))
+    return ranked.filter(F.col(name) <= most).select(*df.columns, name)
+
+
+def _up_to_digit(
+    df: DataFrame, groups: Sequence[str], most: int, key: Sequence[str], seed: int | Column
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their draw and first digits, and the digits of each group that hold its ``most`` first rows.
+
+    The digits are written, so that few of them are broadcast and only the rows that they keep are moved.
+    """
     staged = df.withColumn("_draw", draw(seed, *key)).withColumn(
         "_digit", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("int")
     )
@@ -39,9 +53,7 @@ def nested_ranks(
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter(F.col("_before") < most).drop("_n")
     )
-    place = F.row_number().over(Window.partitionBy(*groups, "_digit").orderBy("_draw", *key))
-    ranked = staged.join(digits, [*groups, "_digit"]).withColumn(name, (F.col("_before") + place).cast("long"))
-    return ranked.filter(F.col(name) <= most).select(*df.columns, name)
+    return staged, joinable(digits)
 
 
 def sample_per_group(
@@ -55,31 +67,20 @@ def sample_per_group(
     """Exactly the ``n`` rows of smallest draw per group (all rows when there are fewer).
 
     A histogram over the first four hex digits gives the digit at which each group
-    reaches ``n``. Rows up to that digit are ranked per digit, so no group is sorted as a whole.
+    reaches ``n``. Rows up to that digit are ranked per digit, so no group is sorted as a whole
+    or moved into one task. Null is a group as any other.
     """
     if n is None:
         return df
-    staged = df.withColumn("_draw", draw(seed, *key)).withColumn(
-        "_digit", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("int")
-    )
-    ordered = Window.partitionBy(*groups).orderBy("_digit")
-    histogram = staged.groupBy(*groups, "_digit").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    cuts = (
-        histogram.withColumn("_upto", upto)
-        .filter(F.col("_upto") >= n)
-        .groupBy(*groups)
-        .agg(F.min(F.struct("_digit", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_cut"))
-    )
-    kept = staged.join(cuts, list(groups), "left")
-    kept = kept.filter(F.col("_cut").isNull() | (F.col("_digit") <= F.col("_cut._digit")))
-    place = F.row_number().over(Window.partitionBy(*groups, "_digit").orderBy("_draw", *key))
-    inside = (
-        F.col("_cut").isNull()
-        | (F.col("_digit") < F.col("_cut._digit"))
-        | (F.col("_place") <= F.lit(n) - F.col("_cut._before"))
-    )
-    return kept.withColumn("_place", place).filter(inside).select(*df.columns)
+    staged, digits = _up_to_digit(df, groups, n, key, seed)
+    names = [*groups, "_digit"]
+    wanted = digits.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(names)], "_before")
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & staged[c].eqNullSafe(wanted[f"_of{i}"])
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("_draw", *key))
+    kept = staged.join(wanted, same).withColumn("_place", F.col("_before") + place)
+    return kept.filter(F.col("_place") <= n).select(*df.columns)
 
 
 def balanced_sample(
@@ -141,7 +142,7 @@ def group_shuffle_split(
     test = ranks.select(
         *strata, group, (F.col("group_rank") < F.ceil(F.col("n_groups") * test_size)).alias("is_test")
     )
-    return df.join(test, [*strata, group])
+    return df.join(joinable(test), [*strata, group])
 
 
 def group_folds(
@@ -164,7 +165,7 @@ def group_folds(
     if k < 2 or (k < folds and not allow_fewer):
         raise ValueError(f"{folds} folds need as many groups in each stratum; the smallest has {smallest}")
     dealt = ranks.select(*strata, group, F.pmod("group_rank", F.lit(k)).alias("fold"))
-    return df.join(dealt, [*strata, group])
+    return df.join(joinable(dealt), [*strata, group])
 
 
 def leave_one_group_out(df: DataFrame, *, group: str = "match_id") -> DataFrame:
