@@ -14,6 +14,7 @@ from touchline.operators import metrics as M
 from touchline.operators import models as ML
 from touchline.operators import shift as X
 from touchline.operators import trajectory as T
+from touchline.operators.sampling import group_folds
 
 
 def walk(spark, step):
@@ -252,3 +253,28 @@ def test_perceptron_kind_learns(spark):
     df = spark.createDataFrame(data, "a double, b double, side string")
     out = ML.fit_classifier(df, ["a", "b"], "side", kind="mlp", maxIter=60, hidden=(6,)).predict(df)
     assert out.filter("side = y_pred").count() > 280
+
+
+def test_class_weights_and_folds_are_joined_without_moving_rows(spark):
+    df = spark.range(4000).select(
+        (F.col("id") % 2).alias("source"), (F.col("id") % 14).alias("match_id"), F.col("id").cast("double").alias("x")
+    )
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    # Rows of any number would do: what is small is marked, not guessed from sizes.
+    spark.conf.set(threshold, "-1")
+    try:
+        weighted, classes = ML.balanced_weights(df, "source")
+        dealt = group_folds(df, folds=2)
+        for joined in (weighted, dealt):
+            assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert classes == (0, 1) and weighted.agg(F.sum("_weight")).first()[0] == pytest.approx(4000)
+    assert dealt.count() == 4000 and dealt.groupBy("match_id").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+def test_ks_borders_are_written_before_values_are_placed(spark):
+    df = spark.range(600).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.col("id").cast("double").alias("x"))
+    plan = X.ks_per_feature(df, ["x"], "a", "b")._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan

@@ -39,7 +39,8 @@ def balanced_weights(train: DataFrame, label: str, name: str = "_weight") -> tup
     table = train.sparkSession.createDataFrame(
         [(r[label], total / (k * r["_n"])) for r in sizes], f"{label} {train.schema[label].dataType.simpleString()}, {name} double"
     )
-    return train.join(table, label), tuple(sorted(r[label] for r in sizes))
+    # A row per class, which the driver holds anyway; a shuffle would put a class into one task.
+    return train.join(F.broadcast(table), label), tuple(sorted(r[label] for r in sizes))
 
 
 def _classifier(kind: str, seed: int, classes: int, width: int, **params):
