@@ -16,7 +16,7 @@ from touchline import constants as K
 from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sampling import balanced_sample, draw
 from touchline.operators.series import running_totals
-from touchline.session import materialise
+from touchline.session import joinable, materialise
 
 
 def numeric_features(df: DataFrame, exclude: Sequence[str] = ("source", "match_id")) -> list[str]:
@@ -82,7 +82,7 @@ def ks_per_feature(
     shares = F.array(*[F.lit(k / chunks) for k in range(1, chunks)])
     borders = counts.groupBy("feature").agg(F.percentile_approx("value", shares, 20 * chunks).alias("_borders"))
     place = F.size(F.filter("_borders", lambda border: border <= F.col("value"))).cast("long")
-    placed = counts.join(borders, "feature").withColumn("_bucket", place).drop("_borders")
+    placed = counts.join(joinable(borders), "feature").withColumn("_bucket", place).drop("_borders")
     run = running_totals(
         placed, ["feature"], "value", {"ca": F.col("a"), "cb": F.col("b")},
         group_totals={"na": F.col("a"), "nb": F.col("b")}, chunk=F.col("_bucket"),
