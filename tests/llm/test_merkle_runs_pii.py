@@ -259,3 +259,16 @@ def test_terms_that_disclose_an_entity(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.scan(documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_contexts_go_on_past_matches_that_are_dropped(spark):
+    far = "x" * 130
+    text = f"Anna of 12 and 34 pays by 4111 1111 1111 1111 for 56 to Zoe {far} no"
+    # 999.1.1.1 is no address, so words before it are within the context of the one that is.
+    rows = [(1, text), (2, "Otto 999.1.1.1 at 10.0.0.1, 10.0.0.2 Ida")]
+    found = {
+        r["doc_id"]: r["found"]
+        for r in pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    assert [f["context"] for f in found[1] if f["kind"] == "card"] == ["Anna of 12 and 34 pays by   for 56 to Zoe "]
+    assert [f["context"] for f in found[2] if f["kind"] == "ip"] == ["Otto 999.1.1.1 at  , ", ",   Ida"]
