@@ -198,3 +198,25 @@ def test_training_on_nothing(spark):
     out = class_lm.score(documents(spark, [(1, "a b", "en", "s", 0), (2, None, None, None, None)]), model).collect()
     assert [(r["n_tokens"], r["n_known"], r["base_score"]) for r in sorted(out)] == [(3, 0, 0.0), (1, 0, 0.0)]
     assert class_lm.score(documents(spark, []), model).count() == 0
+
+
+def test_sweeps_over_rare_words_keep_no_news_of_older_ones(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(n)}" for n in rng.zipf(1.3, 60) % 900) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, likelihood = [], class_lm.likelihood
+
+    def counting(pairs):
+        found.append(sum(row.tableName.startswith("rare_") for row in spark.sql("SHOW TABLES").collect()))
+        return likelihood(pairs)
+
+    monkeypatch.setattr(class_lm, "likelihood", counting)
+    written, materialise = [], class_lm.materialise
+    monkeypatch.setattr(class_lm, "materialise", lambda df: written.append(df) or materialise(df))
+    class_lm.train(docs, frequent_words=40, classes=6, seed_words=20)
+    sweeps = [count for count in found if count]
+    # The words themselves, the news of this sweep, of the one before and of the best one.
+    assert len(sweeps) > 4 and max(sweeps) <= 4
+    # The vocabulary, the bigrams and the classes found are written as tables of the run, no sweep is.
+    assert len(written) == 3
+    assert not [row for row in spark.sql("SHOW TABLES").collect() if row.tableName.startswith("rare_")]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import bound_batches, free_name, slices, word_lists
+from touchline.llm.common import bound_batches, free_name, releasing, slices, word_lists
 from touchline.session import materialise, remove, scratch_path, scratch_tables
 
 BATCH_BYTES = 4 << 20
@@ -47,9 +47,11 @@ SMOOTHING = 0.1
 LEAST_RISE = 1e-4
 SHAPES = 32
 _DISTINCT_AT_ONCE = 200_000
-_NEIGHBOURS_AT_ONCE = 2_000_000
-_RARE_AT_ONCE = 500_000
-_GAINS_AT_ONCE = 20_000
+_NEIGHBOURS_AT_ONCE = 1_000_000
+_RARE_AT_ONCE = 250_000
+_GAINS_AT_ONCE = 10_000
+#: Gains of words with up to so many cells are added up side by side.
+_FEW_CELLS = 48
 
 
 _DIGITS = b"0123456789"
@@ -197,6 +199,11 @@ def exchange(counts: np.ndarray, words: int, classes: int = CLASSES) -> np.ndarr
     return own
 
 
+def _task(run, *given):
+    """``run`` for mapInArrow; the worker is used again and gives back the memory of its batches."""
+    return releasing(partial(run, *given), lambda: None)
+
+
 def _raw(values: np.ndarray, kind: str) -> bytes:
     """Bytes of numbers, all lowest ones first: the upper ones are mostly zero and compress well."""
     return np.ascontiguousarray(values).astype(kind).view("u1").reshape(-1, np.dtype(kind).itemsize).T.tobytes()
@@ -242,9 +249,9 @@ class Bigrams:
         self.shapes = np.array([shape(word) for word in frequent] + list(range(SHAPES)), np.int64)
         buckets = max(8, min(tokens // _NEIGHBOURS_AT_ONCE, words, 32_000))
         bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-        found = bodies.mapInArrow(partial(_count_bigrams, frequent, buckets), _LINKS_AS)
+        found = bodies.mapInArrow(_task(_count_bigrams, frequent, buckets), _LINKS_AS)
         dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        self.table = materialise(dealt.mapInArrow(_merge_bigrams, _LINKS_AS))
+        self.table = materialise(dealt.mapInArrow(_task(_merge_bigrams), _LINKS_AS))
 
     def pairs(self, class_of: np.ndarray, groups: int, unseen: int | None = None, rare: bool = True) -> np.ndarray:
         """Counts of successive classes; ``class_of`` has those of all codes.
@@ -252,7 +259,7 @@ class Bigrams:
         With ``unseen``, the first shape's class, words found once count a second time as their shape.
         Without ``rare``, bigrams with a word that does not travel are left out.
         """
-        run = partial(_class_pairs, self.words, class_of, groups, self.shapes, unseen, rare)
+        run = _task(_class_pairs, self.words, class_of, groups, self.shapes, unseen, rare)
         cells = self.table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(groups * groups)
         counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
@@ -280,7 +287,7 @@ class Bigrams:
                 idle += 1
             if idle >= 2:
                 return best
-            run = partial(_move_words, placed, sweep, class_of, own, pairs, classes)
+            run = _task(_move_words, placed, sweep, class_of, own, pairs, classes)
             moved = self.table.filter(F.col("bucket") >= 0).mapInArrow(run, "words binary, classes binary").collect()
             for row in moved:
                 own[_flat(row["words"], "<u4")] = _flat(row["classes"], "<u2")
@@ -379,7 +386,8 @@ def _class_pairs(words, class_of, groups, shapes, unseen, rare, batches) -> Iter
             heads, runs, others, n = _pieces(batch, row, **_KINDS)
             word, side = np.repeat(heads >> 1, runs), np.repeat(heads & 1, runs)
             behind = side == 0
-            times = np.bincount(word[behind], n[behind], int(word.max()) + 1) if len(word) else n
+            if unseen is not None and len(word):
+                times = np.bincount(word[behind], n[behind], int(word.max()) + 1)
             if not rare:
                 kept = ((word < words) | (word == words + SHAPES)) & ((others < words) | (others == words + SHAPES))
                 word, side, others, n = word[kept], side[kept], others[kept], n[kept]
@@ -427,12 +435,30 @@ class _Moves:
             # Few cells and counts differ, so the logarithms are taken once for each kind.
             wide = int(counts.max()) + 1
             kinds, kind = np.unique(cells * wide + counts.astype(np.int64), return_inverse=True)
-            step = (_xlogx(self.beside[kinds // wide] + (kinds % wide)[:, None]) - self.logs[kinds // wide])[kind]
+            steps = _xlogx(self.beside[kinds // wide] + (kinds % wide)[:, None]) - self.logs[kinds // wide]
             at = np.flatnonzero(own[number] >= 0)
             held = self.beside[cells[at], own[number[at]]]
-            step[at, own[number[at]]] = _xlogx(held) - _xlogx(held - counts[at])
-            filled = np.flatnonzero(np.diff(offsets))
-            gain[filled] = np.add.reduceat(step, offsets[:-1][filled], axis=0)
+            staying = np.zeros(len(cells))
+            staying[at] = _xlogx(held) - _xlogx(held - counts[at])
+
+            def step(chosen: np.ndarray) -> np.ndarray:
+                out, of = steps[kind[chosen]], own[number[chosen]]
+                placed = np.flatnonzero(of >= 0)
+                out[placed, of[placed]] = staying[chosen[placed]]
+                return out
+
+            lengths = np.diff(offsets)
+            # Most words have few cells: the first cells of all of them are added, then the second ones.
+            left = np.flatnonzero((lengths > 0) & (lengths <= _FEW_CELLS))
+            place = 0
+            while len(left):
+                gain[left] += step(offsets[left] + place)
+                place += 1
+                left = left[lengths[left] > place]
+            many = np.flatnonzero(lengths > _FEW_CELLS)
+            if len(many):
+                chosen = np.flatnonzero(lengths[number] > _FEW_CELLS)
+                gain[many] = np.add.reduceat(step(chosen), np.cumsum(lengths[many]) - lengths[many], axis=0)
         for totals, chosen in zip(self.totals, (cells < self.groups, cells >= self.groups)):
             added = np.bincount(number[chosen], counts[chosen], len(own))
             sizes, size = np.unique(added, return_inverse=True)
@@ -505,6 +531,8 @@ _RARE = {
     "words": "<i8", "shapes": "<u1", "cell_of": "<u4", "cells": "<u2", "cell_n": "<u4",
     "link_of": "<u4", "link_to": "<i8", "link_side": "<u1", "link_n": "<u4",
 }
+#: What every pass over the buckets reads, and what only those read that move words.
+_CELLS, _LINKED = ("words", "cell_of", "cells", "cell_n"), ("link_of", "link_to", "link_side", "link_n")
 _RARE_SCHEMA = pa.schema([("bucket", pa.int32())] + [(name, pa.binary()) for name in _RARE])
 _RARE_AS = "bucket int, " + ", ".join(f"{name} binary" for name in _RARE)
 _NEWS = {"words": "<i8", "cells": "<u2", "counts": "<u4"}
@@ -532,8 +560,9 @@ def _rare_row(bucket: int, hashes, shapes, cell, link) -> tuple:
     words, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     key, n = _summed([back[cell[0]] << 16 | cell[1]], cell[2])
     cell = (key >> 16, key & 0xFFFF, n)
-    link = _summed([back[link[0]], link[2], link[1]], link[3])
-    parts = (words, shapes[first], *cell, link[0], link[2], link[1], link[3])
+    # Links are ordered by the word that they lead to, as news of them will be.
+    link = _summed([link[1], back[link[0]], link[2]], link[3])
+    parts = (words, shapes[first], *cell, link[1], link[0], link[2], link[3])
     return (bucket, *(_raw(part, kind) for part, kind in zip(parts, _RARE.values())))
 
 
@@ -618,28 +647,32 @@ def _merge_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def _entries(batch: pa.RecordBatch, row: int, groups: int):
-    """Words of a bucket, shapes, classes (-1: none yet), neighbours by word and cell with the news, links."""
-    words, shapes, cell_of, cells, cell_n, *links = _pieces(batch, row, **_RARE)
-    own, parts = np.full(len(words), -1), []
+def _entries(batch: pa.RecordBatch, row: int):
+    """Words of a bucket, classes (-1: none yet), neighbours by word and cell with the news, how many of these stay, words moved."""
+    words, cell_of, cells, cell_n = _pieces(batch, row, **{name: _RARE[name] for name in _CELLS})
+    own, parts, moved = np.full(len(words), -1), [], 0
     for news in batch.column("news")[row].as_py() or []:
         if news["own"] is not None:
-            own = _flat(news["own"], "<u2")
+            own, moved = _flat(news["own"], "<u2"), news["moved"]
         else:
             to, cell, n = (_flat(news[name], kind) for name, kind in _NEWS.items())
             parts.append((np.searchsorted(words, to), cell, n))
     static = len(cells)
     if parts:
         cell_of, cells, cell_n = (np.concatenate([a, *b]) for a, b in zip((cell_of, cells, cell_n), zip(*parts)))
-    return words, shapes, own, cell_of, cells, cell_n, static, links
+    return words, own, cell_of, cells, cell_n, static, moved
 
 
 def _rare_pairs(groups: int, unseen: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of classes with a rare word, counted once; with ``unseen`` what words found once add as their shape."""
-    total = np.zeros(groups * groups)
+    """Bigrams of classes with a rare word, counted once; with ``unseen`` what words found once add as their shape.
+
+    The cell behind the last one counts the words that the last sweep has moved.
+    """
+    total = np.zeros(groups * groups + 1)
     for batch in batches:
         for row in range(batch.num_rows):
-            words, shapes, own, of, cells, n, static, _ = _entries(batch, row, groups)
+            words, own, of, cells, n, static, moved = _entries(batch, row)
+            total[-1] += moved
             behind = cells < groups
             before = ~behind & (np.arange(len(cells)) < static)
             beside = cells % groups
@@ -648,7 +681,7 @@ def _rare_pairs(groups: int, unseen: int | None, batches: Iterator[pa.RecordBatc
             else:
                 once = np.bincount(of[behind], n[behind], len(words)) == 1
                 behind, before = behind & once[of], ~behind & once[of]
-                mine = unseen + shapes[of]
+                mine = unseen + _pieces(batch, row, shapes=_RARE["shapes"])[0][of]
             for chosen, key in ((behind, mine * groups + beside), (before, beside * groups + mine)):
                 total += np.bincount(key[chosen], n[chosen], len(total))
     cells = np.flatnonzero(total)
@@ -660,7 +693,8 @@ def _move_rare(pairs, classes, sweep, buckets, batches) -> Iterator[pa.RecordBat
     moves, groups = _Moves(pairs, classes), len(pairs)
     for batch in batches:
         for row in range(batch.num_rows):
-            words, _, own, of, cells, n, _, (link_of, link_to, link_side, link_n) = _entries(batch, row, groups)
+            words, own, of, cells, n, *_ = _entries(batch, row)
+            link_of, link_to, link_side, link_n = _pieces(batch, row, **{name: _RARE[name] for name in _LINKED})
             chosen = np.flatnonzero(_turn(words, sweep))
             place = np.full(len(words), -1)
             place[chosen] = np.arange(len(chosen))
@@ -674,11 +708,15 @@ def _move_rare(pairs, classes, sweep, buckets, batches) -> Iterator[pa.RecordBat
             new[lost] = words[lost] % classes
             rows = [(batch.column("bucket")[row].as_py(), None, None, None, _raw(new, "<u2"), int((new != own).sum()))]
             # What stands behind a word has the word before it.
-            bucket, to, cell, counts = _summed(
-                [_bucket_of(link_to, buckets), link_to, new[link_of] + groups * (1 - link_side)], link_n
-            )
-            for at in np.unique(bucket):
-                part = slice(*np.searchsorted(bucket, [at, at + 1]))
+            linked, at = np.unique(link_to, return_index=True)
+            number = np.repeat(np.arange(len(linked)), np.diff(at, append=len(link_to)))
+            key, counts = _summed([number * (2 * groups) + new[link_of] + groups * (1 - link_side)], link_n)
+            to, cell = linked[key // (2 * groups)], key % (2 * groups)
+            bucket = _bucket_of(to, buckets)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for at in np.flatnonzero(np.diff(ends)):
+                part = order[ends[at] : ends[at + 1]]
                 rows.append((int(at), *(_raw(a[part], k) for a, k in zip((to, cell, counts), _NEWS.values())), None, 0))
             yield _rows(_NEWS_SCHEMA, rows)
 
@@ -686,7 +724,7 @@ def _move_rare(pairs, classes, sweep, buckets, batches) -> Iterator[pa.RecordBat
 def _placed_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
-            words, _, own, *_ = _entries(batch, row, 1)
+            words, own, *_ = _entries(batch, row)
             for at in range(0, len(words), 50_000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words[at : at + 50_000]), pa.array(own[at : at + 50_000].astype(np.int32))], ["word", "class"]
@@ -706,44 +744,63 @@ def exchange_rare(
     spark, groups = docs.sparkSession, len(pairs)
     buckets = max(8, tokens // _RARE_AT_ONCE)
     bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    found = bodies.mapInArrow(partial(_count_rare, frequent, own, groups, buckets), _RARE_AS)
-    dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_rare, _RARE_AS)
-    name, path = f"rare_{uuid.uuid4().hex}", scratch_path(spark, "rare")
-    dealt.write.bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
-    state = spark.table(name)
-
-    def joined(news: DataFrame | None) -> DataFrame:
+    found = bodies.mapInArrow(_task(_count_rare, frequent, own, groups, buckets), _RARE_AS)
+    dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_task(_merge_rare), _RARE_AS)
+    kept: list[tuple[str, str]] = []
+
+    def stored(df: DataFrame) -> str:
+        """Write a table by bucket; the passes join such tables where they lie."""
+        name, path = f"rare_{uuid.uuid4().hex}", scratch_path(spark, "rare")
+        df.write.bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
+        kept.append((name, path))
+        return name
+
+    def forget(*names: str | None) -> None:
+        """Remove all tables but these."""
+        for name, path in [table for table in kept if table[0] not in names]:
+            spark.sql(f"DROP TABLE {name}")
+            remove(spark, path)
+            kept.remove((name, path))
+
+    state = stored(dealt)
+
+    def joined(news: str | None, *columns: str) -> DataFrame:
+        rows = spark.table(state).select("bucket", *columns)
         if news is None:
-            return state.withColumn("news", F.lit(None).cast(_NEWS_LIST))
-        box = news.repartition(buckets, "bucket").groupBy("bucket").agg(
+            return rows.withColumn("news", F.lit(None).cast(_NEWS_LIST))
+        box = spark.table(news).groupBy("bucket").agg(
             F.collect_list(F.struct("words", "cells", "counts", "own", "moved")).alias("news")
         )
-        return state.join(box, "bucket", "left")
-
-    def counted(news: DataFrame, unseen: int | None = None) -> np.ndarray:
-        run = partial(_rare_pairs, groups, unseen)
-        total = np.zeros(groups * groups)
-        for row in joined(news).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        return rows.join(box, "bucket", "left")
+
+    def counted(news: str, unseen: int | None = None) -> tuple[np.ndarray, int]:
+        """Counts of class bigrams with a rare word, and how many words have moved."""
+        run = _task(_rare_pairs, groups, unseen)
+        total = np.zeros(groups * groups + 1)
+        columns = _CELLS if unseen is None else (*_CELLS, "shapes")
+        for row in joined(news, *columns).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             total[row["cell"]] = row["n"]
-        return total.reshape(groups, groups)
+        return total[:-1].reshape(groups, groups), int(total[-1])
 
     now, news, sweep, idle = pairs, None, 0, 0
     best: tuple = (-math.inf, None, pairs)
     while idle < 2:
-        news = materialise(joined(news).mapInArrow(partial(_move_rare, now, classes, sweep, buckets), _NEWS_AS))
-        still = sweep > 0 and not news.agg(F.sum("moved")).first()[0]
-        now = pairs + counted(news)
+        run = _task(_move_rare, now, classes, sweep, buckets)
+        news = stored(joined(news, *_CELLS, *_LINKED).mapInArrow(run, _NEWS_AS).repartition(buckets, "bucket"))
+        added, moved = counted(news)
+        now = pairs + added
+        still = sweep > 0 and not moved
         reached = likelihood(now)
         if reached > best[0]:
             idle = idle + 1 if reached - best[0] < LEAST_RISE * now.sum() or still else 0
             best = (reached, news, now)
         else:
             idle += 1
+        forget(state, news, best[1])
         sweep += 1
-    placed = materialise(joined(best[1]).mapInArrow(_placed_rare, "word long, class int"))
-    whole = best[2] + counted(best[1], unseen=classes)
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
+    placed = materialise(joined(best[1], *_CELLS).mapInArrow(_task(_placed_rare), "word long, class int"))
+    whole = best[2] + counted(best[1], unseen=classes)[0]
+    forget()
     return placed, whole
 
 
