@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,8 @@ from touchline.operators import metrics as M
 from touchline.operators import sampling as O
 from touchline.plans import design as D
 from touchline.plans import experiments as G
+from touchline.plans.catalog import learning
+from touchline.plans.standin import Tables
 
 KEY = ("id",)
 
@@ -99,3 +103,18 @@ def test_gains_of_merging_have_the_sign_of_an_improvement(spark):
     assert got[1, "A"] == (3.0, 0.25) and got[1, "B"] == (1.0, pytest.approx(0.05)) and got[2, "A"] == (-1.0, None) and len(got) == 3
     summary = {r.source_regime: r for r in M.merged_summary(df, ["seed"], [], ["mae"], ("A", "B"), lower_is_better=("mae",)).collect()}
     assert summary["A"].delta_mae_mean == 1.0 and summary["A"].n_pairs == 2 and summary["B"].delta_mae_ci95 == 0.0
+
+
+def test_digests_of_training_sets_are_read_in_order(spark):
+    names = ("cell", "n")
+    rows = [(f"c{i % 3}", i % 2, f"{i * 7919 % 1009}:é") for i in range(1000)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.cell, r.n): r.rows_md5 for r in learning._digests(spark.createDataFrame(rows, "cell string, n int, k string"), names).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    cells = {row[:2] for row in rows}
+    assert got == {c: hashlib.md5(",".join(sorted(k for *cell, k in rows if tuple(cell) == c)).encode()).hexdigest() for c in cells}
+    plan = learning.grid_design(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan

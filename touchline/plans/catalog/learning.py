@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from touchline.operators import models as ML
 from touchline.operators import sampling as O
@@ -136,15 +141,35 @@ from judged j left join taken t on t.seed = j.seed and t.target_source = j.targe
 """
 
 
+def _digests(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """md5 of each group's ``k``, sorted and joined by commas: a task reads them in order and holds a batch of them."""
+    names = list(groups)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, digest = None, hashlib.md5()
+        for pdf in batches:
+            for found, part in pdf.groupby(names, sort=False):
+                text = ",".join(part["k"]).encode()
+                if found == group:
+                    digest.update(b"," + text)
+                    continue
+                if group is not None:
+                    yield pd.DataFrame([(*group, digest.hexdigest())], columns=[*names, "rows_md5"])
+                group, digest = found, hashlib.md5(text)
+        if group is not None:
+            yield pd.DataFrame([(*group, digest.hexdigest())], columns=[*names, "rows_md5"])
+
+    ordered = rows.repartition(*names).sortWithinPartitions(*names, "k")
+    return ordered.mapInPandas(run, T_.StructType([*(rows.schema[name] for name in names), T_.StructField("rows_md5", T_.StringType())]))
+
+
 @query("grid_design", "drift_v", _DESIGN_SQL)
 def grid_design(t: Tables) -> DataFrame:
     """Cells of an augmentation grid: status, rows, and a digest of the training rows' keys."""
     task = _task(t)
     spark = task.df.sparkSession
     design = G.augmentation_design(task, (100, 751, 100_000_000), seeds=(42, 7))
-    # A training set has as many keys as its size says.
-    keys = F.sort_array(F.collect_list(F.concat_ws(":", *KEY)))
-    taken = design.memberships(spark, KEY).groupBy(*G.D.CELL).agg(F.md5(F.array_join(keys, ",")).alias("rows_md5"))
+    taken = _digests(design.memberships(spark, KEY).select(*G.D.CELL, F.concat_ws(":", *KEY).alias("k")), G.D.CELL)
     return design.table(spark).join(taken, G.D.CELL, "left").select(
         "seed", "fold_id", "target_source", "regime", "train_size", "status", "n_train", F.coalesce("rows_md5", F.lit("")).alias("rows_md5")
     )
