@@ -8,6 +8,7 @@ from feeds import json_feed, xml_feed
 from pyspark.sql import functions as F
 from test_feeds import add_match, add_xml_match
 
+from touchline.operators import shift as X
 from touchline.plans import evaluation
 from touchline.plans import experiments as G
 from touchline.plans import harmonise
@@ -103,3 +104,22 @@ def test_a_finished_run_is_evaluated_from_its_tables(spark, tmp_path):
     scores = sections["intensity_ls_augmentation"].collect()
     assert {r.target for r in scores} == {"distance_per_minute_m", "hsr_per_minute_m", "mean_speed_kmh"}
     assert {r.train_size for r in scores} == {2} and len({r.target_source for r in scores}) == 2
+
+
+def test_views_of_the_same_rows_measure_their_features_once(spark, monkeypatch):
+    df = spark.range(400).select(
+        "id", F.concat(F.lit("m"), F.col("id") % 3).alias("match_id"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("source"),
+        (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 23 + F.col("id") % 2).cast("double").alias("y"),
+    )
+    described = {name: V.View((), None, ("id",), own) for name, own in (("player_tracking", ("x", "y")), ("player_tracking_core", ("y",)))}
+    measured, explode = [], X._long
+    monkeypatch.setattr(X, "_long", lambda rows, features, carry: measured.append(tuple(features)) or explode(rows, features, carry))
+    settings = {"sources": ("A", "B"), "permutations": 0, "components": 4, "classifier": False}
+    both = G.shift_report({name: df for name in described}, described=described, **settings)
+    # Once for the tests, once for the shifts.
+    assert measured == [("x", "y")] * 2
+    alone = G.evaluate_view("player_tracking_core", df, key=("id",), features=("y",), **settings)
+    for section in ("ks", "location_scale", "summary"):
+        shared = both[section].filter("name = 'player_tracking_core'")
+        (got,), (want,) = shared.collect(), alone[section].select(*shared.columns).collect()
+        assert tuple(got) == pytest.approx(tuple(want), nan_ok=True)

@@ -70,11 +70,12 @@ def ks_per_feature(
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and p-values per feature.
 
-    Equal values are counted before the shuffle; the cumulative counts then run over
+    Equal values are counted before the shuffle and the counts are written, as the borders, the sums of
+    chunks and the sums inside them all read them; the cumulative counts then run over
     chunks with about equally many distinct values each, whatever the values' spread.
     """
     is_a, is_b = F.col(source) == source_a, F.col(source) == source_b
-    counts = (
+    counts = materialise(
         _long(df.filter(is_a | is_b), features, [source])
         .groupBy("feature", "value")
         .agg(F.count_if(is_a).alias("a"), F.count_if(is_b).alias("b"))
@@ -92,9 +93,11 @@ def ks_per_feature(
         F.max(gap).alias("ks_stat"), F.max("na").alias("n_a"), F.max("nb").alias("n_b")
     )
     p = kolmogorov_p(F.col("ks_stat"), F.col("n_a"), F.col("n_b"))
-    return out.withColumn("p_value", p).withColumn(
-        "p_value_bonferroni", F.least(F.col("p_value") * len(features), F.lit(1.0))
-    )
+    return bonferroni(out.withColumn("p_value", p), len(features))
+
+
+def bonferroni(df: DataFrame, tests: int) -> DataFrame:
+    return df.withColumn("p_value_bonferroni", F.least(F.col("p_value") * tests, F.lit(1.0)))
 
 
 def location_scale(
@@ -259,7 +262,11 @@ def mmd(
         for i, c in enumerate(features)
     ]
     number = F.conv(F.substring(draw(seed + 1, *key), 1, 15), 16, 10).cast("long")
-    table = rows.select((F.col(source) == source_a).alias("is_a"), number.alias("draw"), F.array(*z).alias("z"))
+    names = [f"z{i}" for i in range(len(z))]
+    table = rows.select(
+        (F.col(source) == source_a).alias("is_a"), (number if permutations else F.lit(0).cast("long")).alias("draw"),
+        *[value.alias(name) for name, value in zip(names, z)],
+    )
     if permutations:
         table = materialise(table)
     cuts = permutation_cuts(table, n, permutations, seed) if permutations else np.zeros(0, np.uint64)
@@ -268,7 +275,7 @@ def mmd(
         held = np.zeros((permutations + 1, 4, components))
         counts = np.zeros((permutations + 1, 2), np.int64)
         for pdf in batches:
-            phase = np.stack(pdf["z"].to_numpy()) @ waves.T
+            phase = np.ascontiguousarray(pdf[names].to_numpy()) @ waves.T
             waved = np.concatenate([np.cos(phase), np.sin(phase)], axis=1)
             first = pdf["is_a"].to_numpy(bool)[:, None]
             drawn = _mixed(pdf["draw"].to_numpy(np.uint64), permutations, seed) <= cuts

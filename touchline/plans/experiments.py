@@ -278,25 +278,45 @@ def headline(linear: DataFrame, forest: DataFrame, *, compare: Sequence[str] = (
     return out
 
 
+@dataclass(frozen=True)
+class Measured:
+    """Prepared rows, and the tests and shifts of single features; views of the same rows share them."""
+
+    rows: DataFrame
+    ks: DataFrame
+    moved: DataFrame
+
+
+def measure_features(
+    df: DataFrame, features: Sequence[str], *, sources: tuple[str, str], key: Sequence[str], per_source: int | None, seed: int
+) -> Measured:
+    # What is filled in comes from the driver; the rows below are written.
+    rows = X.prepare(df, features, key=("match_id", *key), per_source=per_source, seed=seed)
+    ks = X.ks_per_feature(rows, features, *sources)
+    return Measured(rows, materialise(ks), materialise(X.location_scale(rows, features, *sources)))
+
+
 def evaluate_view(
     name: str, df: DataFrame, *, sources: tuple[str, str] = (K.SOURCE_XML, K.SOURCE_JSON), key: Sequence[str],
     features: Sequence[str] | None = None, per_source: int | None = None, permutations: int = 100, components: int = 128,
-    classifier: bool = True, folds: int = 5, seed: int = K.SEED, **params,
+    classifier: bool = True, folds: int = 5, seed: int = K.SEED, measured: Measured | None = None, **params,
 ) -> dict[str, DataFrame]:
     """Kernel test, source classifier, per-feature tests and shifts of one feature view.
 
-    Without ``classifier`` no source classifier is fitted. A view with less than two rows of a source
+    ``measured`` has these rows and, among others, these features. Without ``classifier`` no source classifier is fitted. A view with less than two rows of a source
     has the section ``skipped`` only, with the numbers of rows.
     """
     features = list(features or X.numeric_features(df, ("source", "match_id", *key)))
-    rows = materialise(X.prepare(df, features, key=("match_id", *key), per_source=per_source, seed=seed))
+    if measured is None:
+        measured = measure_features(df, features, sources=sources, key=key, per_source=per_source, seed=seed)
+    rows = measured.rows
     one = F.lit(name).alias("name")
     sizes = rows.agg(*[F.count_if(F.col("source") == source).alias(side) for side, source in zip(("n_source", "n_target"), sources)])
     if min(sizes.first()) < 2:
         return {"skipped": sizes.select(one, "*")}
     kernel = X.mmd(rows, features, *sources, key=("match_id", *key), permutations=permutations, components=components, seed=seed)
-    ks = materialise(X.ks_per_feature(rows, features, *sources))
-    moved = materialise(X.location_scale(rows, features, *sources))
+    ks = X.bonferroni(measured.ks.filter(F.col("feature").isin(*features)), len(features))
+    moved = measured.moved.filter(F.col("feature").isin(*features))
     significant = ks.agg(F.count_if(F.col("p_value_bonferroni") < 0.05).alias("n_ks_significant"), F.avg("ks_stat").alias("ks_mean"))
     shifted = moved.agg(F.avg(F.abs("gamma_pooled_sd")).alias("shift_mean"))
     # Tables of one row side by side.
@@ -324,14 +344,29 @@ def shift_report(
     ``described`` gives the key and the features of each view; else ``settings`` name the key of all.
     """
 
-    def one(name: str) -> dict[str, DataFrame]:
-        own = dict(settings)
+    own = {name: dict(settings) for name in views}
+    alike: dict[tuple, list[str]] = {}
+    for name, df in views.items():
         if described:
-            own |= {"key": described[name].key, "features": described[name].features_of(views[name])}
-        return evaluate_view(name, views[name], **own)
+            own[name] |= {"key": described[name].key, "features": described[name].features_of(df)}
+        if not own[name].get("features"):
+            own[name]["features"] = X.numeric_features(df, ("source", "match_id", *own[name]["key"]))
+        alike.setdefault((id(df), tuple(own[name]["key"])), []).append(name)
+
+    def several(names: list[str]) -> dict[str, dict[str, DataFrame]]:
+        """Views of the same rows: each feature is measured once."""
+        first = own[names[0]]
+        given = {
+            "sources": first.get("sources", (K.SOURCE_XML, K.SOURCE_JSON)), "key": first["key"],
+            "per_source": first.get("per_source"), "seed": first.get("seed", K.SEED),
+        }
+        features = list(dict.fromkeys(c for name in names for c in own[name]["features"]))
+        measured = measure_features(views[names[0]], features, **given)
+        return {name: evaluate_view(name, views[name], **own[name], measured=measured) for name in names}
 
+    found = {name: part for group in D.in_parallel(several, alike.values()) for name, part in group.items()}
     sections: dict[str, DataFrame] = {}
-    for evaluated in D.in_parallel(one, views):
+    for evaluated in (found[name] for name in views):
         for section, part in evaluated.items():
             sections[section] = part if section not in sections else sections[section].unionByName(part)
     if "summary" not in sections:
