@@ -14,15 +14,17 @@ their shape, so that bigrams with unseen words are learnt. A text's probability
 transitions and of each word within its class, both smoothed; an unseen word has the probability of
 its whole shape.
 
-Counts and classes of frequent words travel with the tasks (their number is bounded); those of all
-others reach the texts by a join on the word.
+Texts are cut into words once, and written as chunks of numbered words that all passes read. Counts
+and classes of frequent words travel with the tasks (their number is bounded); those of all others
+reach the chunks by a join on the word.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -30,7 +32,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,29 +67,131 @@ def shape(word: bytes) -> int:
     return size * 8 + ended * 4 + (not word.isascii()) * 2 + (len(word.translate(None, _DIGITS)) < length)
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) of all lower-cased words; each task adds up its own before the shuffle."""
+# --- texts as numbers --------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-            )
-            counts.clear()
-            return batch
-
-        for batch in slices(batches, "body", BATCH_BYTES):
-            for body in batch.column("body").to_pylist():
-                for words in word_lists(body.lower()):
-                    counts.update(words)
-            if len(counts) > _DISTINCT_AT_ONCE:
+@dataclass(frozen=True)
+class Encoded:
+    """Texts in chunks, each with its distinct words and for each token the place of its word among them.
+
+    All passes over the corpus read these rows, so a text is cut into words once. ``rows`` of a chunk has the
+    other columns of its texts, ``sizes`` their numbers of words, ``learn`` whether they are learnt from.
+    """
+
+    chunks: DataFrame
+    columns: list[T.StructField]
+    path: str
+
+
+_CHUNK = {"shapes": "<u1", "sizes": "<u4", "learn": "<u1", "ids": "<u4"}
+_LEARNT = ("words", "shapes", "sizes", "learn", "ids")
+
+
+def encode(docs: DataFrame, text: str = "text", learn: Column | None = None) -> Encoded:
+    """Cut all texts into lower-cased words, once; rows where ``learn`` is not true are only scored, never learnt from."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    body = free_name(docs, "chunk_body")
+    learnt = free_name(docs, "chunk_learn")
+    columns = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text]
+    if not columns:
+        # A struct needs a field.
+        docs = docs.withColumn(free := free_name(docs, "chunk_row"), F.lit(0))
+        columns = [T.StructField(free, T.IntegerType())]
+    names = [f.name for f in columns]
+    df = docs.select(
+        *(F.col(f"`{name}`") for name in names), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(body),
+        F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)).alias(learnt),
+    )
+    kinds = [T.StructField("rows", T.ArrayType(T.StructType(columns)))]
+    kinds += [T.StructField(name, T.BinaryType()) for name in ("words", *_CHUNK)] + [T.StructField("learning", T.LongType())]
+    found = df.mapInArrow(_task(_encode, names, body, learnt), T.StructType(kinds))
+    path = scratch_path(spark, "encoded")
+    found.withColumn("chunk", F.monotonically_increasing_id()).write.parquet(path)
+    return Encoded(spark.read.parquet(path), columns, path)
+
+
+def _encode(names, body, learnt, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers: defaultdict = defaultdict(itertools.count().__next__)
+    parts: list[pa.RecordBatch] = []
+    learn: list[bool] = []
+    sizes: list[int] = []
+    ids: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal numbers, held
+        rows = pa.Table.from_batches(parts).combine_chunks().to_struct_array().combine_chunks()
+        packed = (
+            [shape(word) for word in numbers], sizes, learn, np.concatenate(ids) if ids else np.empty(0, np.int64)
+        )
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([b" ".join(numbers)], pa.binary())]
+        columns += [pa.array([_raw(np.asarray(part, np.int64), kind)], pa.binary()) for part, kind in zip(packed, _CHUNK.values())]
+        columns.append(pa.array([sum(learn)], pa.int64()))
+        numbers, held = defaultdict(itertools.count().__next__), 0
+        for part in (parts, learn, sizes, ids):
+            part.clear()
+        return pa.RecordBatch.from_arrays(columns, ["rows", "words", *_CHUNK, "learning"])
+
+    for batch in slices(batches, body, BATCH_BYTES):
+        begin, kept, marks = 0, batch.select(names), batch.column(learnt).to_pylist()
+        for row, found in enumerate(batch.column(body).to_pylist()):
+            size = 0
+            for words in word_lists(found.lower()):
+                ids.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                size += len(words)
+            sizes.append(size)
+            learn.append(marks[row])
+            held += size + 1
+            if held > _NEIGHBOURS_AT_ONCE or len(numbers) > _DISTINCT_AT_ONCE:
+                parts.append(kept.slice(begin, row + 1 - begin))
+                begin = row + 1
                 yield flush()
+        if begin < batch.num_rows:
+            parts.append(kept.slice(begin))
+    if sizes:
         yield flush()
 
-    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    return bodies.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def _words(batch: pa.RecordBatch, row: int) -> list[bytes]:
+    return batch.column("words")[row].as_py().split()
+
+
+def _chunk(batch: pa.RecordBatch, row: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk and their shapes; sizes of the texts that are learnt from, and their tokens."""
+    shapes, sizes, learn, ids = _pieces(batch, row, **_CHUNK)
+    learn = learn.astype(bool)
+    return _words(batch, row), shapes, sizes[learn], ids if learn.all() else ids[np.repeat(learn, sizes)]
+
+
+def _path(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """Tokens of successive texts, with the end before the first, between them and behind the last."""
+    path = np.full(len(tokens) + len(sizes) + 1, end, np.int64)
+    path[np.arange(1, len(tokens) + 1) + np.repeat(np.arange(len(sizes)), sizes)] = tokens
+    return path
+
+
+def _sides(path: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Left and right of each bigram, a bounded number at once."""
+    for at in range(0, len(path) - 1, 2 * _NEIGHBOURS_AT_ONCE):
+        stop = min(at + 2 * _NEIGHBOURS_AT_ONCE, len(path) - 1)
+        yield path[at:stop], path[at + 1 : stop + 1]
+
+
+def count_words(texts: Encoded) -> DataFrame:
+    """(word, n) of all lower-cased words that are learnt from; each chunk adds up its own before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words, _, _, ids = _chunk(batch, row)
+                counts = np.bincount(ids, minlength=len(words))
+                found = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words, pa.binary()).take(pa.array(found)), pa.array(counts[found].astype(np.int64))], ["word", "n"]
+                )
+
+    return texts.chunks.select(*_LEARNT).mapInArrow(_task(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class _Codes(dict):
@@ -243,13 +347,12 @@ class Bigrams:
     Sweeps read these rows where they lie and are given the classes, so no bigram is shuffled twice.
     """
 
-    def __init__(self, docs: DataFrame, frequent: list[bytes], tokens: int, text: str = "text"):
+    def __init__(self, texts: Encoded, frequent: list[bytes], tokens: int):
         self.words = words = len(frequent)
         self.end = words + SHAPES
         self.shapes = np.array([shape(word) for word in frequent] + list(range(SHAPES)), np.int64)
         buckets = max(8, min(tokens // _NEIGHBOURS_AT_ONCE, words, 32_000))
-        bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-        found = bodies.mapInArrow(_task(_count_bigrams, frequent, buckets), _LINKS_AS)
+        found = texts.chunks.select(*_LEARNT).mapInArrow(_task(_count_bigrams, frequent, buckets), _LINKS_AS)
         dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
         self.table = materialise(dealt.mapInArrow(_task(_merge_bigrams), _LINKS_AS))
 
@@ -300,44 +403,23 @@ class Bigrams:
 
 
 def _count_bigrams(frequent: list[bytes], buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = _Codes(frequent)
+    codes = dict(zip(frequent, range(len(frequent))))
     words, end = len(frequent), len(frequent) + SHAPES
-    lefts: list[np.ndarray] = []
-    rights: list[np.ndarray] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal held
-        left, right = (np.concatenate(side) if side else np.empty(0, np.int64) for side in (lefts, rights))
-        one, two, none = left < words, right < words, (left >= words) & (right >= words)
-        keys = np.concatenate(
-            [
-                (left[one] % buckets + 1) << 48 | (2 * left[one]) << 24 | right[one],
-                (right[two] % buckets + 1) << 48 | (2 * right[two] + 1) << 24 | left[two],
-                (2 * left[none]) << 24 | right[none],
-            ]
-        )
-        keys, counts = np.unique(keys, return_counts=True)
-        lefts.clear()
-        rights.clear()
-        held = 0
-        return _rows(_LINKS, _packed(keys, counts))
-
-    for batch in slices(batches, "body", BATCH_BYTES):
-        for body in batch.column("body").to_pylist():
-            before = end
-            for listed in [*word_lists(body.lower()), None]:
-                path = np.array([before, end]) if listed is None else np.fromiter(
-                    (before, *map(codes.__getitem__, listed)), np.int64, len(listed) + 1
+    for batch in batches:
+        for row in range(batch.num_rows):
+            own, shapes, sizes, ids = _chunk(batch, row)
+            code = np.array([codes.get(word, -1) for word in own], np.int64)
+            code = np.where(code < 0, words + shapes, code)
+            for left, right in _sides(_path(code[ids], sizes, end)):
+                one, two, none = left < words, right < words, (left >= words) & (right >= words)
+                keys = np.concatenate(
+                    [
+                        (left[one] % buckets + 1) << 48 | (2 * left[one]) << 24 | right[one],
+                        (right[two] % buckets + 1) << 48 | (2 * right[two] + 1) << 24 | left[two],
+                        (2 * left[none]) << 24 | right[none],
+                    ]
                 )
-                codes.rare.clear()
-                lefts.append(path[:-1])
-                rights.append(path[1:])
-                held += len(path) - 1
-                before = int(path[-1])
-                if held > _NEIGHBOURS_AT_ONCE:
-                    yield flush()
-    yield flush()
+                yield _rows(_LINKS, _packed(*np.unique(keys, return_counts=True)))
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
@@ -505,27 +587,6 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, seed=42)
 
 
-class _Numbers(dict):
-    """Class of each word that travels; any other word gets the next number from ``first`` on."""
-
-    def __init__(self, frequent: list[bytes], own: np.ndarray, first: int):
-        super().__init__(zip(frequent, own.tolist()))
-        self.frequent, self.own, self.first = frequent, own, first
-        self.hashes: list[int] = []
-        self.shapes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.first + len(self.hashes)
-        self.hashes.append(word_hash(word))
-        self.shapes.append(shape(word))
-        return number
-
-    def restart(self) -> None:
-        self.clear()
-        self.update(zip(self.frequent, self.own.tolist()))
-        self.hashes, self.shapes = [], []
-
-
 #: Words of a bucket, their shapes, their neighbours that travel by class, and links to other rare words.
 _RARE = {
     "words": "<i8", "shapes": "<u1", "cell_of": "<u4", "cells": "<u2", "cell_n": "<u4",
@@ -567,17 +628,9 @@ def _rare_row(bucket: int, hashes, shapes, cell, link) -> tuple:
 
 
 def _count_rare(frequent, own, groups, buckets, batches) -> Iterator[pa.RecordBatch]:
-    end = groups - 1
-    numbers = _Numbers(frequent, own, groups)
-    lefts: list[np.ndarray] = []
-    rights: list[np.ndarray] = []
-    held = 0
+    class_of, end = dict(zip(frequent, own.tolist())), groups - 1
 
-    def flush() -> pa.RecordBatch:
-        nonlocal held
-        left, right = (np.concatenate(side) if side else np.empty(0, np.int64) for side in (lefts, rights))
-        hashes = np.array(numbers.hashes, np.uint64).view(np.int64)
-        shapes = np.array(numbers.shapes, np.int64)
+    def found(left, right, hashes, shapes) -> pa.RecordBatch:
         one, two = left >= groups, right >= groups
         ahead, behind, both = one & ~two, two & ~one, one & two
         cell_of = np.concatenate([left[ahead], right[behind]]) - groups
@@ -587,41 +640,29 @@ def _count_rare(frequent, own, groups, buckets, batches) -> Iterator[pa.RecordBa
         link_side = np.repeat([0, 1], int(both.sum()))
         bucket = _bucket_of(hashes, buckets)
         rows = []
-        by_word, by_cell, by_link = (np.argsort(b, kind="stable") for b in (bucket, bucket[cell_of], bucket[link_of]))
+        keys = bucket, bucket[cell_of], bucket[link_of]
+        orders = [np.argsort(key, kind="stable") for key in keys]
+        ends = [np.searchsorted(key[order], np.arange(buckets + 1)) for key, order in zip(keys, orders)]
         place = np.empty(len(hashes), np.int64)
-        for at in range(buckets):
-            w, c, k = (
-                order[slice(*np.searchsorted(b[order], [at, at + 1]))]
-                for order, b in ((by_word, bucket), (by_cell, bucket[cell_of]), (by_link, bucket[link_of]))
-            )
-            if len(w):
-                place[w] = np.arange(len(w))
-                cell = (place[cell_of[c]], cells[c], np.ones(len(c), np.int64))
-                link = (place[link_of[k]], link_to[k], link_side[k], np.ones(len(k), np.int64))
-                rows.append(_rare_row(at, hashes[w], shapes[w], cell, link))
-        lefts.clear()
-        rights.clear()
-        numbers.restart()
-        held = 0
+        for at in np.flatnonzero(np.diff(ends[0])):
+            w, c, k = (order[end[at] : end[at + 1]] for order, end in zip(orders, ends))
+            place[w] = np.arange(len(w))
+            cell = (place[cell_of[c]], cells[c], np.ones(len(c), np.int64))
+            link = (place[link_of[k]], link_to[k], link_side[k], np.ones(len(k), np.int64))
+            rows.append(_rare_row(int(at), hashes[w], shapes[w], cell, link))
         return _rows(_RARE_SCHEMA, rows)
 
-    for batch in slices(batches, "body", BATCH_BYTES):
-        for body in batch.column("body").to_pylist():
-            before = end
-            for words in [*word_lists(body.lower()), None]:
-                path = np.array([before, end]) if words is None else np.fromiter(
-                    (before, *map(numbers.__getitem__, words)), np.int64, len(words) + 1
-                )
-                left, right = path[:-1], path[1:]
-                open_ = (left >= groups) | (right >= groups)
-                lefts.append(left[open_])
-                rights.append(right[open_])
-                held += int(open_.sum())
-                before = int(path[-1])
-            # Numbers are restarted between texts only.
-            if held > _NEIGHBOURS_AT_ONCE:
-                yield flush()
-    yield flush()
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words, shapes, sizes, ids = _chunk(batch, row)
+            number = np.array([class_of.get(word, -1) for word in words], np.int64)
+            # Words of texts that are not learnt from alone are none.
+            rare = np.flatnonzero((number < 0) & (np.bincount(ids, minlength=len(words)) > 0))
+            number[rare] = groups + np.arange(len(rare))
+            hashes = np.array([word_hash(words[at]) for at in rare], np.uint64).view(np.int64)
+            for left, right in _sides(_path(number[ids], sizes, end)):
+                kept = (left >= groups) | (right >= groups)
+                yield found(left[kept], right[kept], hashes, shapes[rare])
 
 
 def _merge_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -732,7 +773,7 @@ def _placed_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exchange_rare(
-    docs: DataFrame, frequent: list[bytes], own: np.ndarray, pairs: np.ndarray, classes: int, tokens: int, text: str = "text"
+    texts: Encoded, frequent: list[bytes], own: np.ndarray, pairs: np.ndarray, classes: int, tokens: int
 ) -> tuple[DataFrame, np.ndarray]:
     """(word hash, class) of all words outside ``frequent``, and all counts of class bigrams.
 
@@ -741,10 +782,9 @@ def exchange_rare(
     go on as for the frequent words, in which buckets send each other the classes of linked words. The
     bigrams returned count words found once a second time, as their shape.
     """
-    spark, groups = docs.sparkSession, len(pairs)
+    spark, groups = texts.chunks.sparkSession, len(pairs)
     buckets = max(8, tokens // _RARE_AT_ONCE)
-    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    found = bodies.mapInArrow(_task(_count_rare, frequent, own, groups, buckets), _RARE_AS)
+    found = texts.chunks.select(*_LEARNT).mapInArrow(_task(_count_rare, frequent, own, groups, buckets), _RARE_AS)
     dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_task(_merge_rare), _RARE_AS)
     kept: list[tuple[str, str]] = []
 
@@ -827,20 +867,27 @@ class ClassModel:
 
 
 def train(
-    docs: DataFrame, text: str = "text", frequent_words: int = FREQUENT_WORDS,
+    docs: DataFrame | Encoded, text: str = "text", frequent_words: int = FREQUENT_WORDS,
     exchanged_words: int | None = None, classes: int = CLASSES, seed_words: int = SEED_WORDS,
 ) -> ClassModel:
     """Count words and class bigrams over all rows of ``docs``; null texts are empty ones.
 
     All words are exchanged, the ``seed_words`` most frequent ones first (ties in the order of
-    words). With ``exchanged_words`` only so many are, and the others are classed by shape.
+    words). With ``exchanged_words`` only so many are, and the others are classed by shape. Of encoded texts
+    those count that are learnt from.
     """
-    spark = docs.sparkSession
+    if not isinstance(docs, Encoded):
+        encoded = encode(docs, text)
+        try:
+            return train(encoded, text, frequent_words, exchanged_words, classes, seed_words)
+        finally:
+            remove(docs.sparkSession, encoded.path)
+    spark = docs.chunks.sparkSession
     bound_batches(spark)
     kept = scratch_path(spark, "vocabulary")
     with scratch_tables(spark):
-        vocabulary = materialise(count_words(docs, text))
-        texts = docs.count()
+        vocabulary = materialise(count_words(docs))
+        texts = docs.chunks.agg(F.coalesce(F.sum("learning"), F.lit(0)).alias("texts")).collect()[0]["texts"]
         levels = (
             vocabulary.groupBy(F.floor(F.log2("n")).cast("int").alias("level"))
             .agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"))
@@ -852,7 +899,7 @@ def train(
         rows = _most_frequent(vocabulary, levels, frequent_words, wanted)
         frequent = [word for _, word in rows]
         exchanged = min(len(rows), wanted)
-        bigrams = Bigrams(docs, frequent, tokens, text)
+        bigrams = Bigrams(docs, frequent, tokens)
         states = States(frequent, exchanged)
         state_of = np.concatenate([states.state_of, [states.end]])
         counts = bigrams.pairs(state_of, states.size)
@@ -865,7 +912,7 @@ def train(
             vocabulary = _with_class(vocabulary, frequent, class_of)
             if words > len(frequent):
                 rare = tokens - sum(n for n, _ in rows)
-                placed, pairs = exchange_rare(docs, frequent, class_of[: len(frequent)], among, first_shape, rare, text)
+                placed, pairs = exchange_rare(docs, frequent, class_of[: len(frequent)], among, first_shape, rare)
                 found = placed.select(F.col("word").alias("hash"), F.col("class").alias("placed"))
                 vocabulary = vocabulary.join(found, F.xxhash64("word") == F.col("hash"), "left").select(
                     "word", "n", F.coalesce("class", "placed").alias("class")
@@ -939,8 +986,8 @@ def _class_sizes(vocabulary: DataFrame, frequent: list[bytes], exchanged: int, o
     return held
 
 
-def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
-    """Add n_tokens, n_known, base_score and score to every row.
+def score(docs: DataFrame | Encoded, model: ClassModel, text: str = "text") -> DataFrame:
+    """Add n_tokens, n_known, base_score and score to every row, also of encoded texts.
 
     ``score`` is the class model's log10 probability of the text with its end, ``base_score`` that of
     the smoothed unigrams; perplexity is 10 ** (-score / n_tokens). A null text is empty: its only token is the end.
@@ -948,137 +995,71 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     added names are replaced; an empty table gives an empty result; without training texts
     nothing is known and base scores are 0.
 
-    Texts are read once: bigrams with a word that does not travel with the tasks are noted by
-    number, and counted when the join has brought the classes of these words.
+    Each chunk asks once for every distinct word that does not travel with the tasks; a join on the word
+    answers with its count and class.
     """
     added = ("n_tokens", "n_known", "base_score", "score")
-    row_id, body, matched, rare_counted, rare_known, rare_classes = (
-        free_name(docs, f"score_{name}") for name in ("row", "body", "matched", "rare_counted", "rare_known", "rare_classes")
+    if not isinstance(docs, Encoded):
+        docs = encode(docs.drop(*(name for name in added if name != text)), text)
+    asked = docs.chunks.select("chunk", "words").mapInArrow(
+        _task(_ask, frozenset(model.frequent)), "chunk long, at int, word binary"
     )
-    walked_name, counted_name, known_name, rare_name, times_name, left_name, right_name, guess_name = (
-        free_name(docs, name) for name in ("walked", "counted", "known", "rare", "times", "left", "right", "guess")
+    found = (
+        asked.join(model.vocabulary.select("word", "n", "class"), "word")
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
     )
-    df = docs.drop(*(name for name in added if name != text)).withColumn(row_id, F.monotonically_increasing_id())
-    kept = [f for f in df.schema.fields if f.name != text]
-    df = df.withColumn(body, F.coalesce(F.col(text), F.lit("")).cast("binary")).drop(text)
-    names = [f.name for f in kept]
-    out = ("n_tokens", walked_name, counted_name, known_name, rare_name, times_name, left_name, right_name, guess_name)
-    integers = T.ArrayType(T.IntegerType())
-    kinds = (
-        T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.BinaryType()), integers, integers,
-        integers, integers,
+    fields = [f for f in docs.columns if f.name not in added]
+    names = [f.name for f in fields]
+    kinds = [T.StructField(n, k) for n, k in zip(added, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))]
+    run = _task(
+        _walk, names, added, model.frequent, model.counted, model.class_of, model.transitions, model.emissions,
+        int(model.texts > 0), math.log10(model.texts + 1), math.log10(model.tokens + model.distinct + 1),
     )
-    run = partial(
-        _walk, names, body, out, model.frequent, model.whole, model.counted, model.class_of, model.transitions,
-        model.emissions,
-    )
-    walked = materialise(df.mapInArrow(run, T.StructType(kept + [T.StructField(n, k) for n, k in zip(out, kinds)])))
-    rare = (
-        walked.select(
-            row_id, F.posexplode(F.arrays_zip(F.col(rare_name).alias("word"), F.col(times_name).alias("times"))).alias("at", "entry")
-        )
-        .select(F.col(row_id).alias(matched), "at", "entry.word", "entry.times")
-        .join(model.vocabulary, "word")
-        .groupBy(matched)
-        .agg(
-            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias(rare_counted), F.sum("times").alias(rare_known),
-            F.collect_list(F.when(F.col("class").isNotNull(), F.col("at") * len(model.transitions) + F.col("class"))).alias(
-                rare_classes
-            ),
-        )
-    )
-    joined = walked.drop(rare_name, times_name).join(rare, F.col(row_id) == F.col(matched), "left")
-    counted = F.col(counted_name) + F.coalesce(rare_counted, F.lit(0.0))
-    whole = math.log10(model.tokens + model.distinct + 1)
-    empty = F.array().cast("array<int>")
-    resolved = joined.select(
-        *(F.col(f"`{name}`") for name in names if name != row_id),
-        "n_tokens",
-        (F.col(known_name) + F.coalesce(rare_known, F.lit(0)) + int(model.texts > 0)).alias("n_known"),
-        (counted + math.log10(model.texts + 1) - F.col("n_tokens") * whole).alias("base_score"),
-        (counted + F.col(walked_name)).alias("score"),
-        left_name, right_name, guess_name, F.coalesce(F.col(rare_classes), empty).alias(rare_classes),
-    )
-    lists = (left_name, right_name, guess_name, rare_classes)
-    fields = [f for f in resolved.schema.fields if f.name not in lists]
-    return resolved.mapInArrow(partial(_resolve, lists, model.transitions, model.emissions), T.StructType(fields))
+    joined = docs.chunks.select("chunk", "rows", "words", "shapes", "sizes", "ids").join(found, "chunk", "left")
+    return joined.mapInArrow(run, T.StructType(fields + kinds))
 
 
-def _walk(
-    names, body, added, frequent, whole, counted_of, class_of, transitions, emissions, batches
-) -> Iterator[pa.RecordBatch]:
-    """Sums of each text. Bigrams with a word of unknown class are listed as pairs of classes and,
-    from the number of classes on, places in the list of such words.
-    """
-    codes_of = _Codes(frequent)
-    groups = len(transitions)
-    end = groups - 1
-    for batch in slices(batches, body, BATCH_BYTES):
-        out: list[list] = [[] for _ in added]
-        for text in batch.column(body).to_pylist():
-            tokens, walked, counted, known = 0, 0.0, 0.0, 0
-            places: dict[bytes, int] = {}
-            times: list[int] = []
-            guess: list[int] = []
-            lefts, rights = [], []
-            before = end
-            for words in [*word_lists(text.lower()), None]:
-                if words is None:
-                    own = np.array([end])
-                elif words:
-                    codes = np.fromiter(map(codes_of.__getitem__, words), np.int64, len(words))
-                    counted += float(counted_of[codes].sum())
-                    own = class_of[codes]
-                    missed = np.flatnonzero(codes >= len(frequent))
-                    known += len(codes) - len(missed)
-                    at = []
-                    for word, number in zip(codes_of.rare, own[missed].tolist()):
-                        place = places.setdefault(word, len(places))
-                        if place == len(times):
-                            times.append(0)
-                            guess.append(number)
-                        times[place] += 1
-                        at.append(groups + place)
-                    codes_of.rare.clear()
-                    if whole:
-                        own = own.copy()
-                        own[missed] = at
-                else:
-                    continue
-                tokens += len(own)
-                left = np.concatenate([[before], own[:-1]])
-                before = int(own[-1])
-                ready = (left < groups) & (own < groups)
-                to = own[ready]
-                walked += float((transitions[left[ready], to] - emissions[to]).sum())
-                if len(to) < len(own):
-                    lefts.append(left[~ready])
-                    rights.append(own[~ready])
-            pairs = [np.concatenate(side).astype(np.int32) if side else np.empty(0, np.int32) for side in (lefts, rights)]
-            row = (tokens, walked, counted, known, list(places), times, *pairs, guess if whole else [])
-            for column, value in zip(out, row):
-                column.append(value)
-        integers = pa.list_(pa.int32())
-        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), integers, integers, integers, integers)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(name) for name in names] + [pa.array(c, kind) for c, kind in zip(out, kinds)],
-            names + list(added),
-        )
+def _ask(frequent: frozenset, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, chunk in enumerate(batch.column("chunk").to_pylist()):
+            asked = [(at, word) for at, word in enumerate(_words(batch, row)) if word not in frequent]
+            for begin in range(0, len(asked), 50_000):
+                places, words = zip(*asked[begin : begin + 50_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(words), pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.binary())],
+                    ["chunk", "at", "word"],
+                )
 
 
-def _resolve(lists, transitions, emissions, batches) -> Iterator[pa.RecordBatch]:
-    """Add the bigrams that waited for the classes of words to ``score``."""
+def _walk(
+    names, added, frequent, counted_of, class_of, transitions, emissions, end_known, end_counted, whole, batches
+) -> Iterator[pa.RecordBatch]:
+    """Sums of each text; an unseen word has the class of its shape."""
+    codes = dict(zip(frequent, range(len(frequent))))
     groups = len(transitions)
+    steps = (transitions - emissions).ravel()
     for batch in batches:
-        scores = batch.column("score").to_numpy().copy()
-        columns = [batch.column(name) for name in lists]
         for row in range(batch.num_rows):
-            left, right, guess, found = (column[row].values.to_numpy() for column in columns)
-            if len(left):
-                class_of = np.concatenate([np.arange(groups), guess])
-                class_of[groups + found // groups] = found % groups
-                to = class_of[right]
-                scores[row] += (transitions[class_of[left], to] - emissions[to]).sum()
-        batch = batch.drop_columns(list(lists))
-        place = batch.schema.names.index("score")
-        yield batch.set_column(place, "score", pa.array(scores))
+            words = _words(batch, row)
+            shapes, sizes, ids = _pieces(batch, row, **{name: _CHUNK[name] for name in ("shapes", "sizes", "ids")})
+            code = np.array([codes.get(word, -1) for word in words], np.int64)
+            known = code >= 0
+            code = np.where(known, code, len(frequent) + shapes)
+            own, counted = class_of[code], counted_of[code]
+            found = batch.column("found")[row].values
+            if found is not None:
+                at, n = found.field("at").to_numpy(), found.field("n").to_numpy()
+                classes = found.field("class").fill_null(-1).to_numpy()
+                known[at], counted[at] = True, np.log10(n + 1.0)
+                own[at] = np.where(classes < 0, own[at], classes)
+            text_of = np.repeat(np.arange(len(sizes)), sizes)
+            n_known = np.bincount(text_of, known[ids], len(sizes)).astype(np.int64) + end_known
+            sums = np.bincount(text_of, counted[ids], len(sizes))
+            path = _path(own[ids], sizes, groups - 1)
+            walked = np.add.reduceat(steps[path[:-1] * groups + path[1:]], np.cumsum(sizes + 1) - sizes - 1)
+            base = sums + end_counted - (sizes + 1) * whole
+            rows = dict(zip((f.name for f in batch.column("rows").type.value_type), batch.column("rows")[row].values.flatten()))
+            yield pa.RecordBatch.from_arrays(
+                [*(rows[name] for name in names), *map(pa.array, (sizes + 1, n_known, base, sums + walked))], [*names, *added]
+            )
