@@ -24,6 +24,7 @@ from __future__ import annotations
 import itertools
 import math
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +53,12 @@ SHAPES = 32
 _DISTINCT_AT_ONCE = 200_000
 _NEIGHBOURS_AT_ONCE = 1_000_000
 _RARE_AT_ONCE = 250_000
-_GAINS_AT_ONCE = 10_000
+_WORDS_AT_ONCE = 100_000
+_GAINS_AT_ONCE = 4_000
 #: Gains of words with up to so many cells are added up side by side.
 _FEW_CELLS = 48
+#: Counts of cells for which gains are held ready.
+_USUAL_COUNTS = 8
 
 
 _DIGITS = b"0123456789"
@@ -123,7 +128,7 @@ def _encode(names, body, learnt, batches: Iterator[pa.RecordBatch]) -> Iterator[
         nonlocal numbers, held
         rows = pa.Table.from_batches(parts).combine_chunks().to_struct_array().combine_chunks()
         packed = (
-            [shape(word) for word in numbers], sizes, learn, np.concatenate(ids) if ids else np.empty(0, np.int64)
+            shapes_of(list(numbers)), sizes, learn, np.concatenate(ids) if ids else np.empty(0, np.int64)
         )
         columns = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([b" ".join(numbers)], pa.binary())]
         columns += [pa.array([_raw(np.asarray(part, np.int64), kind)], pa.binary()) for part, kind in zip(packed, _CHUNK.values())]
@@ -178,6 +183,20 @@ def _sides(path: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield path[at:stop], path[at + 1 : stop + 1]
 
 
+def shapes_of(words: list[bytes]) -> np.ndarray:
+    """``shape`` of each word; no word is empty."""
+    if not words:
+        return np.empty(0, np.int64)
+    letters = np.frombuffer(b"".join(words), "u1")
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(lengths) - lengths
+    sizes = np.searchsorted([4, 7, 11], lengths, "left")
+    ended = np.isin(letters[first + lengths - 1], list(b".,;:!?"))
+    wide = np.maximum.reduceat(letters, first) >= 128
+    digits = np.maximum.reduceat((letters >= 48) & (letters <= 57), first)
+    return sizes * 8 + ended * 4 + wide * 2 + digits
+
+
 def count_words(texts: Encoded) -> DataFrame:
     """(word, n) of all lower-cased words that are learnt from; each chunk adds up its own before the shuffle."""
 
@@ -309,14 +328,23 @@ def _task(run, *given):
 
 
 def _raw(values: np.ndarray, kind: str) -> bytes:
-    """Bytes of numbers, all lowest ones first: the upper ones are mostly zero and compress well."""
-    return np.ascontiguousarray(values).astype(kind).view("u1").reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+    """Bytes of numbers; of short ones all lowest bytes first: the upper ones are mostly zero and compress well."""
+    numbers = np.ascontiguousarray(values).astype(kind)
+    size = numbers.dtype.itemsize
+    if size in (1, 8):
+        return numbers.tobytes()
+    return b"".join(numbers.view("u1")[plane::size].tobytes() for plane in range(size))
 
 
 def _flat(packed: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(packed, "u1").reshape(size, len(packed) // size)
-    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+    if size in (1, 8):
+        return np.frombuffer(packed, kind).astype(np.int64)
+    numbers = np.zeros(len(packed) // size, "<i8")
+    for plane, part in enumerate(np.frombuffer(packed, "u1").reshape(size, -1)):
+        if part.any():
+            numbers.view("u1")[plane::8] = part
+    return numbers
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -362,7 +390,13 @@ class Bigrams:
         With ``unseen``, the first shape's class, words found once count a second time as their shape.
         Without ``rare``, bigrams with a word that does not travel are left out.
         """
-        run = _task(_class_pairs, self.words, class_of, groups, self.shapes, unseen, rare)
+        return self._cells(_task(_class_pairs, self.words, class_of, groups, self.shapes, unseen, rare), groups)
+
+    def changed(self, before: np.ndarray, after: np.ndarray, groups: int) -> np.ndarray:
+        """What new classes of words change in ``pairs``; only bigrams of words that moved are looked at."""
+        return self._cells(_task(_changed_pairs, before, after, groups), groups)
+
+    def _cells(self, run, groups: int) -> np.ndarray:
         cells = self.table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(groups * groups)
         counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
@@ -379,8 +413,8 @@ class Bigrams:
         class_of = class_of.copy()
         own = np.where(np.arange(self.words) < placed, class_of[: self.words], -1)
         best, reached, idle, sweep = class_of, -math.inf, 0, 0
+        pairs = self.pairs(class_of, groups)
         while True:
-            pairs = self.pairs(class_of, groups)
             now = likelihood(pairs)
             enough = LEAST_RISE * max(pairs.sum(), 1.0)
             if sweep == 1 or now > reached:
@@ -399,7 +433,9 @@ class Bigrams:
                 idle += 1
                 if idle >= 2 or placed >= self.words:
                     return best if sweep > 1 else class_of
+            before = class_of.copy()
             class_of[: self.words] = own
+            pairs = pairs + self.changed(before, class_of, groups)
 
 
 def _count_bigrams(frequent: list[bytes], buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,6 +524,28 @@ def _class_pairs(words, class_of, groups, shapes, unseen, rare, batches) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
 
 
+def _changed_pairs(before, after, groups, batches) -> Iterator[pa.RecordBatch]:
+    moved = before != after
+    total = np.zeros(groups * groups)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            heads, runs, others, n = _pieces(batch, row, **_KINDS)
+            # Codes of bucket -1 are those of shapes and the end, which never move.
+            mine = moved[heads >> 1]
+            used = np.repeat(mine, runs)
+            heads, others, n = np.repeat(heads[mine], runs[mine]), others[used], n[used]
+            word, behind = heads >> 1, (heads & 1) == 0
+            # If both words moved, their bigram is read from the left one only.
+            once = behind | ~moved[others]
+            word, others, behind, n = word[once], others[once], behind[once], n[once]
+            for classes, sign in ((before, -1), (after, 1)):
+                own, beside = classes[word], classes[others]
+                key = np.where(behind, own * groups + beside, beside * groups + own)
+                total += sign * np.bincount(key, n, len(total))
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
+
+
 class _Moves:
     """Finds the class of best likelihood of each word while all others stay."""
 
@@ -496,58 +554,69 @@ class _Moves:
         self.beside = np.concatenate([pairs[:classes].T, pairs[:, :classes]])
         self.logs = _xlogx(self.beside)
         self.totals = pairs[:classes].sum(axis=1), pairs[:, :classes].sum(axis=0)
+        # What a cell adds to the likelihood by count and cell; those of rarer counts follow for each batch.
+        usual = np.arange(1, _USUAL_COUNTS + 1)[:, None, None]
+        self.steps = (_xlogx(self.beside + usual) - self.logs).reshape(-1, classes)
+        self.usual = len(self.steps)
 
     def best(self, own: np.ndarray, offsets: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """``own`` is -1 for a word without class; cells of a word lie between its offsets."""
         found = np.empty(len(own), np.int64)
+        # Words of many cells come first, so those that have another cell are always the first ones.
+        order = np.argsort(-np.diff(offsets), kind="stable")
+        lengths, starts = np.diff(offsets)[order], offsets[:-1][order]
+        ends = np.cumsum(lengths)
         begin = 0
         while begin < len(own):
-            stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _GAINS_AT_ONCE, "right")) - 1)
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + _GAINS_AT_ONCE, "right")))
             stop = min(stop, begin + _GAINS_AT_ONCE)
-            low, high = offsets[begin], offsets[stop]
-            found[begin:stop] = self._best(own[begin:stop], offsets[begin : stop + 1] - low, cells[low:high], counts[low:high])
+            words = order[begin:stop]
+            begins = ends[begin:stop] - lengths[begin:stop] - before
+            entries = np.repeat(starts[begin:stop] - begins, lengths[begin:stop]) + np.arange(ends[stop - 1] - before)
+            found[words] = self._best(own[words], lengths[begin:stop], begins, cells[entries], counts[entries])
             begin = stop
         return found
 
-    def _best(self, own, offsets, cells, counts) -> np.ndarray:
-        number = np.repeat(np.arange(len(own)), np.diff(offsets))
+    def _kinds(self, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Row of ``steps`` of each cell; few cells and counts differ, so the logarithms are taken once for each kind."""
+        kind = (counts.astype(np.int64) - 1) * len(self.beside) + cells
+        large = np.flatnonzero(counts > _USUAL_COUNTS)
+        if len(large):
+            kinds, back = np.unique(kind[large], return_inverse=True)
+            cell, n = kinds % len(self.beside), kinds // len(self.beside) + 1
+            kind[large] = self.usual + back
+            room = self.usual + len(kinds) - len(self.steps)
+            if room > 0:
+                self.steps = np.concatenate([self.steps, np.empty((room, self.classes))])
+            self.steps[self.usual : self.usual + len(kinds)] = _xlogx(self.beside[cell] + n[:, None]) - self.logs[cell]
+        return kind
+
+    def _best(self, own, lengths, begins, cells, counts) -> np.ndarray:
         gain = np.zeros((len(own), self.classes))
+        number = np.repeat(np.arange(len(own)), lengths)
+        kind = self._kinds(cells, counts)
+        many = int((lengths > _FEW_CELLS).sum())
+        for word in range(many):
+            gain[word] = self.steps[kind[begins[word] : begins[word] + lengths[word]]].sum(axis=0)
+        # Most words have few cells: the first cells of all of them are added, then the second ones.
+        ending = np.searchsorted(-lengths, -np.arange(_FEW_CELLS))
+        for place, stop in enumerate(ending):
+            if stop <= many:
+                break
+            gain[many:stop] += self.steps[kind[begins[many:stop] + place]]
+        # Where a word stands now, its own bigrams are among the pairs.
         mine = np.flatnonzero(own >= 0)
-        if len(cells):
-            # Few cells and counts differ, so the logarithms are taken once for each kind.
-            wide = int(counts.max()) + 1
-            kinds, kind = np.unique(cells * wide + counts.astype(np.int64), return_inverse=True)
-            steps = _xlogx(self.beside[kinds // wide] + (kinds % wide)[:, None]) - self.logs[kinds // wide]
-            at = np.flatnonzero(own[number] >= 0)
-            held = self.beside[cells[at], own[number[at]]]
-            staying = np.zeros(len(cells))
-            staying[at] = _xlogx(held) - _xlogx(held - counts[at])
-
-            def step(chosen: np.ndarray) -> np.ndarray:
-                out, of = steps[kind[chosen]], own[number[chosen]]
-                placed = np.flatnonzero(of >= 0)
-                out[placed, of[placed]] = staying[chosen[placed]]
-                return out
-
-            lengths = np.diff(offsets)
-            # Most words have few cells: the first cells of all of them are added, then the second ones.
-            left = np.flatnonzero((lengths > 0) & (lengths <= _FEW_CELLS))
-            place = 0
-            while len(left):
-                gain[left] += step(offsets[left] + place)
-                place += 1
-                left = left[lengths[left] > place]
-            many = np.flatnonzero(lengths > _FEW_CELLS)
-            if len(many):
-                chosen = np.flatnonzero(lengths[number] > _FEW_CELLS)
-                gain[many] = np.add.reduceat(step(chosen), np.cumsum(lengths[many]) - lengths[many], axis=0)
+        at = np.flatnonzero(own[number] >= 0)
+        held = self.beside[cells[at], own[number[at]]]
+        staying = np.bincount(number[at], _xlogx(held) - _xlogx(held - counts[at]), len(own))[mine].astype(float)
         for totals, chosen in zip(self.totals, (cells < self.groups, cells >= self.groups)):
             added = np.bincount(number[chosen], counts[chosen], len(own))
             sizes, size = np.unique(added, return_inverse=True)
-            loss = (_xlogx(totals + sizes[:, None]) - _xlogx(totals))[size]
+            gain -= (_xlogx(totals + sizes[:, None]) - _xlogx(totals))[size]
             held = totals[own[mine]]
-            loss[mine, own[mine]] = _xlogx(held) - _xlogx(held - added[mine])
-            gain -= loss
+            staying -= _xlogx(held) - _xlogx(held - added[mine])
+        gain[mine, own[mine]] = staying
         new = gain.argmax(axis=1)
         rows = np.arange(len(own))
         stays = (own >= 0) & (gain[rows, new] <= gain[rows, np.maximum(own, 0)] + 1e-9)
@@ -566,11 +635,13 @@ def _move_words(placed, sweep, class_of, own, pairs, classes, batches) -> Iterat
     for batch in batches:
         for row in range(batch.num_rows):
             heads, runs, others, n = _pieces(batch, row, **_KINDS)
-            words, at = np.unique(heads >> 1, return_inverse=True)
+            words = heads >> 1
             chosen = _turn(words, sweep) & ((words >= placed) | (sweep > 0))
-            key = np.repeat(at, runs) * (2 * groups) + np.repeat(heads & 1, runs) * groups + class_of[others]
-            sums = np.bincount(key, n, len(words) * 2 * groups).reshape(len(words), -1)[chosen]
-            words = words[chosen]
+            used = np.repeat(chosen, runs)
+            words, at = np.unique(words[chosen], return_inverse=True)
+            side = at * (2 * groups) + (heads[chosen] & 1) * groups
+            key = np.repeat(side, runs[chosen]) + class_of[others[used]]
+            sums = np.bincount(key, n[used], len(words) * 2 * groups).reshape(len(words), -1)
             number, cells = np.nonzero(sums)
             offsets = np.searchsorted(number, np.arange(len(words) + 1))
             new = moves.best(own[words], offsets, cells, sums[number, cells])
@@ -608,7 +679,8 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct tuples of keys with the sum of their counts."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    # Keys come as a few sorted runs, which a stable sort merges.
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     keys = [key[order] for key in keys]
     if not len(order):
         return *keys, counts
@@ -704,27 +776,52 @@ def _entries(batch: pa.RecordBatch, row: int):
     return words, own, cell_of, cells, cell_n, static, moved
 
 
-def _rare_pairs(groups: int, unseen: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of classes with a rare word, counted once; with ``unseen`` what words found once add as their shape.
+def _rare_total(groups: int, own, of, cells, n) -> np.ndarray:
+    """Counts of class bigrams from the cells of words, those behind a word and those before it."""
+    total = np.zeros(groups * groups)
+    behind = cells < groups
+    mine, beside = own[of], cells % groups
+    for chosen, key in ((behind, mine * groups + beside), (~behind, beside * groups + mine)):
+        total += np.bincount(key[chosen], n[chosen], len(total))
+    return total
+
+
+def _rare_pairs(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of classes with a rare word, counted once; those with neighbours that travel come with the news.
 
     The cell behind the last one counts the words that the last sweep has moved.
     """
     total = np.zeros(groups * groups + 1)
     for batch in batches:
         for row in range(batch.num_rows):
-            words, own, of, cells, n, static, moved = _entries(batch, row)
-            total[-1] += moved
+            (words,), parts = _pieces(batch, row, words=_RARE["words"]), []
+            for news in batch.column("news")[row].as_py() or []:
+                named, n = _flat(news["words"], "<i8"), _flat(news["counts"], "<u4")
+                if news["own"] is not None:
+                    own = _flat(news["own"], "<u2")
+                    total[named] += n
+                    total[-1] += news["moved"]
+                else:
+                    cells = _flat(news["cells"], "<u2")
+                    # Links stand in both words' rows; they are read from the left one.
+                    behind = cells < groups
+                    parts.append((np.searchsorted(words, named[behind]), cells[behind], n[behind]))
+            for part in parts:
+                total[:-1] += _rare_total(groups, own, *part)
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
+
+
+def _shape_pairs(groups: int, unseen: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What words found once add to the bigrams of classes as their shape."""
+    total = np.zeros(groups * groups)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words, own, of, cells, n, *_ = _entries(batch, row)
             behind = cells < groups
-            before = ~behind & (np.arange(len(cells)) < static)
-            beside = cells % groups
-            if unseen is None:
-                mine = own[of]
-            else:
-                once = np.bincount(of[behind], n[behind], len(words)) == 1
-                behind, before = behind & once[of], ~behind & once[of]
-                mine = unseen + _pieces(batch, row, shapes=_RARE["shapes"])[0][of]
-            for chosen, key in ((behind, mine * groups + beside), (before, beside * groups + mine)):
-                total += np.bincount(key[chosen], n[chosen], len(total))
+            once = np.bincount(of[behind], n[behind], len(words)) == 1
+            (shapes,) = _pieces(batch, row, shapes=_RARE["shapes"])
+            total += _rare_total(groups, unseen + shapes, *(part[once[of]] for part in (of, cells, n)))
     cells = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
 
@@ -734,23 +831,29 @@ def _move_rare(pairs, classes, sweep, buckets, batches) -> Iterator[pa.RecordBat
     moves, groups = _Moves(pairs, classes), len(pairs)
     for batch in batches:
         for row in range(batch.num_rows):
-            words, own, of, cells, n, *_ = _entries(batch, row)
+            words, own, of, cells, n, static, _ = _entries(batch, row)
             link_of, link_to, link_side, link_n = _pieces(batch, row, **{name: _RARE[name] for name in _LINKED})
             chosen = np.flatnonzero(_turn(words, sweep))
             place = np.full(len(words), -1)
             place[chosen] = np.arange(len(chosen))
             used = place[of] >= 0
-            key, n = _summed([place[of[used]] * (2 * groups) + cells[used]], n[used])
+            key, summed = _summed([place[of[used]] * (2 * groups) + cells[used]], n[used])
             offsets = np.searchsorted(key, np.arange(len(chosen) + 1) * (2 * groups))
             new = own.copy()
-            new[chosen] = moves.best(own[chosen], offsets, key % (2 * groups), n.astype(float))
+            new[chosen] = moves.best(own[chosen], offsets, key % (2 * groups), summed.astype(float))
             # Nothing is known yet of words that stand between rare words only.
             lost = chosen[(own[chosen] < 0) & (np.diff(offsets) == 0)]
             new[lost] = words[lost] % classes
-            rows = [(batch.column("bucket")[row].as_py(), None, None, None, _raw(new, "<u2"), int((new != own).sum()))]
+            # Pairs with neighbours that travel are known at once; ``words`` of this row names them.
+            total = _rare_total(groups, new, of[:static], cells[:static], n[:static])
+            named = np.flatnonzero(total)
+            rows = [(
+                batch.column("bucket")[row].as_py(), _raw(named, "<i8"), None, _raw(total[named], "<u4"), _raw(new, "<u2"),
+                int((new != own).sum()),
+            )]
             # What stands behind a word has the word before it.
-            linked, at = np.unique(link_to, return_index=True)
-            number = np.repeat(np.arange(len(linked)), np.diff(at, append=len(link_to)))
+            first = np.diff(link_to, prepend=link_to[:1] - 1) != 0
+            linked, number = link_to[first], np.cumsum(first) - 1
             key, counts = _summed([number * (2 * groups) + new[link_of] + groups * (1 - link_side)], link_n)
             to, cell = linked[key // (2 * groups)], key % (2 * groups)
             bucket = _bucket_of(to, buckets)
@@ -811,25 +914,23 @@ def exchange_rare(
         box = spark.table(news).groupBy("bucket").agg(
             F.collect_list(F.struct("words", "cells", "counts", "own", "moved")).alias("news")
         )
-        return rows.join(box, "bucket", "left")
+        return rows.join(box.hint("shuffle_hash"), "bucket", "left")
 
-    def counted(news: str, unseen: int | None = None) -> tuple[np.ndarray, int]:
-        """Counts of class bigrams with a rare word, and how many words have moved."""
-        run = _task(_rare_pairs, groups, unseen)
+    def counted(run, news: str, *columns: str) -> np.ndarray:
         total = np.zeros(groups * groups + 1)
-        columns = _CELLS if unseen is None else (*_CELLS, "shapes")
-        for row in joined(news, *columns).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        found = joined(news, *columns).mapInArrow(run, "cell long, n long")
+        for row in found.groupBy("cell").agg(F.sum("n").alias("n")).collect():
             total[row["cell"]] = row["n"]
-        return total[:-1].reshape(groups, groups), int(total[-1])
+        return total
 
     now, news, sweep, idle = pairs, None, 0, 0
     best: tuple = (-math.inf, None, pairs)
     while idle < 2:
         run = _task(_move_rare, now, classes, sweep, buckets)
         news = stored(joined(news, *_CELLS, *_LINKED).mapInArrow(run, _NEWS_AS).repartition(buckets, "bucket"))
-        added, moved = counted(news)
-        now = pairs + added
-        still = sweep > 0 and not moved
+        added = counted(_task(_rare_pairs, groups), news, "words")
+        now = pairs + added[:-1].reshape(groups, groups)
+        still = sweep > 0 and not added[-1]
         reached = likelihood(now)
         if reached > best[0]:
             idle = idle + 1 if reached - best[0] < LEAST_RISE * now.sum() or still else 0
@@ -839,7 +940,8 @@ def exchange_rare(
         forget(state, news, best[1])
         sweep += 1
     placed = materialise(joined(best[1], *_CELLS).mapInArrow(_task(_placed_rare), "word long, class int"))
-    whole = best[2] + counted(best[1], unseen=classes)[0]
+    once = counted(_task(_shape_pairs, groups, classes), best[1], *_CELLS, "shapes")
+    whole = best[2] + once[:-1].reshape(groups, groups)
     forget()
     return placed, whole
 
@@ -914,7 +1016,7 @@ def train(
                 rare = tokens - sum(n for n, _ in rows)
                 placed, pairs = exchange_rare(docs, frequent, class_of[: len(frequent)], among, first_shape, rare)
                 found = placed.select(F.col("word").alias("hash"), F.col("class").alias("placed"))
-                vocabulary = vocabulary.join(found, F.xxhash64("word") == F.col("hash"), "left").select(
+                vocabulary = vocabulary.join(found.hint("shuffle_hash"), F.xxhash64("word") == F.col("hash"), "left").select(
                     "word", "n", F.coalesce("class", "placed").alias("class")
                 )
             pairs = pairs + bigrams.pairs(class_of, groups, first_shape, rare=False) - among
@@ -1001,13 +1103,15 @@ def score(docs: DataFrame | Encoded, model: ClassModel, text: str = "text") -> D
     added = ("n_tokens", "n_known", "base_score", "score")
     if not isinstance(docs, Encoded):
         docs = encode(docs.drop(*(name for name in added if name != text)), text)
-    asked = docs.chunks.select("chunk", "words").mapInArrow(
-        _task(_ask, frozenset(model.frequent)), "chunk long, at int, word binary"
-    )
+    buckets = max(8, model.distinct // _WORDS_AT_ONCE)
+    buckets = max(8, model.distinct // _WORDS_AT_ONCE)
+    asked = docs.chunks.select("chunk", "words").mapInArrow(_task(_ask, frozenset(model.frequent), buckets), _DEALT)
+    offered = model.vocabulary.select("word", "n", "class").mapInArrow(_task(_offer, buckets), _DEALT)
+    met = offered.union(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk"))
     found = (
-        asked.join(model.vocabulary.select("word", "n", "class"), "word")
+        met.mapInArrow(_task(_answer), "chunk long, places binary, n binary, classes binary")
         .groupBy("chunk")
-        .agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
+        .agg(F.collect_list(F.struct("places", "n", "classes")).alias("found"))
     )
     fields = [f for f in docs.columns if f.name not in added]
     names = [f.name for f in fields]
@@ -1016,20 +1120,87 @@ def score(docs: DataFrame | Encoded, model: ClassModel, text: str = "text") -> D
         _walk, names, added, model.frequent, model.counted, model.class_of, model.transitions, model.emissions,
         int(model.texts > 0), math.log10(model.texts + 1), math.log10(model.tokens + model.distinct + 1),
     )
-    joined = docs.chunks.select("chunk", "rows", "words", "shapes", "sizes", "ids").join(found, "chunk", "left")
+    joined = docs.chunks.select("chunk", "rows", "words", "shapes", "sizes", "ids").join(
+        found.hint("shuffle_hash"), "chunk", "left"
+    )
     return joined.mapInArrow(run, T.StructType(fields + kinds))
 
 
-def _ask(frequent: frozenset, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_DEALT = "bucket int, chunk long, words binary, places binary, n binary, classes binary"
+_FOUND = {"places": "<u4", "n": "<i8", "classes": "<u2"}
+
+
+def _dealt(buckets: int, chunk: int | None, words: list[bytes], **numbers: np.ndarray) -> pa.RecordBatch:
+    """A row of words and their numbers for each bucket; a word's bucket goes by its checksum."""
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for at in np.flatnonzero(np.diff(ends)):
+        part = order[ends[at] : ends[at + 1]]
+        packed = (_raw(numbers[name][part], kind) if name in numbers else None for name, kind in _FOUND.items())
+        rows.append((int(at), chunk, b" ".join([words[place] for place in part]), *packed))
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["bucket", "chunk", "words", *_FOUND]
+    )
+
+
+def _ask(frequent: frozenset, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a chunk that do not travel, and their places in it."""
     for batch in batches:
         for row, chunk in enumerate(batch.column("chunk").to_pylist()):
-            asked = [(at, word) for at, word in enumerate(_words(batch, row)) if word not in frequent]
-            for begin in range(0, len(asked), 50_000):
-                places, words = zip(*asked[begin : begin + 50_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(words), pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.binary())],
-                    ["chunk", "at", "word"],
-                )
+            own = _words(batch, row)
+            places = [at for at, word in enumerate(own) if word not in frequent]
+            yield _dealt(buckets, chunk, [own[at] for at in places], places=np.array(places, np.int64))
+
+
+def _offer(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vocabulary, without a chunk; classes are one more than they are, 0 where a word's shape decides."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        classes = pa.compute.fill_null(table.column("class"), -1).to_numpy() + 1
+        return _dealt(buckets, None, table.column("word").to_pylist(), n=table.column("n").to_numpy(), classes=classes)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(part.num_rows for part in held) > _DISTINCT_AT_ONCE:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and classes of the words asked for; a bucket's part of the vocabulary comes before what is asked of it."""
+    known: dict[bytes, int] = {}
+    parts: list[list[np.ndarray]] = []
+    current = None
+    for batch in batches:
+        rows = []
+        for row in range(batch.num_rows):
+            bucket, chunk = batch.column("bucket")[row].as_py(), batch.column("chunk")[row].as_py()
+            words = _words(batch, row)
+            if bucket != current:
+                known, parts, current = {}, [], bucket
+            if chunk is None:
+                known.update(zip(words, range(len(known), len(known) + len(words))))
+                parts.append(_pieces(batch, row, n="<i8", classes="<u2"))
+                continue
+            if len(parts) > 1:
+                parts = [[np.concatenate(column) for column in zip(*parts)]]
+            at = np.array([known.get(word, -1) for word in words], np.int64)
+            met = at >= 0
+            if met.any():
+                (places,), (n, classes) = _pieces(batch, row, places="<u4"), parts[0]
+                found = places[met], n[at[met]], classes[at[met]]
+                rows.append((chunk, *(_raw(part, kind) for part, kind in zip(found, _FOUND.values()))))
+        columns = zip(*rows) if rows else [()] * 4
+        kinds = (pa.int64(), *[pa.binary()] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["chunk", *_FOUND])
 
 
 def _walk(
@@ -1047,12 +1218,11 @@ def _walk(
             known = code >= 0
             code = np.where(known, code, len(frequent) + shapes)
             own, counted = class_of[code], counted_of[code]
-            found = batch.column("found")[row].values
-            if found is not None:
-                at, n = found.field("at").to_numpy(), found.field("n").to_numpy()
-                classes = found.field("class").fill_null(-1).to_numpy()
+            for found in batch.column("found")[row].as_py() or []:
+                at, n, classes = (_flat(found[name], kind) for name, kind in _FOUND.items())
                 known[at], counted[at] = True, np.log10(n + 1.0)
-                own[at] = np.where(classes < 0, own[at], classes)
+                # Without a class the word has that of its shape.
+                own[at] = np.where(classes == 0, own[at], classes - 1)
             text_of = np.repeat(np.arange(len(sizes)), sizes)
             n_known = np.bincount(text_of, known[ids], len(sizes)).astype(np.int64) + end_known
             sums = np.bincount(text_of, counted[ids], len(sizes))
