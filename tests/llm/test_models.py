@@ -220,3 +220,34 @@ def test_sweeps_over_rare_words_keep_no_news_of_older_ones(spark, monkeypatch):
     # The vocabulary, the bigrams and the classes found are written as tables of the run, no sweep is.
     assert len(written) == 3
     assert not [row for row in spark.sql("SHOW TABLES").collect() if row.tableName.startswith("rare_")]
+
+
+def test_texts_are_cut_once_for_all_passes(spark):
+    rows = document_rows(8)
+    plain = documents(spark, rows)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = plain.withColumn("text", F.udf(seen, "string")("text"))
+    given = {"frequent_words": 20, "seed_words": 16, "classes": 4}
+    texts = class_lm.encode(docs, learn=F.expr("doc_id % 3 <> 0"))
+    out = class_lm.score(texts, class_lm.train(texts, **given)).collect()
+    assert read.value == len(rows)
+    apart = class_lm.score(plain, class_lm.train(plain.filter("doc_id % 3 <> 0"), **given)).collect()
+    assert Counter(map(tuple, (r[:-2] for r in out))) == Counter(map(tuple, (r[:-2] for r in apart)))
+    assert sorted(r["score"] for r in out) == pytest.approx(sorted(r["score"] for r in apart))
+
+
+def test_moves_change_the_counts_of_their_bigrams_alone(spark):
+    texts = class_lm.encode(spark.createDataFrame([(row[0], row[1]) for row in grammar_rows()], "doc_id long, text string"))
+    frequent = [bytes(r["word"]) for r in class_lm.count_words(texts).orderBy("word").limit(30).collect()]
+    bigrams = class_lm.Bigrams(texts, frequent, 5_400)
+    rng = np.random.default_rng(2)
+    fixed = np.arange(5, 5 + class_lm.SHAPES + 1)
+    before = np.concatenate([rng.integers(0, 5, 30), fixed])
+    after = np.where((rng.random(len(before)) < 0.4) & (before < 5), (before + 1) % 5, before)
+    groups = int(fixed[-1]) + 1
+    assert (bigrams.pairs(before, groups) + bigrams.changed(before, after, groups) == bigrams.pairs(after, groups)).all()

@@ -50,7 +50,8 @@ SMOOTHING = 0.1
 #: Sweeps end when two in a row raise the likelihood by less than this for each token, in nats.
 LEAST_RISE = 1e-4
 SHAPES = 32
-_DISTINCT_AT_ONCE = 200_000
+#: A chunk ends with the text that fills it; a longer text is a chunk of its own.
+_TOKENS_AT_ONCE, _DISTINCT_AT_ONCE = 400_000, 100_000
 _NEIGHBOURS_AT_ONCE = 1_000_000
 _RARE_AT_ONCE = 250_000
 _WORDS_AT_ONCE = 100_000
@@ -148,7 +149,7 @@ def _encode(names, body, learnt, batches: Iterator[pa.RecordBatch]) -> Iterator[
             sizes.append(size)
             learn.append(marks[row])
             held += size + 1
-            if held > _NEIGHBOURS_AT_ONCE or len(numbers) > _DISTINCT_AT_ONCE:
+            if held > _TOKENS_AT_ONCE or len(numbers) > _DISTINCT_AT_ONCE:
                 parts.append(kept.slice(begin, row + 1 - begin))
                 begin = row + 1
                 yield flush()
@@ -178,8 +179,8 @@ def _path(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
 
 def _sides(path: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Left and right of each bigram, a bounded number at once."""
-    for at in range(0, len(path) - 1, 2 * _NEIGHBOURS_AT_ONCE):
-        stop = min(at + 2 * _NEIGHBOURS_AT_ONCE, len(path) - 1)
+    for at in range(0, len(path) - 1, _NEIGHBOURS_AT_ONCE):
+        stop = min(at + _NEIGHBOURS_AT_ONCE, len(path) - 1)
         yield path[at:stop], path[at + 1 : stop + 1]
 
 
@@ -641,7 +642,7 @@ def _move_words(placed, sweep, class_of, own, pairs, classes, batches) -> Iterat
             words, at = np.unique(words[chosen], return_inverse=True)
             side = at * (2 * groups) + (heads[chosen] & 1) * groups
             key = np.repeat(side, runs[chosen]) + class_of[others[used]]
-            sums = np.bincount(key, n[used], len(words) * 2 * groups).reshape(len(words), -1)
+            sums = np.bincount(key, n[used], len(words) * 2 * groups).reshape(len(words), 2 * groups)
             number, cells = np.nonzero(sums)
             offsets = np.searchsorted(number, np.arange(len(words) + 1))
             new = moves.best(own[words], offsets, cells, sums[number, cells])
