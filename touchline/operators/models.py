@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import constants as K
+from touchline.operators.forest import Cells, bin_borders, confusion, count_cells, grow
 from touchline.operators.metrics import classification_metrics
 from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sampling import group_folds
@@ -213,26 +216,57 @@ def domain_classifier(
 
     Whole groups stay on one side of a split, with both sources on both sides. If a source has
     a single group, rows are dealt into folds by a hash of their features instead. Returns
-    one row per fold and the mean importances of all features.
+    one row per fold and the mean importances of all features. Where many rows share the bins of all
+    features, forests grow on counts of such rows (``forest.py``), else on the rows.
     """
     settings = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 1, **params}
     groups = df.groupBy(source).agg(F.count_distinct(group).alias("n")).agg(F.min("n")).first()[0] or 0
     if groups >= 2:
-        dealt = materialise(group_folds(df, group=group, strata=[source], folds=folds, seed=seed))
+        dealt = group_folds(df, group=group, strata=[source], folds=folds, seed=seed)
     else:
-        dealt = materialise(df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds))))
+        dealt = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds)))
     numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())
+    cells = _cells(dealt, features, source, numbers) if _COUNTED >= set(settings) and settings["maxDepth"] <= DEEPEST else None
+    if cells is not None and ROWS_PER_CELL * cells.size <= cells.totals.sum():
+        forest = grow(cells, seed=seed, **settings)
+        scores, totals = classification_metrics(confusion(cells, forest), ["fold"], rows="n"), forest.importances()
+    else:
+        scores, totals = _by_rows(materialise(dealt), features, source, numbers, seed, settings)
+    table = df.sparkSession.createDataFrame(list(zip(features, map(float, totals))), "feature string, importance double")
+    return scores, table.orderBy(F.desc("importance"), "feature")
+
+
+#: Settings that forests on counted cells know; their trees are arrays of 2^depth nodes.
+_COUNTED = {"numTrees", "maxDepth", "minInstancesPerNode"}
+DEEPEST = 12
+#: Rows are counted by cells of equal bins where a cell has so many of them; else a forest reads the rows themselves.
+ROWS_PER_CELL = 4
+
+
+def _cells(dealt: DataFrame, features: Sequence[str], source: str, folds: Sequence[int]) -> Cells:
+    """Counted cells of all folds; where values are missing they take the bin of the training rows' median."""
+    borders, holes = bin_borders(dealt, features)
+    classes = sorted(r[0] for r in dealt.select(F.col(source).cast("string")).distinct().collect() if r[0] is not None)
+    missing = np.zeros((len(folds), len(features)), np.int16)
+    if any(holes):
+        for i, fold in enumerate(folds):
+            medians = training_medians(dealt.filter(F.col("fold") != fold), features)
+            missing[i] = [bisect_left(b, medians[c]) if c in medians else len(b) for c, b in zip(features, borders)]
+    return count_cells(dealt, features, source, "fold", folds, classes, borders, missing)
+
+
+def _by_rows(
+    dealt: DataFrame, features: Sequence[str], source: str, folds: Sequence[int], seed: int, settings: dict
+) -> tuple[DataFrame, list[float]]:
     parts, totals = None, [0.0] * len(features)
-    for fold in numbers:
+    for fold in folds:
         fitted = fit_classifier(dealt.filter(F.col("fold") != fold), features, source, seed=seed, **settings)
         guessed = fitted.predict(dealt.filter(F.col("fold") == fold)).select(
             "fold", F.col(source).alias("y_true"), "y_pred"
         )
         parts = guessed if parts is None else parts.unionByName(guessed)
-        totals = [a + b / len(numbers) for a, b in zip(totals, fitted.importances())]
-    scores = classification_metrics(parts, ["fold"])
-    table = df.sparkSession.createDataFrame(list(zip(features, map(float, totals))), "feature string, importance double")
-    return scores, table.orderBy(F.desc("importance"), "feature")
+        totals = [a + b / len(folds) for a, b in zip(totals, fitted.importances())]
+    return classification_metrics(parts, ["fold"]), totals
 
 
 def flatten_snippets(snippets: DataFrame, fields: Sequence[str], length: int, name: str = "values") -> DataFrame:

@@ -37,13 +37,13 @@ def _task(t: Tables, **extra) -> G.Task:
 
 @query("domain_clf")
 def domain_clf(t: Tables) -> DataFrame:
-    scores, _ = ML.domain_classifier(_rows(t), FEATURES, folds=2, **SMALL_FOREST)
+    scores, _ = ML.domain_classifier(_rows(t), FEATURES)
     return scores
 
 
 @query("domain_importances")
 def domain_importances(t: Tables) -> DataFrame:
-    _, importances = ML.domain_classifier(_rows(t), FEATURES, folds=2, **SMALL_FOREST)
+    _, importances = ML.domain_classifier(_rows(t), FEATURES)
     return importances
 
 
