@@ -26,6 +26,7 @@ def test_forests_on_counts_agree_with_forests_on_rows(spark, monkeypatch):
     monkeypatch.setattr(ML, "fit_classifier", lambda *args, **settings: by_rows.append(1) or fit(*args, **settings))
     got = [ML.domain_classifier(df, FEATURES, folds=2, numTrees=20, maxDepth=4)]
     assert not by_rows
+    monkeypatch.setattr(ML, "FEW_CELLS", 0)
     monkeypatch.setattr(ML, "ROWS_PER_CELL", 10**9)
     got.append(ML.domain_classifier(df, FEATURES, folds=2, numTrees=20, maxDepth=4))
     assert len(by_rows) == 2

@@ -216,8 +216,8 @@ def domain_classifier(
 
     Whole groups stay on one side of a split, with both sources on both sides. If a source has
     a single group, rows are dealt into folds by a hash of their features instead. Returns
-    one row per fold and the mean importances of all features. Where many rows share the bins of all
-    features, forests grow on counts of such rows (``forest.py``), else on the rows.
+    one row per fold and the mean importances of all features. Forests grow on counts of rows that share
+    the bins of all features (``forest.py``), or on the rows where hardly any do.
     """
     settings = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 1, **params}
     groups = df.groupBy(source).agg(F.count_distinct(group).alias("n")).agg(F.min("n")).first()[0] or 0
@@ -225,9 +225,10 @@ def domain_classifier(
         dealt = group_folds(df, group=group, strata=[source], folds=folds, seed=seed)
     else:
         dealt = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds)))
-    numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())
-    cells = _cells(dealt, features, source, numbers) if _COUNTED >= set(settings) and settings["maxDepth"] <= DEEPEST else None
-    if cells is not None and ROWS_PER_CELL * cells.size <= cells.totals.sum():
+    sides = dealt.select("fold", F.col(source).cast("string")).distinct().collect()
+    numbers, classes = sorted({r[0] for r in sides}), sorted({r[1] for r in sides if r[1] is not None})
+    cells = _cells(dealt, features, source, numbers, classes) if _COUNTED >= set(settings) and settings["maxDepth"] <= DEEPEST else None
+    if cells is not None and (cells.size <= FEW_CELLS or ROWS_PER_CELL * cells.size <= cells.totals.sum()):
         forest = grow(cells, seed=seed, **settings)
         scores, totals = classification_metrics(confusion(cells, forest), ["fold"], rows="n"), forest.importances()
     else:
@@ -239,14 +240,14 @@ def domain_classifier(
 #: Settings that forests on counted cells know; their trees are arrays of 2^depth nodes.
 _COUNTED = {"numTrees", "maxDepth", "minInstancesPerNode"}
 DEEPEST = 12
-#: Rows are counted by cells of equal bins where a cell has so many of them; else a forest reads the rows themselves.
+#: Forests grow on counts where there are so few cells of equal bins, or so many rows in a cell; else they read the rows themselves.
+FEW_CELLS = 500_000
 ROWS_PER_CELL = 4
 
 
-def _cells(dealt: DataFrame, features: Sequence[str], source: str, folds: Sequence[int]) -> Cells:
+def _cells(dealt: DataFrame, features: Sequence[str], source: str, folds: Sequence[int], classes: Sequence[str]) -> Cells:
     """Counted cells of all folds; where values are missing they take the bin of the training rows' median."""
     borders, holes = bin_borders(dealt, features)
-    classes = sorted(r[0] for r in dealt.select(F.col(source).cast("string")).distinct().collect() if r[0] is not None)
     missing = np.zeros((len(folds), len(features)), np.int16)
     if any(holes):
         for i, fold in enumerate(folds):

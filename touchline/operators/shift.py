@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,12 +25,17 @@ def numeric_features(df: DataFrame, exclude: Sequence[str] = ("source", "match_i
 
 
 def impute_median(df: DataFrame, features: Sequence[str], *, fit_on: DataFrame | None = None) -> DataFrame:
-    """Fill nulls with the exact pooled median of each feature."""
-    medians = exact_quantiles(
-        df if fit_on is None else fit_on, [], {f"m{i}": (c, 0.5) for i, c in enumerate(features)}
-    ).first()
-    fill = {c: medians[f"m{i}"] for i, c in enumerate(features) if medians and medians[f"m{i}"] is not None}
-    out = df.withColumns({c: F.col(c).cast("double") for c in features})
+    """Fill nulls with the exact pooled median of each feature; features without any are left alone."""
+    typed = [F.col(c).cast("double") for c in features]
+    gaps = df.agg(*[F.count_if(v.isNull() | F.isnan(v)).alias(f"g{i}") for i, v in enumerate(typed)]).first() if features else ()
+    wanted = [c for c, n in zip(features, gaps) if n]
+    fill = {}
+    if wanted:
+        medians = exact_quantiles(
+            df if fit_on is None else fit_on, [], {f"m{i}": (c, 0.5) for i, c in enumerate(wanted)}
+        ).first()
+        fill = {c: medians[f"m{i}"] for i, c in enumerate(wanted) if medians and medians[f"m{i}"] is not None}
+    out = df.withColumns(dict(zip(features, typed)))
     return out.na.fill(fill) if fill else out
 
 
@@ -82,7 +87,11 @@ def ks_per_feature(
     )
     shares = F.array(*[F.lit(k / chunks) for k in range(1, chunks)])
     borders = counts.groupBy("feature").agg(F.percentile_approx("value", shares, 20 * chunks).alias("_borders"))
-    place = F.size(F.filter("_borders", lambda border: border <= F.col("value"))).cast("long")
+    # Borders up to the value, by halving.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(chunks.bit_length()))])
+    place = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get("_borders", at + step - 1) <= F.col("value"), at + step).otherwise(at)
+    ).cast("long")
     placed = counts.join(joinable(borders), "feature").withColumn("_bucket", place).drop("_borders")
     run = running_totals(
         placed, ["feature"], "value", {"ca": F.col("a"), "cb": F.col("b")},
@@ -163,6 +172,12 @@ def _mixed(draws: np.ndarray, permutations: int, seed: int) -> np.ndarray:
     return mixed
 
 
+def _pieces(rows: int, width: int) -> Iterator[slice]:
+    """Rows that an array of so many columns holds in 64 kB at a time: larger ones are mapped anew for every step."""
+    step = max(1, 8192 // max(width, 1))
+    return (slice(begin, begin + step) for begin in range(0, rows, step))
+
+
 _DIGIT_BITS = 12
 #: So few values around a cut are looked at themselves, instead of by a further digit.
 _AT_CUT = 64
@@ -186,11 +201,13 @@ def permutation_cuts(table: DataFrame, n: int, permutations: int, seed: int, *,
         def count(batches: Iterator[pd.DataFrame], known=known, step=step, left=left, found=found) -> Iterator[pd.DataFrame]:
             held = np.zeros(permutations << step, np.int64)
             for pdf in batches:
-                mixed = _mixed(pdf["draw"].to_numpy(np.uint64), permutations, seed)
-                cells = ((mixed >> np.uint64(left)) & np.uint64((1 << step) - 1)).astype(np.int64)
-                cells += np.arange(permutations, dtype=np.int64) << step
-                inside = cells if not known else cells[(mixed >> np.uint64(64 - known)) == found]
-                held += np.bincount(inside.ravel(), minlength=len(held))
+                values = pdf["draw"].to_numpy(np.uint64)
+                for part in _pieces(len(values), permutations):
+                    mixed = _mixed(values[part], permutations, seed)
+                    cells = ((mixed >> np.uint64(left)) & np.uint64((1 << step) - 1)).astype(np.int64)
+                    cells += np.arange(permutations, dtype=np.int64) << step
+                    inside = cells if not known else cells[(mixed >> np.uint64(64 - known)) == found]
+                    np.add.at(held, inside.ravel(), 1)
             used = np.flatnonzero(held)
             yield pd.DataFrame({"perm": (used >> step).astype("int32"), "digit": used & ((1 << step) - 1), "n": held[used]})
 
@@ -210,9 +227,12 @@ def permutation_cuts(table: DataFrame, n: int, permutations: int, seed: int, *,
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            mixed = _mixed(pdf["draw"].to_numpy(np.uint64), permutations, seed)
-            row, perm = np.nonzero((mixed >> np.uint64(left)) == found)
-            yield pd.DataFrame({"perm": perm.astype("int32"), "value": mixed[row, perm].view(np.int64)})
+            drawn = pdf["draw"].to_numpy(np.uint64)
+            for part in _pieces(len(drawn), permutations):
+                mixed = _mixed(drawn[part], permutations, seed)
+                row, perm = np.nonzero((mixed >> np.uint64(left)) == found)
+                if len(row):
+                    yield pd.DataFrame({"perm": perm.astype("int32"), "value": mixed[row, perm].view(np.int64)})
 
     near = draws.mapInPandas(values, "perm int, value long").toPandas()
     out = np.empty(permutations, np.uint64)
@@ -221,6 +241,28 @@ def permutation_cuts(table: DataFrame, n: int, permutations: int, seed: int, *,
     return out
 
 
+_TABLE = 4096
+_AROUND = np.arange(_TABLE) * (2 * math.pi / _TABLE)
+_COSINES, _SINES = np.cos(_AROUND), np.sin(_AROUND)
+
+
+def cosines_and_sines(phase: np.ndarray) -> np.ndarray:
+    """Cosines and sines side by side, exact to rounding: a table's nearest angle, and the series for the rest.
+
+    The rest is at most pi / 4096, so the terms left out are below 1e-17.
+    """
+    steps = phase * (_TABLE / (2 * math.pi))
+    near = np.rint(steps)
+    rest = (steps - near) * (2 * math.pi / _TABLE)
+    at = near.astype(np.int64) & (_TABLE - 1)
+    cosine, sine, square = _COSINES[at], _SINES[at], rest * rest
+    small_cosine, small_sine = 1 - square * (0.5 - square / 24), rest * (1 - square / 6)
+    out = np.empty((len(phase), 2 * phase.shape[1]))
+    out[:, : phase.shape[1]] = cosine * small_cosine - sine * small_sine
+    out[:, phase.shape[1] :] = sine * small_cosine + cosine * small_sine
+    return out
+
+
 def mmd(
     df: DataFrame,
     features: Sequence[str],
@@ -243,6 +285,27 @@ def mmd(
     distance of pairs by default. A permutation's first sample are the rows of smallest draw, by a
     hash of ``key`` and the permutation, as many as the first source has; rows of one key stay together.
     """
+    return kernel_tests(
+        df, {"": features}, source_a, source_b, key=key, components=components, permutations=permutations,
+        bandwidth=bandwidth, seed=seed, source=source,
+    ).drop("name")
+
+
+def kernel_tests(
+    df: DataFrame,
+    views: Mapping[str, Sequence[str]],
+    source_a: str,
+    source_b: str,
+    *,
+    key: Sequence[str],
+    components: int = 128,
+    permutations: int = 100,
+    bandwidth: float | None = None,
+    seed: int = K.SEED,
+    source: str = "source",
+) -> DataFrame:
+    """``mmd`` of several sets of features of the same rows, a row per name: permutations are drawn and rows are read once."""
+    features = list(dict.fromkeys(c for own in views.values() for c in own))
     rows = df.filter(F.col(source).isin(source_a, source_b))
     clean = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")) for c in features}
     moments = rows.agg(
@@ -254,9 +317,12 @@ def mmd(
     if n < 2 or m < 2:
         raise ValueError("both sources need at least two rows")
     total = n + m
-    moving = sum(1 for i in range(len(features)) if moments[f"s{i}"])
-    width = bandwidth or math.sqrt(2.0 * max(moving, 1) * total / (total - 1))
-    waves = fourier_frequencies(len(features), components, width, seed)
+    places, widths, waves = [], [], []
+    for own in views.values():
+        places.append([features.index(c) for c in own])
+        moving = sum(1 for i in places[-1] if moments[f"s{i}"])
+        widths.append(bandwidth or math.sqrt(2.0 * max(moving, 1) * total / (total - 1)))
+        waves.append(fourier_frequencies(len(own), components, widths[-1], seed))
     z = [
         F.coalesce((clean[c] - F.lit(moments[f"m{i}"])) / F.lit(moments[f"s{i}"] or 1.0), F.lit(0.0))
         for i, c in enumerate(features)
@@ -272,34 +338,37 @@ def mmd(
     cuts = permutation_cuts(table, n, permutations, seed) if permutations else np.zeros(0, np.uint64)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((permutations + 1, 4, components))
+        held = np.zeros((len(waves), permutations + 1, 4, components))
         counts = np.zeros((permutations + 1, 2), np.int64)
         for pdf in batches:
-            phase = np.ascontiguousarray(pdf[names].to_numpy()) @ waves.T
-            waved = np.concatenate([np.cos(phase), np.sin(phase)], axis=1)
-            first = pdf["is_a"].to_numpy(bool)[:, None]
-            drawn = _mixed(pdf["draw"].to_numpy(np.uint64), permutations, seed) <= cuts
-            labels = np.concatenate([first, drawn], axis=1).astype(float)
-            both = waved.sum(axis=0)
-            mine = labels.T @ waved
-            held[:, :2] += mine.reshape(-1, 2, components)
-            held[:, 2:] += (both - mine).reshape(-1, 2, components)
-            counts[:, 0] += labels.sum(axis=0).astype(np.int64)
-            counts[:, 1] += len(pdf)
+            values, draws, is_a = pdf[names].to_numpy(), pdf["draw"].to_numpy(np.uint64), pdf["is_a"].to_numpy(bool)
+            for part in _pieces(len(pdf), components // 2):
+                drawn = _mixed(draws[part], permutations, seed) <= cuts
+                labels = np.concatenate([is_a[part, None], drawn], axis=1).astype(float)
+                for view, (place, own) in enumerate(zip(places, waves)):
+                    waved = cosines_and_sines(values[part][:, place] @ own.T)
+                    both = waved.sum(axis=0)
+                    mine = labels.T @ waved
+                    held[view, :, :2] += mine.reshape(-1, 2, components)
+                    held[view, :, 2:] += (both - mine).reshape(-1, 2, components)
+                counts[:, 0] += labels.sum(axis=0).astype(np.int64)
+                counts[:, 1] += len(labels)
         cells = permutations + 1
-        yield pd.DataFrame(
-            {
-                "perm": np.repeat(np.arange(cells, dtype="int32"), components),
-                "k": np.tile(np.arange(components, dtype="int32"), cells),
-                **{name: held[:, i].ravel() for i, name in enumerate(("ca", "sa", "cb", "sb"))},
-                "a": np.repeat(counts[:, 0], components),
-                "all": np.repeat(counts[:, 1], components),
-            }
-        )
+        for view, own in enumerate(held):
+            yield pd.DataFrame(
+                {
+                    "view": np.int32(view),
+                    "perm": np.repeat(np.arange(cells, dtype="int32"), components),
+                    "k": np.tile(np.arange(components, dtype="int32"), cells),
+                    **{name: own[:, i].ravel() for i, name in enumerate(("ca", "sa", "cb", "sb"))},
+                    "a": np.repeat(counts[:, 0], components),
+                    "all": np.repeat(counts[:, 1], components),
+                }
+            )
 
     summed = (
-        table.mapInPandas(sums, "perm int, k int, ca double, sa double, cb double, sb double, a long, all long")
-        .groupBy("perm", "k")
+        table.mapInPandas(sums, "view int, perm int, k int, ca double, sa double, cb double, sb double, a long, all long")
+        .groupBy("view", "perm", "k")
         .agg(*[F.sum(c).alias(c) for c in ("ca", "sa", "cb", "sb", "a", "all")])
         .withColumn("b", F.col("all") - F.col("a"))
     )
@@ -309,10 +378,10 @@ def mmd(
         + (square("cb", "sb") - F.col("b")) / (F.col("b") * (F.col("b") - 1.0))
         - 2 * (F.col("ca") * F.col("cb") + F.col("sa") * F.col("sb")) / (F.col("a").cast("double") * F.col("b"))
     )
-    stats = summed.groupBy("perm").agg(F.avg(value).alias("v"))
+    stats = summed.groupBy("view", "perm").agg(F.avg(value).alias("v"))
     observed = F.max(F.when(F.col("perm") == 0, F.col("v")))
     others = F.when(F.col("perm") > 0, F.col("v"))
-    wide = stats.agg(
+    wide = stats.groupBy("view").agg(
         observed.alias("mmd_sq"),
         F.collect_list(others).alias("_null"),
         F.avg(others).alias("permutation_mean"),
@@ -320,9 +389,10 @@ def mmd(
     )
     at_least = F.size(F.filter("_null", lambda v: v >= F.col("mmd_sq")))
     return wide.select(
+        F.get(F.array(*map(F.lit, views)), F.col("view")).alias("name"),
         "mmd_sq",
         ((at_least + 1) / F.lit(permutations + 1.0)).alias("p_value"),
-        F.lit(width).alias("bandwidth"),
+        F.get(F.array(*map(F.lit, widths)), F.col("view")).alias("bandwidth"),
         F.lit(n).cast("long").alias("n_source"),
         F.lit(m).cast("long").alias("n_target"),
         F.lit(permutations).alias("n_permutations"),

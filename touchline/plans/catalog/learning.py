@@ -15,6 +15,7 @@ from touchline.operators import sampling as O
 from touchline.operators import trajectory as T
 from touchline.operators.features import mean_pool
 from touchline.plans import experiments as G
+from touchline.plans import views as V
 from touchline.plans.registry import query
 from touchline.plans.standin import Tables
 from touchline.session import materialise
@@ -50,9 +51,13 @@ def domain_importances(t: Tables) -> DataFrame:
 @query("shift_report")
 def shift_report(t: Tables) -> DataFrame:
     rows = _rows(t).drop("size_class")
-    views = {"player_tracking": rows, "player_tracking_core": rows.drop("l_tax")}
+    # Two views of the same rows.
+    described = {
+        "player_tracking": V.View((), None, KEY, FEATURES),
+        "player_tracking_core": V.View((), None, KEY, tuple(c for c in FEATURES if c != "l_tax")),
+    }
     sections = G.shift_report(
-        views, sources=("F", "O"), key=KEY, permutations=20, folds=2, **SMALL_FOREST
+        {name: rows for name in described}, described=described, sources=("F", "O"), permutations=20
     )
     return sections["summary"]
 

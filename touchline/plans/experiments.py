@@ -280,11 +280,15 @@ def headline(linear: DataFrame, forest: DataFrame, *, compare: Sequence[str] = (
 
 @dataclass(frozen=True)
 class Measured:
-    """Prepared rows, and the tests and shifts of single features; views of the same rows share them."""
+    """Prepared rows, and the tests and shifts of single features; views of the same rows share them.
+
+    ``kernel`` has the kernel test of each view by name, if all were made together.
+    """
 
     rows: DataFrame
     ks: DataFrame
     moved: DataFrame
+    kernel: DataFrame | None = None
 
 
 def measure_features(
@@ -314,7 +318,10 @@ def evaluate_view(
     sizes = rows.agg(*[F.count_if(F.col("source") == source).alias(side) for side, source in zip(("n_source", "n_target"), sources)])
     if min(sizes.first()) < 2:
         return {"skipped": sizes.select(one, "*")}
-    kernel = X.mmd(rows, features, *sources, key=("match_id", *key), permutations=permutations, components=components, seed=seed)
+    if measured.kernel is None:
+        kernel = X.mmd(rows, features, *sources, key=("match_id", *key), permutations=permutations, components=components, seed=seed)
+    else:
+        kernel = measured.kernel.filter(F.col("name") == name).drop("name")
     ks = X.bonferroni(measured.ks.filter(F.col("feature").isin(*features)), len(features))
     moved = measured.moved.filter(F.col("feature").isin(*features))
     significant = ks.agg(F.count_if(F.col("p_value_bonferroni") < 0.05).alias("n_ks_significant"), F.avg("ks_stat").alias("ks_mean"))
@@ -362,6 +369,14 @@ def shift_report(
         }
         features = list(dict.fromkeys(c for name in names for c in own[name]["features"]))
         measured = measure_features(views[names[0]], features, **given)
+        rows, sources = measured.rows, given["sources"]
+        sizes = rows.agg(*[F.count_if(F.col("source") == source) for source in sources]).first()
+        if min(sizes) >= 2:
+            kernel = X.kernel_tests(
+                rows, {name: own[name]["features"] for name in names}, *sources, key=("match_id", *given["key"]), seed=given["seed"],
+                **{c: first[c] for c in ("permutations", "components") if c in first},
+            )
+            measured = replace(measured, kernel=materialise(kernel))
         return {name: evaluate_view(name, views[name], **own[name], measured=measured) for name in names}
 
     found = {name: part for group in D.in_parallel(several, alike.values()) for name, part in group.items()}
